@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitab.llm import bpe, langid, sharding, url_filter
+from lexitab.llm import bpe, embedding_dedup, langid, license_scan, media, mixing, sharding, simhash, substring_dedup, url_filter
 
 #: Fixed values of the contracts.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -17,17 +17,43 @@ RULES = [
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
+#: Domains of the labelled table, and the shares of all tokens that the mixture shall have.
+DOMAINS = ["good", "plain", "toxic"]
+WEIGHTS = {"good": 0.6, "plain": 0.395, "toxic": 0.005}
+
+
+def domain_of_labels():
+    """The domain of a row of `labels`: toxic, else by quality; null if a label is null."""
+    quality, toxic = F.col("quality"), F.col("toxic")
+    return F.when(toxic == 1, "toxic").when(toxic.isNotNull() & (quality == 1), "good").when(toxic.isNotNull() & (quality == 0), "plain")
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's domain posteriors, rate and number of copies."""
+    documents = _read(spark, sf_dir, "documents")
+    model = mixing.train_domains(documents, _read(spark, sf_dir, "labels"), domain_of_labels(), DOMAINS)
+    return mixing.mix(documents, model, WEIGHTS)[0].drop("key")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded."""
     return bpe.encode_documents(_read(spark, sf_dir, "documents"), vocabulary=VOCABULARY)
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links and group."""
+    return embedding_dedup.near_duplicate_vectors(_read(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and group."""
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op5_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard, slot, and shard after one more shard."""
     return sharding.shard_records(_read(spark, sf_dir, "documents"), weights=[1.0] * SHARDS, grown=[1.0] * (SHARDS + 1))
@@ -38,6 +64,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_read(spark, sf_dir, "pages"), RULES)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence notices and tags."""
+    return license_scan.scan_documents(_read(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, from models that never saw the held-out fifth."""
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -47,11 +78,28 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text")
 
 
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as motion-JPEG and read back."""
+    return media.describe_documents(_read(spark, sf_dir, "documents"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that an earlier one has, and what was cut."""
+    documents = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(documents, spans_column="cut_spans", words_column="cut_words")
+
+
 QUERIES = {
+    "op1_source_mixing": op1_source_mixing,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_simhash_dedup": op4_simhash_dedup,
     "op5_rendezvous_shards": op5_rendezvous_shards,
     "op6_url_filter": op6_url_filter,
+    "op7_license_scan": op7_license_scan,
     "op8_language_id": op8_language_id,
+    "op9_media_columns": op9_media_columns,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL = {

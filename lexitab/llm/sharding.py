@@ -8,12 +8,14 @@ record moves between old shards.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexitab.llm._support import fresh
+from lexitab.llm._support import cut_columnar, fresh
 
-#: Rows that one task numbers at once, about.
-ROWS_A_BUCKET = 20_000
+#: Rows that are numbered in one go, about, and the cuts of a bucket by input partition.
+ROWS_A_BUCKET = 4_000
+PARTS = 16
 
 
 def unit(key: Column, shard: int) -> Column:
@@ -48,12 +50,12 @@ def shard_records(
 
     The law is `key`: the id and the weights alone decide, so equal ids always meet. size is the text's UTF-8 bytes plus 8 (null:
     8); text_crc32 is null for a null text; grown_shard is the shard under the weights `grown` (null without them). Slots count
-    from 0 without a gap in each shard, by the key's MD5, then id, checksum and size; rows equal in all of these may
-    change places. Null ids form one key. Other columns are ignored; an empty table gives an empty one.
-    Slots need no task per shard: shards are cut by the MD5's first bits into buckets of about ROWS_A_BUCKET rows, and each
-    bucket starts at the sum of the counts before it. A key that itself has a third of all rows is cut by checksum and size too.
+    from 0 without a gap in each shard, by the MD5 of id, checksum and size; rows equal in all of these may change places.
+    Null ids form one key. Other columns are ignored; an empty table gives an empty one.
+    Slots need no task per shard: a shard is cut by the MD5's first digits into buckets, and each bucket starts at the sum of
+    the counts before it. Copies of one row share an MD5, so a bucket is also cut by the number of the input partition.
     """
-    order, bucket, count, first, cell = fresh(df, "order", "bucket", "count", "first", "cell")
+    order, bucket, part, first, cell, count = fresh(df, "order", "bucket", "part", "first", "cell", "count")
     key = record_key(F.col("doc_id"))
     rows = df.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     rows = rows.select(
@@ -63,19 +65,16 @@ def shard_records(
         F.lit("key").alias("law"),
         rendezvous(key, weights).alias("shard"),
         (rendezvous(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
-        F.md5(key).alias(order),
+        F.pmod(F.spark_partition_id(), F.lit(PARTS)).alias(part),
     )
-    total = df.select(F.count(F.lit(1))).first()[0]
-    digits = 1
-    while 16**digits * len(weights) * ROWS_A_BUCKET < total:
+    rows = cut_columnar(rows)
+    total, digits = rows.count(), 1
+    while 16**digits * len(weights) * PARTS * ROWS_A_BUCKET < total:
         digits += 1
-    # Rows equal in all columns are cut by counting; the bucket orders as the columns do.
-    rows = rows.withColumn(bucket, F.substring(order, 1, digits))
-    sized = rows.groupBy("shard", bucket).agg(F.count(F.lit(1)).alias(count))
-    from pyspark.sql import Window as W
-
-    before = W.partitionBy("shard").orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    starts = sized.select("shard", bucket, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(first))
-    within = W.partitionBy("shard", bucket).orderBy(order, "doc_id", "text_crc32", "size")
-    numbered = rows.withColumn(cell, F.row_number().over(within) - 1).join(starts, ["shard", bucket])
+    rows = rows.withColumn(order, F.md5(F.concat_ws(":", key, "text_crc32", "size"))).withColumn(bucket, F.substring(order, 1, digits))
+    sized = rows.groupBy("shard", bucket, part).agg(F.count(F.lit(1)).alias(count))
+    before = W.partitionBy("shard").orderBy(bucket, part).rowsBetween(W.unboundedPreceding, -1)
+    starts = sized.select("shard", bucket, part, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(first))
+    within = W.partitionBy("shard", bucket, part).orderBy(order, "doc_id", "text_crc32", "size")
+    numbered = rows.withColumn(cell, F.row_number().over(within) - 1).join(starts, ["shard", bucket, part])
     return numbered.select("doc_id", "size", "text_crc32", "law", "shard", (F.col(first) + F.col(cell)).cast("long").alias("slot"), "grown_shard")
