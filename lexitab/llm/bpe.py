@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 Each pre-token becomes a linked list of byte symbols. Adjacent pairs that a vocabulary entry covers wait in the
-bucket of that entry's rank; a three-level bitmap over the ranks gives the next non-empty bucket by find-first-set.
+bucket of that entry's rank; a two-level bitmap over the ranks gives the next non-empty bucket by find-first-set.
 Popped positions whose pair has changed meanwhile are stale and skipped. A pre-token of n bytes costs O(n log n),
 so runs of 100,000 letters are no special case.
 """
@@ -12,7 +12,6 @@ import base64
 import hashlib
 from functools import cache
 from heapq import heappop, heappush
-from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -21,53 +20,34 @@ from pyspark.sql import functions as F
 
 from lexitab.llm._support import ship
 
-#: Pre-tokens whose ids a worker remembers; the table is emptied when full, so memory stays bounded.
-REMEMBERED = 400_000
+#: Pre-tokens whose ids a worker remembers, in each of two generations; the older one goes when the newer is full.
+REMEMBERED = 500_000
 #: Longer pre-tokens are encoded each time.
 REMEMBERED_BYTES = 64
+#: Single bits, for the bitmap's words of 256 bits and its top level (up to 2**18 ranks).
+_BITS = [1 << i for i in range(1024)]
 
 
-class RankQueue:
-    """Positions by merge rank; pop() gives the smallest rank and, within it, the leftmost position."""
+class Remembered(dict):
+    """Decimal ids of pre-tokens, joined by commas; a missing one is encoded and kept if it is short."""
 
-    def __init__(self, ranks: int):
-        words = (ranks >> 6) + 1
-        self.low = [0] * words
-        self.mid = [0] * ((words >> 6) + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        word = rank >> 6
-        block = word >> 6
-        self.low[word] |= 1 << (rank & 63)
-        self.mid[block] |= 1 << (word & 63)
-        self.top |= 1 << block
-
-    def pop(self) -> tuple[int, int] | None:
-        top = self.top
-        if not top:
-            return None
-        block = (top & -top).bit_length() - 1
-        bits = self.mid[block]
-        word = (block << 6) + (bits & -bits).bit_length() - 1
-        bits = self.low[word]
-        rank = (word << 6) + (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[word] &= ~(1 << (rank & 63))
-            if not self.low[word]:
-                self.mid[block] &= ~(1 << (word & 63))
-                if not self.mid[block]:
-                    self.top &= ~(1 << block)
-        return rank, position
+    def __init__(self, merge):
+        super().__init__()
+        self.merge = merge
+        self.older: dict[str, str] = {}
+
+    def __missing__(self, token: str) -> str:
+        ids = self.older.get(token)
+        if ids is None:
+            raw = token.encode("utf-8")
+            ids = ",".join(map(str, self.merge(raw)))
+            if len(raw) > REMEMBERED_BYTES:
+                return ids
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[token] = ids
+        return ids
 
 
 class BytePairCodec:
@@ -76,9 +56,11 @@ class BytePairCodec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.pieces = {rank: piece for piece, rank in ranks.items()}
+        self.said = {str(rank): piece for piece, rank in ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
-        self.known: dict[str, tuple[str, tuple[int, ...]]] = {}
+        words = max(ranks.values(), default=0) // 256 + 1
+        self.low = [0] * words
+        self.known = Remembered(self.merge)
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"vocabulary lacks {len(missing)} single bytes")
@@ -91,22 +73,46 @@ class BytePairCodec:
         return cls(ranks, pattern)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        ranks = self.ranks
-        whole = ranks.get(piece)
+        """Ids of one pre-token.
+
+        The rank queue is kept in local names, as a call for each step would double the time: buckets has a rank's positions as
+        a heap, so equal ranks merge from the left; bit r of low[w] says that rank w * 256 + r has a bucket, bit w of
+        top that low[w] isn't empty. All of them are empty again at the end.
+        """
+        get = self.ranks.get
+        whole = get(piece)
         if whole is not None:
             return [whole]
         size = len(piece)
-        queue = self.queue
-        end = list(range(1, size + 1))
-        before = list(range(-1, size - 1))
-        get = ranks.get
+        low, bits_of, top = self.low, _BITS, 0
+        buckets: dict[int, list[int]] = {}
+        end = list(range(1, size + 2))
+        before = list(range(-1, size))
         for i in range(size - 1):
             rank = get(piece[i : i + 2])
             if rank is not None:
-                queue.push(rank, i)
-        while (found := queue.pop()) is not None:
-            rank, left = found
+                bucket = buckets.get(rank)
+                if bucket is None:
+                    buckets[rank] = [i]
+                    low[rank >> 8] |= bits_of[rank & 255]
+                    top |= bits_of[rank >> 8]
+                else:
+                    bucket.append(i)
+        while top:
+            word = (top & -top).bit_length() - 1
+            bits = low[word]
+            first = bits & -bits
+            rank = (word << 8) + first.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                left = heappop(bucket)
+            else:
+                (left,) = bucket
+                del buckets[rank]
+                bits ^= first
+                low[word] = bits
+                if not bits:
+                    top &= top - 1
             middle = end[left]
             # A dead position has end 0; a changed pair has another rank.
             if not middle or middle >= size:
@@ -116,51 +122,51 @@ class BytePairCodec:
                 continue
             end[left] = right
             end[middle] = 0
+            previous = before[left]
             if right < size:
                 before[right] = left
                 rank = get(piece[left : end[right]])
                 if rank is not None:
-                    queue.push(rank, left)
-            previous = before[left]
+                    bucket = buckets.get(rank)
+                    if bucket is None:
+                        buckets[rank] = [left]
+                        low[rank >> 8] |= bits_of[rank & 255]
+                        top |= bits_of[rank >> 8]
+                    else:
+                        heappush(bucket, left)
             if previous >= 0:
                 rank = get(piece[previous:right])
                 if rank is not None:
-                    queue.push(rank, previous)
-        out = []
-        at = 0
+                    bucket = buckets.get(rank)
+                    if bucket is None:
+                        buckets[rank] = [previous]
+                        low[rank >> 8] |= bits_of[rank & 255]
+                        top |= bits_of[rank >> 8]
+                    else:
+                        heappush(bucket, previous)
+        ranks, out, at = self.ranks, [], 0
         while at < size:
             out.append(ranks[piece[at : end[at]]])
             at = end[at]
         return out
 
-    def lookup(self, token: str) -> tuple[str, tuple[int, ...]]:
-        """The ids of a pre-token, as decimal text and as numbers."""
-        known = self.known.get(token)
-        if known is None:
-            raw = token.encode("utf-8")
-            ids = tuple(self.merge(raw))
-            known = (",".join(map(str, ids)), ids)
-            if len(raw) <= REMEMBERED_BYTES:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[token] = known
-        return known
+    def encode_text(self, text: str | None) -> str:
+        """The decimal ids of a text, joined by commas; empty for null or empty."""
+        return ",".join(map(self.known.__getitem__, self.split(text))) if text else ""
 
     def encode(self, text: str | None) -> list[int]:
-        """Ids of a text; none for null or empty."""
-        return list(chain.from_iterable([ids for _, ids in map(self.lookup, self.split(text))])) if text else []
-
-    def encode_texts(self, text: str | None) -> tuple[str, list[int]]:
-        """The ids joined by commas, and the ids."""
-        if not text:
-            return "", []
-        found = list(map(self.lookup, self.split(text)))
-        return ",".join([said for said, _ in found]), list(chain.from_iterable([ids for _, ids in found]))
+        """The ids of a text."""
+        said = self.encode_text(text)
+        return list(map(int, said.split(","))) if said else []
 
     def decode(self, ids) -> bytes:
         """The bytes of the ids; KeyError for an id that isn't in the vocabulary."""
         return b"".join(map(self.pieces.__getitem__, ids))
 
+    def decode_text(self, ids: list[str]) -> bytes:
+        """The bytes of decimal ids."""
+        return b"".join(map(self.said.__getitem__, ids))
+
 
 @cache
 def codec(name: str, pattern: str | None = None) -> BytePairCodec:
@@ -196,13 +202,14 @@ def encode_documents(
         for batch in batches:
             counts, hashes, decoded_hashes, all_ids, decoded = [], [], [], [], []
             for text in batch.column("text").to_pylist():
-                joined, ids = book.encode_texts(text)
-                back = book.decode(ids)
+                joined = book.encode_text(text)
+                ids = joined.split(",") if joined else []
+                back = book.decode_text(ids)
                 counts.append(len(ids))
                 hashes.append(hashlib.sha256(joined.encode("ascii")).hexdigest())
                 decoded_hashes.append(hashlib.sha256(back).hexdigest())
                 if with_ids:
-                    all_ids.append(ids)
+                    all_ids.append(list(map(int, ids)))
                     decoded.append(back)
             columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded_hashes, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
