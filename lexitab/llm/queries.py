@@ -19,7 +19,7 @@ RULES = [
 ]
 #: Domains of the labelled table, and the shares of all tokens that the mixture shall have.
 DOMAINS = ["good", "plain", "toxic"]
-WEIGHTS = {"good": 0.6, "plain": 0.395, "toxic": 0.005}
+WEIGHTS = {"good": 0.8, "plain": 0.15, "toxic": 0.05}
 
 
 def domain_of_labels():
