@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexitab.functions.text import digest, text_value
+from lexitab.operators import ordered
 
 
 def slots(df: DataFrame, id_column: str, text_columns: list[str]) -> DataFrame:
@@ -52,17 +53,15 @@ def top_frequencies(df: DataFrame, id_column: str, text_columns: list[str], n: i
 def dictionary(df: DataFrame, id_column: str, text_columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """(unique inputs, row links): inputs by the number of their first appearance, links with a null number for empty slots.
 
-    The numbers are those of an order by first row and slot; the sort is over distinct inputs only.
+    The numbers are those of an order by first row (a number) and slot; the sort is over distinct inputs only.
     """
     order = {c: i for i, c in enumerate([*text_columns, "joint"])}
     links = slots(df, id_column, text_columns)
     place = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])[F.col("slot")]
     first = links.where("input_key is not null").groupBy("input_key").agg(F.min(F.struct("row_id", place.alias("slot_no"))).alias("first"), F.max("chars").alias("chars"), F.count(F.lit(1)).alias("links"))
-    ranged = first.repartitionByRange("first").sortWithinPartitions("first").withColumn("part", F.spark_partition_id())
-    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    starts = sizes.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    numbered = ranged.withColumn("at", F.row_number().over(W.partitionBy("part").orderBy("first"))).join(starts, "part")
-    unique = numbered.select((F.col("start") + F.col("at") - 1).alias("input_no"), "input_key", "chars", "links")
+    first = first.withColumn("row", F.col("first.row_id"))
+    numbered = ordered.numbered(first, [], ordered.bucket_of("row", ordered.edges(first, "row")), [F.col("first")], "at")
+    unique = numbered.select((F.col("at") - 1).alias("input_no"), "input_key", "chars", "links")
     return unique, links.join(unique.select("input_key", "input_no"), "input_key", "left").select("row_id", "slot", "input_no")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexitab.functions.vectors import TIE_TOLERANCE, equal_width_bin
+from lexitab.operators.ordered import bucket_of, edges, running
 from lexitab.operators.ranks import correlation
 
 CLIP = 1e-15
@@ -15,9 +16,9 @@ CLIP = 1e-15
 def roc_auc(df: DataFrame, y: str, score: str, *keys: str) -> DataFrame:
     """keys, auc of y in {0, 1}; ties count half; null if a class is absent. Scores are summed up before they are ranked."""
     by_score = df.groupBy(*keys, F.col(score).alias("s")).agg(F.sum(F.col(y).cast("double")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    below = W.partitionBy(*keys).orderBy("s").rowsBetween(W.unboundedPreceding, -1)
     neg = F.col("n") - F.col("pos")
-    rows = by_score.withColumn("wins", F.col("pos") * (F.coalesce(F.sum(neg).over(below), F.lit(0.0)) + neg / 2))
+    rows = running(by_score, list(keys), bucket_of("s", edges(df, score)), [F.col("s")], {"below": neg}, before=True)
+    rows = rows.withColumn("wins", F.col("pos") * (F.col("below") + neg / 2))
     both = F.nullif(F.sum("pos") * F.sum(neg), F.lit(0.0))
     return rows.groupBy(*keys).agg((F.sum("wins") / both).alias("auc"))
 
@@ -25,10 +26,10 @@ def roc_auc(df: DataFrame, y: str, score: str, *keys: str) -> DataFrame:
 def average_precision(df: DataFrame, y: str, score: str, *keys: str) -> DataFrame:
     """keys, ap (steps at distinct thresholds) and pr_auc (trapezoids between them); null without positives."""
     by_score = df.groupBy(*keys, F.col(score).alias("s")).agg(F.sum(F.col(y).cast("double")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    from_top = W.partitionBy(*keys).orderBy(F.desc("s"))
-    rows = by_score.withColumn("tp", F.sum("pos").over(from_top)).withColumn("taken", F.sum("n").over(from_top))
+    rows = running(by_score, list(keys), bucket_of("s", edges(df, score)), [F.desc("s")], {"tp": F.col("pos"), "taken": F.col("n")}, descending=True)
     rows = rows.withColumn("precision", F.col("tp") / F.col("taken"))
-    rows = rows.withColumn("before", F.coalesce(F.lag("precision").over(from_top), F.lit(1.0)))
+    # The threshold before has this one's running sums less its own counts.
+    rows = rows.withColumn("before", F.coalesce((F.col("tp") - F.col("pos")) / F.nullif(F.col("taken") - F.col("n"), F.lit(0)), F.lit(1.0)))
     total = F.nullif(F.sum("pos"), F.lit(0.0))
     return rows.groupBy(*keys).agg((F.sum(F.col("pos") * F.col("precision")) / total).alias("ap"), (F.sum(F.col("pos") * (F.col("precision") + F.col("before")) / 2) / total).alias("pr_auc"))
 
@@ -109,11 +110,12 @@ def decisions(table: DataFrame, *keys: str) -> DataFrame:
 def best_threshold(df: DataFrame, y: str, score: str, *keys: str) -> DataFrame:
     """keys, threshold, f1: the score at or above which F1 is highest; ties go to the one nearest 0.5, then the larger."""
     by_score = df.groupBy(*keys, F.col(score).alias("threshold")).agg(F.sum(F.col(y).cast("double")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    from_top = W.partitionBy(*keys).orderBy(F.desc("threshold"))
-    rows = by_score.withColumn("tp", F.sum("pos").over(from_top)).withColumn("taken", F.sum("n").over(from_top)).withColumn("positives", F.sum("pos").over(W.partitionBy(*keys)))
+    rows = running(by_score, list(keys), bucket_of("threshold", edges(df, score)), [F.desc("threshold")], {"tp": F.col("pos"), "taken": F.col("n")}, descending=True)
+    positives = df.groupBy(*keys).agg(F.sum(F.col(y).cast("double")).alias("positives"))
+    rows = rows.join(positives, list(keys)) if keys else rows.crossJoin(F.broadcast(positives))  # one row
     rows = rows.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("tp"), F.col("taken") + F.col("positives")), F.lit(0.0)))
-    best = W.partitionBy(*keys).orderBy(F.desc("f1"), F.abs(F.col("threshold") - 0.5), F.desc("threshold"))
-    return rows.withColumn("place", F.row_number().over(best)).where("place = 1").select(*keys, "threshold", "f1")
+    best = F.max_by(F.struct("threshold", "f1"), F.struct("f1", -F.abs(F.col("threshold") - 0.5), "threshold")).alias("best")
+    return rows.groupBy(*keys).agg(best).select(*keys, "best.threshold", "best.f1")
 
 
 def regression_report(df: DataFrame, y: str, predicted: str, *keys: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexitab.operators.ordered import bucket_of, edges, hash_bucket, numbered, running
+
 
 def average_rank(value: str, *keys: str) -> Column:
     """Rank within the keys from 1; equal values share the mean of their places."""
@@ -33,11 +35,19 @@ def correlation(x: str, y: str) -> Column:
     return F.when(varies, top / below)
 
 
+def with_average_rank(df: DataFrame, value: str, name: str, *keys: str) -> DataFrame:
+    """Adds the average rank of value within the keys; ranks come from counts of equal values, bucket by bucket."""
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    below = running(counts, list(keys), bucket_of(value, edges(df, value)), [F.col(value)], {"__below": F.col("__n")}, before=True)
+    ranks = below.select(*keys, value, (F.col("__below") + (F.col("__n") + 1) / 2.0).alias(name))
+    return df.join(ranks, [*keys, value])
+
+
 def spearman(df: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
     """keys, n, rho: Pearson correlation of average ranks over the rows where both are known."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("x"), F.col(y).alias("y"))
-    ranked = rows.select(*keys, average_rank("x", *keys).alias("x"), average_rank("y", *keys).alias("y"))
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), correlation("x", "y").alias("rho"))
+    ranked = with_average_rank(with_average_rank(rows, "x", "rx", *keys), "y", "ry", *keys)
+    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), correlation("rx", "ry").alias("rho"))
 
 
 def kendall_tau_b(df: DataFrame, unit: str, x: str, y: str, *keys: str) -> DataFrame:
@@ -63,26 +73,28 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """The n rows with the smallest SHA-256 of seed and key; the same rows for any partitioning."""
-    token = F.sha2(F.concat(F.lit(f"[{seed},"), F.col(key).cast("string"), F.lit("]")), 256)
-    return df.withColumn("token", token).orderBy("token", key).limit(n).drop("token")
+    return df.withColumn("token", _token(key, seed)).orderBy("token", key).limit(n).drop("token")
+
+
+def _token(key: str, seed: int) -> Column:
+    return F.sha2(F.concat(F.lit(f"[{seed},"), F.col(key).cast("string"), F.lit("]")), 256)
 
 
 def hash_folds(df: DataFrame, key: str, strata: list[str], folds: int, seed: int) -> DataFrame:
     """A fold for each row, even within each stratum, by hash order."""
-    token = F.sha2(F.concat(F.lit(f"[{seed},"), F.col(key).cast("string"), F.lit("]")), 256)
-    place = F.row_number().over(W.partitionBy(*strata).orderBy(token, key))
-    return df.withColumn("fold", ((place - 1) % folds).cast("int"))
+    rows = numbered(df.withColumn("token", _token(key, seed)), strata, hash_bucket("token"), [F.col("token"), F.col(key)], "place")
+    return rows.withColumn("fold", ((F.col("place") - 1) % folds).cast("int")).drop("token", "place")
 
 
 def nested_order(df: DataFrame, key: str, stratum: str, seed: int) -> DataFrame:
     """Row numbers whose prefixes are nested samples: each stratum once first, then in proportion."""
-    token = F.sha2(F.concat(F.lit(f"[{seed},"), F.col(key).cast("string"), F.lit("]")), 256)
-    rows = df.withColumn("token", token)
-    rows = rows.withColumn("within", F.row_number().over(W.partitionBy(stratum).orderBy("token", key)))
-    share = (F.col("within") - 0.5) / F.count(F.lit(1)).over(W.partitionBy(stratum))
-    rows = rows.withColumn("share", F.round(share, 12))
-    place = F.row_number().over(W.orderBy(F.when(F.col("within") == 1, 0).otherwise(1), "share", "token", key))
-    return rows.withColumn("position", place).drop("token", "within", "share")
+    rows = numbered(df.withColumn("token", _token(key, seed)), [stratum], hash_bucket("token"), [F.col("token"), F.col(key)], "within")
+    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("size")).withColumnRenamed(stratum, "__stratum")
+    rows = rows.join(sizes, rows[stratum].eqNullSafe(sizes["__stratum"])).drop("__stratum")
+    rows = rows.withColumn("share", F.round((F.col("within") - 0.5) / F.col("size"), 12)).withColumn("later", F.when(F.col("within") == 1, 0).otherwise(1))
+    bucket = F.when(F.col("later") == 0, F.lit(-1)).otherwise(F.floor(F.col("share") * 1024))
+    placed = numbered(rows, [], bucket, [F.col(c) for c in ("later", "share", "token", key)], "position")
+    return placed.drop("token", "within", "share", "size", "later")
 
 
 def neighbour_weights(pairs: DataFrame, point: str, distance: str, k: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexitab.functions import vectors as V
 from lexitab.operators import metrics as M
-from lexitab.operators import ranks
+from lexitab.operators import ordered, ranks
 from lexitab.plans.fixtures import CLASSES, SCORES, classes, r6, rounded, scores
 from lexitab.plans.registry import register
 from lexitab.session import table
@@ -172,8 +172,8 @@ def benefit_overlap(spark, sf_dir):
     rows = rows.select("doc_id", benefit(91, 5).alias("x"), benefit(53, 7).alias("z"))
     n = rows.count()
     k = -(-n // 10)
-    tx = rows.orderBy(F.desc("x"), "doc_id").limit(k).select("doc_id", F.lit(1).alias("tx"))
-    tz = rows.orderBy(F.desc("z"), "doc_id").limit(k).select("doc_id", F.lit(1).alias("tz"))
-    both = rows.join(tx, "doc_id", "left").join(tz, "doc_id", "left")
+    one = {"place": F.lit(1).cast("long")}
+    top = lambda c: ordered.running(rows, [], ordered.bucket_of(c, ordered.edges(rows, c)), [F.desc(c), F.col("doc_id")], one, descending=True).where(F.col("place") <= k).select("doc_id", F.lit(1).alias(f"t{c}"))
+    both = rows.join(top("x"), "doc_id", "left").join(top("z"), "doc_id", "left")
     x, z = F.col("tx").isNotNull(), F.col("tz").isNotNull()
     return rounded(both.agg(F.count(F.lit(1)).alias("n"), F.count_if(x).alias("k"), (F.count_if(x & z) / F.nullif(F.count_if(x | z), F.lit(0))).alias("jaccard"), ranks.correlation("x", "z").alias("r")))
