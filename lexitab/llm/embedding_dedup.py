@@ -2,8 +2,9 @@
 
 Two unit vectors with cosine >= t are at most e = sqrt(2 - 2t) apart. If their nearest centroids differ, the plane halfway
 between those centroids lies between them, so one of the two is within e / 2 of it. Every vector therefore also visits the
-cells whose plane is that near, and no pair is lost, whatever centroids the sample gave. Cells larger than BLOCK rows are cut
-into blocks by a hash, and a task compares one pair of blocks; what it returns is one row for each vector, not for each pair.
+cells whose plane is that near, and no pair is lost, whatever centroids the sample gave. Home rows and visitors of a cell are cut
+into blocks of about BLOCK rows by a hash; a task compares a block of home rows with one of home rows or of visitors, in
+single precision first, in double precision where that comes near. It returns one row for each vector, not for each pair.
 """
 
 from __future__ import annotations
@@ -19,12 +20,19 @@ from lexitab.llm._support import cut, ship
 
 #: Vectors that the centroids are fitted on at most, about; every vector is assigned and compared.
 SAMPLE = 20_000
-CELL_ROWS = 2_000
-MAX_CELLS = 256
-BLOCK = 1_024
+#: Rows of the largest label for each cell, and cells at most.
+CELL_ROWS = 4_096
+MAX_CELLS = 1_024
+BLOCK = 2_048
 ITERATIONS = 8
-#: Slack of bounds and of the pairs that are computed once more, over rounding.
-SLACK = 1e-9
+#: Slack of bounds over rounding in double precision, and in single precision.
+SLACK, SINGLE_SLACK = 1e-9, 1e-4
+_PAIRS = 1 << 18
+
+
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """The rows times powers of two, so that squares neither overflow nor vanish; exact but for subnormal parts."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
 
 
 def spherical_kmeans(vectors: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
@@ -56,27 +64,30 @@ def visited(units: np.ndarray, centroids: np.ndarray, reach: float) -> tuple[np.
     return home, visits
 
 
-def linked(left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
-    """Which rows of left and right have cosine >= threshold, in double precision."""
+def linked(left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of left and right rows with cosine >= threshold, in double precision."""
     left_norms, right_norms = np.linalg.norm(left, axis=1), np.linalg.norm(right, axis=1)
-    cosines = (left / left_norms[:, None]) @ (right / right_norms[:, None]).T
-    out = cosines >= threshold
-    for i, j in zip(*np.nonzero(np.abs(cosines - threshold) < SLACK)):
-        out[i, j] = float(np.dot(left[i], right[j])) / (left_norms[i] * right_norms[j]) >= threshold
-    return out
-
-
-def local_roots(links: np.ndarray) -> np.ndarray:
-    """The first row of each row's component in a symmetric matrix of links."""
-    roots = np.arange(len(links))
-    while len(links):
-        best = np.where(links, roots[None, :], len(links)).min(axis=1)
-        new = np.minimum(roots, best)
+    near = (left / left_norms[:, None]).astype(np.float32) @ (right / right_norms[:, None]).astype(np.float32).T >= threshold - SINGLE_SLACK
+    i, j = np.nonzero(near)
+    keep = np.empty(len(i), bool)
+    for low in range(0, len(i), _PAIRS):
+        a, b = i[low : low + _PAIRS], j[low : low + _PAIRS]
+        keep[low : low + _PAIRS] = np.einsum("ij,ij->i", left[a], right[b]) / (left_norms[a] * right_norms[b]) >= threshold
+    return i[keep], j[keep]
+
+
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first of n rows in each row's component, by the links (a, b)."""
+    roots = np.arange(n)
+    while True:
+        low = np.minimum(roots[a], roots[b])
+        new = roots.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
         new = np.minimum(new, new[new])
         if (new == roots).all():
-            break
+            return roots
         roots = new
-    return roots
 
 
 def near_duplicate_vectors(
@@ -97,23 +108,26 @@ def near_duplicate_vectors(
     """
     spark = df.sparkSession
     ship(spark)
-    rows = df.select(F.col(id_column).alias("vec_id"), F.col(label_column).alias("label"), F.col(vector_column).cast("array<double>").alias("v"))
+    # Single precision stays as it is on the way; all arithmetic is in double precision.
+    kept_type = "array<float>" if df.schema[vector_column].dataType == T.ArrayType(T.FloatType()) else "array<double>"
+    rows = df.select(F.col(id_column).alias("vec_id"), F.col(label_column).alias("label"), F.col(vector_column).cast(kept_type).alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(finite & F.exists("v", lambda x: x != 0) & F.col("label").isNotNull(), F.lit(False))
     rows = rows.select("vec_id", "label", F.when(usable, F.col("v")).alias("v"))
     distinct = rows.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"))
     distinct = cut(distinct.withColumn("g", F.monotonically_increasing_id()).withColumn("dim", F.size("v")))
-    sizes = {r["dim"]: r["n"] for r in distinct.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()}
-    dim, total = next(iter(sizes.items()), (0, 0))
+    groups = distinct.groupBy("dim", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("dim").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+    common = groups.orderBy(F.desc("n"), "dim").limit(1).collect()
+    dim, total, most = common[0] if common else (0, 0, 0)
     centroids = np.zeros((0, dim))
     if total:  # other lengths than the commonest share one cell
         slots = 1 << 20
         share = min(slots, -(-SAMPLE * slots // total))
         sample = distinct.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("g"), F.lit(slots)) < share)).select("v").collect()
-        vectors = np.array([r["v"] for r in sample]) if sample else np.ones((1, dim))
-        vectors /= np.abs(vectors).max(axis=1, keepdims=True)
+        vectors = np.array([r["v"] for r in sample], float) if sample else np.ones((1, dim))
+        vectors = scaled(vectors)
         vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
-        centroids = spherical_kmeans(vectors, min(MAX_CELLS, max(1, total // CELL_ROWS)))
+        centroids = spherical_kmeans(vectors, min(MAX_CELLS, -(-most // CELL_ROWS)))
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
 
     def assign(batches):
@@ -122,8 +136,8 @@ def near_duplicate_vectors(
             homes, visits = np.zeros(len(dims), np.int32), [[] for _ in dims]
             own = np.flatnonzero(dims == dim)
             if len(own):
-                units = np.array(batch.column("v").take(pa.array(own)).flatten()).reshape(-1, dim)
-                units = units / np.abs(units).max(axis=1, keepdims=True)
+                units = np.array(batch.column("v").take(pa.array(own)).flatten(), float).reshape(-1, dim)
+                units = scaled(units)
                 units /= np.linalg.norm(units, axis=1, keepdims=True)
                 home, also = visited(units, centroids, reach)
                 homes[own] = home
@@ -134,38 +148,48 @@ def near_duplicate_vectors(
     columns = distinct.select("g", "n", "label", "dim", "v")
     schema = T.StructType([*columns.schema.fields, T.StructField("home", T.IntegerType()), T.StructField("visits", T.ArrayType(T.IntegerType()))])
     placed = cut(columns.mapInArrow(assign, schema))
-    members = placed.select("*", F.explode(F.concat(F.array("home"), "visits")).alias("cell"))
-    counts = placed.select("label", "dim", F.explode(F.concat(F.array("home"), "visits")).alias("cell")).groupBy("label", "dim", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    members = members.join(counts, ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    dealt = members.select("label", "dim", "cell", "g", "n", "v", "home", "visits", "block", F.explode(others).alias("pair")).select("*", "pair.i", "pair.j").drop("pair")
+    cells = F.transform(F.concat(F.array("home"), "visits"), lambda c, i: F.struct(c.alias("cell"), (i == 0).alias("lives")))
+    members = placed.select("*", F.explode(cells).alias("c")).select("*", "c.cell", "c.lives").drop("c")
+    place = ["label", "dim", "cell"]
+    blocks = lambda c: F.ceil(F.count_if(c) / F.lit(BLOCK)).cast("int")
+    counts = members.groupBy(*place).agg(blocks(F.col("lives")).alias("homes"), blocks(~F.col("lives")).alias("guests"))
+    members = members.join(counts, place).where("homes > 0")
+    block = F.pmod(F.xxhash64("g"), F.when(F.col("lives"), F.col("homes")).otherwise(F.col("guests"))).cast("int")
+    members = members.withColumn("block", block)
+    task = lambda i, j, visit, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(visit).alias("visit"), F.lit(side).alias("side"))
+    to = lambda n, make: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), make)).otherwise(F.array().cast("array<struct<i:int,j:int,visit:boolean,side:int>>"))
+    own = F.col("block")
+    first = F.filter(to(F.col("homes"), lambda o: task(own, o, False, 0)), lambda t: t["j"] >= t["i"])
+    second = F.filter(to(F.col("homes"), lambda o: task(o, own, False, 1)), lambda t: t["i"] < t["j"])
+    host = to(F.col("guests"), lambda o: task(own, o, True, 0))
+    guest = to(F.col("homes"), lambda o: task(o, own, True, 1))
+    tasks = F.when(F.col("lives"), F.concat(first, second, host)).otherwise(guest)
+    dealt = members.select(*place, "g", "n", "v", "home", "visits", F.explode(tasks).alias("t")).select("*", "t.*").drop("t")
 
     def compare(group: pa.Table) -> pa.Table:
-        cell, i, j = (group.column(c)[0].as_py() for c in ("cell", "i", "j"))
-        order = np.argsort(np.array(group.column("g")))
-        group = group.take(pa.array(order))
-        g, n = np.array(group.column("g")), np.array(group.column("n"))
-        home, block = np.array(group.column("home")), np.array(group.column("block"))
-        v = np.array(group.column("v").combine_chunks().flatten()).reshape(len(g), -1)
-        v = v / np.abs(v).max(axis=1, keepdims=True)
-        at_home = home == cell
-        links = linked(v, v, threshold)
-        np.fill_diagonal(links, False)
-        links &= at_home[:, None] | at_home[None, :]
-        if i != j:
-            links &= block[:, None] != block[None, :]
-        # A pair whose vectors visit each other's cell counts in the lower cell.
-        calls = np.zeros((len(g), max(int(home.max()), cell) + 1), bool)
-        for row, cells in enumerate(group.column("visits").to_pylist()):
-            calls[row, [c for c in cells if c < calls.shape[1]]] = True
-        twice = calls[:, home] & at_home[:, None] & (~at_home & (home < cell))[None, :]
-        links &= ~(twice | twice.T)
-        some = np.flatnonzero(links.any(axis=1))
-        part = links[np.ix_(some, some)]
-        roots = local_roots(part)
-        return pa.table({"g": g[some], "root": g[some][roots], "links": part.astype(np.int64) @ n[some]})
-
-    found = cut(dealt.groupBy("label", "dim", "cell", "i", "j").applyInArrow(compare, "g long, root long, links long"))
+        cell, i, j, visit = (group.column(c)[0].as_py() for c in ("cell", "i", "j", "visit"))
+        g, n, home = (np.array(group.column(c)) for c in ("g", "n", "home"))
+        v = scaled(np.array(group.column("v").combine_chunks().flatten(), float).reshape(len(g), -1))
+        side = np.array(group.column("side"))
+        left = np.flatnonzero(side == 0)
+        right = left if i == j and not visit else np.flatnonzero(side == 1)
+        a, b = linked(v[left], v[right], threshold)
+        a, b = left[a], right[b]
+        if right is left:
+            a, b = a[a < b], b[a < b]
+        if visit and len(a):
+            # A pair whose vectors visit each other's cell counts in the lower cell.
+            shared = home[b] < cell
+            calls = {row: set(group.column("visits")[row].as_py()) for row in np.unique(a[shared]).tolist()}
+            twice = np.array([s and h in calls[row] for row, h, s in zip(a.tolist(), home[b].tolist(), shared.tolist())], bool)
+            a, b = a[~twice], b[~twice]
+        links = np.zeros(len(g), np.int64)
+        np.add.at(links, a, n[b])
+        np.add.at(links, b, n[a])
+        some = np.flatnonzero(links)
+        return pa.table({"g": g[some], "root": g[local_roots(len(g), a, b)[some]], "links": links[some]})
+
+    found = cut(dealt.groupBy(*place, "i", "j", "visit").applyInArrow(compare, "g long, root long, links long"))
     components = connected_components(found.select(F.col("g").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("g").agg(F.sum("links").alias("links"))
     own = distinct.select("g", "label", "v", "first", "n").join(components.withColumnRenamed("node", "g"), "g", "left").join(links, "g", "left")
