@@ -115,3 +115,48 @@ def bounded_projection(p: Column | str, half_step: float, rounds: int = 60) -> C
         return F.struct(F.when(total(moved(middle)) < 1, middle).otherwise(s["lo"]).alias("lo"), F.when(total(moved(middle)) < 1, s["hi"]).otherwise(middle).alias("hi"))
 
     return moved(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2))
+
+
+def realigned(p: Column | str, order: Column | str) -> Column:
+    """The vector in the original order, where order names for each shown place the original place (from 0)."""
+    p, order = _col(p), _col(order)
+    return F.transform(p, lambda _, i: F.element_at(p, F.array_position(order, i.cast("long")).cast("int")))
+
+
+def mean_vector(*vectors: Column | str) -> Column:
+    """Element-wise mean of vectors of one length; null if one is null."""
+    out = _col(vectors[0])
+    for v in vectors[1:]:
+        out = F.zip_with(out, _col(v), lambda a, b: a + b)
+    return F.transform(out, lambda x: x / len(vectors))
+
+
+def ordinal_target(level: Column | str, size: int, smoothing: float) -> Column:
+    """1 - smoothing on the level (from 0), the rest shared by its neighbours."""
+    level = _col(level)
+    neighbours = F.when((level == 0) | (level == size - 1), 1).otherwise(2)
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.when(k == level, 1 - smoothing).when(F.abs(k - level) == 1, smoothing / neighbours).otherwise(0.0))
+
+
+def within_rounding(x: Column | str, decimals: int) -> Column:
+    """Whether a number has at most so many decimals, up to 1e-8 of the last."""
+    scaled = _col(x) * 10**decimals
+    return F.abs(scaled - F.round(scaled)) <= 1e-8
+
+
+def score_range(p: Column | str, half_step: float, lowest: int = -4) -> Column:
+    """Struct low, high: the least and largest expected level of vectors within half_step of p that sum to 1.
+
+    Greedy: all elements start at their lower bounds, and the missing mass goes to the lowest (highest) levels first.
+    """
+    p = _col(p)
+    bounds = F.transform(p, lambda x, i: F.struct(F.greatest(x - half_step, F.lit(0.0)).alias("lo"), F.least(x + half_step, F.lit(1.0)).alias("hi"), (i + lowest).cast("double").alias("level")))
+    base = F.aggregate(bounds, F.lit(0.0), lambda s, b: s + b["lo"] * b["level"])
+    missing = 1 - F.aggregate(bounds, F.lit(0.0), lambda s, b: s + b["lo"])
+
+    def fill(ordered):
+        start = F.struct(missing.alias("left"), F.lit(0.0).alias("sum"))
+        give = lambda s, b: F.greatest(F.lit(0.0), F.least(s["left"], b["hi"] - b["lo"]))
+        return F.aggregate(ordered, start, lambda s, b: F.struct((s["left"] - give(s, b)).alias("left"), (s["sum"] + give(s, b) * b["level"]).alias("sum")), lambda s: base + s["sum"])
+
+    return F.struct(fill(bounds).alias("low"), fill(F.reverse(bounds)).alias("high"))
