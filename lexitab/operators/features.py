@@ -89,5 +89,6 @@ def training_bins(train: DataFrame, query: DataFrame, column: str, quantiles: li
 
 def contiguous_shard(position: Column, rows: int, shards: int) -> Column:
     """The shard of a position when shard i has [rows * i // shards, rows * (i + 1) // shards)."""
-    guess = F.floor(position * shards / rows)
-    return F.when(F.floor(F.lit(rows) * (guess + 1) / shards) <= position, guess + 1).otherwise(guess).cast("int")
+    # The largest i with rows * i / shards below position + 1.
+    scaled = (position.cast("long") + 1) * shards
+    return ((scaled - 1 - F.pmod(scaled - 1, F.lit(rows).cast("long"))) / rows).cast("int")

@@ -19,8 +19,10 @@ def cosine_distance(a: Column, b: Column) -> Column:
 def query_distances(queries: DataFrame, rows: DataFrame, id_column: str, vector: str, *keys: str) -> DataFrame:
     """(keys, query, other, distance) of each query vector and each other row under equal keys.
 
-    The query set is a stated small one; the join is on the keys.
+    The query set is a stated small one; the join is on the keys, of which there must be one.
     """
+    if not keys:
+        raise ValueError("distances are taken under equal keys")
     left = queries.select(*keys, F.col(id_column).alias("query"), F.col(vector).alias("q"))
     right = rows.select(*keys, F.col(id_column).alias("other"), F.col(vector).alias("v"))
     return left.join(right, list(keys)).where("query <> other").select(*keys, "query", "other", cosine_distance(F.col("q"), F.col("v")).alias("distance"))

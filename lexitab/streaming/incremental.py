@@ -59,11 +59,16 @@ def keyset_pages(df: DataFrame, key: str, size: int, consume: Callable[[DataFram
 def event_windows(events: DataFrame, size: str, slide: str | None = None, lateness: str = "1 hour") -> DataFrame:
     """Counts and sums by event type and window of event time; late rows beyond the watermark are left out of streams."""
     window = F.window("ts", size, slide) if slide else F.window("ts", size)
-    out = events.withWatermark("ts", lateness).groupBy(window.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    return out.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    out = _timed(events).withWatermark("ts", lateness).groupBy(window.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+
+
+def _timed(events: DataFrame) -> DataFrame:
+    """ts with the session's time zone (UTC), as watermarks want it."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def event_sessions(events: DataFrame, gap: str, lateness: str = "1 hour") -> DataFrame:
     """Sessions of each user: stretches of events with less than gap between them."""
-    out = events.withWatermark("ts", lateness).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
-    return out.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    out = _timed(events).withWatermark("ts", lateness).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return out.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), "n")

@@ -186,7 +186,7 @@ def test_balanced_mean(spark):
 
 def test_geometry_and_axes(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (3, None)], "i long, v array<double>")
-    pairs = geometry.query_distances(df.where("v is not null"), df.where("v is not null").withColumn("g", F.lit(1)).drop("g"), "i", "v")
+    pairs = geometry.query_distances(*[df.where("v is not null").withColumn("g", F.lit(1))] * 2, "i", "v", "g")
     found = {(r["query"], r["other"]): r["distance"] for r in pairs.collect()}
     assert found[0, 1] == pytest.approx(1) and found[0, 2] == pytest.approx(1 - 2**-0.5)
     mean, axes, share = linear.principal_axes(df, "v", 5)
