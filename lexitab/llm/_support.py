@@ -6,13 +6,15 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch sent to Python; whole texts can be long, so rows alone don't bound memory.
-BATCH_BYTES = "16m"
+BATCH_BYTES = "4m"
 
 
 def ship(spark: SparkSession) -> None:
@@ -74,3 +76,30 @@ def utf8_parts(column: pa.Array | pa.ChunkedArray):
     chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
     for chunk in chunks:
         yield from chunk.cast(pa.large_binary()).to_pylist()
+
+
+#: The operator whose tables this worker holds, and what frees them. Workers are reused from stage to stage.
+_holding: list[tuple[str, Callable[[], None]]] = []
+
+
+def hold(owner: str, release: Callable[[], None] = lambda: None) -> None:
+    """Called where a worker starts on an operator's rows: frees what another operator has left in the worker."""
+    if _holding and _holding[0][0] == owner:
+        return
+    if _holding:
+        _holding.pop()[1]()
+        pa.default_memory_pool().release_unused()
+    _holding.append((owner, release))
+
+
+def arrow_column(owner: str, function: Callable, kind: str, release: Callable[[], None] = lambda: None):
+    """A function of Arrow arrays as a column function that is evaluated once, however often its result is used.
+
+    Marked as not deterministic, as the optimiser otherwise copies it into filters that it infers from joins.
+    """
+
+    def run(column: pa.Array) -> pa.Array:
+        hold(owner, release)
+        return function(column)
+
+    return F.arrow_udf(run, kind).asNondeterministic()

@@ -13,35 +13,44 @@ import hashlib
 from functools import cache
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexitab.llm._support import ship
+from lexitab.llm._support import hold, ship
 
 #: Pre-tokens whose ids a worker remembers, in each of two generations; the older one goes when the newer is full.
-REMEMBERED = 500_000
+REMEMBERED = 350_000
 #: Longer pre-tokens are encoded each time.
 REMEMBERED_BYTES = 64
+_SEEN = 1 << 22
 #: Single bits, for the bitmap's words of 256 bits and its top level (up to 2**18 ranks).
 _BITS = [1 << i for i in range(1024)]
 
 
 class Remembered(dict):
-    """Decimal ids of pre-tokens, joined by commas; a missing one is encoded and kept if it is short."""
+    """Decimal ids of pre-tokens, joined by commas; one that is missing is encoded.
+
+    Once a generation has been full, a pre-token is kept when it comes for the second time: a table of bytes by hash says what
+    has been seen, as most pre-tokens of a corpus come once. A full generation becomes the older one, whose entries return by use.
+    """
 
     def __init__(self, merge):
         super().__init__()
         self.merge = merge
         self.older: dict[str, str] = {}
+        self.seen = bytearray(_SEEN)
 
     def __missing__(self, token: str) -> str:
         ids = self.older.get(token)
         if ids is None:
             raw = token.encode("utf-8")
             ids = ",".join(map(str, self.merge(raw)))
-            if len(raw) > REMEMBERED_BYTES:
+            place = hash(token) & (_SEEN - 1)
+            known, self.seen[place] = self.seen[place], 1
+            if len(raw) > REMEMBERED_BYTES or self.older and not known:
                 return ids
         if len(self) >= REMEMBERED:
             self.older = dict(self)
@@ -198,6 +207,7 @@ def encode_documents(
     kind = picked.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        hold("bpe", codec.cache_clear)
         book = codec(vocabulary)
         for batch in batches:
             counts, hashes, decoded_hashes, all_ids, decoded = [], [], [], [], []
@@ -209,12 +219,13 @@ def encode_documents(
                 hashes.append(hashlib.sha256(joined.encode("ascii")).hexdigest())
                 decoded_hashes.append(hashlib.sha256(back).hexdigest())
                 if with_ids:
-                    all_ids.append(list(map(int, ids)))
+                    all_ids.append(np.array(ids, np.int32))
                     decoded.append(back)
             columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded_hashes, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())]
+                places = pa.array(np.cumsum([0, *counts]), pa.int32())
+                columns += [pa.ListArray.from_arrays(places, pa.array(np.concatenate([np.zeros(0, np.int32), *all_ids]))), pa.array(decoded, pa.binary())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -227,6 +238,7 @@ def decode_documents(df: DataFrame, *, vocabulary: str, id_column: str = "doc_id
     picked = df.select(F.col(id_column).alias("doc_id"), F.col(ids_column).alias("ids"))
 
     def run(batches):
+        hold("bpe", codec.cache_clear)
         book = codec(vocabulary)
         for batch in batches:
             texts = [book.decode(ids or ()).decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexitab.llm._graph import connected_components
-from lexitab.llm._support import cut, ship
+from lexitab.llm._support import cut, hold, ship
 
 #: Vectors that the centroids are fitted on at most, about; every vector is assigned and compared.
 SAMPLE = 20_000
@@ -131,6 +131,7 @@ def near_duplicate_vectors(
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
 
     def assign(batches):
+        hold("embedding")
         for batch in batches:
             dims = np.array(batch.column("dim"))
             homes, visits = np.zeros(len(dims), np.int32), [[] for _ in dims]
@@ -167,6 +168,7 @@ def near_duplicate_vectors(
     dealt = members.select(*place, "g", "n", "v", "home", "visits", F.explode(tasks).alias("t")).select("*", "t.*").drop("t")
 
     def compare(group: pa.Table) -> pa.Table:
+        hold("embedding")
         cell, i, j, visit = (group.column(c)[0].as_py() for c in ("cell", "i", "j", "visit"))
         g, n, home = (np.array(group.column(c)) for c in ("g", "n", "home"))
         v = scaled(np.array(group.column("v").combine_chunks().flatten(), float).reshape(len(g), -1))

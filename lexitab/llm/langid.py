@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexitab.llm._support import ship
+from lexitab.llm._support import hold, ship
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -276,6 +276,7 @@ def train(
     picked = rows.where(slot < limit[F.col("lang")]).withColumn("calibrates", F.pmod(F.xxhash64("key", F.lit("calibrate")), F.lit(5)) == 0)
 
     def alphabets(batches):
+        hold("langid", _letters.clear)
         seen: dict[int, int] = {}
         for batch in batches:
             points, counts = np.unique(symbol_runs(batch.column("text").to_pylist())[0], return_counts=True)
@@ -288,6 +289,7 @@ def train(
     encode = LanguageModels([], alphabet).ids
 
     def count(batches):
+        hold("langid", _letters.clear)
         for batch in batches:
             by: dict[str, list[str]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
@@ -310,6 +312,7 @@ def train(
     shared = spark.sparkContext.broadcast(model)
 
     def measure(batches):
+        hold("langid", _letters.clear)
         for batch in batches:
             entropy, counts = shared.value.entropies(batch.column("text").to_pylist())
             some = np.flatnonzero(counts)
@@ -362,6 +365,7 @@ def identify(df: DataFrame, model: LanguageModels, *, text_column: str = "text",
         schema = schema.add(name, kind)
 
     def run(batches):
+        hold("langid", _letters.clear)
         for batch in batches:
             predicted, score, entropy, rejected = shared.value.judge(batch.column(position).to_pylist())
             columns = [c for i, c in enumerate(batch.columns) if not (drop_text and i == position)]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexitab.llm._support import ship, utf8_parts
+from lexitab.llm._support import arrow_column, ship, utf8_parts
 
 #: Fixed values of the contract.
 BASE_PHRASES = {
@@ -184,5 +184,5 @@ def scan_documents(df: DataFrame, *, id_column: str = "doc_id", text_column: str
     """
     ship(df.sparkSession)
     kind = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>, permitted boolean"
-    scanned = F.arrow_udf(lambda texts: pa.array([scan(raw) for raw in utf8_parts(texts)], _RESULT), kind)
+    scanned = arrow_column("license", lambda texts: pa.array([scan(raw) for raw in utf8_parts(texts)], _RESULT), kind)
     return df.select(F.col(id_column).alias("doc_id"), scanned(F.col(text_column)).alias("s")).select("doc_id", "s.*")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexitab.llm._support import ship, utf8_parts
+from lexitab.llm._support import arrow_column, ship, utf8_parts
 
 #: Bytes of a row of blocks, and rows of a frame at most.
 ROW, ROWS = 64, 64
@@ -261,14 +261,14 @@ def describe_documents(df: DataFrame, *, id_column: str = "doc_id", text_column:
     """
     ship(df.sparkSession)
     kind = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    described = F.arrow_udf(lambda texts: pa.array([_described(raw) for raw in utf8_parts(texts)], _RESULT), kind)
+    described = arrow_column("media", lambda texts: pa.array([_described(raw) for raw in utf8_parts(texts)], _RESULT), kind)
     return df.select(F.col(id_column).alias("doc_id"), described(F.col(text_column)).alias("s")).select("doc_id", "s.*")
 
 
 def store_documents(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, media): the AVI file of each text."""
     ship(df.sparkSession)
-    stored = F.arrow_udf(lambda texts: pa.array([write_avi(payload_of(raw)) for raw in utf8_parts(texts)], pa.binary()), "binary")
+    stored = arrow_column("media", lambda texts: pa.array([write_avi(payload_of(raw)) for raw in utf8_parts(texts)], pa.binary()), "binary")
     return df.select(F.col(id_column).alias("doc_id"), stored(F.col(text_column)).alias("media"))
 
 
@@ -292,5 +292,5 @@ def clips(df: DataFrame, *, id_column: str = "doc_id", media_column: str = "medi
             out.append([{"clip": i, "first_frame": a, "frames": b - a, "start_s": a / rate, "end_s": b / rate} for i, (a, b) in enumerate(zip(starts, ends))])
         return pa.array(out, pa.list_(pa.struct([("clip", pa.int32()), ("first_frame", pa.int32()), ("frames", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64())])))
 
-    found = F.arrow_udf(cut_into, "array<struct<clip:int,first_frame:int,frames:int,start_s:double,end_s:double>>")(F.col(media_column))
+    found = arrow_column("media", cut_into, "array<struct<clip:int,first_frame:int,frames:int,start_s:double,end_s:double>>")(F.col(media_column))
     return df.select(F.col(id_column).alias("doc_id"), F.explode(found).alias("c")).select("doc_id", "c.*")

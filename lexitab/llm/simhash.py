@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexitab.llm._graph import connected_components
-from lexitab.llm._support import cut, cut_columnar, fresh, ship, utf8_parts
+from lexitab.llm._support import arrow_column, cut, cut_columnar, fresh, ship, utf8_parts
 
 SEED = 42
 DISTANCE = 2
@@ -49,7 +49,7 @@ def fingerprints(texts: pa.Array) -> pa.Array:
 
 def fingerprint_of(text: Column) -> Column:
     """The fingerprint of a text column as a long."""
-    return F.arrow_udf(fingerprints, "long")(text)
+    return arrow_column("simhash", fingerprints, "long")(text)
 
 
 def bit_counts(fp: Column) -> Column:

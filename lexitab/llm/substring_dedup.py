@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexitab.llm._support import cut_columnar, fresh, ship, utf8_parts
+from lexitab.llm._support import arrow_column, cut_columnar, fresh, hold, ship, utf8_parts
 
 REACH = 4
 #: A chunk ends after so many words where nothing else ends it, as in one word repeated.
@@ -123,6 +123,7 @@ def remove_repeats(
     keyed = df.select(doc.cast("long").alias("doc"), F.xxhash64(doc, text).alias("key"), text.alias("text"))
 
     def split(batches):
+        hold("substring")
         for batch in batches:
             docs, keys = batch.column("doc").to_pylist(), batch.column("key").to_pylist()
             for doc_id, key, raw in zip(docs, keys, utf8_parts(batch.column("text"))):
@@ -135,7 +136,7 @@ def remove_repeats(
     pieces = cut_columnar(keyed.mapInArrow(_gathered(split), "digest long, rank long, key long, span long"))
     shared = pieces.groupBy("digest").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last")
     repeats = pieces.join(shared.select("digest", "first"), "digest").where("first < rank").select("rank", "key", "span")
-    find = F.arrow_udf(lambda spans: pa.array([[{"start": a, "end": b, "words": w} for a, b, w in runs(s, min_words)] for s in spans.to_pylist()], _RUNS), "array<struct<start:int,end:int,words:int>>")
+    find = arrow_column("substring", lambda spans: pa.array([[{"start": a, "end": b, "words": w} for a, b, w in runs(s, min_words)] for s in spans.to_pylist()], _RUNS), "array<struct<start:int,end:int,words:int>>")
     cuts = repeats.groupBy("rank", "key").agg(F.collect_list("span").alias("spans")).select("key", find("spans").alias("cuts")).where("size(cuts) > 0")
     key, found = fresh(df, "key", "cuts")
     cuts = cuts.select(F.col("key").alias(key), F.col("cuts").alias(found)).dropDuplicates([key])
