@@ -2,8 +2,8 @@
 
 A softmax regression on hashed words, fitted on a bounded sample of the labelled table, gives every document a posterior over
 domains. Rates r >= 0 minimise (S - T)' B (S - T), with S = sum of r * tokens * posterior, T the targets and
-B the inverse of M = sum of tokens * posterior * posterior'. In the metric of the tokens the step 1 is the inverse Lipschitz
-constant, and a projected-gradient step is r <- max(0, z - posterior . B (S(z) - T)), where z runs ahead of r by Nesterov's momentum. Each round
+B the inverse of M = sum of tokens * posterior * posterior'. In the metric of the tokens a step of length 1 or more is right, and a
+projected-gradient step is r <- max(0, z - length * posterior . B (S(z) - T)), where z runs ahead of r by Nesterov's momentum. Each round
 is one distributed sum of as many numbers as there are domains (S(z) follows from S(r), being linear), and a document's
 rate follows from the rounds' vectors alone, so no state is kept between rounds.
 """
@@ -18,14 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexitab.llm._support import cut_columnar, fresh, ship, utf8_parts
+from lexitab.llm._support import arrow_column, cut_columnar, fresh, hold, ship, utf8_parts
 
 #: Hashed word features.
 FEATURES = 4096
 #: Labelled documents that the classifier is fitted on at most, about.
 TRAIN_LIMIT = 4_000
-ROUNDS = 60
-TOLERANCE = 1e-6
+#: Rounds at most; it ends before when the targets are met within TOLERANCE, or when SETTLED rounds gain less than a share.
+ROUNDS, TOLERANCE = 200, 1e-6
+SETTLED, SETTLED_SHARE = 10, 1e-3
 _WORD_MEMO = 300_000
 _TO_WORDS = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
 
@@ -114,6 +115,7 @@ def train_domains(df: DataFrame, labels: DataFrame, domain: Column, domains: lis
     texts = df.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "domain", "text")
 
     def read(batches):
+        hold("mixing", _feature_of.clear)
         for batch in batches:
             rows = [features(raw)[:2] for raw in utf8_parts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("domain"), pa.array([f.tolist() for f, _ in rows], pa.list_(pa.int64())), pa.array([v.tolist() for _, v in rows], pa.list_(pa.float64()))], ["doc_id", "domain", "found", "counts"])
@@ -135,7 +137,7 @@ def posteriors(df: DataFrame, model: DomainModel, *, id_column: str = "doc_id",
         rows = [{"n_tokens": n, "posterior": shared.value.posterior(f, v).tolist()} for f, v, n in found]
         return pa.array(rows, pa.struct([("n_tokens", pa.int64()), ("posterior", pa.list_(pa.float64()))]))
 
-    scored = df.select(doc.alias("doc_id"), F.xxhash64(doc, text).alias("key"), F.arrow_udf(score, "n_tokens long, posterior array<double>")(text).alias("s"))
+    scored = df.select(doc.alias("doc_id"), F.xxhash64(doc, text).alias("key"), arrow_column("mixing", score, "n_tokens long, posterior array<double>", _feature_of.clear)(text).alias("s"))
     return scored.select("doc_id", "key", "s.n_tokens", "s.posterior")
 
 
@@ -160,14 +162,14 @@ class MixFit:
                 ahead = rate + momentum * (rate - last)
             return pa.array(np.round(rate, 9))
 
-        return F.arrow_udf(follow, "double")(posterior)
+        return arrow_column("mixing", follow, "double", _feature_of.clear)(posterior)
 
 
-def fit_rates(scored: DataFrame, domains: list[str], weights: dict[str, float], *, budget: float | None = None, grow: bool = False) -> MixFit:
+def fit_rates(scored: DataFrame, domains: list[str], weights: dict[str, float], *, budget: float | None = None, keep: list[str] | None = None) -> MixFit:
     """Rates for a table with n_tokens and posterior.
 
-    The targets are weights (scaled to sum to 1) times budget: by default all tokens, with grow the least total in which no
-    domain with a weight has to shrink. Unreachable targets are met as nearly as rates >= 0 allow.
+    The targets are weights (scaled to sum to 1) times budget: by default all tokens, with keep the least total in which none of
+    those domains has to shrink. Unreachable targets are met as nearly as rates >= 0 allow.
     """
     k = len(domains)
     share = np.array([float(weights.get(d, 0.0)) for d in domains])
@@ -182,25 +184,39 @@ def fit_rates(scored: DataFrame, domains: list[str], weights: dict[str, float],
     if not total:
         return MixFit(domains, np.zeros(k), now, [])
     if budget is None:
-        budget = max(now[i] / share[i] for i in range(k) if share[i]) if grow else total
+        kept = [i for i, d in enumerate(domains) if keep and d in keep and share[i]]
+        budget = max((now[i] / share[i] for i in kept), default=total)
     targets = share * budget
     m = np.array([[sums[f"m{i}_{j}"] for j in range(k)] for i in range(k)])
     inverse = np.linalg.inv(m + np.eye(k) * 1e-9 * np.trace(m))
+    root = np.linalg.cholesky(inverse)
+    loss_of = lambda s: float((s - targets) @ inverse @ (s - targets))
     fit = MixFit(domains, targets, now, [])
-    ahead, age, best = now, 1.0, np.inf
+    ahead, age, active, longest, losses = now, 1.0, m, np.inf, [loss_of(now)]
     for _ in range(ROUNDS):
-        older, gap = age, fit.reached - targets
-        left = float(gap @ inverse @ gap)
-        if np.abs(gap).sum() <= TOLERANCE * budget or best * (1 - 1e-9) < left <= best:
+        if np.abs(fit.reached - targets).sum() <= TOLERANCE * budget:
+            break
+        # Only documents with a rate answer to a step, so its length may be the inverse Lipschitz constant of those.
+        length = max(1.0, min(longest, 1 / max(1e-12, np.linalg.eigvalsh(root.T @ active @ root)[-1])))
+        grown = (1 + np.sqrt(1 + 4 * age * age)) / 2
+        momentum = float((age - 1) / grown)
+        tried = MixFit(domains, targets, now, [*fit.steps, ((length * inverse @ (ahead - targets)).tolist(), momentum)])
+        rates = scored.select(tried.rate(F.col("posterior")).alias("r"), tokens.alias("t"), "posterior")
+        mass = F.when(F.col("r") > 0, F.col("t")).otherwise(0.0)
+        row = rates.agg(*[F.sum(F.col("r") * F.col("t") * p[i]).alias(f"s{i}") for i in range(k)], *[F.sum(mass * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(k)]).first()
+        reached = np.array([row[f"s{i}"] for i in range(k)])
+        loss = loss_of(reached)
+        if loss > losses[-1]:  # too far: the last rates stay, the momentum starts anew
+            if age == 1 and length <= 1:
+                break
+            ahead, age, longest = fit.reached, 1.0, max(1.0, length / 2)
+            fit.steps = [*fit.steps[:-1], (fit.steps[-1][0], 0.0)] if fit.steps else []
+            continue
+        fit.steps, ahead, fit.reached = tried.steps, reached + momentum * (reached - fit.reached), reached
+        age, longest, active = grown, longest * 1.2, np.array([[row[f"m{i}_{j}"] for j in range(k)] for i in range(k)])
+        losses.append(loss)
+        if len(losses) > SETTLED and losses[-1 - SETTLED] - loss <= SETTLED_SHARE * loss:
             break
-        age = 1.0 if left > best else (1 + np.sqrt(1 + 4 * older * older)) / 2  # the momentum starts anew when it overshoots
-        best = left
-        momentum = max(0.0, (older - 1) / age) if age > 1 else 0.0
-        fit.steps.append(((inverse @ (ahead - targets)).tolist(), momentum))
-        rate = scored.select((fit.rate(F.col("posterior")) * tokens).alias("w"), "posterior")
-        row = rate.agg(*[F.sum(F.col("w") * p[i]).alias(f"s{i}") for i in range(k)]).first()
-        last, fit.reached = fit.reached, np.array([row[f"s{i}"] for i in range(k)])
-        ahead = fit.reached + momentum * (fit.reached - last)
     return fit
 
 
@@ -210,14 +226,14 @@ def copies(rate: Column, key: Column) -> Column:
     return F.floor(rate + unit).cast("int")
 
 
-def mix(df: DataFrame, model: DomainModel, weights: dict[str, float], *, id_column: str = "doc_id", text_column: str = "text", budget: float | None = None, grow: bool = False) -> tuple[DataFrame, MixFit]:
+def mix(df: DataFrame, model: DomainModel, weights: dict[str, float], *, id_column: str = "doc_id", text_column: str = "text", budget: float | None = None, keep: list[str] | None = None) -> tuple[DataFrame, MixFit]:
     """A row for each input row (doc_id, key, n_tokens, a p_<domain> column for each domain, rate, copies), and the fit.
 
     Null and empty texts have no tokens; their rate is that of the prior. Repeated rows get the same rate. Null ids are
     passed on. Other columns are ignored; an empty table gives an empty one.
     """
     scored = cut_columnar(posteriors(df, model, id_column=id_column, text_column=text_column))
-    fit = fit_rates(scored, model.domains, weights, budget=budget, grow=grow)
+    fit = fit_rates(scored, model.domains, weights, budget=budget, keep=keep)
     rated = scored.withColumn("rate", fit.rate(F.col("posterior")))
     parts = [F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)]
     return rated.select("doc_id", "key", "n_tokens", *parts, "rate", copies(F.col("rate"), F.col("key")).alias("copies")), fit

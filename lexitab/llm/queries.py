@@ -71,7 +71,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, from models that never saw the held-out fifth."""
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     documents = _read(spark, sf_dir, "documents")
     model = langid.train(documents.where(~held_out))
     found = langid.identify(documents.select("doc_id", held_out.alias("held_out"), "text"), model)
