@@ -28,25 +28,26 @@ def bucket_of(column: str, at: list[float]) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, at)), lambda e: e <= F.col(column).cast("double")))
 
 
-def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], sums: dict[str, Column], *, descending: bool = False, before: bool = False) -> DataFrame:
-    """Adds a running sum of each column of sums within the keys, up to a row or (with before) up to the one before it.
+def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], sums: dict[str, Column], *, descending: bool = False, before: bool = False, how: str = "sum") -> DataFrame:
+    """Adds a running sum (or min or max) of each column of sums within the keys, up to a row or (with before) up to the one before it.
 
     bucket must grow with the order (fall, with descending), and order must be total within a bucket up to rows that may change places.
     """
+    fold, join = {"sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))), "min": (F.min, F.least), "max": (F.max, F.greatest)}[how]
     rows = df.withColumn("__bucket", F.coalesce(bucket.cast("long"), F.lit(0)))
     for name, value in sums.items():
         rows = rows.withColumn(f"__{name}", value)
-    totals = rows.groupBy(*keys, "__bucket").agg(*[F.sum(f"__{name}").alias(f"__{name}_t") for name in sums])
+    totals = rows.groupBy(*keys, "__bucket").agg(*[fold(f"__{name}").alias(f"__{name}_t") for name in sums])
     by = F.desc("__bucket") if descending else F.asc("__bucket")
     earlier = W.partitionBy(*keys).orderBy(by).rowsBetween(W.unboundedPreceding, -1)
-    starts = totals.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__bucket").alias("__b"), *[F.coalesce(F.sum(f"__{name}_t").over(earlier), F.lit(0)).alias(f"__{name}_s") for name in sums])
+    starts = totals.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__bucket").alias("__b"), *[fold(f"__{name}_t").over(earlier).alias(f"__{name}_s") for name in sums])
     same = rows["__bucket"] == starts["__b"]
     for k in keys:
         same = same & rows[k].eqNullSafe(starts[f"__k_{k}"])
     within = W.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1 if before else 0)
     out = rows.join(starts, same)
     for name in sums:
-        out = out.withColumn(name, F.col(f"__{name}_s") + F.coalesce(F.sum(f"__{name}").over(within), F.lit(0)))
+        out = out.withColumn(name, join(F.col(f"__{name}_s"), fold(f"__{name}").over(within)))
     drop = ["__bucket", "__b", *[f"__k_{k}" for k in keys]] + [f"__{n}{x}" for n in sums for x in ("", "_s")]
     return out.drop(*drop)
 

@@ -8,29 +8,38 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexitab.operators.ordered import bucket_of, edges, running
+
+
+def _ranked(df: DataFrame, p: str, keys: tuple[str, ...]) -> tuple[DataFrame, list[str], Column]:
+    """df with __known, __rank by p within keys and __m, the number of known p; the keys; and the order's bucket."""
+    rows = df.withColumn("__known", F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double")))
+    within = [*keys, "__known"]
+    bucket = bucket_of(p, edges(df.where(F.col(p).isNotNull()), p))
+    sizes = rows.groupBy(*within).agg(F.count(F.lit(1)).alias("__m")).select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(within)], "__m")
+    same = F.lit(True)
+    for i, k in enumerate(within):
+        same = same & rows[k].eqNullSafe(sizes[f"__{i}"])
+    rows = rows.join(sizes, same).drop(*[f"__{i}" for i in range(len(within))])
+    return running(rows, within, bucket, [F.col(p)], {"__rank": F.lit(1).cast("long")}), within, bucket
+
 
 def benjamini_hochberg(df: DataFrame, p: str, *keys: str) -> DataFrame:
     """Adds q, the step-up false discovery rate within the keys; rows without p keep a null and don't count."""
-    known = F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double"))
-    window = W.partitionBy(*keys, known)
-    m = F.count(F.lit(1)).over(window)
-    rank = F.row_number().over(window.orderBy(p))
-    ranked = df.withColumn("bh_rank", rank).withColumn("bh_raw", F.col(p) * m / rank)
-    running = F.min("bh_raw").over(window.orderBy(F.desc("bh_rank")).rowsBetween(W.unboundedPreceding, 0))
-    return ranked.withColumn("q", F.when(known, F.least(F.lit(1.0), running))).drop("bh_rank", "bh_raw")
+    rows, within, bucket = _ranked(df, p, keys)
+    raw = F.col(p) * F.col("__m") / F.col("__rank")
+    rows = running(rows, within, bucket, [F.desc("__rank")], {"__best": raw}, descending=True, how="min")
+    return rows.withColumn("q", F.when(F.col("__known"), F.least(F.lit(1.0), F.col("__best")))).drop("__known", "__rank", "__m", "__best")
 
 
 def holm(df: DataFrame, p: str, *keys: str) -> DataFrame:
     """Adds adjusted, Holm's step-down p within the keys; rows without p keep a null and don't count."""
-    known = F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double"))
-    window = W.partitionBy(*keys, known)
-    raw = F.col(p) * (F.count(F.lit(1)).over(window) - F.row_number().over(window.orderBy(p)) + 1)
-    rows = df.withColumn("holm_raw", raw)
-    running = F.max("holm_raw").over(window.orderBy(p, "holm_raw").rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("adjusted", F.when(known, F.least(F.lit(1.0), running))).drop("holm_raw")
+    rows, within, bucket = _ranked(df, p, keys)
+    raw = F.col(p) * (F.col("__m") - F.col("__rank") + 1)
+    rows = running(rows, within, bucket, [F.col("__rank")], {"__worst": raw}, how="max")
+    return rows.withColumn("adjusted", F.when(F.col("__known"), F.least(F.lit(1.0), F.col("__worst")))).drop("__known", "__rank", "__m", "__worst")
 
 
 def random_effects(df: DataFrame, effect: str, variance: str, *keys: str, z: float = 1.959963984540054) -> DataFrame:
