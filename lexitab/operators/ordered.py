@@ -7,6 +7,8 @@ numbers, so every evaluation cuts alike.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,14 +20,20 @@ def edges(df: DataFrame, column: str, buckets: int = BUCKETS) -> list[float]:
     """Distinct approximate quantiles of a numeric column: what separates the buckets."""
     points = [i / buckets for i in range(1, buckets)]
     found = df.agg(F.percentile_approx(F.col(column).cast("double"), points, 10_000).alias("q")).first()["q"]
-    return sorted(set(found or []))
+    return sorted({float(x) for x in found or [] if math.isfinite(x)})
 
 
 def bucket_of(column: str, at: list[float]) -> Column:
-    """The number of edges at or below the value; 0 for null."""
-    if not at:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, at)), lambda e: e <= F.col(column).cast("double")))
+    """The number of edges at or below the value, by halving; 0 for null."""
+    name = "`" + column.replace("`", "``") + "`"
+
+    def among(low: int, high: int) -> str:
+        if low == high:
+            return str(low)
+        middle = (low + high) // 2
+        return f"IF(CAST({name} AS DOUBLE) >= {at[middle]!r}D, {among(middle + 1, high)}, {among(low, middle)})"
+
+    return F.expr(among(0, len(at)))
 
 
 def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], sums: dict[str, Column], *, descending: bool = False, before: bool = False, how: str = "sum") -> DataFrame:
