@@ -5,6 +5,9 @@ exceeds the Hamming distance of the fingerprints. Vectors at most 2 apart have a
 distinct fingerprint enters its own cell and the up to 32 next to it, and every pair within 2 bits meets in a cell.
 Two fingerprints alone in a cell are verified exactly. Those of fuller cells move to the grid of 64 one-bit segments,
 where a cell holds 65 fingerprints at most, all within 2 bits of each other: no cell is ever expanded into all its pairs.
+
+Texts whose shingle sets have a Jaccard similarity of 0.8 are up to about 11 bits apart, which no such grid carries. With a
+similarity keep_one takes its candidates from bands of min-hashes instead and verifies them on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -25,6 +28,12 @@ DISTANCE = 2
 SHINGLE = 3
 _SEGMENTS, _WIDTH = 16, 4
 _PIECE = 1 << 16
+#: A pair of Jaccard similarity s shares a band with probability 1 - (1 - s ** BAND) ** BANDS: 0.99997 at 0.8.
+BANDS, BAND = 20, 4
+#: All pairs of a band's group are candidates up to so many members; in larger groups each with the first and the last.
+CROWD = 16
+_FLIPS, _FACTORS = np.random.default_rng(20_240_301).integers(0, 1 << 64, (2, BANDS * BAND), dtype=np.uint64)
+_FACTORS |= np.uint64(1)
 
 
 def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
@@ -43,13 +52,13 @@ def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(texts: pa.Array) -> pa.Array:
-    return pa.array([fingerprint(raw) for raw in utf8_parts(texts)], pa.int64())
+def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> pa.Array:
+    return pa.array([fingerprint(raw, shingle) for raw in utf8_parts(texts)], pa.int64())
 
 
-def fingerprint_of(text: Column) -> Column:
+def fingerprint_of(text: Column, shingle: int = SHINGLE) -> Column:
     """The fingerprint of a text column as a long."""
-    return arrow_column("simhash", fingerprints, "long")(text)
+    return arrow_column("simhash", lambda texts: fingerprints(texts, shingle), "long")(text)
 
 
 def bit_counts(fp: Column) -> Column:
@@ -116,13 +125,73 @@ def near_duplicates(df: DataFrame, *, id_column: str = "doc_id", text_column: st
     return marked.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of df without near-duplicates: the row with the smallest id of each class stays, once if it is repeated."""
+def shingle_set(raw: bytes | None, shingle: int) -> np.ndarray:
+    """The distinct 64-bit hashes, in order, of a text's word shingles; words are those of fingerprint()."""
+    words = raw.lower().split() if raw else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    shingles = map(b" ".join, zip(*[words[i:] for i in range(shingle)])) if len(words) >= shingle else iter([b" ".join(words)])
+    return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), shingles), np.uint64, max(1, len(words) - shingle + 1)))
+
+
+def bands(found: np.ndarray) -> list[int]:
+    """A hash of each band of min-hashes; none of an empty set."""
+    if not len(found):
+        return []
+    least = np.array([((found ^ flip) * factor).min() for flip, factor in zip(_FLIPS, _FACTORS)])
+    return [xxhash.xxh3_64_intdigest(least[i * BAND : (i + 1) * BAND].tobytes(), seed=i) - (1 << 63) for i in range(BANDS)]
+
+
+def similar_links(df: DataFrame, sets: DataFrame, row: Column, text: Column, shingle: int, similarity: float) -> DataFrame:
+    """Verified links (a, b) between keys of sets (key, rep, bands), whose shingles are read again from the row rep of df."""
+    members = sets.select("key", F.explode("bands").alias("band"))
+    groups = members.groupBy("band").agg(F.collect_list("key").alias("near"), F.min("key").alias("first"), F.max("key").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    every = F.expr("flatten(transform(near, x -> transform(filter(near, y -> y < x), y -> struct(y as a, x as b))))")
+    stars = F.expr("flatten(transform(near, x -> array(struct(first as a, x as b), struct(x as a, last as b))))")
+    pairs = groups.select(F.explode(F.when(F.col("n") <= CROWD, every).otherwise(stars)).alias("pair")).select("pair.*").where("a < b")
+    pairs = cut_columnar(pairs.distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(sets.select("key", "rep"), "key")
+    wanted = cut_columnar(wanted)
+    read = arrow_column("shingles", lambda texts: pa.array([shingle_set(raw, shingle).view(np.int64) for raw in utf8_parts(texts)], pa.list_(pa.int64())), "array<long>")
+    found = df.select(row.alias("rep"), text.alias("text")).join(wanted, "rep").dropDuplicates(["rep"])
+    found = cut_columnar(found.select("key", read(F.col("text")).alias("shingles")))
+    both = pairs.join(found.toDF("a", "left"), "a").join(found.toDF("b", "right"), "b")
+    common = F.size(F.array_intersect("left", "right"))
+    return both.where(common >= similarity * (F.size("left") + F.size("right") - common)).select("a", "b")
+
+
+def keep_similar(df: DataFrame, id_column: str, text_column: str, shingle: int, similarity: float) -> DataFrame:
+    """keep_one() by Jaccard similarity."""
+    text, doc = df[f"`{text_column}`"], df[f"`{id_column}`"]
+    row = F.xxhash64(doc, text)
+
+    def mark(texts: pa.Array) -> pa.Array:
+        sets = [shingle_set(raw, shingle) for raw in utf8_parts(texts)]
+        return pa.array([{"key": xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), "bands": bands(s)} for s in sets], pa.struct([("key", pa.int64()), ("bands", pa.list_(pa.int64()))]))
+
+    marked = df.select(doc.alias("doc_id"), row.alias("row"), arrow_column("shingles", mark, "key long, bands array<long>")(text).alias("s"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
+    sets = cut_columnar(marked.groupBy("s.key").agg(best, F.min("row").alias("rep"), F.first("s.bands").alias("bands")))
+    roots = connected_components(similar_links(df, sets, row, text, shingle, similarity)).select(F.col("node").alias("key"), F.col("component").alias("root"))
+    own = sets.select("key", "best").join(roots, "key", "left")
+    (name,) = fresh(df, "row")
+    kept = cut_columnar(own.groupBy(F.coalesce("root", "key")).agg(F.min("best").alias("best")).select(F.col("best.row").alias(name)))
+    return df.withColumn(name, row).dropDuplicates([name]).join(kept, name, "left_semi").select(*[f"`{c}`" for c in df.columns])
+
+
+def keep_one(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """The rows of df without near-duplicates: the row with the smallest id of each class stays, once if it is repeated.
+
+    Classes join fingerprints of word shingles within DISTANCE bits; with a similarity (0.8 or more, as BANDS are made for), texts
+    whose sets of word shingles have at least that Jaccard similarity. Then texts without words form one class.
+    """
     ship(df.sparkSession)
+    if similarity is not None:
+        return keep_similar(df, id_column, text_column, shingle, similarity)
     fp, keeper, keeper_fp = fresh(df, "fp", "keeper", "keeper_fp")
     text, doc = df[f"`{text_column}`"], df[f"`{id_column}`"]
-    marked = cut_columnar(df.select(doc.alias("doc_id"), fingerprint_of(text).alias("fp")))
+    marked = cut_columnar(df.select(doc.alias("doc_id"), fingerprint_of(text, shingle).alias("fp")))
     kept = classes(marked).select(F.col("keeper").alias(keeper), F.col("keeper_fp").alias(keeper_fp)).distinct()
-    rows = df.withColumn(fp, fingerprint_of(text))
+    rows = df.withColumn(fp, fingerprint_of(text, shingle))
     same = rows[f"`{id_column}`"].eqNullSafe(kept[keeper]) & (rows[fp] == kept[keeper_fp])
     return rows.join(kept, same, "left_semi").dropDuplicates([id_column, fp]).drop(fp)
