@@ -5,7 +5,8 @@ domains. Rates r >= 0 minimise (S - T)' B (S - T), with S = sum of r * tokens *
 B the inverse of M = sum of tokens * posterior * posterior'. In the metric of the tokens a step of length 1 or more is right, and a
 projected-gradient step is r <- max(0, z - length * posterior . B (S(z) - T)), where z runs ahead of r by Nesterov's momentum. Each round
 is one distributed sum of as many numbers as there are domains (S(z) follows from S(r), being linear), and a document's
-rate follows from the rounds' vectors alone, so no state is kept between rounds.
+rate follows from the rounds' vectors alone, so no state is kept between rounds. Where the likeliest domain is one to keep,
+1 stands in place of 0.
 """
 
 from __future__ import annotations
@@ -26,7 +27,11 @@ FEATURES = 4096
 TRAIN_LIMIT = 4_000
 #: Rounds at most; it ends before when the targets are met within TOLERANCE, or when SETTLED rounds gain less than a share.
 ROUNDS, TOLERANCE = 200, 1e-6
+#: With least rates the last tenths of a per cent take hundreds of rounds; bounds hold after any of them.
+ROUNDS_KEEP = 30
 SETTLED, SETTLED_SHARE = 10, 1e-3
+#: Copies beyond the least rates are counted on to hold this part of another domain's target share.
+PURE = 0.2
 _WORD_MEMO = 300_000
 _TO_WORDS = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
 
@@ -149,16 +154,22 @@ class MixFit:
     targets: np.ndarray
     reached: np.ndarray
     steps: list[tuple[list[float], float]]
+    keep: tuple[int, ...] = ()
+
+    def least(self, posterior: np.ndarray) -> np.ndarray:
+        """The least rate of each row: 1 where the likeliest domain is one to keep, else 0."""
+        return np.isin(posterior.argmax(axis=1), self.keep).astype(float) if len(posterior) else np.zeros(0)
 
     def rate(self, posterior: Column) -> Column:
         """The rate of a document."""
-        steps, k = [(np.array(step), momentum) for step, momentum in self.steps], len(self.domains)
+        steps, k, least = [(np.array(step), momentum) for step, momentum in self.steps], len(self.domains), self.least
 
         def follow(rows: pa.Array) -> pa.Array:
             p = np.array(rows.flatten(), np.float64).reshape(-1, k)
             rate = ahead = np.ones(len(p))
+            floor = least(p)
             for step, momentum in steps:
-                last, rate = rate, np.maximum(0.0, ahead - p @ step)
+                last, rate = rate, np.maximum(floor, ahead - p @ step)
                 ahead = rate + momentum * (rate - last)
             return pa.array(np.round(rate, 9))
 
@@ -168,41 +179,48 @@ class MixFit:
 def fit_rates(scored: DataFrame, domains: list[str], weights: dict[str, float], *, budget: float | None = None, keep: list[str] | None = None) -> MixFit:
     """Rates for a table with n_tokens and posterior.
 
-    The targets are weights (scaled to sum to 1) times budget: by default all tokens, with keep the least total in which none of
-    those domains has to shrink. Unreachable targets are met as nearly as rates >= 0 allow.
+    The targets are weights (scaled to sum to 1) times budget: by default all tokens, with keep a total in which none of
+    those domains has to shrink and, where PURE holds, no document of them either. Documents whose likeliest domain is in keep get a rate of 1 at least. Unreachable targets are met as
+    nearly as the rates allow.
     """
     k = len(domains)
+    whole = tuple(i for i, d in enumerate(domains) if keep and d in keep)
     share = np.array([float(weights.get(d, 0.0)) for d in domains])
     if (share < 0).any() or not share.sum():
         raise ValueError("weights must be nonnegative, one of them positive")
     share = share / share.sum()
     p = [F.col("posterior")[i] for i in range(k)]
     tokens = F.col("n_tokens").cast("double")
-    sums = scored.agg(*[F.sum(tokens * p[i]).alias(f"s{i}") for i in range(k)], *[F.sum(tokens * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(k)]).first()
+    highest = F.array_max("posterior")
+    floor = F.when(F.array_position("posterior", highest).isin([i + 1 for i in whole]), 1.0).otherwise(0.0) if whole else F.lit(0.0)
+    sums = scored.agg(*[F.sum(tokens * p[i] * floor).alias(f"f{i}") for i in range(k)], *[F.sum(tokens * p[i]).alias(f"s{i}") for i in range(k)], *[F.sum(tokens * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(k)]).first()
     now = np.array([sums[f"s{i}"] or 0.0 for i in range(k)])
     total = now.sum()
     if not total:
-        return MixFit(domains, np.zeros(k), now, [])
+        return MixFit(domains, np.zeros(k), now, [], whole)
     if budget is None:
         kept = [i for i, d in enumerate(domains) if keep and d in keep and share[i]]
         budget = max((now[i] / share[i] for i in kept), default=total)
+        # What documents with a least rate hold of the other domains may be thinned by more copies of those that hold PURE of it.
+        least = np.array([sums[f"f{i}"] or 0.0 for i in range(k)])
+        budget = max([budget, *((least[i] - PURE * share[i] * least.sum()) / ((1 - PURE) * share[i]) for i in range(k) if share[i] and i not in whole)])
     targets = share * budget
     m = np.array([[sums[f"m{i}_{j}"] for j in range(k)] for i in range(k)])
     inverse = np.linalg.inv(m + np.eye(k) * 1e-9 * np.trace(m))
     root = np.linalg.cholesky(inverse)
     loss_of = lambda s: float((s - targets) @ inverse @ (s - targets))
-    fit = MixFit(domains, targets, now, [])
+    fit = MixFit(domains, targets, now, [], whole)
     ahead, age, active, longest, losses = now, 1.0, m, np.inf, [loss_of(now)]
-    for _ in range(ROUNDS):
+    for _ in range(ROUNDS_KEEP if whole else ROUNDS):
         if np.abs(fit.reached - targets).sum() <= TOLERANCE * budget:
             break
         # Only documents with a rate answer to a step, so its length may be the inverse Lipschitz constant of those.
         length = max(1.0, min(longest, 1 / max(1e-12, np.linalg.eigvalsh(root.T @ active @ root)[-1])))
         grown = (1 + np.sqrt(1 + 4 * age * age)) / 2
         momentum = float((age - 1) / grown)
-        tried = MixFit(domains, targets, now, [*fit.steps, ((length * inverse @ (ahead - targets)).tolist(), momentum)])
-        rates = scored.select(tried.rate(F.col("posterior")).alias("r"), tokens.alias("t"), "posterior")
-        mass = F.when(F.col("r") > 0, F.col("t")).otherwise(0.0)
+        tried = MixFit(domains, targets, now, [*fit.steps, ((length * inverse @ (ahead - targets)).tolist(), momentum)], whole)
+        rates = scored.select(tried.rate(F.col("posterior")).alias("r"), tokens.alias("t"), "posterior", floor.alias("floor"))
+        mass = F.when(F.col("r") > F.col("floor"), F.col("t")).otherwise(0.0)
         row = rates.agg(*[F.sum(F.col("r") * F.col("t") * p[i]).alias(f"s{i}") for i in range(k)], *[F.sum(mass * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(k)]).first()
         reached = np.array([row[f"s{i}"] for i in range(k)])
         loss = loss_of(reached)

@@ -3,6 +3,10 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+import numpy as np
+from pyspark.sql import functions as F
+
+from lexitab.llm import mixing
 
 
 def jaccard(a: str, b: str) -> float:
@@ -38,3 +42,18 @@ def test_stage_drops_planted_near_copies(spark, small):
     want = {10 * k for k in range(60)} | far | {5000, 9000, 9002, 9004}
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
     assert corpus_pipeline.simhash_dedup(spark, df.limit(0), small).count() == 0
+
+
+def test_documents_of_kept_domains_get_a_copy(spark):
+    rng = np.random.default_rng(9)
+    p = rng.dirichlet([0.5, 0.4, 0.4], 3000)
+    tokens = rng.integers(1, 500, 3000)
+    df = spark.createDataFrame([(i, int(t), x.tolist()) for i, (t, x) in enumerate(zip(tokens, p))], "key long, n_tokens long, posterior array<double>")
+    fit = mixing.fit_rates(df, ["a", "b", "c"], {"a": 0.8, "b": 0.15, "c": 0.05}, keep=["a", "b"])
+    rate = fit.rate(F.col("posterior")).alias("rate")
+    rows = df.select("n_tokens", "posterior", rate, mixing.copies(rate, F.col("key")).alias("copies")).collect()
+    clean = [r for r in rows if np.argmax(r["posterior"]) < 2]
+    assert len(clean) > 1000 and all(r["rate"] >= 1 and r["copies"] >= 1 for r in clean)
+    assert any(r["copies"] == 0 for r in rows)
+    reached = sum(r["rate"] * r["n_tokens"] * np.array(r["posterior"]) for r in rows)
+    assert np.allclose(reached, fit.reached, rtol=1e-6)
