@@ -41,7 +41,8 @@ TAG = "spdx license identifier"
 PERMISSIVE = frozenset({"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "cc0-1.0", "cc-by-4.0", "unlicense", "zlib", "bsl-1.0"})
 #: Folds A-Z to a-z and everything below 0x80 that is neither letter nor digit to a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_TAGGED = re.compile(rb"spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier[^0-9a-z\x80-\xff(\n]*([^\n]*)", re.IGNORECASE)
+_TAGGED = re.compile(rb"spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier", re.IGNORECASE)
+_LEAD = re.compile(rb"^[^0-9a-z\x80-\xff(]*", re.IGNORECASE)
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
@@ -138,6 +139,11 @@ def automaton() -> ahocorasick.Automaton:
     return out
 
 
+def tagged_text(rest: bytes) -> str:
+    """What a tag says: the rest of its line, given the text from the tag up to the next one."""
+    return _LEAD.sub(b"", rest.split(b"\n", 1)[0], count=1).decode("utf-8", "replace")
+
+
 def scan(raw: bytes | None) -> dict:
     """What one text (UTF-8, None: empty) holds."""
     words = (raw or b"").translate(_FOLD).split()
@@ -154,7 +160,9 @@ def scan(raw: bytes | None) -> dict:
             tagged = True
     expressions = []
     if tagged:
-        found = (parse_expression(m.decode("utf-8", "replace")) for m in _TAGGED.findall(raw))
+        tags = [m.span() for m in _TAGGED.finditer(raw)]
+        ends = [start for start, _ in tags[1:]] + [len(raw)]
+        found = (parse_expression(tagged_text(raw[a:b])) for (_, a), b in zip(tags, ends))
         expressions = [e for e in found if e]
         labels.update(i for e in expressions for i in e.identifiers)
     weight = len(places) + others + 2 * len(expressions)

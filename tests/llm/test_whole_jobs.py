@@ -6,7 +6,7 @@ import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
-from lexitab.llm import mixing
+from lexitab.llm import license_scan, mixing
 
 
 def jaccard(a: str, b: str) -> float:
@@ -57,3 +57,10 @@ def test_documents_of_kept_domains_get_a_copy(spark):
     assert any(r["copies"] == 0 for r in rows)
     reached = sum(r["rate"] * r["n_tokens"] * np.array(r["posterior"]) for r in rows)
     assert np.allclose(reached, fit.reached, rtol=1e-6)
+
+
+def test_each_tag_of_a_line_is_parsed():
+    found = license_scan.scan(b"SPDX-License-Identifier: MIT b SPDX-License-Identifier: Apache-2.0 OR SPDX-License-Identifier: GPL-2.0-only\nmore words")
+    assert found["expressions"] == ["mit", "apache-2.0", "gpl-2.0-only"] and found["permitted"] is False
+    assert found["labels"] == "apache-2.0,gpl-2.0-only,mit" and found["score"] == 1 - 0.5**6
+    assert license_scan.scan(b"SPDX-License-Identifier: SPDX-License-Identifier: MIT")["expressions"] == ["mit"]
