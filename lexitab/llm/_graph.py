@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +33,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         ends = pairs.join(upper, "a", "left").join(lower, "b", "left").select(F.coalesce("upper", "a").alias("x"), F.coalesce("lower", "b").alias("y"))
         pairs = cut(ends.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
     return labels
+
+
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first of n rows in each row's component, by the links (a, b)."""
+    roots = np.arange(n)
+    while True:
+        low = np.minimum(roots[a], roots[b])
+        new = roots.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = np.minimum(new, new[new])
+        if (new == roots).all():
+            return roots
+        roots = new

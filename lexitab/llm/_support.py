@@ -33,13 +33,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; one of our own only where it is unset."""
+    """The shared folder named by spark.checkpoint.dir. Where it is unset, one of our own in local mode and an error on a cluster."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if named and not context.getCheckpointDir():
-        context.setCheckpointDir(named)
     if not named:
+        if not (context.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="lexitab-checkpoint-")
+    if not context.getCheckpointDir():
         context.setCheckpointDir(named)
     return named
 
@@ -55,9 +56,25 @@ def cut_columnar(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths that cut_columnar() has written and discard() hasn't removed.
+_written: list[str] = []
+
+
+def discard(spark: SparkSession, kept: int = 0) -> int:
+    """Removes the tables that cut_columnar() has written, but for the first so many; returns how many are left.
+
+    For callers that have written what they read from those tables, as the stages of the pipeline do.
+    """
+    while len(_written) > kept:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(_written)
+
+
 def fresh(df: DataFrame, *bases: str) -> list[str]:
     """Column names for internal use that no column of df has, in any case."""
     taken = {c.lower() for c in df.columns}
@@ -98,8 +115,8 @@ def arrow_column(owner: str, function: Callable, kind: str, release: Callable[[]
     Marked as not deterministic, as the optimiser otherwise copies it into filters that it infers from joins.
     """
 
-    def run(column: pa.Array) -> pa.Array:
+    def run(*columns: pa.Array) -> pa.Array:
         hold(owner, release)
-        return function(column)
+        return function(*columns)
 
     return F.arrow_udf(run, kind).asNondeterministic()

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexitab.llm._graph import connected_components
+from lexitab.llm._graph import connected_components, local_roots
 from lexitab.llm._support import cut, hold, ship
 
 #: Vectors that the centroids are fitted on at most, about; every vector is assigned and compared.
@@ -76,20 +76,6 @@ def linked(left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.nd
     return i[keep], j[keep]
 
 
-def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The first of n rows in each row's component, by the links (a, b)."""
-    roots = np.arange(n)
-    while True:
-        low = np.minimum(roots[a], roots[b])
-        new = roots.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = np.minimum(new, new[new])
-        if (new == roots).all():
-            return roots
-        roots = new
-
-
 def near_duplicate_vectors(
     df: DataFrame,
     *,

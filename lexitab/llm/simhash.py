@@ -1,10 +1,11 @@
 """SimHash near-duplicates through a segment-popcount embedding.
 
-A fingerprint's 16 four-bit segments have bit counts from 0 to 4. The Manhattan distance of two count vectors never
+A fingerprint's 32 two-bit segments have bit counts from 0 to 2. The Manhattan distance of two count vectors never
 exceeds the Hamming distance of the fingerprints. Vectors at most 2 apart have a common grid cell at most 1 from both, so each
-distinct fingerprint enters its own cell and the up to 32 next to it, and every pair within 2 bits meets in a cell.
-Two fingerprints alone in a cell are verified exactly. Those of fuller cells move to the grid of 64 one-bit segments,
-where a cell holds 65 fingerprints at most, all within 2 bits of each other: no cell is ever expanded into all its pairs.
+distinct fingerprint enters its own cell and the up to 64 next to it, and every pair within 2 bits meets in a cell. The
+members of a cell are dealt into blocks of BLOCK, a block is compared with itself and the others, and the pairs that come near are
+verified exactly. Two fingerprints drawn evenly share a cell with a chance of 0.375 ** 32, so cells stay nearly empty
+up to billions of fingerprints; and at most 65 fingerprints lie within 2 bits of each other, so links stay linear in them.
 
 Texts whose shingle sets have a Jaccard similarity of 0.8 are up to about 11 bits apart, which no such grid carries. With a
 similarity keep_one takes its candidates from bands of min-hashes instead and verifies them on the whole shingle sets.
@@ -18,20 +19,23 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexitab.llm._graph import connected_components
-from lexitab.llm._support import arrow_column, cut, cut_columnar, fresh, ship, utf8_parts
+from lexitab.llm._graph import connected_components, local_roots
+from lexitab.llm._support import arrow_column, cut, cut_columnar, fresh, hold, ship, utf8_parts
 
 SEED = 42
 DISTANCE = 2
 SHINGLE = 3
-_SEGMENTS, _WIDTH = 16, 4
+_SEGMENTS, _WIDTH = 32, 2
+#: Fingerprints of a cell that are compared at a time, and rows that one task expands into cells.
+BLOCK, EXPANDED = 64, 20_000
 _PIECE = 1 << 16
 #: A pair of Jaccard similarity s shares a band with probability 1 - (1 - s ** BAND) ** BANDS: 0.99997 at 0.8.
 BANDS, BAND = 20, 4
-#: All pairs of a band's group are candidates up to so many members; in larger groups each with the first and the last.
-CROWD = 16
+#: Sets of a band's group that are compared at a time, and shingles that are counted at a time.
+SETS, COLUMNS = 128, 4096
 _FLIPS, _FACTORS = np.random.default_rng(20_240_301).integers(0, 1 << 64, (2, BANDS * BAND), dtype=np.uint64)
 _FACTORS |= np.uint64(1)
 
@@ -62,41 +66,37 @@ def fingerprint_of(text: Column, shingle: int = SHINGLE) -> Column:
 
 
 def bit_counts(fp: Column) -> Column:
-    """The bit count of each four-bit segment, in the place of that segment."""
-    odd, low = F.lit(0x5555555555555555), F.lit(0x3333333333333333)
+    """The bit count of each two-bit segment, in the place of that segment."""
+    odd = F.lit(0x5555555555555555)
     next_bit = F.shiftrightunsigned(fp, 1)
-    # Bitwise up to here, as sums of pairs would overflow a signed long.
-    pairs = fp.bitwiseXOR(next_bit).bitwiseAND(odd).bitwiseOR(F.shiftleft(fp.bitwiseAND(next_bit).bitwiseAND(odd), 1))
-    return pairs.bitwiseAND(low) + F.shiftrightunsigned(pairs, 2).bitwiseAND(low)
+    # Bitwise, as a sum of both could overflow a signed long.
+    return fp.bitwiseXOR(next_bit).bitwiseAND(odd).bitwiseOR(F.shiftleft(fp.bitwiseAND(next_bit).bitwiseAND(odd), 1))
 
 
 def near_cells(fp: Column) -> Column:
-    """The cells at Manhattan distance 0 or 1 from a fingerprint's count vector."""
+    """The cells at Manhattan distance 0 or 1 from a fingerprint's count vector, and nulls for steps that leave the grid."""
     counts = bit_counts(fp)
     steps = []
     for i in range(_SEGMENTS):
-        one = 1 << (_WIDTH * i)
-        here = F.shiftrightunsigned(counts, _WIDTH * i).bitwiseAND(F.lit(15))
-        steps += [F.when(here < _WIDTH, counts + F.lit(one)), F.when(here > 0, counts - F.lit(one))]
-    return F.filter(F.array(counts, *steps), lambda cell: cell.isNotNull())
+        here = F.shiftrightunsigned(counts, _WIDTH * i).bitwiseAND(F.lit(3))
+        put = lambda n: counts.bitwiseXOR(F.shiftleft(here.bitwiseXOR(n), _WIDTH * i))  # noqa: B023, E731
+        steps += [F.when(here < _WIDTH, put(here + 1)), F.when(here > 0, put(here - 1))]
+    return F.array(counts, *steps)
 
 
 def near_links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
-    """Links (a, b) between distinct fingerprints that connect what lies within DISTANCE bits; each link is verified.
-
-    Not all pairs, but enough: two fingerprints within 2 bits of each other are linked directly or through a third
-    that is within 2 bits of both.
-    """
-    cells = distinct.select(F.col(fp).alias("fp"), F.explode(near_cells(F.col(fp))).alias("cell"))
-    full = cut(cells.groupBy("cell").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    verified = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
-    pairs = full.where("n = 2").where(verified).select("a", "b").distinct()
-    crowded = cells.join(full.where("n > 2").select("cell"), "cell", "left_semi").select("fp").distinct()
-    flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)])
-    variants = crowded.select("fp", F.explode(flips).alias("variant"))
-    groups = variants.groupBy("variant").agg(F.collect_list("fp").alias("near"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = groups.select(F.explode("near").alias("a"), F.array_min("near").alias("b")).where("a <> b").distinct()
-    return pairs.union(stars)
+    """The links (a, b), a > b, of all pairs of distinct fingerprints within DISTANCE bits of each other."""
+    found = distinct.select(F.col(fp).alias("fp"))
+    found = found.repartition(max(1, found.sparkSession.sparkContext.defaultParallelism, found.count() // EXPANDED), "fp")
+    cells = found.select("fp", F.explode(near_cells(F.col("fp"))).alias("cell")).where("cell is not null")
+    same = W.partitionBy("cell")
+    placed = cells.select("*", F.row_number().over(same.orderBy("fp")).alias("at"), F.lead("fp").over(same.orderBy("fp")).alias("next")).where("at > 1 or next is not null")
+    placed = placed.withColumn("n", F.max("at").over(same)).withColumn("block", F.floor((F.col("at") - 1) / F.lit(BLOCK)).cast("int"))
+    last = F.floor((F.col("n") - 1) / F.lit(BLOCK)).cast("int")
+    tasks = F.transform(F.sequence(F.lit(0), last), lambda other: F.struct(F.least("block", other).alias("i"), F.greatest("block", other).alias("j")))
+    groups = placed.select("cell", "fp", F.explode(tasks).alias("t")).groupBy("cell", "t").agg(F.collect_list("fp").alias("near"))
+    near = F.expr(f"flatten(transform(near, x -> transform(filter(near, y -> y < x and bit_count(x ^ y) <= {DISTANCE}), y -> struct(x as a, y as b))))")
+    return groups.select(F.explode(near).alias("link")).select("link.*").distinct()
 
 
 def classes(marked: DataFrame) -> DataFrame:
@@ -142,48 +142,105 @@ def bands(found: np.ndarray) -> list[int]:
     return [xxhash.xxh3_64_intdigest(least[i * BAND : (i + 1) * BAND].tobytes(), seed=i) - (1 << 63) for i in range(BANDS)]
 
 
-def similar_links(df: DataFrame, sets: DataFrame, row: Column, text: Column, shingle: int, similarity: float) -> DataFrame:
-    """Verified links (a, b) between keys of sets (key, rep, bands), whose shingles are read again from the row rep of df."""
-    members = sets.select("key", F.explode("bands").alias("band"))
-    groups = members.groupBy("band").agg(F.collect_list("key").alias("near"), F.min("key").alias("first"), F.max("key").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    every = F.expr("flatten(transform(near, x -> transform(filter(near, y -> y < x), y -> struct(y as a, x as b))))")
-    stars = F.expr("flatten(transform(near, x -> array(struct(first as a, x as b), struct(x as a, last as b))))")
-    pairs = groups.select(F.explode(F.when(F.col("n") <= CROWD, every).otherwise(stars)).alias("pair")).select("pair.*").where("a < b")
-    pairs = cut_columnar(pairs.distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(sets.select("key", "rep"), "key")
-    wanted = cut_columnar(wanted)
+def alike(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of left and right sets with at least that Jaccard similarity, from exact counts of common members."""
+    sizes, sides = [np.array([len(s) for s in side]) for side in (left, right)], (left, right)
+    owners = [np.repeat(np.arange(len(side)), n) for side, n in zip(sides, sizes)]
+    members = [np.concatenate([np.zeros(0, np.int64), *side]) for side in sides]
+    # Only what both sides have can be common.
+    both = np.intersect1d(members[0], members[1])
+    places = [np.searchsorted(both, m) for m in members]
+    known = [(p < len(both)) & (both[np.minimum(p, len(both) - 1)] == m) if len(both) else np.zeros(len(m), bool) for p, m in zip(places, members)]
+    places, owners = [p[k] for p, k in zip(places, known)], [o[k] for o, k in zip(owners, known)]
+    orders = [np.argsort(p, kind="stable") for p in places]
+    places, owners = [p[o] for p, o in zip(places, orders)], [o[i] for o, i in zip(owners, orders)]
+    common = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, len(both), COLUMNS):
+        halves = []
+        for p, o, side in zip(places, owners, sides):
+            a, b = np.searchsorted(p, [low, low + COLUMNS])
+            half = np.zeros((len(side), min(COLUMNS, len(both) - low)), np.float32)
+            half[o[a:b], p[a:b] - low] = 1
+            halves.append(half)
+        common += halves[0] @ halves[1].T
+    union = sizes[0][:, None] + sizes[1][None, :] - common
+    return np.nonzero((common >= similarity * union) & (common > 0))
+
+
+def similar_links(df: DataFrame, sets: DataFrame, row: list[Column], text: Column, shingle: int, similarity: float) -> DataFrame:
+    """Verified links (a, b) between keys of sets (key, rep, bands), whose shingles are read again from the row rep of df.
+
+    Each member of a band's group is compared with the group's first. Those unlike it are compared with all other members too,
+    in blocks; the others are linked through the first.
+    """
+    members = cut_columnar(sets.select("key", F.explode("bands").alias("band")))
+    firsts = members.groupBy("band").agg(F.min("key").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    grouped = cut_columnar(members.join(firsts, "band"))
+    pairs = grouped.where("key <> lead").select("lead", "key").distinct()
+    wanted = cut_columnar(grouped.select("key").distinct().join(sets.select("key", "rep.*"), "key"))
     read = arrow_column("shingles", lambda texts: pa.array([shingle_set(raw, shingle).view(np.int64) for raw in utf8_parts(texts)], pa.list_(pa.int64())), "array<long>")
-    found = df.select(row.alias("rep"), text.alias("text")).join(wanted, "rep").dropDuplicates(["rep"])
+    found = df.select(row[0].alias("x"), row[1].alias("y"), text.alias("text")).join(wanted, ["x", "y"]).dropDuplicates(["x", "y"])
     found = cut_columnar(found.select("key", read(F.col("text")).alias("shingles")))
-    both = pairs.join(found.toDF("a", "left"), "a").join(found.toDF("b", "right"), "b")
+    both = pairs.join(found.toDF("lead", "left"), "lead").join(found.toDF("key", "right"), "key")
     common = F.size(F.array_intersect("left", "right"))
-    return both.where(common >= similarity * (F.size("left") + F.size("right") - common)).select("a", "b")
+    close = cut_columnar(both.where(common >= similarity * (F.size("left") + F.size("right") - common)).select("lead", "key"))
+    rest = grouped.where("n > 2 and key <> lead").join(close.withColumn("linked", F.lit(True)), ["lead", "key"], "left").withColumn("away", F.col("linked").isNull())
+    counts = rest.groupBy("band").agg(F.count_if("away").alias("aways"), F.count_if(~F.col("away")).alias("others")).where("aways > 0 and aways + others > 1")
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(SETS)).cast("int")
+    rest = rest.join(counts.select("band", blocks("aways").alias("aways"), blocks("others").alias("others")), "band")
+    own = F.pmod(F.xxhash64("key"), F.when(F.col("away"), F.col("aways")).otherwise(F.col("others"))).cast("int")
+    rest = rest.withColumn("own", own)
+    task = lambda i, j, mixed: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(mixed).alias("mixed"))
+    upto = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1), lambda k: k < F.col(n))
+    mine = F.concat(F.transform(upto("aways"), lambda k: task(F.least("own", k), F.greatest("own", k), False)), F.transform(upto("others"), lambda k: task(F.col("own"), k, True)))
+    guest = F.transform(upto("aways"), lambda k: task(k, F.col("own"), True))
+    dealt = rest.select("band", "key", "own", "away", F.explode(F.when(F.col("away"), mine).otherwise(guest)).alias("t")).select("band", "key", "own", "away", "t.*")
+
+    def compare(group: pa.Table) -> pa.Table:
+        hold("shingles")
+        own, away = np.array(group.column("own")), np.array(group.column("away"))
+        i, j, mixed = (group.column(c)[0].as_py() for c in ("i", "j", "mixed"))
+        left = np.flatnonzero(away & (own == i))
+        right = np.flatnonzero(~away) if mixed else np.flatnonzero(own == j)
+        shingles = group.column("shingles").combine_chunks()
+        ends, values = shingles.offsets.to_numpy(), shingles.values.to_numpy()
+        of = lambda rows: [values[ends[r] : ends[r + 1]] for r in rows]
+        a, b = alike(of(left), of(right), similarity)
+        roots = local_roots(group.num_rows, left[a], right[b])
+        keys = np.array(group.column("key"))
+        some = np.flatnonzero(roots != np.arange(len(roots)))
+        return pa.table({"a": keys[roots[some]], "b": keys[some]})
+
+    away = dealt.join(found, "key").groupBy("band", "i", "j", "mixed").applyInArrow(compare, "a long, b long")
+    return cut_columnar(close.toDF("a", "b").union(away).distinct())
 
 
 def keep_similar(df: DataFrame, id_column: str, text_column: str, shingle: int, similarity: float) -> DataFrame:
     """keep_one() by Jaccard similarity."""
     text, doc = df[f"`{text_column}`"], df[f"`{id_column}`"]
-    row = F.xxhash64(doc, text)
+    row = [F.xxhash64(doc, text), F.xxhash64(F.lit("row"), doc, text)]  # of 128 bits together
 
     def mark(texts: pa.Array) -> pa.Array:
         sets = [shingle_set(raw, shingle) for raw in utf8_parts(texts)]
         return pa.array([{"key": xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), "bands": bands(s)} for s in sets], pa.struct([("key", pa.int64()), ("bands", pa.list_(pa.int64()))]))
 
-    marked = df.select(doc.alias("doc_id"), row.alias("row"), arrow_column("shingles", mark, "key long, bands array<long>")(text).alias("s"))
+    marked = df.select(doc.alias("doc_id"), F.struct(row[0].alias("x"), row[1].alias("y")).alias("row"), arrow_column("shingles", mark, "key long, bands array<long>")(text).alias("s"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
     sets = cut_columnar(marked.groupBy("s.key").agg(best, F.min("row").alias("rep"), F.first("s.bands").alias("bands")))
     roots = connected_components(similar_links(df, sets, row, text, shingle, similarity)).select(F.col("node").alias("key"), F.col("component").alias("root"))
     own = sets.select("key", "best").join(roots, "key", "left")
-    (name,) = fresh(df, "row")
-    kept = cut_columnar(own.groupBy(F.coalesce("root", "key")).agg(F.min("best").alias("best")).select(F.col("best.row").alias(name)))
-    return df.withColumn(name, row).dropDuplicates([name]).join(kept, name, "left_semi").select(*[f"`{c}`" for c in df.columns])
+    names = fresh(df, "x", "y")
+    kept = own.groupBy(F.coalesce("root", "key")).agg(F.min("best").alias("best")).select(F.col("best.row.x").alias(names[0]), F.col("best.row.y").alias(names[1]))
+    rows = df.withColumns(dict(zip(names, row))).join(cut_columnar(kept), names, "left_semi")
+    return rows.dropDuplicates(names).drop(*names)
 
 
 def keep_one(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """The rows of df without near-duplicates: the row with the smallest id of each class stays, once if it is repeated.
 
     Classes join fingerprints of word shingles within DISTANCE bits; with a similarity (0.8 or more, as BANDS are made for), texts
-    whose sets of word shingles have at least that Jaccard similarity. Then texts without words form one class.
+    whose sets of word shingles have at least that Jaccard similarity. Then texts without words form one class. Rows of a
+    null id come after all others. Other columns stay as they are; an empty table gives an empty one.
     """
     ship(df.sparkSession)
     if similarity is not None:
