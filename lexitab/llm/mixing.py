@@ -1,7 +1,7 @@
 """Soft-membership mixing: document rates whose expected domain token totals match target weights.
 
-A softmax regression on hashed words, fitted on a bounded sample of the labelled table, gives every document a posterior over
-domains. Rates r >= 0 minimise (S - T)' B (S - T), with S = sum of r * tokens * posterior, T the targets and
+A softmax regression on hashed words and punctuation, fitted on a bounded sample of the labelled table, gives every document a
+posterior over domains. Rates r >= 0 minimise (S - T)' B (S - T), with S = sum of r * tokens * posterior, T the targets and
 B the inverse of M = sum of tokens * posterior * posterior'. In the metric of the tokens a step of length 1 or more is right, and a
 projected-gradient step is r <- max(0, z - length * posterior . B (S(z) - T)), where z runs ahead of r by Nesterov's momentum. Each round
 is one distributed sum of as many numbers as there are domains (S(z) follows from S(r), being linear), and a document's
@@ -13,6 +13,9 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +24,12 @@ from pyspark.sql import functions as F
 
 from lexitab.llm._support import arrow_column, cut_columnar, fresh, hold, ship, utf8_parts
 
-#: Hashed word features.
-FEATURES = 4096
+#: Words, runs of ASCII punctuation, and words said twice in a row are hashed to so many buckets.
+BUCKETS = 1 << 18
+#: The classifier keeps the buckets whose presence says most about the domain in its sample.
+KEPT = 1_024
+#: A bucket's share of the words counts so many times, up to 1.
+DENSITY = 10.0
 #: Labelled documents that the classifier is fitted on at most, about.
 TRAIN_LIMIT = 4_000
 #: Rounds at most; it ends before when the targets are met within TOLERANCE, or when SETTLED rounds gain less than a share.
@@ -34,64 +41,92 @@ SETTLED, SETTLED_SHARE = 10, 1e-3
 PURE = 0.2
 _WORD_MEMO = 300_000
 _TO_WORDS = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
+_TO_SIGNS = bytes(c if 33 <= c < 127 and not chr(c).isalnum() else 32 for c in range(256))
+_AGAIN = 1
 
 
-class FeatureOf(dict):
-    """A word's feature; forgets all when full."""
+class BucketOf(dict):
+    """A token's bucket; forgets all when full."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __init__(self, seed: int):
+        super().__init__()
+        self.seed = seed
+
+    def __missing__(self, token: bytes) -> int:
         if len(self) >= _WORD_MEMO:
             self.clear()
-        self[word] = out = zlib.crc32(word) % FEATURES
+        self[token] = out = zlib.crc32(token, self.seed) % BUCKETS
         return out
 
 
-_feature_of = FeatureOf()
+_word_bucket, _sign_bucket = BucketOf(0), BucketOf(1)
+
+
+def _release() -> None:
+    _word_bucket.clear()
+    _sign_bucket.clear()
 
 
-def features(raw: bytes | None) -> tuple[np.ndarray, np.ndarray, int]:
-    """A text's features, log(1 + count) of each, and its white-space tokens."""
+def token_buckets(raw: bytes | None) -> tuple[np.ndarray, int, int]:
+    """The bucket of each token of a text, its words, and its white-space tokens."""
     if not raw:
-        return np.zeros(0, np.int64), np.zeros(0), 0
+        return np.zeros(0, np.int64), 0, 0
     words = raw.lower().translate(_TO_WORDS).split()
-    counts = np.bincount(np.fromiter(map(_feature_of.__getitem__, words), np.int64, len(words)), minlength=FEATURES)
-    found = np.flatnonzero(counts)
-    return found, np.log1p(counts[found]), len(raw.split())
+    signs = raw.translate(_TO_SIGNS).split()
+    again = sum(map(eq, words, islice(words, 1, None)))
+    found = np.empty(len(words) + len(signs) + again, np.int64)
+    found[: len(words)] = list(map(_word_bucket.__getitem__, words))
+    found[len(words) : len(words) + len(signs)] = list(map(_sign_bucket.__getitem__, signs))
+    found[len(words) + len(signs) :] = _AGAIN
+    return found, len(words), len(raw.split())
 
 
 @dataclass
 class DomainModel:
-    """Softmax regression over hashed words."""
+    """Softmax regression on the presence and the density of the kept buckets, each weighed by its log ratio between domains."""
 
     domains: list[str]
-    weights: np.ndarray  # FEATURES x domains
+    kept: np.ndarray
+    scale: np.ndarray
+    weights: np.ndarray  # presences, then densities, x domains
     bias: np.ndarray
-    scale: np.ndarray  # inverse document frequency of each feature
 
-    def posterior(self, found: np.ndarray, values: np.ndarray) -> np.ndarray:
-        x = values * self.scale[found]
-        norm = np.sqrt((x * x).sum())
-        logits = self.bias + ((x / norm) @ self.weights[found] if norm else 0.0)
+    @cached_property
+    def place(self) -> np.ndarray:
+        """The place of each bucket among the kept ones, or -1."""
+        out = np.full(BUCKETS, -1, np.int32)
+        out[self.kept] = np.arange(len(self.kept))
+        return out
+
+    def counted(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the kept buckets among a text's, and how often each stands there."""
+        at = self.place[found]
+        counts = np.bincount(at[at >= 0], minlength=len(self.kept))
+        some = np.flatnonzero(counts)
+        return some, counts[some]
+
+    def posterior(self, found: np.ndarray, words: int) -> np.ndarray:
+        some, counts = self.counted(found)
+        scale = self.scale[some]
+        density = np.minimum(1.0, DENSITY * counts / max(1, words))
+        logits = self.bias + scale @ self.weights[some] + (scale * density) @ self.weights[len(self.kept) + some]
         out = np.exp(logits - logits.max())
         return out / out.sum()
 
 
-def fit_domains(rows: list[tuple[str, np.ndarray, np.ndarray]], domains: list[str], steps: int = 300, rate: float = 0.3, decay: float = 1e-4) -> DomainModel:
-    """From (domain, features, values) of labelled documents, by Adam on the mean log loss; none gives even posteriors."""
-    k = len(domains)
-    model = DomainModel(domains, np.zeros((FEATURES, k)), np.zeros(k), np.ones(FEATURES))
+def fit_domains(model: DomainModel, rows: list[tuple[str, np.ndarray, np.ndarray, int]], steps: int = 300, rate: float = 0.05, decay: float = 1e-3) -> DomainModel:
+    """Sets the weights from (domain, places, counts, words) of labelled documents, by Adam on the mean log loss; none leaves even posteriors."""
     if not rows:
         return model
-    x = np.zeros((len(rows), FEATURES), np.float32)
+    n, k = len(model.kept), len(model.domains)
+    x = np.zeros((len(rows), 2 * n + 1), np.float32)
     y = np.zeros((len(rows), k), np.float32)
-    for i, (domain, found, values) in enumerate(rows):
-        x[i, found] = values
-        y[i, domains.index(domain)] = 1
-    model.scale = np.log((1 + len(rows)) / (1.0 + (x > 0).sum(axis=0)))
-    x *= model.scale.astype(np.float32)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
-    w, first, second = (np.zeros((FEATURES + 1, k), np.float32) for _ in range(3))
+    x[:, -1] = 1
+    for i, (domain, some, counts, words) in enumerate(rows):
+        x[i, some] = model.scale[some]
+        x[i, n + some] = model.scale[some] * np.minimum(1.0, DENSITY * counts / max(1, words))
+        y[i, model.domains.index(domain)] = 1
+    w, first, second = (np.zeros((2 * n + 1, k), np.float32) for _ in range(3))
     for step in range(1, steps + 1):
         logits = x @ w
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
@@ -104,45 +139,88 @@ def fit_domains(rows: list[tuple[str, np.ndarray, np.ndarray]], domains: list[st
     return model
 
 
-def train_domains(df: DataFrame, labels: DataFrame, domain: Column, domains: list[str], *, id_column: str = "doc_id", text_column: str = "text", train_limit: int = TRAIN_LIMIT) -> DomainModel:
-    """The classifier of documents df from a labelled table with the same id column.
+def labelled_sample(df: DataFrame, labels: DataFrame, domain: Column, domains: list[str], id_column: str, text_column: str, train_limit: int) -> DataFrame:
+    """(doc_id, domain, text): one row for each of about train_limit labelled ids at most, however often df repeats an id.
 
-    domain is an expression over labels; rows without a domain of the list are ignored, an id with several labels counts
-    once with the smallest. Beyond train_limit labelled ids a hash of the id picks about as many.
+    An id with several labels counts once with the smallest, one with several texts with the text of the least hash.
     """
-    spark = df.sparkSession
-    ship(spark)
     named = labels.select(F.col(id_column).alias("doc_id"), domain.alias("domain")).where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull())
     named = named.groupBy("doc_id").agg(F.min("domain").alias("domain"))
     slots = 1 << 20
     share = min(slots, -(-train_limit * slots // max(1, named.count())))
     picked = named.where(F.pmod(F.xxhash64("doc_id", F.lit("mixing")), F.lit(slots)) < share)
-    texts = df.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "domain", "text")
+    rows = df.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).join(F.broadcast(picked), "doc_id")
+    return rows.groupBy("doc_id", "domain").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
+def telling_buckets(sample: DataFrame, domains: list[str], sizes: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The KEPT buckets of most mutual information with the domain, and in how many documents of each domain they are."""
+    total = float(sum(sizes.values()))
+    per = sample.select("domain", F.explode("found").alias("bucket")).groupBy("bucket").agg(*[F.count_if(F.col("domain") == d).alias(f"c{i}") for i, d in enumerate(domains)])
+    share = sum((F.col(f"c{i}") for i in range(len(domains))), F.lit(0)) / total
+    part = lambda p, q: F.when((p > 0) & (q > 0), p * F.ln(p / q)).otherwise(0.0)
+    gain = F.lit(0.0)
+    for i, d in enumerate(domains):
+        own, prior = F.col(f"c{i}") / total, F.lit(sizes.get(d, 0) / total)
+        gain = gain + part(own, share * prior) + part(prior - own, (1 - share) * prior)
+    best = per.withColumn("gain", F.round(gain, 12)).orderBy(F.desc("gain"), "bucket").limit(KEPT).collect()
+    best = sorted(best, key=lambda r: r["bucket"])
+    return np.array([r["bucket"] for r in best], np.int64), np.array([[r[f"c{i}"] for i in range(len(domains))] for r in best], float).reshape(len(best), len(domains))
+
+
+def train_domains(df: DataFrame, labels: DataFrame, domain: Column, domains: list[str], *, id_column: str = "doc_id", text_column: str = "text", train_limit: int = TRAIN_LIMIT) -> DomainModel:
+    """The classifier of documents df from a labelled table with the same id column.
+
+    domain is an expression over labels; rows without a domain of the list are ignored. Beyond train_limit labelled ids a hash
+    of the id picks about as many; the driver gets the kept buckets of those, one document an id.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    texts = labelled_sample(df, labels, domain, domains, id_column, text_column, train_limit)
+    kind = texts.schema["doc_id"].dataType.simpleString()
 
     def read(batches):
-        hold("mixing", _feature_of.clear)
+        hold("mixing", _release)
         for batch in batches:
-            rows = [features(raw)[:2] for raw in utf8_parts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("domain"), pa.array([f.tolist() for f, _ in rows], pa.list_(pa.int64())), pa.array([v.tolist() for _, v in rows], pa.list_(pa.float64()))], ["doc_id", "domain", "found", "counts"])
+            rows = [token_buckets(raw) for raw in utf8_parts(batch.column("text"))]
+            unique = [np.unique(found, return_counts=True) for found, _, _ in rows]
+            columns = [pa.array([f for f, _ in unique], pa.list_(pa.int64())), pa.array([c for _, c in unique], pa.list_(pa.int64())), pa.array([n for _, n, _ in rows], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("domain"), *columns], ["doc_id", "domain", "found", "counts", "words"])
+
+    sample = cut_columnar(texts.mapInArrow(read, f"doc_id {kind}, domain string, found array<long>, counts array<long>, words long"))
+    sizes = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
+    kept, documents = telling_buckets(sample, domains, sizes) if sizes else (np.zeros(0, np.int64), np.zeros((0, len(domains))))
+    own = np.array([sizes.get(d, 0) for d in domains], float)
+    ratio = np.log((documents + 1) / (own + 2)) - np.log((documents.sum(axis=1, keepdims=True) - documents + 1) / (own.sum() - own + 2))
+    model = DomainModel(domains, kept, np.abs(ratio).max(axis=1, initial=0.0), np.zeros((2 * len(kept), len(domains))), np.zeros(len(domains)))
+    place = model.place
+
+    def reduce(batches):
+        for batch in batches:
+            found, counts = (np.array(batch.column(c).flatten()) for c in ("found", "counts"))
+            ends = np.concatenate([[0], np.cumsum(batch.column("found").value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+            known = place[found] >= 0
+            before = np.concatenate([[0], np.cumsum(known)])[ends].astype(np.int32)
+            columns = [pa.ListArray.from_arrays(before, pa.array(x[known].astype(np.int64))) for x in (place[found], counts)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("domain"), *columns, batch.column("words")], batch.schema.names)
 
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    rows = texts.mapInArrow(read, f"doc_id {kind}, domain string, found array<long>, counts array<double>").collect()
-    rows = sorted({(r["doc_id"], r["domain"], tuple(r["found"]), tuple(r["counts"])) for r in rows})  # the same order each time
-    return fit_domains([(d, np.array(f, np.int64), np.array(v)) for _, d, f, v in rows], domains)
+    rows = sample.mapInArrow(reduce, f"doc_id {kind}, domain string, found array<long>, counts array<long>, words long").collect()
+    rows = sorted(rows, key=lambda r: (str(r["doc_id"]), r["domain"]))  # the same order each time
+    return fit_domains(model, [(r["domain"], np.array(r["found"], np.int64), np.array(r["counts"], float), r["words"]) for r in rows])
 
 
 def posteriors(df: DataFrame, model: DomainModel, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, key, n_tokens, posterior) for each row; key is a hash of id and text, and a null text has no tokens and the prior."""
+    """(doc_id, key, n_tokens, posterior) for each row; key is a hash of id and text, and a null text has the posterior of no words."""
     ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     doc, text = F.col(id_column), F.col(text_column)
 
     def score(texts: pa.Array) -> pa.Array:
-        found = [features(raw) for raw in utf8_parts(texts)]
-        rows = [{"n_tokens": n, "posterior": shared.value.posterior(f, v).tolist()} for f, v, n in found]
+        found = map(token_buckets, utf8_parts(texts))
+        rows = [{"n_tokens": n, "posterior": shared.value.posterior(f, words).tolist()} for f, words, n in found]
         return pa.array(rows, pa.struct([("n_tokens", pa.int64()), ("posterior", pa.list_(pa.float64()))]))
 
-    scored = df.select(doc.alias("doc_id"), F.xxhash64(doc, text).alias("key"), arrow_column("mixing", score, "n_tokens long, posterior array<double>", _feature_of.clear)(text).alias("s"))
+    scored = df.select(doc.alias("doc_id"), F.xxhash64(doc, text).alias("key"), arrow_column("mixing", score, "n_tokens long, posterior array<double>", _release)(text).alias("s"))
     return scored.select("doc_id", "key", "s.n_tokens", "s.posterior")
 
 
@@ -173,7 +251,7 @@ class MixFit:
                 ahead = rate + momentum * (rate - last)
             return pa.array(np.round(rate, 9))
 
-        return arrow_column("mixing", follow, "double", _feature_of.clear)(posterior)
+        return arrow_column("mixing", follow, "double", _release)(posterior)
 
 
 def fit_rates(scored: DataFrame, domains: list[str], weights: dict[str, float], *, budget: float | None = None, keep: list[str] | None = None) -> MixFit:
@@ -258,12 +336,13 @@ def mix(df: DataFrame, model: DomainModel, weights: dict[str, float], *, id_colu
 
 
 def take(df: DataFrame, mixed: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of df, each as often as its copies say."""
-    key, n = fresh(df, "key", "copies")
+    """The rows of df, each as often as its copies say. Rows are found by id and a hash of id and text."""
+    key, n, own, other = fresh(df, "key", "copies", "own", "other")
     doc, text = df[f"`{id_column}`"], df[f"`{text_column}`"]
-    wanted = mixed.select(F.col("key").alias(key), F.col("copies").alias(n)).where(F.col(n) > 0).dropDuplicates([key])
-    rows = df.withColumn(key, F.xxhash64(doc, text)).join(wanted, key)
+    wanted = mixed.select(F.col("doc_id").alias(other), F.col("key").alias(own), F.col("copies").alias(n)).where(F.col(n) > 0).dropDuplicates([other, own])
+    rows = df.withColumn(key, F.xxhash64(doc, text))
+    rows = rows.join(wanted, (rows[key] == wanted[own]) & doc.eqNullSafe(wanted[other]))
     (i,) = fresh(rows, "i")
-    return rows.withColumn(i, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(key, n, i)
+    return rows.withColumn(i, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(key, n, own, other, i)
 
 
