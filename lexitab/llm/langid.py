@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexitab.llm._support import hold, ship
+from lexitab.llm._support import cut_columnar, hold, ship
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -257,10 +257,10 @@ def train(
 ) -> LanguageModels:
     """Models from labelled rows: null labels and texts are ignored; no labelled row gives models that reject all.
 
-    Rows beyond about train_limit are left out by a hash of their key, each language by its own rate, so rare languages
-    keep all rows. A fifth of the picked rows, again by hash, isn't counted but calibrates: a language's limit is the
-    rejection_quantile of its cross-entropies times rejection_margin (FLOOR at least), and the score's temperature has the lowest log loss.
-    N-grams are counted on the executors; the driver gets the counts of the bounded sample.
+    Rows beyond about train_limit are left out by a hash of their key and text, each language by its own rate, so rare languages
+    keep all rows; rows equal in all three count once. A fifth of the picked rows, again by hash, isn't counted but calibrates: a
+    language's limit is the rejection_quantile of its cross-entropies times rejection_margin (FLOOR at least), and the score's
+    temperature has the lowest log loss. N-grams are counted on the executors; the driver gets the counts of the bounded sample.
     """
     spark = df.sparkSession
     ship(spark)
@@ -271,9 +271,11 @@ def train(
         return LanguageModels([], np.zeros(0, np.uint32))
     each = max(1, train_limit // len(sizes))
     slots = 1 << 20
-    slot = F.pmod(F.xxhash64("key", F.lit("train")), F.lit(slots))
+    slot = F.pmod(F.xxhash64("key", "text", F.lit("train")), F.lit(slots))
     limit = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(slots, -(-each * slots // n)))])
-    picked = rows.where(slot < limit[F.col("lang")]).withColumn("calibrates", F.pmod(F.xxhash64("key", F.lit("calibrate")), F.lit(5)) == 0)
+    # Copies of one row share a slot, so they are counted once here: the sample's bound holds whatever repeats.
+    picked = rows.where(slot < limit[F.col("lang")]).groupBy("lang", "key", F.xxhash64("key", "text").alias("row")).agg(F.first("text").alias("text"))
+    picked = cut_columnar(picked.select("lang", "text", (F.pmod(F.xxhash64("row", F.lit("calibrate")), F.lit(5)) == 0).alias("calibrates")))
 
     def alphabets(batches):
         hold("langid", _letters.clear)
