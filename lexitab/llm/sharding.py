@@ -11,11 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexitab.llm._support import cut_columnar, fresh
+from lexitab.llm._support import cut_columnar
 
-#: Rows that are numbered in one go, about, and the cuts of a bucket by input partition.
+#: Distinct rows that are numbered in one go, about, and copies of a row that are written out in one go.
 ROWS_A_BUCKET = 4_000
-PARTS = 16
 
 
 def unit(key: Column, shard: int) -> Column:
@@ -50,31 +49,32 @@ def shard_records(
 
     The law is `key`: the id and the weights alone decide, so equal ids always meet. size is the text's UTF-8 bytes plus 8 (null:
     8); text_crc32 is null for a null text; grown_shard is the shard under the weights `grown` (null without them). Slots count
-    from 0 without a gap in each shard, by the MD5 of id, checksum and size; rows equal in all of these may change places.
-    Null ids form one key. Other columns are ignored; an empty table gives an empty one.
+    from 0 without a gap in each shard, in the order of the MD5 of id, checksum and size, then of these three (nulls first),
+    whatever the partitions of df; rows equal in all three take neighbouring slots. Null ids form one key. Other columns are
+    ignored; an empty table gives an empty one.
     Slots need no task per shard: a shard is cut by the MD5's first digits into buckets, and each bucket starts at the sum of
-    the counts before it. Copies of one row share an MD5, so a bucket is also cut by the number of the input partition.
+    the counts before it. Equal rows are counted before they are numbered, so a row that repeats is one row until the end.
     """
-    order, bucket, part, first, cell, count = fresh(df, "order", "bucket", "part", "first", "cell", "count")
     key = record_key(F.col("doc_id"))
     rows = df.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    rows = rows.select(
-        "doc_id",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
-        F.crc32("text").alias("text_crc32"),
-        F.lit("key").alias("law"),
-        rendezvous(key, weights).alias("shard"),
-        (rendezvous(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
-        F.pmod(F.spark_partition_id(), F.lit(PARTS)).alias(part),
-    )
-    rows = cut_columnar(rows)
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size")
+    rows = rows.select("doc_id", size, F.crc32("text").alias("text_crc32")).groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
+    shards = rendezvous(key, weights).alias("shard"), (rendezvous(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard")
+    rows = cut_columnar(rows.select("*", *shards, F.md5(F.concat_ws(":", key, "text_crc32", "size")).alias("order")))
     total, digits = rows.count(), 1
-    while 16**digits * len(weights) * PARTS * ROWS_A_BUCKET < total:
+    while 16**digits * len(weights) * ROWS_A_BUCKET < total:
         digits += 1
-    rows = rows.withColumn(order, F.md5(F.concat_ws(":", key, "text_crc32", "size"))).withColumn(bucket, F.substring(order, 1, digits))
-    sized = rows.groupBy("shard", bucket, part).agg(F.count(F.lit(1)).alias(count))
-    before = W.partitionBy("shard").orderBy(bucket, part).rowsBetween(W.unboundedPreceding, -1)
-    starts = sized.select("shard", bucket, part, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(first))
-    within = W.partitionBy("shard", bucket, part).orderBy(order, "doc_id", "text_crc32", "size")
-    numbered = rows.withColumn(cell, F.row_number().over(within) - 1).join(starts, ["shard", bucket, part])
-    return numbered.select("doc_id", "size", "text_crc32", "law", "shard", (F.col(first) + F.col(cell)).cast("long").alias("slot"), "grown_shard")
+    rows = rows.withColumn("bucket", F.substring("order", 1, digits))
+    sized = rows.groupBy("shard", "bucket").agg(F.sum("n").alias("rows"))
+    before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    starts = sized.select("shard", "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+    within = W.partitionBy("shard", "bucket").orderBy("order", "doc_id", "text_crc32", "size").rowsBetween(W.unboundedPreceding, -1)
+    placed = rows.withColumn("ahead", F.coalesce(F.sum("n").over(within), F.lit(0))).join(starts, ["shard", "bucket"])
+    placed = placed.withColumn("first", F.col("start") + F.col("ahead")).drop("start", "ahead", "order", "bucket")
+    columns = ["doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"]
+    few = placed.where(F.col("n") <= ROWS_A_BUCKET).withColumn("slot", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)))
+    many = placed.where(F.col("n") > ROWS_A_BUCKET).withColumn("last", F.col("first") + F.col("n") - 1)
+    # A row with many copies is dealt out again, a stretch of slots at a time.
+    many = many.withColumn("low", F.explode(F.sequence("first", "last", F.lit(ROWS_A_BUCKET).cast("long")))).repartition("doc_id", "low")
+    many = many.withColumn("slot", F.explode(F.sequence("low", F.least(F.col("last"), F.col("low") + ROWS_A_BUCKET - 1))))
+    return few.select(*columns).union(many.select(*columns))

@@ -39,6 +39,29 @@ def test_documents(spark, small):
         assert r["grown_shard"] in (r["shard"], 24) and r["grown_shard"] == brute_shard(str(r["doc_id"]), [1.0] * 25)
 
 
+def brute_slots(rows: list[tuple[int | None, str | None]], weights: list[float]) -> list[tuple]:
+    """(id, checksum, shard, slot) of each row, by sorting each shard whole."""
+    shards = defaultdict(list)
+    for doc, text in rows:
+        key, raw = "null" if doc is None else str(doc), None if text is None else text.encode()
+        size, crc = len(raw or b"") + 8, None if raw is None else zlib.crc32(raw)
+        order = hashlib.md5(":".join([key, *([] if crc is None else [str(crc)]), str(size)]).encode()).hexdigest()
+        shards[brute_shard(key, weights)].append((order, doc is not None, doc or 0, crc is not None, crc or 0, size, doc, crc))
+    return [(*r[-2:], shard, slot) for shard, members in shards.items() for slot, r in enumerate(sorted(members, key=lambda r: r[:6]))]
+
+
+def test_slots_equal_brute_force_for_any_partitions(spark, small, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_A_BUCKET", 5)  # several buckets a shard, and repeated rows in stretches
+    documents = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in documents.collect()] + [(7, "again")] * 37 + [(None, None)] * 3 + [(None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    want = sorted(brute_slots(rows, [1.0] * 3), key=key)
+    for parts in (2, 7):
+        out = sharding.shard_records(df.repartition(parts), weights=[1.0] * 3).collect()
+        assert sorted(((r["doc_id"], r["text_crc32"], r["shard"], r["slot"]) for r in out), key=key) == want
+
+
 def test_weights(spark):
     df = spark.range(20_000).selectExpr("id as doc_id", "'' as text")
     counts = {r["shard"]: r["count"] for r in sharding.shard_records(df, weights=[1.0, 3.0, 0.0]).groupBy("shard").count().collect()}
