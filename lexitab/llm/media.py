@@ -22,6 +22,8 @@ from lexitab.llm._support import arrow_column, ship, utf8_parts
 #: Bytes of a row of blocks, and rows of a frame at most.
 ROW, ROWS = 64, 64
 RATE = 25
+#: Lists within lists of a file that is read.
+DEEPEST = 16
 #: Frames that the adaptive threshold looks back on; a shot change exceeds their mean by DEVIATIONS and LEAST itself.
 WINDOW, DEVIATIONS, LEAST = 8, 3.0, 0.25
 
@@ -93,6 +95,8 @@ def decode_frame(jpeg: bytes) -> np.ndarray:
             break
     scan = jpeg[at : jpeg.rindex(b"\xff\xd9")].replace(b"\xff\x00", b"\xff")
     blocks = size[0] * size[1]
+    if blocks > 4 * len(scan):  # a block takes two bits at least
+        raise ValueError("damaged frame")
     if tables[0x00] == (_DC_LENGTHS, _DC_SYMBOLS) and tables[0x10] == (_AC_LENGTHS, _AC_SYMBOLS) and not blocks % 4:
         padded = np.zeros((blocks // 4, 8), np.uint8)
         padded[:, 3:] = np.frombuffer(scan, np.uint8)[: blocks // 4 * 5].reshape(-1, 5)
@@ -183,22 +187,26 @@ def read_avi(data: bytes) -> tuple[list[np.ndarray], int | None, float]:
         raise ValueError("not an AVI file")
     movie, index, length, rate = None, [], None, float(RATE)
 
-    def walk(at, end):
+    def walk(at, end, depth=0):
         nonlocal movie, index, length, rate
+        if depth > DEEPEST:
+            raise ValueError("lists within lists")
         for name, start, size in _chunks(data, at, end):
             if name == b"LIST" and data[start : start + 4] == b"movi":
                 movie = start
             elif name == b"LIST":
-                walk(start + 4, start + size)
+                walk(start + 4, min(end, start + size), depth + 1)
             elif name == b"strd" and size == 8:
                 (length,) = struct.unpack("<Q", data[start : start + 8])
             elif name == b"strh":
                 scale, ticks = struct.unpack("<II", data[start + 20 : start + 28])
+                if not scale or not ticks:
+                    raise ValueError("no frame rate")
                 rate = ticks / scale
             elif name == b"idx1":
                 index = list(struct.iter_unpack("<4sIII", data[start : start + size // 16 * 16]))
 
-    walk(12, 8 + int.from_bytes(data[4:8], "little"))
+    walk(12, min(len(data), 8 + int.from_bytes(data[4:8], "little")))
     if movie is None:
         raise ValueError("no movi list")
     # Offsets count from the word movi, or in some files from the start of the file.
@@ -224,6 +232,12 @@ def shot_starts(frames: list[np.ndarray]) -> list[int]:
     return starts
 
 
+def timed_clips(frames: list[np.ndarray], rate: float) -> list[dict]:
+    """first_frame, frames, start_s and end_s of each shot, numbered from 0."""
+    starts = shot_starts(frames)
+    return [{"clip": i, "first_frame": a, "frames": b - a, "start_s": a / rate, "end_s": b / rate} for i, (a, b) in enumerate(zip(starts, [*starts[1:], len(frames)]))]
+
+
 def payload_of(raw: bytes | None) -> bytes:
     """The text's bytes with zero bytes up to a positive multiple of ROW."""
     raw = raw or b""
@@ -232,13 +246,13 @@ def payload_of(raw: bytes | None) -> bytes:
 
 def _described(raw: bytes | None) -> dict:
     media = write_avi(payload_of(raw))
-    frames, length, _ = read_avi(media)
+    frames, length, rate = read_avi(media)
     back = np.concatenate(frames).tobytes()[:length]
     levels = np.frombuffer(back, np.uint8)
     counts = np.bincount(levels, minlength=256)
     share = counts[counts > 0] / len(levels)
-    shots = shot_starts(frames)
-    feature = f"frames={len(frames)};shots={len(shots)};mean={levels.mean():.4f};distinct={len(share)};entropy={-(share * np.log2(share)).sum() + 0.0:.4f}"
+    cut = timed_clips(frames, rate)
+    feature = f"frames={len(frames)};shots={len(cut)};mean={levels.mean():.4f};distinct={len(share)};entropy={-(share * np.log2(share)).sum() + 0.0:.4f}"
     return {
         "n_bytes": len(raw or b""),
         "payload_bytes": len(back),
@@ -247,20 +261,23 @@ def _described(raw: bytes | None) -> dict:
         "media_bytes": len(media),
         "media_sha256": hashlib.sha256(media).hexdigest(),
         "feature": feature,
+        "clips": cut,
     }
 
 
-_RESULT = pa.struct([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+_CLIPS = pa.list_(pa.struct([("clip", pa.int32()), ("first_frame", pa.int32()), ("frames", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64())]))
+_CLIPS_KIND = "array<struct<clip:int,first_frame:int,frames:int,start_s:double,end_s:double>>"
+_RESULT = pa.struct([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("clips", _CLIPS)])
 
 
 def describe_documents(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """A row for each input row: its text written as AVI and read back, as sizes, digests and features.
+    """A row for each input row: its text written as AVI and read back, as sizes, digests, features and timed clips.
 
     Null and empty texts are 64 zero bytes. Repeated rows and null ids are passed on, other columns ignored. No shuffle; a
     worker holds one text's file at a time.
     """
     ship(df.sparkSession)
-    kind = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    kind = f"n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips {_CLIPS_KIND}"
     described = arrow_column("media", lambda texts: pa.array([_described(raw) for raw in utf8_parts(texts)], _RESULT), kind)
     return df.select(F.col(id_column).alias("doc_id"), described(F.col(text_column)).alias("s")).select("doc_id", "s.*")
 
@@ -287,10 +304,8 @@ def clips(df: DataFrame, *, id_column: str = "doc_id", media_column: str = "medi
             except (ValueError, KeyError, IndexError, struct.error):
                 out.append([])
                 continue
-            starts = shot_starts(frames)
-            ends = [*starts[1:], len(frames)]
-            out.append([{"clip": i, "first_frame": a, "frames": b - a, "start_s": a / rate, "end_s": b / rate} for i, (a, b) in enumerate(zip(starts, ends))])
-        return pa.array(out, pa.list_(pa.struct([("clip", pa.int32()), ("first_frame", pa.int32()), ("frames", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64())])))
+            out.append(timed_clips(frames, rate))
+        return pa.array(out, _CLIPS)
 
-    found = arrow_column("media", cut_into, "array<struct<clip:int,first_frame:int,frames:int,start_s:double,end_s:double>>")(F.col(media_column))
+    found = arrow_column("media", cut_into, _CLIPS_KIND)(F.col(media_column))
     return df.select(F.col(id_column).alias("doc_id"), F.explode(found).alias("c")).select("doc_id", "c.*")

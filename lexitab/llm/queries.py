@@ -79,8 +79,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document stored as motion-JPEG and read back."""
-    return media.describe_documents(_read(spark, sf_dir, "documents"))
+    """Every document stored as motion-JPEG and read back, with its timed clips as JSON."""
+    return media.describe_documents(_read(spark, sf_dir, "documents")).withColumn("clips", F.to_json("clips"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
