@@ -1,4 +1,8 @@
-"""Licence scans: Aho-Corasick over words for notices and tags, and a shunting-yard parser for licence expressions."""
+"""Licence scans: Aho-Corasick over words for notices and tags, and a shunting-yard parser for licence expressions.
+
+Expressions come from tags ("SPDX-License-Identifier: MIT OR X") and from what prose says: notices with their versions, joined by
+the and, or and with between them, as in "licensed under the Apache License, Version 2.0 or the MIT License".
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ from dataclasses import dataclass
 from functools import cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +50,9 @@ _TAGGED = re.compile(rb"spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identif
 _LEAD = re.compile(rb"^[^0-9a-z\x80-\xff(]*", re.IGNORECASE)
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
 _BINDS = {"or": 1, "and": 2, "with": 3}
+#: Words that may stand between two licences of one statement, and how many words may.
+_BETWEEN = frozenset("a an any at both either of option terms the this under your licence license licensed".split()) | _BINDS.keys()
+BETWEEN = 8
 
 
 @dataclass(frozen=True)
@@ -144,12 +152,55 @@ def tagged_text(rest: bytes) -> str:
     return _LEAD.sub(b"", rest.split(b"\n", 1)[0], count=1).decode("utf-8", "replace")
 
 
+#: What makes a version a least one.
+_LATER = ([b"or", b"later"], [b"or", b"any", b"later", b"version"])
+
+
+def version_after(words: list[bytes], at: int) -> tuple[str, int]:
+    """The version that stands at a word ("version 2 0 or later" gives "2.0+"), empty if there is none, and the word after it."""
+    start = at + 1 if words[at : at + 1] in ([b"version"], [b"v"]) else at
+    said: list[str] = []
+    for word in words[start : start + 2]:
+        digits = word[1:] if not said and word.startswith(b"v") else word
+        if not digits.isdigit() or len(digits) > 2 - len(said):  # no years and no numbers of what follows
+            break
+        said.append(digits.decode("ascii"))
+    if not said:
+        return "", at
+    end = start + len(said)
+    for later in _LATER:
+        if words[end : end + len(later)] == later:
+            return ".".join(said) + "+", end + len(later)
+    return ".".join(said), end
+
+
+def statements(words: list[bytes], mentions: list[tuple[int, int, str]]) -> list[str]:
+    """Licence expressions of a text's mentions (first word, word after the last, label), the longest first where they overlap."""
+    out: list[list[str]] = []
+    last = 0
+    for start, end, label in sorted(mentions, key=lambda m: (m[0], -m[1])):
+        if out and start < last:
+            continue
+        between = [w.decode("utf-8", "replace") for w in words[last:start]] if out and start - last <= BETWEEN else ["."]
+        binds = [w for w in between if w in _BINDS]
+        version, after = version_after(words, end)
+        name = f"{label}-{version}" if version else label
+        if len(binds) == 1 and _BETWEEN.issuperset(between):
+            out[-1] += [binds[0], name]
+        else:
+            out.append([name])
+        last = after
+    return list(dict.fromkeys(map(" ".join, out)))
+
+
 def scan(raw: bytes | None) -> dict:
     """What one text (UTF-8, None: empty) holds."""
     words = (raw or b"").translate(_FOLD).split()
     line = (b" " + b" ".join(words) + b" ").decode("latin-1")
-    places, base, labels, others, tagged = [], set(), set(), 0, False
+    places, base, labels, others, tagged, found = [], set(), set(), 0, False, []
     for end, (kind, label, size) in automaton().iter(line):
+        if kind != "tag":
+            found.append((end - size + 1, end, label))
         if kind == "base":
             places.append(end - size + 1)
             base.add(label)
@@ -162,10 +213,15 @@ def scan(raw: bytes | None) -> dict:
     if tagged:
         tags = [m.span() for m in _TAGGED.finditer(raw)]
         ends = [start for start, _ in tags[1:]] + [len(raw)]
-        found = (parse_expression(tagged_text(raw[a:b])) for (_, a), b in zip(tags, ends))
-        expressions = [e for e in found if e]
-        labels.update(i for e in expressions for i in e.identifiers)
+        parsed = (parse_expression(tagged_text(raw[a:b])) for (_, a), b in zip(tags, ends))
+        expressions = [e for e in parsed if e]
     weight = len(places) + others + 2 * len(expressions)
+    if found:
+        spaces = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
+        starts, ends = (np.searchsorted(spaces, [m[i] for m in found]).tolist() for i in (0, 1))
+        said = statements(words, [(a, b, label) for a, b, (_, _, label) in zip(starts, ends, found)])
+        expressions += [parse_expression(s) for s in said]
+    labels.update(i for e in expressions for i in e.identifiers)
     return {
         "n_words": len(words),
         "n_base": len(places),
@@ -186,9 +242,10 @@ def scan_documents(df: DataFrame, *, id_column: str = "doc_id", text_column: str
     """A row for each input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, expressions, permitted.
 
     Words are runs of ASCII letters and digits and of bytes above 0x7F, A-Z lower-cased. Null and empty texts have no words,
-    no labels and score 0; first_word and last_word are null without a base place. labels adds those of other notices and of
-    the identifiers in tagged expressions; expressions are in postfix order; permitted is null without one. score is
-    1 - 0.5 ** (places + 2 * expressions). Null ids and repeated rows are passed on, other columns ignored. No shuffle.
+    no labels and score 0; first_word and last_word are null without a base place. labels adds those of other notices and
+    the identifiers in expressions, such as apache-2.0; expressions are in postfix order, tagged ones first, equal statements
+    of prose once; permitted says that a permissive choice satisfies each, and is null without one. score is
+    1 - 0.5 ** (places and notices + 2 * tagged expressions). Null ids and repeated rows are passed on, other columns ignored. No shuffle.
     """
     ship(df.sparkSession)
     kind = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>, permitted boolean"

@@ -65,6 +65,23 @@ def test_tags():
     assert found["labels"] == "apache-2.0,gpl-2.0-only,mit" and found["permitted"] is False and found["score"] == 0.75
 
 
+@pytest.mark.parametrize(
+    ("text", "labels", "expressions", "permitted"),
+    [
+        ("Licensed under the Apache License, Version 2.0 or the MIT License.", "apache,apache-2.0,mit", ["apache-2.0 mit or"], True),
+        ("Licensed under the MIT License and the GNU General Public License, version 3.", "gpl,gpl-3,mit", ["mit gpl-3 and"], False),
+        ("the GNU General Public License version 2 or later, or, at your option, under the BSD license", "bsd,gpl,gpl-2+", ["gpl-2+ bsd or"], False),
+        ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc,cc-by-nc-4.0", ["cc-by-nc-4.0"], False),
+        ("CC BY 4.0 pictures and texts. MIT License", "cc-by,cc-by-4.0,mit", ["cc-by-4.0", "mit"], True),
+        ("MIT license v2 MIT license 2024", "mit,mit-2", ["mit-2", "mit"], False),
+        ("no licence or notice", "", [], None),
+    ],
+)
+def test_statements(text, labels, expressions, permitted):
+    found = license_scan.scan(text.encode())
+    assert (found["labels"], found["expressions"], found["permitted"]) == (labels, expressions, permitted)
+
+
 def test_license_edges(spark):
     df = spark.createDataFrame([(1, None, 3), (2, "", 3), (None, "mit license", 3), (None, "mit license", 3), (4, "mit license " * 100_000, 3)], "doc_id long, text string, n_words int")
     out = license_scan.scan_documents(df).collect()
@@ -98,6 +115,19 @@ def test_media_documents(spark, small):
         assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
 
 
+def test_damaged_files_give_no_clips(spark):
+    """Any byte of the headers set to 0 or 255, cut files, lists within lists, no frame rate: clips or none, but no error."""
+    good = media.write_avi(bytes(range(256)) * 40)
+    at = good.index(b"strh") + 8
+    bad = [good[: at + 20] + b"\x00" * 4 + good[at + 24 :], good[: at + 24] + b"\x00" * 4 + good[at + 28 :], b"", b"RIFF", good[:300]]
+    nested = b"".join(b"LIST\xff\xff\xff\x7fhdrl" for _ in range(50_000))
+    bad.append(b"RIFF\xff\xff\xff\x7fAVI " + nested)
+    damaged = [good[:i] + bytes([value]) + good[i + 1 :] for i in [*range(320), *range(len(good) - 80, len(good))] for value in (0, 255)]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate([good, *bad, *damaged])], "doc_id long, media binary")
+    found = {r["doc_id"] for r in media.clips(df).collect()}
+    assert 0 in found and not found & set(range(1, len(bad) + 1))
+
+
 def test_clips(spark):
     quiet, loud = bytes(4096 * 3), bytes(range(256)) * 16 * 2
     df = spark.createDataFrame([(1, media.write_avi(quiet + loud + quiet)), (2, None), (3, bytearray(b"RIFF")), (4, media.write_avi(bytes(64)))], "doc_id long, media binary")
@@ -108,6 +138,6 @@ def test_clips(spark):
 def test_media_edges(spark):
     df = spark.createDataFrame([(1, None, "x"), (1, "", "x"), (None, "é" * 200_000, "x")], "doc_id long, text string, feature string")
     out = media.describe_documents(df).collect()
-    assert len(out) == 3 and len({tuple(r)[1:] for r in out if r["doc_id"]}) == 1 and out[0]["payload_bytes"] == 64
+    assert len(out) == 3 and len({str(tuple(r)[1:]) for r in out if r["doc_id"]}) == 1 and out[0]["payload_bytes"] == 64
     assert media.describe_documents(df.limit(0)).count() == 0
     assert media.store_documents(df).where("media is null").count() == 0
