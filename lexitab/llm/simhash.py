@@ -65,30 +65,39 @@ def fingerprint_of(text: Column, shingle: int = SHINGLE) -> Column:
     return arrow_column("simhash", lambda texts: fingerprints(texts, shingle), "long")(text)
 
 
-def bit_counts(fp: Column) -> Column:
-    """The bit count of each two-bit segment, in the place of that segment."""
-    odd = F.lit(0x5555555555555555)
-    next_bit = F.shiftrightunsigned(fp, 1)
-    # Bitwise, as a sum of both could overflow a signed long.
-    return fp.bitwiseXOR(next_bit).bitwiseAND(odd).bitwiseOR(F.shiftleft(fp.bitwiseAND(next_bit).bitwiseAND(odd), 1))
-
-
-def near_cells(fp: Column) -> Column:
-    """The cells at Manhattan distance 0 or 1 from a fingerprint's count vector, and nulls for steps that leave the grid."""
-    counts = bit_counts(fp)
-    steps = []
+def bit_counts(fps: np.ndarray) -> np.ndarray:
+    """The bit count of each two-bit segment of unsigned fingerprints, in the place of that segment."""
+    odd = np.uint64(0x5555555555555555)
+    return (fps & odd) + (fps >> np.uint64(1) & odd)
+
+
+def near_cells(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the fingerprint, cell) for the cells at Manhattan distance 0 or 1 from each fingerprint's count vector."""
+    counts = bit_counts(fps)
+    owners, cells = [np.arange(len(fps))], [counts]
     for i in range(_SEGMENTS):
-        here = F.shiftrightunsigned(counts, _WIDTH * i).bitwiseAND(F.lit(3))
-        put = lambda n: counts.bitwiseXOR(F.shiftleft(here.bitwiseXOR(n), _WIDTH * i))  # noqa: B023, E731
-        steps += [F.when(here < _WIDTH, put(here + 1)), F.when(here > 0, put(here - 1))]
-    return F.array(counts, *steps)
+        one = np.uint64(1) << np.uint64(_WIDTH * i)
+        here = counts >> np.uint64(_WIDTH * i) & np.uint64(3)
+        for inside, moved in ((here < _WIDTH, counts + one), (here > 0, counts - one)):  # no step leaves the grid
+            some = np.flatnonzero(inside)
+            owners.append(some)
+            cells.append(moved[some])
+    return np.concatenate(owners), np.concatenate(cells)
 
 
 def near_links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
     """The links (a, b), a > b, of all pairs of distinct fingerprints within DISTANCE bits of each other."""
     found = distinct.select(F.col(fp).alias("fp"))
     found = found.repartition(max(1, found.sparkSession.sparkContext.defaultParallelism, found.count() // EXPANDED), "fp")
-    cells = found.select("fp", F.explode(near_cells(F.col("fp"))).alias("cell")).where("cell is not null")
+
+    def expand(batches):
+        hold("simhash")
+        for batch in batches:
+            fps = np.array(batch.column("fp"), np.int64)
+            owners, cells = near_cells(fps.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(fps[owners]), pa.array(cells.view(np.int64))], ["fp", "cell"])
+
+    cells = found.mapInArrow(expand, "fp long, cell long")
     same = W.partitionBy("cell")
     placed = cells.select("*", F.row_number().over(same.orderBy("fp")).alias("at"), F.lead("fp").over(same.orderBy("fp")).alias("next")).where("at > 1 or next is not null")
     placed = placed.withColumn("n", F.max("at").over(same)).withColumn("block", F.floor((F.col("at") - 1) / F.lit(BLOCK)).cast("int"))
