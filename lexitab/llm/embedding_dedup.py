@@ -18,16 +18,18 @@ from pyspark.sql import types as T
 from lexitab.llm._graph import connected_components, local_roots
 from lexitab.llm._support import cut, hold, ship
 
-#: Vectors that the centroids are fitted on at most, about; every vector is assigned and compared.
-SAMPLE = 20_000
+#: Vectors that the centroids are fitted on at most, about, and for each centroid; every vector is assigned and compared.
+SAMPLE, SAMPLE_A_CELL = 20_000, 16
 #: Rows of the largest label for each cell, and cells at most.
 CELL_ROWS = 4_096
-MAX_CELLS = 1_024
+MAX_CELLS = 8_192
 BLOCK = 2_048
 ITERATIONS = 8
 #: Slack of bounds over rounding in double precision, and in single precision.
 SLACK, SINGLE_SLACK = 1e-9, 1e-4
 _PAIRS = 1 << 18
+#: Products of vectors and centroids held at a time.
+_PRODUCTS = 1 << 22
 
 
 def scaled(vectors: np.ndarray) -> np.ndarray:
@@ -35,33 +37,48 @@ def scaled(vectors: np.ndarray) -> np.ndarray:
     return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
 
 
+def nearest(vectors: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each vector's centroid of the highest product, and that product."""
+    step = max(1, _PRODUCTS // max(1, len(centroids)))
+    found, highest = [], []
+    for low in range(0, len(vectors), step):
+        products = vectors[low : low + step] @ centroids.T
+        found.append(products.argmax(axis=1))
+        highest.append(products.max(axis=1))
+    return np.concatenate(found), np.concatenate(highest)
+
+
 def spherical_kmeans(vectors: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
     """Unit centroids; empty clusters take the vectors that fit worst."""
     rng = np.random.default_rng(seed)
     centroids = vectors[rng.choice(len(vectors), min(k, len(vectors)), replace=False)]
     for _ in range(ITERATIONS):
-        products = vectors @ centroids.T
-        nearest = products.argmax(axis=1)
+        own, products = nearest(vectors, centroids)
         sums = np.zeros_like(centroids)
-        np.add.at(sums, nearest, vectors)
+        np.add.at(sums, own, vectors)
         norms = np.linalg.norm(sums, axis=1)
         empty = np.flatnonzero(norms < SLACK)
         if len(empty):
-            worst = np.argsort(products.max(axis=1))[: len(empty)]
+            worst = np.argsort(products)[: len(empty)]
             sums[empty], norms[empty] = vectors[worst], 1.0
         centroids = sums / norms[:, None]
     return np.unique(centroids, axis=0)
 
 
-def visited(units: np.ndarray, centroids: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """Each vector's home cell, and a flag for each cell that it also visits."""
-    products = units @ centroids.T
-    home = products.argmax(axis=1)
-    gaps = np.sqrt(np.maximum(2 - 2 * centroids @ centroids.T, 0))[home]
-    lead = products[np.arange(len(units)), home][:, None] - products
-    visits = lead <= (reach / 2 + SLACK) * gaps
-    visits[np.arange(len(units)), home] = False
-    return home, visits
+def visited(units: np.ndarray, centroids: np.ndarray, reach: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Each vector's home cell, and the cells that it also visits."""
+    homes, visits = [], []
+    step = max(1, _PRODUCTS // max(1, len(centroids)))
+    for low in range(0, len(units), step):
+        products = units[low : low + step] @ centroids.T
+        own = np.arange(len(products))
+        home = products.argmax(axis=1)
+        gaps = np.sqrt(np.maximum(2 - 2 * centroids[home] @ centroids.T, 0))
+        near = products[own, home][:, None] - products <= (reach / 2 + SLACK) * gaps
+        near[own, home] = False
+        homes.append(home)
+        visits += [np.flatnonzero(flags).astype(np.int32) for flags in near]
+    return np.concatenate(homes), visits
 
 
 def linked(left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -107,13 +124,13 @@ def near_duplicate_vectors(
     dim, total, most = common[0] if common else (0, 0, 0)
     centroids = np.zeros((0, dim))
     if total:  # other lengths than the commonest share one cell
-        slots = 1 << 20
-        share = min(slots, -(-SAMPLE * slots // total))
-        sample = distinct.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("g"), F.lit(slots)) < share)).select("v").collect()
-        vectors = np.array([r["v"] for r in sample], float) if sample else np.ones((1, dim))
+        cells, slots = min(MAX_CELLS, -(-most // CELL_ROWS)), 1 << 20
+        share = min(slots, -(-max(SAMPLE, SAMPLE_A_CELL * cells) * slots // total))
+        sample = distinct.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("g"), F.lit(slots)) < share)).select("v").toArrow()
+        vectors = np.array(sample.column("v").combine_chunks().flatten(), float).reshape(-1, dim) if sample.num_rows else np.ones((1, dim))
         vectors = scaled(vectors)
         vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
-        centroids = spherical_kmeans(vectors, min(MAX_CELLS, -(-most // CELL_ROWS)))
+        centroids = spherical_kmeans(vectors, cells)
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
 
     def assign(batches):
@@ -128,8 +145,8 @@ def near_duplicate_vectors(
                 units /= np.linalg.norm(units, axis=1, keepdims=True)
                 home, also = visited(units, centroids, reach)
                 homes[own] = home
-                for i, flags in zip(own, also):
-                    visits[i] = np.flatnonzero(flags).astype(np.int32)
+                for i, cells in zip(own, also):
+                    visits[i] = cells
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(homes), pa.array(visits, pa.list_(pa.int32()))], [*batch.schema.names, "home", "visits"])
 
     columns = distinct.select("g", "n", "label", "dim", "v")
