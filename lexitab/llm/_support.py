@@ -64,15 +64,24 @@ def cut_columnar(df: DataFrame) -> DataFrame:
 _written: list[str] = []
 
 
-def discard(spark: SparkSession, kept: int = 0) -> int:
-    """Removes the tables that cut_columnar() has written, but for the first so many; returns how many are left.
+def tables_written() -> int:
+    """How many tables of cut_columnar() there are."""
+    return len(_written)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder through Spark's file systems."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
-    For callers that have written what they read from those tables, as the stages of the pipeline do.
+
+def discard(spark: SparkSession, kept: int = 0) -> None:
+    """Removes the tables that cut_columnar() has written, but for the first so many.
+
+    For callers that have written what they read from those tables, as the pipeline does after each stage.
     """
     while len(_written) > kept:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    return len(_written)
+        remove(spark, _written.pop())
 
 
 def fresh(df: DataFrame, *bases: str) -> list[str]:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -32,6 +34,67 @@ def test_probabilities_sum_to_one():
         assert np.allclose(np.exp(model.log_probabilities(codes)).sum(axis=0), 1, atol=1e-5)
 
 
+def plain_kneser_ney(texts: list[str], alphabet: set[int]):
+    """Interpolated Kneser-Ney from dictionaries: a function of (context, symbol) and the symbols of a text."""
+
+    def symbols(text):
+        runs = "".join(c.lower() if c.isalpha() else " " for c in text).split()
+        return [x for run in runs for x in (*[ord(c) if ord(c) in alphabet else -1 for c in run], 0)]
+
+    def grams(text):
+        found, out = symbols(text), []
+        for i, x in enumerate(found):
+            context = []
+            for back in range(1, langid.ORDER):
+                before = found[i - back] if i >= back and (back == 1 or context[-1] != 0) else 0
+                context.append(before)
+            out.append((*context[::-1], x))
+        return out
+
+    counts = Counter(g for t in texts for g in grams(t))
+    tables = [counts]
+    for _ in range(langid.ORDER - 1):
+        tables.insert(0, Counter(g[1:] for g in tables[0]))
+    totals = [Counter() for _ in tables]
+    kinds = [Counter() for _ in tables]
+    for n, table in enumerate(tables):
+        for g, c in table.items():
+            totals[n][g[:-1]] += c
+            kinds[n][g[:-1]] += 1
+
+    def probability(gram):
+        n = len(gram) - 1
+        lower = probability(gram[1:]) if n else 1 / (len(alphabet) + 2)
+        total = totals[n][gram[:-1]]
+        if not total:
+            return lower
+        return max(tables[n][gram] - langid.DISCOUNT, 0) / total + langid.DISCOUNT * kinds[n][gram[:-1]] / total * lower
+
+    return lambda text: -np.mean([np.log(probability(g)) for g in grams(text)])
+
+
+def test_entropies_equal_plain_kneser_ney(spark, small):
+    """Cross-entropies of whole documents under models fitted on others, against dictionaries."""
+    rows = [r for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect() if r["lang"] and r["text"]]
+    train = {lang: [r["text"] for r in rows[:60] if r["lang"] == lang] for lang in {r["lang"] for r in rows[:60]}}
+    points = {ord(c.lower()) for texts in train.values() for t in texts for c in t if c.isalpha()}
+    alphabet = np.array(sorted(points), np.uint32)
+    ids = langid.LanguageModels([], alphabet).ids
+    model = langid.fit({k: langid._counts(v, ids) for k, v in train.items()}, alphabet)
+    texts = [r["text"] for r in rows[60:72]] + ["ÅÄÖ 漢字 xyz", "a"]
+    got = model.entropies(texts)[0]
+    for column, lang in enumerate(model.languages):
+        plain = plain_kneser_ney(train[lang], points)
+        assert np.allclose(got[:, column], [plain(t) for t in texts], rtol=1e-4)
+
+
+def test_sample_counts_repeated_rows_once(spark):
+    """A row that is half of the table trains as one row, and rows without a key don't share a fate."""
+    rows = [(1, "the cat sat on the mat", "en")] * 3000 + [(None, f"der hund und die katze {i}", "de") for i in range(200)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6))
+    assert model.languages and set(model.languages) <= {"de", "en"} and "de" in model.languages
+
+
 def test_long_text_is_scored_whole(spark):
     rows = [(i, "the cat sat on the mat with the hat " * 3, "en") for i in range(20)] + [(100 + i, "der hund und die katze sind im haus ", "de") for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
