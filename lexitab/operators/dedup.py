@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexitab.functions.text import digest, text_value
 from lexitab.operators import ordered
+from lexitab.session import written_once
 
 
 def slots(df: DataFrame, id_column: str, text_columns: list[str]) -> DataFrame:
@@ -59,7 +60,7 @@ def dictionary(df: DataFrame, id_column: str, text_columns: list[str]) -> tuple[
     links = slots(df, id_column, text_columns)
     place = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])[F.col("slot")]
     first = links.where("input_key is not null").groupBy("input_key").agg(F.min(F.struct("row_id", place.alias("slot_no"))).alias("first"), F.max("chars").alias("chars"), F.count(F.lit(1)).alias("links"))
-    first = first.withColumn("row", F.col("first.row_id"))
+    first = written_once(first.withColumn("row", F.col("first.row_id")))
     numbered = ordered.numbered(first, [], ordered.bucket_of("row", ordered.edges(first, "row")), [F.col("first")], "at")
     unique = numbered.select((F.col("at") - 1).alias("input_no"), "input_key", "chars", "links")
     return unique, links.join(unique.select("input_key", "input_no"), "input_key", "left").select("row_id", "slot", "input_no")

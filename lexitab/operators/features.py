@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexitab.functions.text import text_value
 from lexitab.operators.dedup import assert_unique
+from lexitab.operators.ordered import exact_quantiles
 
 
 def select_where(df: DataFrame, wanted: dict) -> DataFrame:
@@ -81,8 +82,8 @@ def feature_plan(slots: DataFrame) -> DataFrame:
 
 def training_bins(train: DataFrame, query: DataFrame, column: str, quantiles: list[float]) -> DataFrame:
     """query with <column>_bin: the number of the training quantiles at or below the value."""
-    edges = train.agg(F.percentile(column, F.array(*map(F.lit, quantiles))).alias("e")).first()["e"] or []
-    kept = sorted(set(edges))
+    found = exact_quantiles(train, column, {f"q{i}": q for i, q in enumerate(quantiles)}).first()
+    kept = sorted({e for e in found or [] if e is not None})
     bucket: Column = F.size(F.filter(F.array(*map(F.lit, kept)), lambda e: e <= F.col(column))) if kept else F.lit(0)
     return query.withColumn(f"{column}_bin", bucket)
 

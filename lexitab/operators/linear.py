@@ -1,4 +1,4 @@
-"""Learned transforms fitted on a training part only: PCA, imputation, one-hot, fold inputs, ridge and logistic probes."""
+"""Learned transforms fitted on a training part only: PCA, imputation, scaling, one-hot and fold inputs."""
 
 from __future__ import annotations
 
@@ -71,7 +71,12 @@ class FoldInput:
 
         pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in self.categorical] or [F.struct(F.lit("").alias("field"), F.lit(None).cast("string").alias("value"))]))
         seen = train.select(pairs.alias("p")).select("p.*").where("value is not null").distinct()
-        self.vocabulary = seen.withColumn("code", F.row_number().over(W.partitionBy("field").orderBy("value")) - 1)
+        # The first two characters cut a vocabulary into stretches that follow its order.
+        seen = seen.withColumn("start", F.rpad(F.substring("value", 1, 2), 2, "\0"))
+        sizes = seen.groupBy("field", "start").agg(F.count(F.lit(1)).alias("n"))
+        before = sizes.select("field", "start", F.coalesce(F.sum("n").over(W.partitionBy("field").orderBy("start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+        placed = seen.withColumn("at", F.row_number().over(W.partitionBy("field", "start").orderBy("value"))).join(before, ["field", "start"])
+        self.vocabulary = placed.select("field", "value", (F.col("before") + F.col("at") - 1).cast("int").alias("code"))
         if self.numeric:
             row = train.agg(*[F.avg(finite(c)).alias(c) for c in self.numeric]).first()
             self.means = {c: row[c] for c in self.numeric}
@@ -89,3 +94,26 @@ class FoldInput:
             codes = self.vocabulary.where(F.col("field") == c).select(F.col("value").alias(c), F.col("code").alias("__code"))
             df = df.withColumn(c, F.col(c).cast("string")).join(codes, c, "left").withColumn(c, F.col("__code")).drop("__code")
         return df
+
+
+def standardised(train: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with missing numbers as the training mean, less that mean, over the training deviation; constant columns are 0."""
+    from lexitab.functions.text import finite
+
+    row = train.agg(*[x for c in columns for x in (F.avg(finite(c)).alias(f"m_{c}"), F.stddev_pop(finite(c)).alias(f"s_{c}"))]).first()
+    out = {}
+    for c in columns:
+        mean, scale = row[f"m_{c}"], row[f"s_{c}"]
+        out[c] = (F.coalesce(finite(c), F.lit(mean)) - F.lit(mean)) / F.lit(scale) if scale else F.lit(0.0)
+    return df.withColumns(out)
+
+
+def one_hot(train: DataFrame, df: DataFrame, column: str, most: int = 1000) -> DataFrame:
+    """df with <column>_hot, 1 in the place of the value in the training values' order, all 0 for an unseen or null value.
+
+    An error beyond most training values, as each row carries as many numbers.
+    """
+    values = [r[0] for r in train.where(F.col(column).isNotNull()).select(F.col(column)).distinct().limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    return df.withColumn(f"{column}_hot", F.array(*[F.coalesce(F.col(column) == v, F.lit(False)).cast("int") for v in sorted(values)]) if values else F.array().cast("array<int>"))

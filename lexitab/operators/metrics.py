@@ -7,17 +7,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexitab.functions.vectors import TIE_TOLERANCE, equal_width_bin
-from lexitab.operators.ordered import bucket_of, edges, running
+from lexitab.operators.ordered import bucket_of, edges, exact_quantiles, running
 from lexitab.operators.ranks import correlation
+from lexitab.session import written_once
 
 CLIP = 1e-15
 
 
+def _counted(df: DataFrame, y: str, score: str, name: str, *keys: str) -> DataFrame:
+    """keys, the score under a name, pos, n: positives and rows of each distinct score, computed once."""
+    return written_once(df.groupBy(*keys, F.col(score).alias(name)).agg(F.sum(F.col(y).cast("double")).alias("pos"), F.count(F.lit(1)).alias("n")))
+
+
 def roc_auc(df: DataFrame, y: str, score: str, *keys: str) -> DataFrame:
     """keys, auc of y in {0, 1}; ties count half; null if a class is absent. Scores are summed up before they are ranked."""
-    by_score = df.groupBy(*keys, F.col(score).alias("s")).agg(F.sum(F.col(y).cast("double")).alias("pos"), F.count(F.lit(1)).alias("n"))
+    by_score = _counted(df, y, score, "s", *keys)
     neg = F.col("n") - F.col("pos")
-    rows = running(by_score, list(keys), bucket_of("s", edges(df, score)), [F.col("s")], {"below": neg}, before=True)
+    rows = running(by_score, list(keys), bucket_of("s", edges(by_score, "s")), [F.col("s")], {"below": neg}, before=True)
     rows = rows.withColumn("wins", F.col("pos") * (F.col("below") + neg / 2))
     both = F.nullif(F.sum("pos") * F.sum(neg), F.lit(0.0))
     return rows.groupBy(*keys).agg((F.sum("wins") / both).alias("auc"))
@@ -25,8 +31,8 @@ def roc_auc(df: DataFrame, y: str, score: str, *keys: str) -> DataFrame:
 
 def average_precision(df: DataFrame, y: str, score: str, *keys: str) -> DataFrame:
     """keys, ap (steps at distinct thresholds) and pr_auc (trapezoids between them); null without positives."""
-    by_score = df.groupBy(*keys, F.col(score).alias("s")).agg(F.sum(F.col(y).cast("double")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    rows = running(by_score, list(keys), bucket_of("s", edges(df, score)), [F.desc("s")], {"tp": F.col("pos"), "taken": F.col("n")}, descending=True)
+    by_score = _counted(df, y, score, "s", *keys)
+    rows = running(by_score, list(keys), bucket_of("s", edges(by_score, "s")), [F.desc("s")], {"tp": F.col("pos"), "taken": F.col("n")}, descending=True)
     rows = rows.withColumn("precision", F.col("tp") / F.col("taken"))
     # The threshold before has this one's running sums less its own counts.
     rows = rows.withColumn("before", F.coalesce((F.col("tp") - F.col("pos")) / F.nullif(F.col("taken") - F.col("n"), F.lit(0)), F.lit(1.0)))
@@ -109,9 +115,9 @@ def decisions(table: DataFrame, *keys: str) -> DataFrame:
 
 def best_threshold(df: DataFrame, y: str, score: str, *keys: str) -> DataFrame:
     """keys, threshold, f1: the score at or above which F1 is highest; ties go to the one nearest 0.5, then the larger."""
-    by_score = df.groupBy(*keys, F.col(score).alias("threshold")).agg(F.sum(F.col(y).cast("double")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    rows = running(by_score, list(keys), bucket_of("threshold", edges(df, score)), [F.desc("threshold")], {"tp": F.col("pos"), "taken": F.col("n")}, descending=True)
-    positives = df.groupBy(*keys).agg(F.sum(F.col(y).cast("double")).alias("positives"))
+    by_score = _counted(df, y, score, "threshold", *keys)
+    rows = running(by_score, list(keys), bucket_of("threshold", edges(by_score, "threshold")), [F.desc("threshold")], {"tp": F.col("pos"), "taken": F.col("n")}, descending=True)
+    positives = by_score.groupBy(*keys).agg(F.sum("pos").alias("positives"))
     rows = rows.join(positives, list(keys)) if keys else rows.crossJoin(F.broadcast(positives))  # one row
     rows = rows.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("tp"), F.col("taken") + F.col("positives")), F.lit(0.0)))
     best = F.max_by(F.struct("threshold", "f1"), F.struct("f1", -F.abs(F.col("threshold") - 0.5), "threshold")).alias("best")
@@ -126,12 +132,11 @@ def regression_report(df: DataFrame, y: str, predicted: str, *keys: str) -> Data
     spread = F.nullif(F.var_pop(truth), F.lit(0.0))
     mape = F.when(F.min(F.abs(truth)) > 0, F.avg(F.abs(error) / F.nullif(F.abs(truth), F.lit(0.0))))
     logs = F.when((truth > -1) & (guess > -1), F.pow(F.log1p(guess) - F.log1p(truth), 2))
-    return rows.groupBy(*keys).agg(
+    sums = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(error * error).alias("mse"),
         F.sqrt(F.avg(error * error)).alias("rmse"),
         F.avg(F.abs(error)).alias("mae"),
-        F.percentile(F.abs(error), 0.5).alias("median_ae"),
         F.max(F.abs(error)).alias("max_ae"),
         F.avg(error).alias("mean_error"),
         (1 - F.avg(error * error) / spread).alias("r2"),
@@ -140,10 +145,15 @@ def regression_report(df: DataFrame, y: str, predicted: str, *keys: str) -> Data
         mape.alias("mape"),
         F.when((F.min(truth) >= 0) & (F.min(guess) >= 0), F.sqrt(F.avg(logs))).alias("rmsle"),
     )
+    medians = exact_quantiles(rows.select(*keys, F.abs(error).alias("__error")), "__error", {"median_ae": 0.5}, *keys)
+    if not keys:
+        return sums.join(F.broadcast(medians), F.lit(True), "left")  # one row
+    same = F.lit(True)
+    for k in keys:
+        same = same & sums[k].eqNullSafe(medians[k])
+    return sums.join(medians, same, "left").drop(*[medians[k] for k in keys])
 
 
 def pinball(y: Column, predicted: Column, quantile: float) -> Column:
     """Pinball loss of one quantile."""
     return F.greatest(quantile * (y - predicted), (quantile - 1) * (y - predicted))
-
-

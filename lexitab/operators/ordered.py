@@ -2,7 +2,7 @@
 
 Rows are cut into buckets that follow the order, each bucket's sums are added up over the few buckets before it, and only
 what is left runs within a bucket. The edges are quantiles of the whole column, taken once and put into the plan as
-numbers, so every evaluation cuts alike.
+numbers, so every evaluation cuts alike. There are as many buckets as the rows take, so the rows of a task stay about the same.
 """
 
 from __future__ import annotations
@@ -13,14 +13,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+from lexitab.session import written_once
 
+#: Rows of a bucket, about, within the least and the largest number of buckets.
+BUCKET_ROWS = 200_000
+LEAST, MOST = 256, 4_096
 
-def edges(df: DataFrame, column: str, buckets: int = BUCKETS) -> list[float]:
+
+def edges(df: DataFrame, column: str, least: int = LEAST) -> list[float]:
     """Distinct approximate quantiles of a numeric column: what separates the buckets."""
-    points = [i / buckets for i in range(1, buckets)]
-    found = df.agg(F.percentile_approx(F.col(column).cast("double"), points, 10_000).alias("q")).first()["q"]
-    return sorted({float(x) for x in found or [] if math.isfinite(x)})
+    points = [i / MOST for i in range(1, MOST)]
+    row = df.agg(F.count(column).alias("n"), F.percentile_approx(F.col(column).cast("double"), points, 10_000).alias("q")).first()
+    step = MOST // min(MOST, max(least, 1 << (row["n"] // BUCKET_ROWS).bit_length()))
+    return sorted({float(x) for x in (row["q"] or [])[step - 1 :: step] if math.isfinite(x)})
 
 
 def bucket_of(column: str, at: list[float]) -> Column:
@@ -33,7 +38,18 @@ def bucket_of(column: str, at: list[float]) -> Column:
         middle = (low + high) // 2
         return f"IF(CAST({name} AS DOUBLE) >= {at[middle]!r}D, {among(middle + 1, high)}, {among(low, middle)})"
 
-    return F.expr(among(0, len(at)))
+    if len(at) < LEAST:
+        return F.expr(among(0, len(at)))
+    # So many branches outgrow generated code: the same halving by steps over an array.
+    value, points = F.col(name).cast("double"), F.array(*map(F.lit, at))
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(at)).alias("high"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        above = (s["low"] < s["high"]) & F.coalesce(value >= F.get(points, middle), F.lit(False))
+        return F.struct(F.when(above, middle + 1).otherwise(s["low"]).alias("low"), F.when((s["low"] < s["high"]) & ~above, middle).otherwise(s["high"]).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(at).bit_length())), start, halve, lambda s: s["low"])
 
 
 def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], sums: dict[str, Column], *, descending: bool = False, before: bool = False, how: str = "sum") -> DataFrame:
@@ -66,5 +82,31 @@ def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list[Column]
 
 
 def hash_bucket(token: str) -> Column:
-    """Buckets that follow the order of a hexadecimal token."""
-    return F.conv(F.substring(token, 1, 3), 16, 10)
+    """65,536 buckets that follow the order of a hexadecimal token."""
+    return F.conv(F.substring(token, 1, 4), 16, 10)
+
+
+def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], *keys: str) -> DataFrame:
+    """keys and a column for each named quantile of a numeric column, interpolated between the two values about it; nulls don't count.
+
+    Equal values are counted first, and running counts go bucket by bucket, so no buffer holds a key's values.
+    """
+    counts = written_once(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n")))
+    upto = running(counts, list(keys), bucket_of("__v", edges(counts, "__v")), [F.col("__v")], {"__upto": F.col("__n")})
+    totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__all"))
+    rows = upto
+    if keys:
+        same = F.lit(True)
+        names = {k: f"__t_{k}" for k in keys}
+        totals = totals.select(*[F.col(k).alias(name) for k, name in names.items()], "__all")
+        for k, name in names.items():
+            same = same & rows[k].eqNullSafe(totals[name])
+        rows = rows.join(totals, same)
+    else:
+        rows = rows.crossJoin(F.broadcast(totals))  # one row
+    out = []
+    for name, q in quantiles.items():
+        place = (F.col("__all") - 1) * F.lit(float(q))
+        low, high = (F.min(F.when(F.col("__upto") > f(place), F.col("__v"))) for f in (F.floor, F.ceil))
+        out.append((low + (high - low) * (F.max(place) - F.floor(F.max(place)))).alias(name))
+    return rows.groupBy(*keys).agg(*out)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexitab.operators.ordered import bucket_of, edges, hash_bucket, numbered, running
+from lexitab.session import written_once
 
 
 def average_rank(value: str, *keys: str) -> Column:
@@ -37,17 +38,27 @@ def correlation(x: str, y: str) -> Column:
 
 def with_average_rank(df: DataFrame, value: str, name: str, *keys: str) -> DataFrame:
     """Adds the average rank of value within the keys; ranks come from counts of equal values, bucket by bucket."""
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    below = running(counts, list(keys), bucket_of(value, edges(df, value)), [F.col(value)], {"__below": F.col("__n")}, before=True)
+    counts = written_once(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n")))
+    below = running(counts, list(keys), bucket_of(value, edges(counts, value)), [F.col(value)], {"__below": F.col("__n")}, before=True)
     ranks = below.select(*keys, value, (F.col("__below") + (F.col("__n") + 1) / 2.0).alias(name))
     return df.join(ranks, [*keys, value])
 
 
 def spearman(df: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
-    """keys, n, rho: Pearson correlation of average ranks over the rows where both are known."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("x"), F.col(y).alias("y"))
-    ranked = with_average_rank(with_average_rank(rows, "x", "rx", *keys), "y", "ry", *keys)
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), correlation("rx", "ry").alias("rho"))
+    """keys, n, rho: Pearson correlation of average ranks over the rows where both are known; null where one is constant."""
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(x).alias("x"), F.col(y).alias("y"))
+    pairs = written_once(pairs.agg(F.count(F.lit(1)).alias("w")))  # equal pairs once
+    ranked = pairs
+    for c in ("x", "y"):
+        counts = pairs.groupBy(*keys, c).agg(F.sum("w").alias("__n"))
+        below = running(counts, list(keys), bucket_of(c, edges(counts, c)), [F.col(c)], {"__below": F.col("__n")}, before=True)
+        ranked = ranked.join(below.select(*keys, c, (F.col("__below") + (F.col("__n") + 1) / 2.0).alias(f"r{c}")), [*keys, c])
+    # Ranks are halves of whole numbers and their mean is (n + 1) / 2, so the sums are those of the rows one by one.
+    w, rx, ry = F.col("w"), F.col("rx"), F.col("ry")
+    sums = ranked.groupBy(*keys).agg(F.sum("w").alias("n"), F.sum(w * rx * ry).alias("xy"), F.sum(w * rx * rx).alias("xx"), F.sum(w * ry * ry).alias("yy"))
+    middle = F.col("n") * F.pow((F.col("n") + 1) / 2.0, F.lit(2))
+    spread = (F.col("xx") - middle) * (F.col("yy") - middle)
+    return sums.select(*keys, "n", ((F.col("xy") - middle) / F.sqrt(F.when(spread > 0, spread))).alias("rho"))
 
 
 def kendall_tau_b(df: DataFrame, unit: str, x: str, y: str, *keys: str) -> DataFrame:

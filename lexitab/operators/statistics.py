@@ -1,16 +1,19 @@
-"""Corrections for many tests, random effects, and resampling that NumPy's seeded streams make reproducible."""
+"""Corrections for many tests, random effects, and resampling by hash draws, which are the same for any partitioning."""
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
+import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexitab.operators.ordered import bucket_of, edges, running
+from lexitab.operators.ranks import average_rank, correlation
 
 
 def _ranked(df: DataFrame, p: str, keys: tuple[str, ...]) -> tuple[DataFrame, list[str], Column]:
@@ -66,106 +69,112 @@ def sign_resolution(n: Column) -> Column:
     return F.least(F.lit(1.0), F.pow(F.lit(2.0), 1 - n))
 
 
-def _grouped(df: DataFrame, keys: list[str], schema: str, compute: Callable[[pd.DataFrame], dict]) -> DataFrame:
-    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{**{k: part[k].iloc[0] for k in keys}, **compute(part)}])
-
-    return df.groupBy(*keys).applyInPandas(run, f"{kinds}{', ' if keys else ''}{schema}")
+def _drawn(*parts: Column | str) -> Column:
+    """A number below 2 ** 32 from the MD5 of the parts: the same draw for any partitioning."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long")
 
 
 def bootstrap_mean(df: DataFrame, value: str, keys: list[str], order: list[str], *, draws: int = 2000, seed: int = 20261120) -> DataFrame:
-    """keys, n, mean, low, high: 2.5 and 97.5 percentiles of resampled means. order fixes the rows' sequence; nulls don't count.
+    """keys, n, mean, low, high: 2.5 and 97.5 percentiles of the means of draws resamples; nulls don't count.
 
-    For tables of a statistic for each unit (datasets, folds): a group is one small array.
+    Rows are numbered within the (not null) keys by order; the row of slot i in draw d is MD5(seed:d:i) modulo n. For tables of a
+    statistic for each unit (datasets, folds): draws times their rows are joined and averaged on the executors.
     """
+    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"), (F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1).cast("long").alias("__at"))
+    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("__v").alias("mean"))
+    slots = sizes.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("__draw"))
+    slots = slots.select(*keys, "n", "__draw", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("__slot"))
+    slots = slots.withColumn("__at", _drawn(F.lit(str(seed)), "__draw", "__slot") % F.col("n"))
+    means = slots.join(known, [*keys, "__at"]).groupBy(*keys, "__draw").agg(F.avg("__v").alias("__m"))
+    ends = means.groupBy(*keys).agg(F.percentile("__m", 0.025).alias("low"), F.percentile("__m", 0.975).alias("high"))
+    every = df.select(*keys).distinct()
+    out = every.join(sizes.join(ends, keys) if keys else sizes.crossJoin(F.broadcast(ends)), keys, "left") if keys else sizes.crossJoin(F.broadcast(ends))  # one row
+    return out.select(*keys, F.coalesce("n", F.lit(0)).cast("long").alias("n"), "mean", "low", "high")
 
-    def compute(part):
-        values = part.sort_values(order)[value].dropna().to_numpy(float)
-        if not len(values):
-            return {"n": 0, "mean": None, "low": None, "high": None}
-        rng = np.random.default_rng(seed)
-        means = values[rng.integers(0, len(values), (draws, len(values)))].mean(axis=1)
-        low, high = np.percentile(means, [2.5, 97.5])
-        return {"n": len(values), "mean": values.mean(), "low": low, "high": high}
-
-    return _grouped(df, keys, "n long, mean double, low double, high double", compute)
-
-
-def _average_ranks(values: np.ndarray) -> np.ndarray:
-    return pd.Series(values).rank(method="average").to_numpy()
 
-
-def _correlate(x: np.ndarray, y: np.ndarray) -> float:
-    x, y = x - x.mean(), y - y.mean()
-    scale = np.sqrt((x * x).sum() * (y * y).sum())
-    return float((x * y).sum() / scale) if scale > 1e-12 else float("nan")
+def _ranked_columns(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """The rows on which all columns are known, with their average ranks within the keys in place of them; units are few."""
+    rows = df.dropna(subset=columns)
+    return rows.withColumns({c: average_rank(c, *keys) for c in columns})
 
 
 def permutation_spearman(df: DataFrame, x: str, y: str, keys: list[str], order: list[str], *, permutations: int = 5000, seed: int = 20261120, least: int = 4) -> DataFrame:
-    """keys, n, rho, p, status: two-sided (1 + hits) / (1 + permutations); null with a status for few or constant rows."""
-
-    def compute(part):
-        part = part.sort_values(order)[[x, y]].dropna()
-        n = len(part)
-        if n < least:
-            return {"n": n, "rho": None, "p": None, "status": "too_few_rows"}
-        a, b = _average_ranks(part[x].to_numpy(float)), _average_ranks(part[y].to_numpy(float))
-        rho = _correlate(a, b)
-        if np.isnan(rho):
-            return {"n": n, "rho": None, "p": None, "status": "constant_input"}
-        rng = np.random.default_rng(seed)
-        hits = sum(abs(_correlate(rng.permutation(a), b)) >= abs(rho) - 1e-12 for _ in range(permutations))
-        return {"n": n, "rho": rho, "p": (1 + hits) / (1 + permutations), "status": "ok"}
+    """keys, n, rho, p, status: two-sided (1 + hits) / (1 + permutations); null with a status for few or constant rows.
 
-    return _grouped(df, keys, "n long, rho double, p double, status string", compute)
+    A permutation puts the ranks of x in the order of MD5(seed:permutation:row number). For tables of a few units a key.
+    """
+    ranked = _ranked_columns(df, [x, y], keys)
+    at = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    lists = ranked.withColumn("__at", at).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), correlation(x, y).alias("rho"), F.array_sort(F.collect_list(F.struct("__at", F.col(x).alias("x"), F.col(y).alias("y")))).alias("__rows"))
+    each = lists.where((F.col("n") >= least) & F.col("rho").isNotNull()).withColumn("__p", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    moved = F.array_sort(F.transform("__rows", lambda r: F.struct(_drawn(F.lit(str(seed)), F.col("__p"), r["__at"]).alias("h"), r["__at"].alias("a"), r["x"].alias("x"))))
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+    mean = (F.col("n") + 1) / 2.0  # of ranks, ties or none
+    spread = lambda c: total(F.transform("__rows", lambda r: F.pow(r[c] - mean, 2)))
+    each = each.select(*keys, "rho", (total(F.zip_with(moved, "__rows", lambda m, r: (m["x"] - mean) * (r["y"] - mean))) / F.sqrt(spread("x") * spread("y"))).alias("__r"))
+    hits = each.groupBy(*keys).agg(F.count_if(F.abs("__r") >= F.abs("rho") - 1e-12).alias("__hits"))
+    lists = lists.drop("__rows")
+    every = df.select(*keys).distinct().join(lists, keys, "left").join(hits, keys, "left") if keys else lists.join(hits, F.lit(True), "left")  # one row
+    n = F.coalesce("n", F.lit(0)).cast("long")
+    status = F.when(n < least, "too_few_rows").when(F.col("rho").isNull(), "constant_input").otherwise("ok")
+    return every.select(*keys, n.alias("n"), F.when(n >= least, F.col("rho")).alias("rho"), ((1 + F.col("__hits")) / F.lit(1.0 + permutations)).alias("p"), status.alias("status"))
 
 
 def partial_spearman(df: DataFrame, x: str, y: str, controls: list[str], keys: list[str]) -> DataFrame:
-    """keys, n, rho: correlation of what is left of the ranks after least squares on the controls' ranks."""
+    """keys, n, rho: correlation of the ranks of x and y with those of the controls held fixed; null for fewer than controls + 3 rows.
 
-    def compute(part):
-        part = part[[x, y, *controls]].dropna()
-        n = len(part)
-        if n < len(controls) + 3:
-            return {"n": n, "rho": None}
-        ranks = [_average_ranks(part[c].to_numpy(float)) for c in (x, y, *controls)]
-        basis = np.column_stack([np.ones(n), *ranks[2:]])
-        left = [r - basis @ np.linalg.lstsq(basis, r, rcond=None)[0] for r in ranks[:2]]
-        rho = _correlate(*left)
-        return {"n": n, "rho": None if np.isnan(rho) else rho}
+    By the recursion over controls, from the pairwise correlations of ranks: one aggregate, whatever the number of rows.
+    """
+    names = [x, y, *controls]
+    ranked = _ranked_columns(df, names, keys)
+    pairs = {(i, j): f"__r{i}_{j}" for i in range(len(names)) for j in range(i + 1, len(names))}
+    sums = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[correlation(names[i], names[j]).alias(c) for (i, j), c in pairs.items()])
+
+    def fixed(i: int, j: int, given: int) -> Column:
+        """The correlation of i and j with the first so many controls held fixed."""
+        if not given:
+            return F.col(pairs[min(i, j), max(i, j)])
+        z = 1 + given
+        ij, iz, jz = fixed(i, j, given - 1), fixed(i, z, given - 1), fixed(j, z, given - 1)
+        left = (1 - iz * iz) * (1 - jz * jz)
+        return (ij - iz * jz) / F.sqrt(F.when(left > 1e-12, left))
 
-    return _grouped(df, keys, "n long, rho double", compute)
+    every = df.select(*keys).distinct().join(sums, keys, "left") if keys else sums
+    n = F.coalesce("n", F.lit(0)).cast("long")
+    return every.select(*keys, n.alias("n"), F.when(n >= len(controls) + 3, fixed(0, 1, len(controls))).alias("rho"))
 
 
 def wilcoxon_signed_rank(df: DataFrame, value: str, keys: list[str], *, exact_up_to: int = 50) -> DataFrame:
     """keys, n, w, p: two-sided signed-rank test of zero; zeros are left out. Exact without ties, else the normal limit."""
-
-    def compute(part):
-        d = part[value].dropna().to_numpy(float)
-        d = d[d != 0]
-        n = len(d)
-        if not n:
-            return {"n": 0, "w": None, "p": None}
-        ranks = _average_ranks(np.abs(d))
-        plus = float(ranks[d > 0].sum())
-        w = min(plus, n * (n + 1) / 2 - plus)
-        if n <= exact_up_to and len(np.unique(np.abs(d))) == n:
-            ways = np.zeros(n * (n + 1) // 2 + 1)
-            ways[0] = 1
-            for r in range(1, n + 1):
-                ways[r:] += ways[:-r].copy()
-            p = min(1.0, 2 * ways[: int(w) + 1].sum() / 2.0**n)
-        else:
-            from math import erfc, sqrt
-
-            ties = np.unique(np.abs(d), return_counts=True)[1]
-            variance = n * (n + 1) * (2 * n + 1) / 24 - (ties**3 - ties).sum() / 48
-            p = erfc(abs(w - n * (n + 1) / 4) / sqrt(variance) / sqrt(2)) if variance else 1.0
-        return {"n": n, "w": w, "p": p}
-
-    return _grouped(df, keys, "n long, w double, p double", compute)
+    d = df.where(F.col(value).isNotNull() & (F.col(value) != 0)).select(*keys, F.col(value).cast("double").alias("__d")).withColumn("__size", F.abs("__d"))
+    ranked = d.withColumn("__rank", average_rank("__size", *keys)).withColumn("__same", F.count(F.lit(1)).over(W.partitionBy(*keys, "__size")))
+    sums = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("__d") > 0, F.col("__rank")).otherwise(0.0)).alias("__plus"), F.sum((F.pow("__same", F.lit(2)) - 1)).alias("__ties"))
+    n = F.col("n").cast("double")
+    sums = sums.withColumn("w", F.least(F.col("__plus"), n * (n + 1) / 2 - F.col("__plus")))
+    # How many sets of the ranks 1 to n have each sum; the rank r is added to the sums below it.
+    most = (F.col("n") * (F.col("n") + 1) / 2).cast("int")
+    start = F.transform(F.sequence(F.lit(0), most), lambda s: F.when(s == 0, 1.0).otherwise(0.0))
+    add = lambda ways, r: F.transform(ways, lambda v, s: v + F.when(s >= r, F.get(ways, (s - r).cast("int"))).otherwise(0.0))
+    ways = F.aggregate(F.sequence(F.lit(1), F.col("n").cast("int")), start, add)
+    below = F.aggregate(F.slice(ways, 1, F.floor("w").cast("int") + 1), F.lit(0.0), lambda a, v: a + v)
+    exact = F.least(F.lit(1.0), 2 * below / F.pow(F.lit(2.0), n))
+    variance = n * (n + 1) * (2 * n + 1) / 24 - F.col("__ties") / 48
+    far = F.abs(F.col("w") - n * (n + 1) / 4) / F.sqrt(F.nullif(variance, F.lit(0.0)))
+    limit = F.coalesce(two_sided_normal(far), F.lit(1.0))
+    p = F.when((F.col("n") <= exact_up_to) & (F.col("__ties") == 0), exact).otherwise(limit)
+    tested = sums.select(*keys, "n", "w", p.alias("p"))
+    if not keys:
+        return tested.select("n", "w", F.when(F.col("n") > 0, F.col("p")).alias("p"))
+    return df.select(*keys).distinct().join(tested, keys, "left").select(*keys, F.coalesce("n", F.lit(0)).cast("long").alias("n"), "w", "p")
+
+
+def two_sided_normal(z: Column) -> Column:
+    """The chance that a normal value lies z standard deviations or further from its mean."""
+
+    def tail(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else math.erfc(v / math.sqrt(2)) for v in values.to_pylist()], pa.float64())
+
+    return F.arrow_udf(tail, "double")(z)
 
 
 def ridge_leave_one_out(df: DataFrame, unit: str, features: list[str], outcome: str, keys: list[str], *, alpha: float = 1.0) -> DataFrame:

@@ -143,20 +143,44 @@ def across_datasets(spark, sf_dir):
     return rounded(per.groupBy("arm").agg(n.alias("datasets"), F.avg(m).alias("mean"), F.percentile(m, 0.5).alias("median"), F.count_if(m > 0.001).alias("better"), F.count_if(m < -0.001).alias("worse"), statistics.sign_resolution(n.cast("double")).alias("resolution")))
 
 
-@register("bootstrap_intervals")
+@register(
+    "bootstrap_intervals",
+    f"""WITH {FOLD_METRICS}, u AS (SELECT arm, raw_gain AS v, row_number() OVER (PARTITION BY arm ORDER BY dataset, model) - 1 AS at, count(*) OVER (PARTITION BY arm) AS n FROM gains),
+    d AS (SELECT arm, draw, CAST('0x' || substr(md5('20261120:' || draw || ':' || slot), 1, 8) AS BIGINT) % n AS at FROM (SELECT DISTINCT arm, n FROM u), (SELECT unnest(range(0, 2000)) AS draw), (SELECT unnest(range(0, 500)) AS slot) WHERE slot < n),
+    m AS (SELECT d.arm, draw, avg(v) AS m FROM d JOIN u ON d.arm = u.arm AND d.at = u.at GROUP BY ALL), e AS (SELECT arm, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY arm)
+    SELECT arm, count(*) AS n, round(avg(v), 6) + 0.0 AS mean, round(any_value(low), 6) + 0.0 AS low, round(any_value(high), 6) + 0.0 AS high FROM u JOIN e USING (arm) GROUP BY arm""",
+)
 def bootstrap_intervals(spark, sf_dir):
-    """Percentile intervals of mean gains, from a seeded NumPy stream."""
+    """Percentile intervals of mean gains."""
     return rounded(statistics.bootstrap_mean(_gains(spark, sf_dir), "raw_gain", ["arm"], ["dataset", "model"]))
 
 
-@register("gain_associations")
+#: Average ranks of gains, variances and base values within each arm.
+_RANKED = """g AS (SELECT gains.*, b.base FROM gains JOIN (SELECT dataset, model, arm, avg(base) AS base FROM paired GROUP BY ALL) b USING (dataset, model, arm) WHERE variance IS NOT NULL), r AS (
+    SELECT arm, row_number() OVER (PARTITION BY arm ORDER BY dataset, model) AS pos,
+        rank() OVER (PARTITION BY arm ORDER BY raw_gain) + (count(*) OVER (PARTITION BY arm, raw_gain) - 1) / 2.0 AS x,
+        rank() OVER (PARTITION BY arm ORDER BY variance) + (count(*) OVER (PARTITION BY arm, variance) - 1) / 2.0 AS y,
+        rank() OVER (PARTITION BY arm ORDER BY base) + (count(*) OVER (PARTITION BY arm, base) - 1) / 2.0 AS z
+    FROM g)"""
+
+
+@register(
+    "gain_associations",
+    f"""WITH {FOLD_METRICS}, {_RANKED}, s AS (SELECT arm, count(*) AS n, corr(x, y) AS rho, avg(x) AS m, sqrt(sum((x - avg_x) * (x - avg_x)) * sum((y - avg_x) * (y - avg_x))) AS spread FROM (SELECT *, avg(x) OVER (PARTITION BY arm) AS avg_x FROM r) GROUP BY arm),
+    p AS (SELECT arm, k, x, row_number() OVER (PARTITION BY arm, k ORDER BY CAST('0x' || substr(md5('20261120:' || k || ':' || pos), 1, 8) AS BIGINT), pos) AS place FROM r, (SELECT unnest(range(1, 501)) AS k)),
+    t AS (SELECT p.arm, k, sum((p.x - m) * (r.y - m)) / any_value(spread) AS v FROM p JOIN r ON p.arm = r.arm AND p.place = r.pos JOIN s ON s.arm = p.arm GROUP BY p.arm, k)
+    SELECT s.arm, n, round(any_value(rho), 6) + 0.0 AS rho, round((1 + count(*) FILTER (abs(v) >= abs(rho) - 1e-12)) / 501.0, 6) AS p, 'ok' AS status FROM s JOIN t USING (arm) GROUP BY s.arm, n""",
+)
 def gain_associations(spark, sf_dir):
     """Spearman correlation of gains with fold variance, with a permutation p."""
     rows = _gains(spark, sf_dir)
     return rounded(statistics.permutation_spearman(rows, "raw_gain", "variance", ["arm"], ["dataset", "model"], permutations=500))
 
 
-@register("partial_associations")
+@register(
+    "partial_associations",
+    f"""WITH {FOLD_METRICS}, {_RANKED}, c AS (SELECT arm, count(*) AS n, corr(x, y) AS xy, corr(x, z) AS xz, corr(y, z) AS yz FROM r GROUP BY arm) SELECT arm, n, round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 6) + 0.0 AS rho FROM c""",
+)
 def partial_associations(spark, sf_dir):
     """The same correlation with the base value held fixed."""
     base = _paired(spark, sf_dir).groupBy("dataset", "model", "arm").agg(F.avg("base").alias("base"))
@@ -164,14 +188,30 @@ def partial_associations(spark, sf_dir):
     return rounded(statistics.partial_spearman(rows, "raw_gain", "variance", ["base"], ["arm"]))
 
 
-@register("signed_rank_tests")
+@register(
+    "signed_rank_tests",
+    f"""WITH RECURSIVE {FOLD_METRICS}, d AS (SELECT arm, round(raw_gain, 12) AS g FROM gains WHERE round(raw_gain, 12) <> 0), r AS (SELECT arm, g, rank() OVER (PARTITION BY arm ORDER BY abs(g)) + (count(*) OVER (PARTITION BY arm, abs(g)) - 1) / 2.0 AS k FROM d),
+    s AS (SELECT arm, count(*) AS n, least(coalesce(sum(k) FILTER (g > 0), 0), count(*) * (count(*) + 1) / 2 - coalesce(sum(k) FILTER (g > 0), 0)) AS w FROM r GROUP BY arm),
+    ways(r, v) AS (SELECT 0, list_transform(range(0, 1276), lambda i: CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.0 END) UNION ALL SELECT r + 1, list_transform(v, lambda x, i: x + CASE WHEN i > r + 1 THEN v[i - r - 1] ELSE 0 END) FROM ways WHERE r < 50),
+    t AS (SELECT arm, n, w, least(1.0, 2 * list_sum(v[1:CAST(floor(w) AS BIGINT) + 1]) / pow(2.0, n)) AS p FROM s JOIN ways ON ways.r = n)
+    SELECT arm, n, round(w, 6) AS w, round(p, 6) AS p, round(least(1.0, max(p * ((SELECT count(*) FROM t) - k + 1)) OVER (ORDER BY k)), 6) AS adjusted FROM (SELECT *, row_number() OVER (ORDER BY p) AS k FROM t)""",
+)
 def signed_rank_tests(spark, sf_dir):
     """Wilcoxon tests of gains by arm, with Holm's correction."""
     rows = _gains(spark, sf_dir).withColumn("g", F.round("raw_gain", 12))
     return rounded(statistics.holm(statistics.wilcoxon_signed_rank(rows, "g", ["arm"]), "p"))
 
 
-@register("held_out_datasets")
+#: A ridge rule with one property and a penalty of 1, for each dataset from the others of its arm.
+HELD_OUT = FOLD_METRICS + """, u AS (SELECT arm, dataset, avg(raw_gain) AS gain, avg(variance) AS v FROM gains GROUP BY ALL), rest AS (
+    SELECT a.arm, a.dataset, a.v, a.gain, count(b.gain) AS n, avg(b.gain) AS level, avg(b.v) AS mean, nullif(stddev_pop(b.v), 0) AS scale, covar_pop(b.v, b.gain) AS together
+    FROM u a JOIN u b ON a.arm = b.arm AND a.dataset <> b.dataset GROUP BY ALL
+), held AS (
+    SELECT arm, dataset, gain, level + coalesce((v - mean) / scale * (n * together / scale / (n + 1)), 0) AS prediction FROM rest WHERE n >= 2
+)"""
+
+
+@register("held_out_datasets", f"WITH {HELD_OUT} SELECT arm, dataset, round(prediction, 6) + 0.0 AS prediction FROM held")
 def held_out_datasets(spark, sf_dir):
     """Each dataset's gain predicted by a ridge rule from the other datasets."""
     rows = _gains(spark, sf_dir).groupBy("arm", "dataset").agg(F.avg("raw_gain").alias("gain"), F.avg("variance").alias("v"))

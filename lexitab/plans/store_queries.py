@@ -33,13 +33,6 @@ def timing_summary(spark, sf_dir):
     return rounded(table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("stage"), (F.col("user_id") % 7).cast("int").alias("dataset")).agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("seconds"), F.avg(v).alias("mean"), F.max(v).alias("longest"), F.count_if(v > 50).alias("slow")))
 
 
-@register("compute_ledger", "SELECT o_orderpriority AS stage, o_orderstatus AS state, count(*) AS jobs, round(sum(o_totalprice) / 3600, 4) AS hours, round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END) / 3600, 4) AS done_hours FROM orders GROUP BY ALL")
-def compute_ledger(spark, sf_dir):
-    """All attempts and the successful ones by stage and state."""
-    price = F.col("o_totalprice")
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("stage"), F.col("o_orderstatus").alias("state")).agg(F.count(F.lit(1)).alias("jobs"), F.round(F.sum(price) / 3600, 4).alias("hours"), F.round(F.sum(F.when(F.col("o_orderstatus") == "F", price).otherwise(0)) / 3600, 4).alias("done_hours"))
-
-
 @register("repeat_consistency", "SELECT lang, count(*) AS texts, count(*) FILTER (langs > 1) AS inconsistent FROM (SELECT md5(text) AS k, min(lang) AS lang, count(DISTINCT lang) AS langs FROM documents GROUP BY k) GROUP BY lang")
 def repeat_consistency(spark, sf_dir):
     """Equal inputs that carry unlike values."""

@@ -8,6 +8,7 @@ from lexitab.functions import text as T
 from lexitab.functions import vectors as V
 from lexitab.operators import dedup, features, gains, metrics, ordered, ranks, statistics, validation
 from lexitab.plans.fixtures import DECISIONS, FOLD_METRICS, SCORES, decisions, fold_metrics, r6, rounded, scores
+from lexitab.plans.gain_queries import HELD_OUT
 from lexitab.plans.registry import register
 from lexitab.plans.text_queries import _FIELDS, _SLOTS
 from lexitab.session import table
@@ -257,16 +258,27 @@ def cross_validated_probe(spark, sf_dir):
     return rounded(validation.cross_validate(rows, "doc_id", ["size", "p0", "p1"], "quality", "fold", validation.LogisticProbe))
 
 
-@register("decision_redundancy")
+@register(
+    "decision_redundancy",
+    f"""WITH {DECISIONS}, t AS (SELECT k AS option, doc_id, doc_id % 5 AS fold, p AS y, ln(1 + length(text)) AS a, CAST(doc_id % 97 AS DOUBLE) AS b FROM decisions JOIN documents USING (doc_id) WHERE provider = 1 AND text IS NOT NULL),
+    f AS (SELECT option, held, count(*) AS n, avg(y) AS level, avg(a) AS ma, avg(b) AS mb, stddev_pop(a) AS sa, stddev_pop(b) AS sb, corr(a, b) AS r, covar_pop(a, y) / stddev_pop(a) AS ca, covar_pop(b, y) / stddev_pop(b) AS cb FROM t, (SELECT unnest(range(0, 5)) AS held) WHERE fold <> held GROUP BY ALL),
+    w AS (SELECT *, n * ((n + 1) * ca - n * r * cb) / ((n + 1) * (n + 1) - n * r * n * r) AS wa, n * ((n + 1) * cb - n * r * ca) / ((n + 1) * (n + 1) - n * r * n * r) AS wb FROM f)
+    SELECT CAST(t.option AS INTEGER) AS option, round(1 - avg(pow(y - (level + wa * (a - ma) / sa + wb * (b - mb) / sb), 2)) / var_pop(y), 6) + 0.0 AS r2 FROM t JOIN w ON t.option = w.option AND t.fold = w.held GROUP BY t.option""",
+)
 def decision_redundancy(spark, sf_dir):
     """How well other columns predict each element of a provider's vector, out of fold."""
     documents = table(spark, sf_dir, "documents").select("doc_id", F.log1p(F.char_length("text")).alias("size"), (F.col("doc_id") % 97).cast("double").alias("residue"))
     rows = decisions(spark, sf_dir).where("provider = 1").select("doc_id", F.posexplode("p").alias("option", "p")).join(documents, "doc_id").withColumn("fold", F.col("doc_id") % 5)
-    out = validation.cross_validate(rows, "doc_id", ["size", "residue"], "p", "fold", validation.RidgeProbe, ["option"])
+    out = validation.cross_validate_ridge(rows, "doc_id", ["size", "residue"], "p", "fold", ["option"])
     return rounded(validation.out_of_fold_r2(out, ["option"]))
 
 
-@register("group_importance")
+@register(
+    "group_importance",
+    f"""WITH {SCORES}, t AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id) AS a, row_number() OVER (PARTITION BY grp ORDER BY sha256('[7,' || doc_id || ']'), doc_id) AS b FROM scores),
+    l AS (SELECT -ln(greatest(least(CASE WHEN x.y = 1 THEN x.score ELSE 1 - x.score END, 1 - 1e-15), 1e-15)) AS base, -ln(greatest(least(CASE WHEN x.y = 1 THEN z.score ELSE 1 - z.score END, 1 - 1e-15), 1e-15)) AS moved FROM t x JOIN t z ON x.grp = z.grp AND x.a = z.b)
+    SELECT 'score' AS feature_group, round(avg(moved) - avg(base), 6) + 0.0 AS increase FROM l UNION ALL SELECT 'toxic', 0.0""",
+)
 def group_importance(spark, sf_dir):
     """Increase of the loss when a score is permuted within groups."""
     def loss(df):
@@ -275,14 +287,20 @@ def group_importance(spark, sf_dir):
     return rounded(validation.permutation_importance(scores(spark, sf_dir), "doc_id", {"score": ["score"], "toxic": ["toxic"]}, ["grp"], loss, 7))
 
 
-@register("score_ranges")
+@register(
+    "score_ranges",
+    f"""WITH {DECISIONS}, w AS (SELECT doc_id, provider, k, greatest(round(p, 2) - 0.005, 0) AS lo, least(round(p, 2) + 0.005, 1) AS hi FROM decisions),
+    v AS (SELECT doc_id, provider, sum(lo * (k - 1)) AS base, 1 - sum(lo) AS missing, max(hi - lo) FILTER (k = 0) AS a, max(hi - lo) FILTER (k = 1) AS b, max(hi - lo) FILTER (k = 2) AS c FROM w GROUP BY ALL),
+    f AS (SELECT *, greatest(0, least(missing, a)) AS low_a, greatest(0, least(missing, c)) AS high_c FROM v)
+    SELECT doc_id, CAST(provider AS INTEGER) AS provider, round(base - low_a + greatest(0, least(missing - low_a - greatest(0, least(missing - low_a, b)), c)), 6) + 0.0 AS low, round(base + high_c - greatest(0, least(missing - high_c - greatest(0, least(missing - high_c, b)), a)), 6) + 0.0 AS high FROM f""",
+)
 def score_ranges(spark, sf_dir):
     """Expected levels that rounding to two digits allows."""
     two = F.transform("p", lambda x: F.round(x, 2))
     return rounded(decisions(spark, sf_dir).select("doc_id", "provider", V.score_range(two, 0.005, -1).alias("s")).select("doc_id", "provider", "s.low", "s.high"))
 
 
-@register("held_out_rule")
+@register("held_out_rule", f"WITH {HELD_OUT} SELECT count(*) AS units, round(avg(CAST((prediction > 0) = (gain > 0) AS DOUBLE)), 6) AS use_accuracy, round(avg(greatest(gain, 0) - CASE WHEN prediction > 0 THEN gain ELSE 0 END), 6) + 0.0 AS regret FROM held")
 def held_out_rule(spark, sf_dir):
     """Accuracy and regret of a rule learned on the other data sets."""
     paired = gains.fold_gains(fold_metrics(spark, sf_dir), F.col("arm") == "N", ["dataset", "model", "fold"])

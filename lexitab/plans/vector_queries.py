@@ -193,12 +193,20 @@ def simplex_projection(spark, sf_dir):
     return decisions(spark, sf_dir).select("doc_id", "provider", r6(V.total(two)).alias("rounded_sum"), V.is_simplex(two).alias("valid"))
 
 
-@register("rounded_vectors_projected")
+@register(
+    "rounded_vectors_projected",
+    f"""WITH RECURSIVE {DECISIONS}, b(doc_id, provider, p, i, lo, hi) AS (
+        SELECT doc_id, provider, list_transform(p, lambda x: round(x, 2)), 0, CAST(-0.005 AS DOUBLE), CAST(0.005 AS DOUBLE) FROM vectors
+        UNION ALL SELECT doc_id, provider, p, i + 1, CASE WHEN sum < 1 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN sum < 1 THEN hi ELSE (lo + hi) / 2 END
+        FROM (SELECT *, list_sum(list_transform(p, lambda x: least(greatest(x + (lo + hi) / 2, x - 0.005, 0), x + 0.005, 1))) AS sum FROM b WHERE i < 60)
+    ), q AS (SELECT doc_id, provider, list_transform(p, lambda x: least(greatest(x + (lo + hi) / 2, x - 0.005, 0), x + 0.005, 1)) AS q FROM b WHERE i = 60)
+    SELECT doc_id, CAST(provider AS INTEGER) AS provider, round(q[1], 6) AS q0, round(q[2], 6) AS q1, round(q[3], 6) AS q2, round(list_sum(q), 6) AS total FROM q""",
+)
 def rounded_vectors_projected(spark, sf_dir):
     """Rounded vectors moved by one common shift within the rounding box to sum to 1 again."""
     two = F.transform("p", lambda x: F.round(x, 2))
     rows = decisions(spark, sf_dir).select("doc_id", "provider", V.bounded_projection(two, 0.005).alias("q"))
-    return rows.select("doc_id", "provider", F.transform("q", lambda x: F.round(x, 9)).alias("q"), r6(V.total("q")).alias("total"))
+    return rows.select("doc_id", "provider", *[r6(F.col("q")[i]).alias(f"q{i}") for i in range(3)], r6(V.total("q")).alias("total"))
 
 
 @register(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC and ANSI are part of the semantics; the rest lets AQE size and split partitions.
 SETTINGS = {
@@ -28,3 +30,22 @@ def build_session(app: str = "lexitab", master: str | None = None, **conf: str)
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the supplied tables, read lazily."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which the driver and all executors see. Where it is unset, one of our own in local mode and an error on a cluster."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not (context.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="lexitab-shared-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    return named
+
+
+def written_once(df: DataFrame) -> DataFrame:
+    """The same rows, computed once and kept in the shared folder: for plans that read a costly table several times."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)

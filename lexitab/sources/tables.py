@@ -5,32 +5,13 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@dataclass(frozen=True)
-class TaskMetadata:
-    """What a data set's sidecar says: the target, its kind and classes, and the roles of the other columns."""
-
-    dataset_id: str
-    target: str
-    task: str
-    text_columns: tuple[str, ...] = ()
-    other_columns: tuple[str, ...] = ()
-    classes: tuple[str, ...] = ()
-
-    def __post_init__(self):
-        roles = [self.target, *self.text_columns, *self.other_columns]
-        if len(set(roles)) != len(roles):
-            raise ValueError(f"{self.dataset_id}: a column has two roles")
-        if self.task == "binary_classification" and len(self.classes) != 2:
-            raise ValueError(f"{self.dataset_id}: a binary task has two classes")
-
-
 def read_text(spark: SparkSession, path: str) -> str:
     """A small file's text, through Spark's file systems."""
     return "\n".join(r[0] for r in spark.read.text(path).collect())
@@ -48,9 +29,17 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 
 def with_row_ids(df: DataFrame, name: str = "row_id", prefix: str = "csv:") -> DataFrame:
-    """csv:<position> for the rows of one file, in the order of the scan; assigned once, at ingest."""
-    schema = T.StructType([T.StructField(name, T.StringType()), *df.schema.fields])
-    return df.rdd.zipWithIndex().map(lambda r: (f"{prefix}{r[1]}", *r[0])).toDF(schema)
+    """csv:<position> for the rows of one scan, in its order; assigned once, at ingest.
+
+    A row's place in its partition and the rows of the partitions before it: the counts are a row for each partition.
+    """
+    part, place = F.spark_partition_id(), F.monotonically_increasing_id()
+    rows = df.withColumns({"__part": part, "__place": place.bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    position = (F.col("__start") + F.col("__place")).cast("string")
+    return rows.join(F.broadcast(starts), "__part").select(F.concat(F.lit(prefix), position).alias(name), *[f"`{c}`" for c in df.columns])  # a row for each partition
 
 
 def scan_accounting(lines: DataFrame, fields: list[str], terminal: tuple[str, ...] = ("COMPLETED", "FAILED", "CANCELLED", "TIMEOUT", "OUT_OF_MEMORY")) -> DataFrame:
@@ -61,8 +50,9 @@ def scan_accounting(lines: DataFrame, fields: list[str], terminal: tuple[str, ..
 
 
 def tres(column: str, key: str):
-    """The number after key= in a resource list; 0 if absent."""
-    return F.coalesce(F.regexp_extract(column, rf"(?:^|,){key}=(\d+)", 1).try_cast("long"), F.lit(0))
+    """The number of a key in a resource list such as cpu=4,mem=8G; 0 if absent."""
+    said = F.str_to_map(F.col(column), F.lit(","), F.lit("="))[key]
+    return F.coalesce(F.regexp_substr(said, F.lit("^[0-9]+")).cast("long"), F.lit(0))
 
 
 def flatten_numbers(df: DataFrame, keys: list[str], column: str, depth: int = 3) -> DataFrame:

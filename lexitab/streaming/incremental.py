@@ -9,31 +9,55 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexitab.operators.dedup import conflicts
+from lexitab.operators.ordered import bucket_of, edges, numbered
+
+
+#: Folders that a store's keys are dealt to by hash.
+STORE_BUCKETS = 16
 
 
 class ImmutableStore:
-    """A Parquet table whose keys keep their first value: equal rows are skipped, unlike ones are an error."""
+    """A Parquet table whose keys keep their first value: equal rows are skipped, unlike ones are an error.
+
+    Rows lie in folders by a hash of their keys, and a batch is compared with the folders that it touches only. One writer at a
+    time: check and append aren't one transaction.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str]):
         self.spark, self.path, self.schema, self.keys = spark, path, schema, keys
 
-    def read(self) -> DataFrame:
-        """What is stored; an empty table at first."""
+    def _stored(self) -> DataFrame:
         try:
-            return self.spark.read.schema(self.schema).parquet(self.path)
+            return self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("__bucket", T.IntegerType())])).parquet(self.path)
         except Exception as missing:
             if "PATH_NOT_FOUND" in str(missing):
-                return self.spark.createDataFrame([], self.schema)
+                return self.spark.createDataFrame([], self.schema).withColumn("__bucket", F.lit(0))
             raise
 
+    def read(self) -> DataFrame:
+        """What is stored; an empty table at first."""
+        return self._stored().drop("__bucket")
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("__bucket", F.pmod(F.xxhash64(*self.keys), F.lit(STORE_BUCKETS)).cast("int"))
+
+    def _touched(self, rows: DataFrame) -> DataFrame:
+        """What is stored in the folders of the rows' keys."""
+        buckets = [r[0] for r in rows.select("__bucket").distinct().collect()]  # STORE_BUCKETS at most
+        return self._stored().where(F.col("__bucket").isin(buckets)).drop("__bucket")
+
     def put(self, rows: DataFrame) -> None:
         """Adds the rows whose keys are new. Replaying a batch changes nothing."""
-        rows = rows.select(*[f.name for f in self.schema.fields]).distinct()
-        repeated = rows.groupBy(*self.keys).count().where("count > 1")
-        stored = self.read()
-        if not repeated.isEmpty() or not conflicts(stored, rows, self.keys).isEmpty():
-            raise ValueError(f"{self.path}: a key has two values")
-        rows.join(stored, self.keys, "left_anti").write.mode("append").parquet(self.path)
+        rows = self._dealt(rows.select(*[f.name for f in self.schema.fields]).distinct()).persist()
+        try:
+            stored = self._touched(rows)
+            repeated = rows.groupBy(*self.keys).count().where("count > 1")
+            if not repeated.isEmpty() or not conflicts(stored, rows.drop("__bucket"), self.keys).isEmpty():
+                raise ValueError(f"{self.path}: a key has two values")
+            new = rows.join(stored, self.keys, "left_anti").select(*[f.name for f in self.schema.fields], "__bucket")
+            new.repartition("__bucket").write.mode("append").partitionBy("__bucket").parquet(self.path)
+        finally:
+            rows.unpersist()
 
     def pending(self, wanted: DataFrame) -> DataFrame:
         """The wanted keys that aren't stored yet."""
@@ -44,16 +68,38 @@ class ImmutableStore:
         return stream.writeStream.foreachBatch(lambda batch, _: self.put(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def page_bounds(df: DataFrame, key: str, size: int, after: int | None = None) -> DataFrame:
+    """(page, first_key, last_key, rows) of the pages of size rows in the order of a unique numeric key, from one sort."""
+    rows = df.select(F.col(key).alias("k")) if after is None else df.where(F.col(key) > after).select(F.col(key).alias("k"))
+    placed = numbered(rows, [], bucket_of("k", edges(rows, "k")), [F.col("k")], "at")
+    pages = placed.groupBy(((F.col("at") - 1 - F.pmod(F.col("at") - 1, F.lit(size))) / size).cast("long").alias("page"))
+    return pages.agg(F.min("k").alias("first_key"), F.max("k").alias("last_key"), F.count(F.lit(1)).alias("rows"))
+
+
 def keyset_pages(df: DataFrame, key: str, size: int, consume: Callable[[DataFrame], None], after: int | None = None) -> int | None:
-    """Runs consume over pages of size rows in the order of a key, each page found by key > last; returns the last key."""
-    while True:
-        page = df if after is None else df.where(F.col(key) > after)
-        page = page.orderBy(key).limit(size)
-        last = page.agg(F.max(key)).first()[0]
-        if last is None:
-            return after
-        consume(page)
-        after = last
+    """Runs consume over pages of size rows in the order of a key; returns the last key, from which a later call resumes.
+
+    The pages' ends are found once; a page then is a range of the key, which a sorted or partitioned source prunes.
+    """
+    for page in page_bounds(df, key, size, after).orderBy("page").toLocalIterator():
+        consume(df.where(F.col(key).between(page["first_key"], page["last_key"])))
+        after = page["last_key"]
+    return after
+
+
+def reservation_states(events: DataFrame, key: str, at: str, kind: str, stages: list[str], stops: list[str]) -> DataFrame:
+    """key, state, attempts: how far each request has come, by one aggregate that needs no order of arrival.
+
+    A request is in the furthest of the stages that it reached before its first stop, or in that stop; a stage repeated is an
+    attempt. Events of other kinds don't count.
+    """
+    stage = F.create_map(*[F.lit(x) for i, s in enumerate(stages) for x in (s, i)])[F.col(kind)]
+    order = F.struct(F.col(at), F.col(kind))
+    stopped = events.groupBy(key).agg(F.min(F.when(F.col(kind).isin(stops), order)).alias("stop"))
+    rows = events.join(stopped, key).where(F.col("stop").isNull() | (order <= F.col("stop")))
+    out = rows.groupBy(key).agg(F.max(stage).alias("far"), F.first("stop").alias("stop"), F.count_if(F.col(kind) == stages[0]).alias("attempts"))
+    reached = F.element_at(F.array(*map(F.lit, stages)), F.col("far") + 1)
+    return out.where("far is not null or stop is not null").select(key, F.coalesce(F.col("stop")[kind], reached).alias("state"), "attempts")
 
 
 def event_windows(events: DataFrame, size: str, slide: str | None = None, lateness: str = "1 hour") -> DataFrame:
