@@ -232,13 +232,13 @@ def remove_repeats(
     origin = cut_columnar(origin.select("digest", F.col("first").alias("rank"), "at.key", "at.span"))
     asked = cut_columnar(origin.groupBy("rank", "key").agg(F.collect_set("span").alias("asked")))
     read = arrow_column("substring", lambda raws, spans: pa.array([[w.around(s) for s in some] for w, some in ((Words(raw or b""), some) for raw, some in zip(utf8_parts(raws), spans.to_pylist()))], _AROUND), "array<struct<span:long,before:array<long>,after:array<long>>>")
-    around = keyed.join(asked, ["rank", "key"]).select("rank", "key", F.explode(read("text", "asked")).alias("w")).select("rank", "key", "w.*").dropDuplicates(["rank", "key", "span"])
+    around = keyed.join(asked.hint("merge"), ["rank", "key"]).select("rank", "key", F.explode(read("text", "asked")).alias("w")).select("rank", "key", "w.*").dropDuplicates(["rank", "key", "span"])
     around = cut_columnar(origin.join(around, ["rank", "key", "span"]).select("digest", "rank", "before", "after"))
     wide = found.join(around.select(F.col("digest").alias("left"), F.col("rank").alias("left_doc"), "before"), ["left", "left_doc"], "left")
     wide = wide.join(around.select(F.col("digest").alias("right"), F.col("rank").alias("right_doc"), "after"), ["right", "right_doc"], "left")
     rank_name, key_name, runs_name, cut_name = fresh(df, "rank", "key", "runs", "cut")
     cuts = wide.groupBy(F.col("rank").alias(rank_name), F.col("key").alias(key_name)).agg(F.collect_list(F.struct("at", "n", "before", "after")).alias(runs_name))
-    joined = df.withColumns({rank_name: rank, key_name: key}).join(cut_columnar(cuts), [rank_name, key_name], "left")
+    joined = df.withColumns({rank_name: rank, key_name: key}).join(cut_columnar(cuts).hint("merge"), [rank_name, key_name], "left")
     whole = F.when(F.col(runs_name).isNotNull(), F.col(f"`{text_column}`"))
     clean = arrow_column("substring", lambda raws, some: pa.array([None if raw is None or not r else without(raw, r, min_words) for raw, r in zip(utf8_parts(raws), some.to_pylist())], _CUT), "struct<text:string,spans:array<struct<start:int,end:int>>,words:long>")
     out = joined.withColumn(cut_name, clean(whole, F.col(runs_name)))
