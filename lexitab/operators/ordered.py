@@ -22,10 +22,16 @@ LEAST, MOST = 256, 4_096
 
 def edges(df: DataFrame, column: str, least: int = LEAST) -> list[float]:
     """Distinct approximate quantiles of a numeric column: what separates the buckets."""
-    points = [i / MOST for i in range(1, MOST)]
-    row = df.agg(F.count(column).alias("n"), F.percentile_approx(F.col(column).cast("double"), points, 10_000).alias("q")).first()
-    step = MOST // min(MOST, max(least, 1 << (row["n"] // BUCKET_ROWS).bit_length()))
-    return sorted({float(x) for x in (row["q"] or [])[step - 1 :: step] if math.isfinite(x)})
+    value = F.col(column).cast("double")
+
+    def taken(buckets: int):
+        return df.agg(F.count(column).alias("n"), F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10_000).alias("q")).first()
+
+    row = taken(least)
+    wanted = min(MOST, max(least, 1 << (row["n"] // BUCKET_ROWS).bit_length()))
+    if wanted > least:  # only a table of many rows is read again
+        row = taken(wanted)
+    return sorted({float(x) for x in row["q"] or [] if math.isfinite(x)})
 
 
 def bucket_of(column: str, at: list[float]) -> Column:
