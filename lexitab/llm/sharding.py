@@ -58,9 +58,10 @@ def shard_records(
     key = record_key(F.col("doc_id"))
     rows = df.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size")
-    rows = rows.select("doc_id", size, F.crc32("text").alias("text_crc32")).groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
     shards = rendezvous(key, weights).alias("shard"), (rendezvous(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard")
-    rows = cut_columnar(rows.select("*", *shards, F.md5(F.concat_ws(":", key, "text_crc32", "size")).alias("order")))
+    rows = rows.select("doc_id", size, F.crc32("text").alias("text_crc32"), *shards)
+    rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+    rows = cut_columnar(rows.withColumn("order", F.md5(F.concat_ws(":", key, "text_crc32", "size"))))
     total, digits = rows.count(), 1
     while 16**digits * len(weights) * ROWS_A_BUCKET < total:
         digits += 1
