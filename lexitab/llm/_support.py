@@ -51,17 +51,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def write_table(df: DataFrame, path: str) -> None:
+    """Writes df as Parquet; its shuffle files go once it is written, not only when the driver next collects garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEAN, None)
+    conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(_CLEAN) if before is None else conf.set(_CLEAN, before)
+
+
+#: Spark's own setting, read where a query starts.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_columnar(df: DataFrame) -> DataFrame:
     """Like cut(), as compressed Parquet beside the checkpoints: smaller for wide intermediate tables."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    write_table(df, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written.append((path, out))
+    return out
 
 
-#: Paths that cut_columnar() has written and discard() hasn't removed.
-_written: list[str] = []
+#: Paths and tables that cut_columnar() has written and that haven't been removed.
+_written: list[tuple[str, DataFrame]] = []
 
 
 def tables_written() -> int:
@@ -81,7 +97,14 @@ def discard(spark: SparkSession, kept: int = 0) -> None:
     For callers that have written what they read from those tables, as the pipeline does after each stage.
     """
     while len(_written) > kept:
-        remove(spark, _written.pop())
+        remove(spark, _written.pop()[0])
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes tables of cut_columnar() once all that was read from them is written too."""
+    for path, table in [w for w in _written if any(w[1] is t for t in tables)]:
+        _written.remove((path, table))
+        remove(table.sparkSession, path)
 
 
 def fresh(df: DataFrame, *bases: str) -> list[str]:

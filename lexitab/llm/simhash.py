@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexitab.llm._graph import connected_components, local_roots
-from lexitab.llm._support import arrow_column, cut, cut_columnar, fresh, hold, ship, utf8_parts
+from lexitab.llm._support import arrow_column, cut, cut_columnar, fresh, hold, release, ship, utf8_parts
 
 SEED = 42
 DISTANCE = 2
@@ -185,11 +185,13 @@ def similar_links(df: DataFrame, sets: DataFrame, row: list[Column], text: Colum
     members = cut_columnar(sets.select("key", F.explode("bands").alias("band")))
     firsts = members.groupBy("band").agg(F.min("key").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     grouped = cut_columnar(members.join(firsts, "band"))
+    release(members)
     pairs = grouped.where("key <> lead").select("lead", "key").distinct()
     wanted = cut_columnar(grouped.select("key").distinct().join(sets.select("key", "rep.*"), "key"))
     read = arrow_column("shingles", lambda texts: pa.array([shingle_set(raw, shingle).view(np.int64) for raw in utf8_parts(texts)], pa.list_(pa.int64())), "array<long>")
     found = df.select(row[0].alias("x"), row[1].alias("y"), text.alias("text")).join(wanted, ["x", "y"]).dropDuplicates(["x", "y"])
     found = cut_columnar(found.select("key", read(F.col("text")).alias("shingles")))
+    release(wanted)
     both = pairs.join(found.toDF("lead", "left"), "lead").join(found.toDF("key", "right"), "key")
     common = F.size(F.array_intersect("left", "right"))
     close = cut_columnar(both.where(common >= similarity * (F.size("left") + F.size("right") - common)).select("lead", "key"))
@@ -221,7 +223,9 @@ def similar_links(df: DataFrame, sets: DataFrame, row: list[Column], text: Colum
         return pa.table({"a": keys[roots[some]], "b": keys[some]})
 
     away = dealt.join(found, "key").groupBy("band", "i", "j", "mixed").applyInArrow(compare, "a long, b long")
-    return cut_columnar(close.toDF("a", "b").union(away).distinct())
+    links = cut_columnar(close.toDF("a", "b").union(away).distinct())
+    release(grouped, found, close)
+    return links
 
 
 def keep_similar(df: DataFrame, id_column: str, text_column: str, shingle: int, similarity: float) -> DataFrame:
@@ -236,11 +240,15 @@ def keep_similar(df: DataFrame, id_column: str, text_column: str, shingle: int,
     marked = df.select(doc.alias("doc_id"), F.struct(row[0].alias("x"), row[1].alias("y")).alias("row"), arrow_column("shingles", mark, "key long, bands array<long>")(text).alias("s"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
     sets = cut_columnar(marked.groupBy("s.key").agg(best, F.min("row").alias("rep"), F.first("s.bands").alias("bands")))
-    roots = connected_components(similar_links(df, sets, row, text, shingle, similarity)).select(F.col("node").alias("key"), F.col("component").alias("root"))
+    links = similar_links(df, sets, row, text, shingle, similarity)
+    roots = connected_components(links).select(F.col("node").alias("key"), F.col("component").alias("root"))
+    release(links)
     own = sets.select("key", "best").join(roots, "key", "left")
     names = fresh(df, "x", "y")
     kept = own.groupBy(F.coalesce("root", "key")).agg(F.min("best").alias("best")).select(F.col("best.row.x").alias(names[0]), F.col("best.row.y").alias(names[1]))
-    rows = df.withColumns(dict(zip(names, row))).join(cut_columnar(kept), names, "left_semi")
+    kept = cut_columnar(kept)
+    release(sets)
+    rows = df.withColumns(dict(zip(names, row))).join(kept, names, "left_semi")
     return rows.dropDuplicates(names).drop(*names)
 
 

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexitab.llm._support import arrow_column, cut_columnar, fresh, hold, ship, utf8_parts
+from lexitab.llm._support import arrow_column, cut_columnar, fresh, hold, release, ship, utf8_parts
 
 REACH = 4
 #: A chunk ends after so many words where nothing else ends it, as in one word repeated.
@@ -201,7 +201,7 @@ def remove_repeats(
     stay as they are; texts under min_words words are never cut; a text that is all repeats becomes empty. Other columns, types
     and repeated rows stay. Digests are 64 bits wide; a cut takes at least min_words words in equal chunks and equal words beside
     them. What moves are 32 bytes for each chunk of about nine words, the texts that hold an original or a repeat, and twice CONTEXT
-    hashes for each run; the two joins with the texts broadcast their other side while it is small and sort both sides beyond.
+    hashes for each run. The two joins with the texts sort both sides at every size; tables and shuffle files between go once the next table is written.
     """
     spark = df.sparkSession
     ship(spark)
@@ -223,6 +223,7 @@ def remove_repeats(
     pieces = cut_columnar(keyed.mapInArrow(_gathered(split), "digest long, rank long, key long, span long"))
     shared = pieces.groupBy("digest").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last")
     common = cut_columnar(pieces.join(shared.select("digest", "first"), "digest"))
+    release(pieces)
     find = arrow_column("substring", lambda found: pa.array([runs(p) for p in found.to_pylist()], _RUNS), "array<struct<at:long,n:long,left:long,left_doc:long,right:long,right_doc:long>>")
     repeats = common.where("first < rank").groupBy("rank", "key").agg(F.collect_set(F.struct("span", "digest", "first")).alias("pieces"))
     found = cut_columnar(repeats.select("rank", "key", F.explode(find("pieces")).alias("run")).select("rank", "key", "run.*"))
@@ -230,10 +231,12 @@ def remove_repeats(
     ends = found.select("left", "left_doc").union(found.select("right", "right_doc")).toDF("digest", "first").distinct()
     origin = common.where("first = rank").join(ends, ["digest", "first"]).groupBy("digest", "first").agg(F.min(F.struct("key", "span")).alias("at"))
     origin = cut_columnar(origin.select("digest", F.col("first").alias("rank"), "at.key", "at.span"))
+    release(common)
     asked = cut_columnar(origin.groupBy("rank", "key").agg(F.collect_set("span").alias("asked")))
     read = arrow_column("substring", lambda raws, spans: pa.array([[w.around(s) for s in some] for w, some in ((Words(raw or b""), some) for raw, some in zip(utf8_parts(raws), spans.to_pylist()))], _AROUND), "array<struct<span:long,before:array<long>,after:array<long>>>")
     around = keyed.join(asked.hint("merge"), ["rank", "key"]).select("rank", "key", F.explode(read("text", "asked")).alias("w")).select("rank", "key", "w.*").dropDuplicates(["rank", "key", "span"])
     around = cut_columnar(origin.join(around, ["rank", "key", "span"]).select("digest", "rank", "before", "after"))
+    release(origin, asked)
     wide = found.join(around.select(F.col("digest").alias("left"), F.col("rank").alias("left_doc"), "before"), ["left", "left_doc"], "left")
     wide = wide.join(around.select(F.col("digest").alias("right"), F.col("rank").alias("right_doc"), "after"), ["right", "right_doc"], "left")
     rank_name, key_name, runs_name, cut_name = fresh(df, "rank", "key", "runs", "cut")
