@@ -241,7 +241,9 @@ def remove_repeats(
     wide = wide.join(around.select(F.col("digest").alias("right"), F.col("rank").alias("right_doc"), "after"), ["right", "right_doc"], "left")
     rank_name, key_name, runs_name, cut_name = fresh(df, "rank", "key", "runs", "cut")
     cuts = wide.groupBy(F.col("rank").alias(rank_name), F.col("key").alias(key_name)).agg(F.collect_list(F.struct("at", "n", "before", "after")).alias(runs_name))
-    joined = df.withColumns({rank_name: rank, key_name: key}).join(cut_columnar(cuts).hint("merge"), [rank_name, key_name], "left")
+    cuts = cut_columnar(cuts)
+    release(found, around)
+    joined = df.withColumns({rank_name: rank, key_name: key}).join(cuts.hint("merge"), [rank_name, key_name], "left")
     whole = F.when(F.col(runs_name).isNotNull(), F.col(f"`{text_column}`"))
     clean = arrow_column("substring", lambda raws, some: pa.array([None if raw is None or not r else without(raw, r, min_words) for raw, r in zip(utf8_parts(raws), some.to_pylist())], _CUT), "struct<text:string,spans:array<struct<start:int,end:int>>,words:long>")
     out = joined.withColumn(cut_name, clean(whole, F.col(runs_name)))
