@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexitab.llm._support import cut
+from lexitab.llm._support import cut, release
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -20,18 +20,22 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     pairs = cut(pairs.distinct())
     labels = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().withColumn("component", F.col("node")))
     while not pairs.isEmpty():
-        hooks = cut(pairs.groupBy("a").agg(F.min("b").alias("to")))
+        hooks = last = cut(pairs.groupBy("a").agg(F.min("b").alias("to")))
         while True:
             ends = hooks.select(F.col("a").alias("to"), F.col("to").alias("end"))
             jumped = cut(hooks.join(ends, "to", "left").select("a", F.coalesce("end", "to").alias("to"), F.col("end").isNotNull().alias("moved")))
-            hooks = jumped.select("a", "to")
+            release(last)
+            hooks, last = jumped.select("a", "to"), jumped
             if jumped.where("moved").isEmpty():
                 break
+        named, contracted = labels, pairs
         labels = cut(labels.join(hooks.withColumnRenamed("a", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component")))
         upper = hooks.select("a", F.col("to").alias("upper"))
         lower = hooks.select(F.col("a").alias("b"), F.col("to").alias("lower"))
         ends = pairs.join(upper, "a", "left").join(lower, "b", "left").select(F.coalesce("upper", "a").alias("x"), F.coalesce("lower", "b").alias("y"))
         pairs = cut(ends.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+        release(named, contracted, last)
+    release(pairs)
     return labels
 
 

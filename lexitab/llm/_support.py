@@ -5,14 +5,19 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexitab.session import shared_folder
+
 #: Bytes of one Arrow batch sent to Python; whole texts can be long, so rows alone don't bound memory.
 BATCH_BYTES = "4m"
 
@@ -32,38 +37,38 @@ def ship(spark: SparkSession) -> None:
     context._lexitab_shipped = True
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir. Where it is unset, one of our own in local mode and an error on a cluster."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not named:
-        if not (context.master or "").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="lexitab-checkpoint-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(named)
-    return named
+#: The shared folder named by spark.checkpoint.dir; the library has it in one place.
+checkpoint_dir = shared_folder
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut, in the shared checkpoint folder."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    kept = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    return _noted(out, kept.get() if kept.isDefined() else None)
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    """Writes df as Parquet; its shuffle files go once it is written, not only when the driver next collects garbage."""
-    conf = df.sparkSession.conf
-    before = conf.get(_CLEAN, None)
-    conf.set(_CLEAN, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        conf.unset(_CLEAN) if before is None else conf.set(_CLEAN, before)
+def write_table(df: DataFrame, path: str, form: str = "parquet") -> None:
+    """Writes df; its shuffle files go once it is written, not only when the driver next collects garbage.
+
+    The setting for that is read where a query starts; threads that share the session and write through here take turns.
+    """
+    before = df.sparkSession.conf.get(_CLEAN, None)
+    if before == "true":
+        df.write.format(form).save(path)
+        return
+    with _setting:
+        df.sparkSession.conf.set(_CLEAN, "true")
+        try:
+            df.write.format(form).save(path)
+        finally:
+            df.sparkSession.conf.unset(_CLEAN) if before is None else df.sparkSession.conf.set(_CLEAN, before)
 
 
-#: Spark's own setting, read where a query starts.
+#: Spark's own setting, read where a query starts, and what lets one thread at a time change it.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_setting = threading.RLock()
 
 
 def cut_columnar(df: DataFrame) -> DataFrame:
@@ -71,18 +76,36 @@ def cut_columnar(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
     write_table(df, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _written.append((path, out))
-    return out
+    return _noted(spark.read.schema(df.schema).parquet(path), path)
+
 
+#: Paths that cut() and cut_columnar() have written within the workspace() of this thread; None outside of one.
+_noting: ContextVar[set[str] | None] = ContextVar("_noting", default=None)
 
-#: Paths and tables that cut_columnar() has written and that haven't been removed.
-_written: list[tuple[str, DataFrame]] = []
 
+def _noted(df: DataFrame, path: str | None) -> DataFrame:
+    df._lexitab_path = path
+    if path and _noting.get() is not None:
+        _noting.get().add(path)
+    return df
 
-def tables_written() -> int:
-    """How many tables of cut_columnar() there are."""
-    return len(_written)
+
+@contextmanager
+def workspace(spark: SparkSession):
+    """Removes at its end what cut() and cut_columnar() have written in it, and nothing that another thread or workspace has.
+
+    For callers that write what they read from those tables before the end, as the pipeline does in each stage. Outside of a
+    workspace an operator leaves the tables that its result still reads; checkpoints among them go with the last plan that reads
+    them where spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
+    mine: set[str] = set()
+    token = _noting.set(mine)
+    try:
+        yield mine
+    finally:
+        _noting.reset(token)
+        for path in mine:
+            remove(spark, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -91,20 +114,15 @@ def remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def discard(spark: SparkSession, kept: int = 0) -> None:
-    """Removes the tables that cut_columnar() has written, but for the first so many.
-
-    For callers that have written what they read from those tables, as the pipeline does after each stage.
-    """
-    while len(_written) > kept:
-        remove(spark, _written.pop()[0])
-
-
 def release(*tables: DataFrame) -> None:
-    """Removes tables of cut_columnar() once all that was read from them is written too."""
-    for path, table in [w for w in _written if any(w[1] is t for t in tables)]:
-        _written.remove((path, table))
-        remove(table.sparkSession, path)
+    """Removes tables of cut() and cut_columnar() once all that was read from them is written too."""
+    for table in tables:
+        path = getattr(table, "_lexitab_path", None)
+        if path:
+            table._lexitab_path = None
+            if _noting.get() is not None:
+                _noting.get().discard(path)
+            remove(table.sparkSession, path)
 
 
 def fresh(df: DataFrame, *bases: str) -> list[str]:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexitab.llm._graph import connected_components, local_roots
-from lexitab.llm._support import cut, hold, ship
+from lexitab.llm._support import cut, hold, release, ship
 
 #: Vectors that the centroids are fitted on at most, about, and for each centroid; every vector is assigned and compared.
 SAMPLE, SAMPLE_A_CELL = 20_000, 16
@@ -195,10 +195,12 @@ def near_duplicate_vectors(
         return pa.table({"g": g[some], "root": g[local_roots(len(g), a, b)[some]], "links": links[some]})
 
     found = cut(dealt.groupBy(*place, "i", "j", "visit").applyInArrow(compare, "g long, root long, links long"))
+    release(placed)
     components = connected_components(found.select(F.col("g").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("g").agg(F.sum("links").alias("links"))
     own = distinct.select("g", "label", "v", "first", "n").join(components.withColumnRenamed("node", "g"), "g", "left").join(links, "g", "left")
     own = cut(own.withColumn("component", F.coalesce("component", "g")))
+    release(distinct, found, components)
     heads = own.groupBy("component").agg(F.min("first").alias("component_id"))
     known = own.join(heads, "component").select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     out = rows.join(known, ["label", "v"], "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitab.llm import bpe, embedding_dedup, langid, license_scan, media, mixing, sharding, simhash, substring_dedup, url_filter
+from lexitab.llm import bpe, delta_lloyd, embedding_dedup, langid, license_scan, media, mixing, sharding, simhash, substring_dedup, url_filter
 
 #: Fixed values of the contracts.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -89,6 +89,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(documents, spans_column="cut_spans", words_column="cut_words")
 
 
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole vector's cluster after three rounds."""
+    return delta_lloyd.cluster_vectors(_read(spark, sf_dir, "embeddings"), clusters=16, rounds=3)
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_byte_bpe": op2_byte_bpe,
@@ -100,9 +105,33 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_media_columns": op9_media_columns,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
 
+
+
+def _lloyd_sql(rounds: int, clusters: int) -> str:
+    """Plain rounds of Lloyd's method: every vector against every centroid."""
+    parts = [
+        """kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS k, v AS c FROM kept QUALIFY k < {clusters})",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"""a{n} AS MATERIALIZED (SELECT r, min(struct_pack(d := d, k := k)) AS best FROM (
+            SELECT r, k, CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM kept, c{n}) GROUP BY r)""")
+        if n < rounds:
+            parts.append(f"""m{n} AS (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM (
+                SELECT best.k AS k, i, sum(v[i]) AS s, count(*) AS n FROM kept JOIN a{n} USING (r), range(1, 65) AS dims(i) GROUP BY ALL) GROUP BY k)""")
+            parts.append(f"c{n + 1} AS MATERIALIZED (SELECT k, coalesce(m{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN m{n} USING (k))")
+    return f"""WITH {", ".join(parts)}
+        SELECT vec_id, CAST(best.k AS INTEGER) AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.k) AS BIGINT) AS cluster_inertia,
+            CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM kept JOIN a{rounds} USING (r) JOIN c{rounds} ON k = best.k"""
+
+
 ORACLE_SQL = {
+    "op13_centroid_clusters": _lloyd_sql(rounds=3, clusters=16),
     "op6_url_filter": """
         WITH parts AS (
             SELECT page_id,

@@ -114,8 +114,10 @@ def classes(marked: DataFrame) -> DataFrame:
     component_id is the smallest id of the class, null if all its ids are null; keeper and keeper_fp name its first row.
     """
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = connected_components(near_links(distinct)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    found = connected_components(near_links(distinct))
+    roots = found.select(F.col("node").alias("fp"), F.col("component").alias("root"))
     own = cut(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    release(distinct, found)
     best = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("best")
     heads = own.groupBy("root").agg(best)
     return own.join(heads, "root").select("fp", F.col("best.first").alias("component_id"), F.col("best.first").alias("keeper"), F.col("best.fp").alias("keeper_fp"))
@@ -241,13 +243,14 @@ def keep_similar(df: DataFrame, id_column: str, text_column: str, shingle: int,
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
     sets = cut_columnar(marked.groupBy("s.key").agg(best, F.min("row").alias("rep"), F.first("s.bands").alias("bands")))
     links = similar_links(df, sets, row, text, shingle, similarity)
-    roots = connected_components(links).select(F.col("node").alias("key"), F.col("component").alias("root"))
+    components = connected_components(links)
+    roots = components.select(F.col("node").alias("key"), F.col("component").alias("root"))
     release(links)
     own = sets.select("key", "best").join(roots, "key", "left")
     names = fresh(df, "x", "y")
     kept = own.groupBy(F.coalesce("root", "key")).agg(F.min("best").alias("best")).select(F.col("best.row.x").alias(names[0]), F.col("best.row.y").alias(names[1]))
     kept = cut_columnar(kept)
-    release(sets)
+    release(sets, components)
     rows = df.withColumns(dict(zip(names, row))).join(kept, names, "left_semi")
     return rows.dropDuplicates(names).drop(*names)
 

@@ -65,10 +65,13 @@ def test_run_and_registry(spark, small):
     import __spark_entry__
 
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
-    before = _support.tables_written()
-    assert corpus_pipeline.run(spark, small).count() > 0
-    assert _support.tables_written() == before
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
+    folder = Path(_support.checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("*/*"))
+    out = corpus_pipeline.run(spark, small)
+    assert out.count() > 0
+    new = set(folder.glob("*/*")) - before
+    assert [p.parent.name for p in new] == ["pipeline"]  # the folder of the result, and nothing else
 
 
 def test_entry_without_this_subpackage(tmp_path):
