@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitab.llm import bpe, delta_lloyd, embedding_dedup, langid, license_scan, media, mixing, sharding, simhash, substring_dedup, url_filter
+from lexitab.llm import bpe, delta_lloyd, embedding_dedup, langid, license_scan, media, mixing, sharding, simhash, substring_dedup, token_files, url_filter
 
 #: Fixed values of the contracts.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
+END_ID = 2
 SHARDS = 24
 RULES = [
     ("allow", "org", "/"),
@@ -89,6 +91,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(documents, spans_column="cut_spans", words_column="cut_words")
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum, from files of coded ids."""
+    return token_files.round_trip(_read(spark, sf_dir, "documents"), vocabulary=BYTE_TOKENIZER, end_id=END_ID)
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole vector's cluster after three rounds."""
     return delta_lloyd.cluster_vectors(_read(spark, sf_dir, "embeddings"), clusters=16, rounds=3)
@@ -105,6 +112,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_media_columns": op9_media_columns,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_token_files": op12_token_files,
     "op13_centroid_clusters": op13_centroid_clusters,
 }
 
