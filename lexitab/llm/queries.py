@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitab.llm import bpe, delta_lloyd, embedding_dedup, langid, license_scan, media, mixing, sharding, simhash, substring_dedup, token_files, url_filter
+from lexitab.llm import bpe, delta_lloyd, embedding_dedup, langid, license_scan, media, mixing, sharding, simhash, substring_dedup, token_alignment, token_files, url_filter
 
 #: Fixed values of the contracts.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -91,6 +91,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(documents, spans_column="cut_spans", words_column="cut_words")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's groups and links between the tokens of two vocabularies, with the links' corpus-wide counts."""
+    return token_alignment.align_documents(_read(spark, sf_dir, "documents"), a=BYTE_TOKENIZER, b=PIECE_TOKENIZER)
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, from files of coded ids."""
     return token_files.round_trip(_read(spark, sf_dir, "documents"), vocabulary=BYTE_TOKENIZER, end_id=END_ID)
@@ -112,6 +117,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_media_columns": op9_media_columns,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_token_alignment": op11_token_alignment,
     "op12_token_files": op12_token_files,
     "op13_centroid_clusters": op13_centroid_clusters,
 }
