@@ -55,13 +55,20 @@ def lenient_number(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), r"[,$%\s]", "").try_cast("double")
 
 
+def kind_of(c: Column | str) -> Column:
+    """The kind of a column's values: i for whole numbers, d for floating ones, s for strings, else the type's name."""
+    kind = F.typeof(_col(c))
+    return F.when(kind.isin("tinyint", "smallint", "int", "bigint"), "i").when(kind.isin("float", "double"), "d").when(kind == "string", "s").otherwise(kind)
+
+
+def spelt(text: Column, kind: Column) -> Column:
+    """A text with its kind and length before it, so that texts spelt one after the other read back in one way only; n; for null."""
+    return F.when(text.isNull(), F.lit("n;")).otherwise(F.concat(kind, F.octet_length(text).cast("string"), F.lit(":"), text, F.lit(";")))
+
+
 def digest(*parts: Column | str) -> Column:
-    """SHA-256 of the parts with their types and lengths, so ("a", "bc") and ("ab", "c") differ and so do 1 and "1"."""
-    tagged = []
-    for part in parts:
-        c = _col(part).cast("string")
-        tagged += [F.when(c.isNull(), F.lit("n;")).otherwise(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c, F.lit(";")))]
-    return F.sha2(F.concat(*tagged), 256)
+    """SHA-256 of the parts with their kinds and lengths, so ("a", "bc") and ("ab", "c") differ and so do 1 and "1"."""
+    return F.sha2(F.concat(*[spelt(_col(part).cast("string"), kind_of(part)) for part in parts]), 256)
 
 
 def canonical_map_json(c: Column | str) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexitab.functions.text import digest, text_value
+from lexitab.functions.text import kind_of, spelt, text_value
 from lexitab.operators import ordered
 from lexitab.session import written_once
 
@@ -14,16 +15,17 @@ from lexitab.session import written_once
 def slots(df: DataFrame, id_column: str, text_columns: list[str]) -> DataFrame:
     """(row_id, slot, input_key, chars): one row for each text column and one, named joint, for all that a row has.
 
-    A missing text gives a null key. The joint key covers the names and texts of the fields present, so with one field
-    present it is the key of that field.
+    A missing text gives a null key. A key covers a field's name, its value's kind and its text, each with its length; the joint key covers
+    those of all fields present, so with one field present it is the key of that field. In a variant column each value has a kind of its own.
     """
     texts = {c: text_value(c) for c in text_columns}
-    part = lambda c: F.when(texts[c].isNotNull(), F.concat(F.lit(f"{c}="), texts[c]))
-    joint = F.concat_ws("\x1f", *[part(c) for c in text_columns])
-    options = [F.struct(F.lit(c).alias("slot"), F.when(texts[c].isNotNull(), digest(part(c))).alias("input_key"), F.char_length(texts[c]).alias("chars")) for c in text_columns]
+    kinds = {c: F.schema_of_variant(c) if isinstance(df.schema[c].dataType, T.VariantType) else kind_of(c) for c in text_columns}
+    part = lambda c: F.when(texts[c].isNotNull(), F.concat(spelt(F.lit(c), F.lit("s")), spelt(texts[c], kinds[c])))
+    joint = F.concat_ws("", *[part(c) for c in text_columns])
+    options = [F.struct(F.lit(c).alias("slot"), F.sha2(part(c), 256).alias("input_key"), F.char_length(texts[c]).alias("chars")) for c in text_columns]
     some = F.coalesce(*[texts[c] for c in text_columns]).isNotNull()
     sizes = sum((F.coalesce(F.char_length(texts[c]), F.lit(0)) for c in text_columns[1:]), F.coalesce(F.char_length(texts[text_columns[0]]), F.lit(0)))
-    options.append(F.struct(F.lit("joint").alias("slot"), F.when(some, digest(joint)).alias("input_key"), F.when(some, sizes).alias("chars")))
+    options.append(F.struct(F.lit("joint").alias("slot"), F.when(some, F.sha2(joint, 256)).alias("input_key"), F.when(some, sizes).alias("chars")))
     return df.select(F.col(id_column).alias("row_id"), F.explode(F.array(*options)).alias("s")).select("row_id", "s.slot", "s.input_key", "s.chars")
 
 

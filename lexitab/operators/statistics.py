@@ -14,35 +14,51 @@ from pyspark.sql import functions as F
 
 from lexitab.operators.ordered import bucket_of, edges, running
 from lexitab.operators.ranks import average_rank, correlation
+from lexitab.session import written_once
 
 
-def _ranked(df: DataFrame, p: str, keys: tuple[str, ...]) -> tuple[DataFrame, list[str], Column]:
-    """df with __known, __rank by p within keys and __m, the number of known p; the keys; and the order's bucket."""
-    rows = df.withColumn("__known", F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double")))
-    within = [*keys, "__known"]
-    bucket = bucket_of(p, edges(df.where(F.col(p).isNotNull()), p))
-    sizes = rows.groupBy(*within).agg(F.count(F.lit(1)).alias("__m")).select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(within)], "__m")
+def _by_value(df: DataFrame, p: str, keys: tuple[str, ...]) -> tuple[DataFrame, Column]:
+    """(keys, __p, __n, __upto, __m): each known p within keys, how often it comes, the rows up to it, and all known; and the order's bucket.
+
+    df is read once: equal p are counted before they are ranked, and the counts are kept.
+    """
+    known = F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double"))
+    counts = written_once(df.where(known).groupBy(*keys, F.col(p).cast("double").alias("__p")).agg(F.count(F.lit(1)).alias("__n")))
+    bucket = bucket_of("__p", edges(counts, "__p"))
+    upto = running(counts, list(keys), bucket, [F.col("__p")], {"__upto": F.col("__n")})
+    sizes = counts.groupBy(*keys).agg(F.sum("__n").alias("__m")).select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)], "__m")
+    return upto.join(sizes, _alike(upto, sizes, keys)).drop(*[f"__{i}" for i in range(len(keys))]), bucket
+
+
+def _alike(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> Column:
+    """Keys of left equal columns __0, __1, ... of right, nulls too."""
     same = F.lit(True)
-    for i, k in enumerate(within):
-        same = same & rows[k].eqNullSafe(sizes[f"__{i}"])
-    rows = rows.join(sizes, same).drop(*[f"__{i}" for i in range(len(within))])
-    return running(rows, within, bucket, [F.col(p)], {"__rank": F.lit(1).cast("long")}), within, bucket
+    for i, k in enumerate(keys):
+        same = same & left[k].eqNullSafe(right[f"__{i}"])
+    return same
+
+
+def _told(df: DataFrame, p: str, keys: tuple[str, ...], found: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with value of the row of found that has its keys and p; null without p."""
+    found = found.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)], "__p", value.alias(name))
+    same = _alike(df, found, keys) & (df[p].cast("double") == F.col("__p"))
+    return df.join(found, same, "left").drop("__p", *[f"__{i}" for i in range(len(keys))])
 
 
 def benjamini_hochberg(df: DataFrame, p: str, *keys: str) -> DataFrame:
     """Adds q, the step-up false discovery rate within the keys; rows without p keep a null and don't count."""
-    rows, within, bucket = _ranked(df, p, keys)
-    raw = F.col(p) * F.col("__m") / F.col("__rank")
-    rows = running(rows, within, bucket, [F.desc("__rank")], {"__best": raw}, descending=True, how="min")
-    return rows.withColumn("q", F.when(F.col("__known"), F.least(F.lit(1.0), F.col("__best")))).drop("__known", "__rank", "__m", "__best")
+    rows, bucket = _by_value(df, p, keys)
+    # Of equal p the last has the lowest p * m / rank, and all of them take the lowest from there on.
+    rows = running(rows, list(keys), bucket, [F.desc("__p")], {"__best": F.col("__p") * F.col("__m") / F.col("__upto")}, descending=True, how="min")
+    return _told(df, p, keys, rows, "q", F.least(F.lit(1.0), F.col("__best")))
 
 
 def holm(df: DataFrame, p: str, *keys: str) -> DataFrame:
     """Adds adjusted, Holm's step-down p within the keys; rows without p keep a null and don't count."""
-    rows, within, bucket = _ranked(df, p, keys)
-    raw = F.col(p) * (F.col("__m") - F.col("__rank") + 1)
-    rows = running(rows, within, bucket, [F.col("__rank")], {"__worst": raw}, how="max")
-    return rows.withColumn("adjusted", F.when(F.col("__known"), F.least(F.lit(1.0), F.col("__worst")))).drop("__known", "__rank", "__m", "__worst")
+    rows, bucket = _by_value(df, p, keys)
+    # Of equal p the first has the highest p * (m - rank + 1), and all of them take the highest up to there.
+    rows = running(rows, list(keys), bucket, [F.col("__p")], {"__worst": F.col("__p") * (F.col("__m") - F.col("__upto") + F.col("__n"))}, how="max")
+    return _told(df, p, keys, rows, "adjusted", F.least(F.lit(1.0), F.col("__worst")))
 
 
 def random_effects(df: DataFrame, effect: str, variance: str, *keys: str, z: float = 1.959963984540054) -> DataFrame:

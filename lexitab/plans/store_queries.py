@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexitab.functions.json_values import canonical_json, json_numbers, largest_change
 from lexitab.operators import dedup, geometry, linear, ranks
 from lexitab.plans.fixtures import r6, rounded
 from lexitab.plans.registry import register
@@ -19,13 +21,48 @@ def version_ledger(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind"), version.alias("version")).agg(F.count(F.lit(1)).alias("responses"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
 
 
-@register("json_metrics", "SELECT event_type, 'k' AS metric, count(*) AS n, round(avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)), 6) AS mean FROM events GROUP BY event_type")
+_CELLS = """cells AS (SELECT event_id, event_type, '{"a":{"user":' || user_id || ',"b":{"c":{"d":{"five":' || length(event_type) || '}}}},"list":[' || event_id || ',"12",true,null,{"x":[' || event_id % 7 || ',' || value || ']}],"s":"12","t":false,"props":' || props || '}' AS cell FROM events)"""
+
+
+def _cells(spark, sf_dir):
+    """Events as JSON cells of five levels, with lists, strings, booleans and nulls beside the numbers."""
+    said = ['{"a":{"user":', "user_id", ',"b":{"c":{"d":{"five":', F.length("event_type"), '}}}},"list":[', "event_id", ',"12",true,null,{"x":[', F.col("event_id") % 7, ",", "value", ']}],"s":"12","t":false,"props":', "props", "}"]
+    parts = [F.lit(x) if i % 2 == 0 else (F.col(x) if isinstance(x, str) else x).cast("string") for i, x in enumerate(said)]
+    return table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", F.concat(*parts).alias("cell"))
+
+
+@register(
+    "json_metrics",
+    f"WITH {_CELLS} SELECT event_type, substr(t.fullkey, 3) AS metric, count(*) AS n, round(avg(CAST(t.atom AS DOUBLE)), 6) AS mean FROM cells, json_tree(cell) t WHERE t.type IN ('BIGINT', 'UBIGINT', 'DOUBLE') GROUP BY ALL",
+)
 def json_metrics(spark, sf_dir):
-    """Numbers in JSON cells as long rows, summed up."""
-    long = flatten_numbers(table(spark, sf_dir, "events"), ["event_id", "event_type"], "props")
+    """The numbers of nested JSON cells as long rows, summed up by path."""
+    long = flatten_numbers(_cells(spark, sf_dir), ["event_id", "event_type"], "cell")
     return rounded(long.groupBy("event_type", "metric").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")))
 
 
+@register("canonical_cells", "SELECT o_orderkey, '{\"a\":[null,true,{\"k\":\"' || o_orderpriority || '\",\"é\":' || o_custkey || '}],\"b\":null,\"z\":{\"m\":\"' || o_orderstatus || '\",\"n\":[]}}' AS cell FROM orders")
+def canonical_cells(spark, sf_dir):
+    """JSON cells with keys in any order and white space, in their canonical form."""
+    said = ['{ "z" : {"n": [ ], "m": "', "o_orderstatus", '"},\n "b":null, "a":[null, true, {"\\u00e9": ', "o_custkey", ', "k" :"', "o_orderpriority", '"}] }']
+    cell = F.concat(*[F.lit(x) if i % 2 == 0 else F.col(x).cast("string") for i, x in enumerate(said)])
+    return table(spark, sf_dir, "orders").select("o_orderkey", canonical_json(cell).alias("cell"))
+
+
+@register(
+    "replayed_answers",
+    """WITH e AS (SELECT user_id, event_id, value, lead(event_id) OVER w AS other, lead(value) OVER w AS later FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+    SELECT user_id, count(*) AS pairs, count(*) FILTER (event_id % 3 = other % 3) AS comparable, round(max(greatest(abs(later - value), abs(other % 7 - event_id % 7))) FILTER (event_id % 3 = other % 3), 6) AS largest_change FROM e WHERE other IS NOT NULL GROUP BY user_id""",
+)
+def replayed_answers(spark, sf_dir):
+    """The largest change between a user's answers and the next ones, where both have the same numbers."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.to_json(F.struct(F.struct("value", F.array(F.col("event_id") % 7).alias("x")).alias("p"), F.when(F.col("event_id") % 3 == 0, 1).alias("three"), F.when(F.col("event_id") % 3 == 1, 1).alias("one"))).alias("cell"))
+    rows = rows.withColumn("numbers", json_numbers("cell"))
+    following = F.lead("numbers").over(W.partitionBy("user_id").orderBy("event_id"))
+    pairs = rows.withColumn("later", following).where("later is not null").withColumn("change", largest_change(F.col("numbers"), F.col("later")))
+    return rounded(pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("pairs"), F.count("change").alias("comparable"), F.max("change").alias("largest_change")))
+
+
 @register("timing_summary", "SELECT event_type AS stage, CAST(user_id % 7 AS INTEGER) AS dataset, count(*) AS n, round(sum(value), 6) AS seconds, round(avg(value), 6) AS mean, round(max(value), 6) AS longest, count(*) FILTER (value > 50) AS slow FROM events GROUP BY ALL")
 def timing_summary(spark, sf_dir):
     """A timing journal by stage and data set."""

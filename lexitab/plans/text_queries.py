@@ -16,10 +16,10 @@ _FIELDS = ["text", "lang", "source"]
 _VALUE = "CASE WHEN regexp_replace({c}, '^\\s+|\\s+$', '', 'g') <> '' THEN {c} END"
 _SLOTS = (
     "vals AS (SELECT doc_id, " + ", ".join(f"{_VALUE.format(c=c)} AS {c}" for c in _FIELDS) + " FROM documents), parts AS (SELECT doc_id, "
-    + ", ".join(f"CASE WHEN {c} IS NOT NULL THEN '{c}=' || {c} END AS {c}, length({c}) AS {c}_n" for c in _FIELDS)
+    + ", ".join(f"CASE WHEN {c} IS NOT NULL THEN 's{len(c)}:{c};s' || strlen({c}) || ':' || {c} || ';' END AS {c}, length({c}) AS {c}_n" for c in _FIELDS)
     + " FROM vals), slots AS ("
-    + " UNION ALL ".join(f"SELECT doc_id AS row_id, '{c}' AS slot, sha256(strlen({c}) || ':' || {c} || ';') AS input_key, {c}_n AS chars FROM parts" for c in _FIELDS)
-    + " UNION ALL SELECT doc_id, 'joint', CASE WHEN coalesce(text, lang, source) IS NOT NULL THEN sha256(strlen(concat_ws(chr(31), text, lang, source)) || ':' || concat_ws(chr(31), text, lang, source) || ';') END,"
+    + " UNION ALL ".join(f"SELECT doc_id AS row_id, '{c}' AS slot, sha256({c}) AS input_key, {c}_n AS chars FROM parts" for c in _FIELDS)
+    + " UNION ALL SELECT doc_id, 'joint', CASE WHEN coalesce(text, lang, source) IS NOT NULL THEN sha256(concat_ws('', text, lang, source)) END,"
     + " CASE WHEN coalesce(text, lang, source) IS NOT NULL THEN coalesce(text_n, 0) + coalesce(lang_n, 0) + coalesce(source_n, 0) END FROM parts)"
 )
 
@@ -236,7 +236,7 @@ def cost_estimate(spark, sf_dir):
 
 @register(
     "train_test_overlap",
-    """WITH k AS (SELECT doc_id, CAST(doc_id % 5 AS INTEGER) AS fold, lang, sha256(strlen(text) || ':' || text || ';') AS key FROM documents WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''),
+    """WITH k AS (SELECT doc_id, CAST(doc_id % 5 AS INTEGER) AS fold, lang, sha256('s' || strlen(text) || ':' || text || ';') AS key FROM documents WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''),
     folds AS (SELECT unnest(range(0, 5)) AS test_fold), seen AS (SELECT f.test_fold, k.doc_id, k.lang, EXISTS (SELECT 1 FROM k t WHERE t.key = k.key AND t.fold <> f.test_fold) AS seen FROM folds f JOIN k ON k.fold = f.test_fold)
     SELECT CAST(test_fold AS INTEGER) AS test_fold, lang, count(*) AS rows, count(*) FILTER (seen) AS seen_rows FROM seen GROUP BY ALL""",
 )

@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexitab.functions.json_values import json_numbers
+
 
 def read_text(spark: SparkSession, path: str) -> str:
     """A small file's text, through Spark's file systems."""
@@ -42,10 +44,16 @@ def with_row_ids(df: DataFrame, name: str = "row_id", prefix: str = "csv:") -> D
     return rows.join(F.broadcast(starts), "__part").select(F.concat(F.lit(prefix), position).alias(name), *[f"`{c}`" for c in df.columns])  # a row for each partition
 
 
-def scan_accounting(lines: DataFrame, fields: list[str], terminal: tuple[str, ...] = ("COMPLETED", "FAILED", "CANCELLED", "TIMEOUT", "OUT_OF_MEMORY")) -> DataFrame:
-    """Pipe-delimited lines whose last field may hold pipes; keeps terminal states, the state's first word only."""
+def scan_accounting(lines: DataFrame, fields: list[str], terminal: tuple[str, ...] = ("COMPLETED", "FAILED", "CANCELLED", "TIMEOUT", "OUT_OF_MEMORY"), whole: tuple[str, ...] = ("seconds",)) -> DataFrame:
+    """Pipe-delimited lines whose last field may hold pipes; keeps terminal states, the state's first word only.
+
+    Lines with too few fields, and those whose fields named in whole aren't digits only, are no records.
+    """
     parts = F.split("value", r"\|", len(fields))
     rows = lines.where(F.size(parts) == len(fields)).select(*[parts[i].alias(f) for i, f in enumerate(fields)])
+    for name in whole:
+        if name in fields:
+            rows = rows.where(F.col(name).rlike("^[0-9]+$") & F.col(name).try_cast("long").isNotNull())
     return rows.withColumn("state", F.split("state", " ")[0]).where(F.col("state").isin(*terminal))
 
 
@@ -55,21 +63,20 @@ def tres(column: str, key: str):
     return F.coalesce(F.regexp_substr(said, F.lit("^[0-9]+")).cast("long"), F.lit(0))
 
 
-def flatten_numbers(df: DataFrame, keys: list[str], column: str, depth: int = 3) -> DataFrame:
-    """keys, metric (path joined by dots), value: the numbers of nested JSON objects up to a depth."""
-    rows = df.select(*keys, F.lit("").alias("metric"), F.from_json(column, "map<string,string>").alias("m"))
-    found = None
-    for level in range(depth):
-        entries = rows.select(*keys, F.col("metric").alias("path"), F.explode("m").alias("k", "v"))
-        name = F.when(F.col("path") == "", F.col("k")).otherwise(F.concat("path", F.lit("."), F.col("k")))
-        numbers = entries.select(*keys, name.alias("metric"), F.col("v").try_cast("double").alias("value")).where("value is not null")
-        found = numbers if found is None else found.unionByName(numbers)
-        rows = entries.where(F.col("v").startswith("{")).select(*keys, name.alias("metric"), F.from_json("v", "map<string,string>").alias("m"))
-    return found
+def flatten_numbers(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """keys, metric (path), value: a row for each number of a JSON cell at any depth, in objects and lists; see functions.json_values.
+
+    Key columns may have any names but metric and value. Cells that are null or aren't JSON give no row.
+    """
+    cells = df.select(*[F.col(f"`{k}`") for k in keys], json_numbers(F.col(f"`{column}`")).alias("metric"))
+    return cells.select(*[F.col(f"`{k}`") for k in keys], F.explode("metric").alias("metric", "value"))
 
 
 def content_checksum(df: DataFrame) -> tuple[int, str]:
-    """(rows, digest) of a table, whatever the order of its rows: sums of row hashes, computed on the executors."""
+    """(rows, digest) of a table, whatever the order of its rows: sums of row hashes, computed on the executors.
+
+    It tells apart tables that differ by accident; sums of hashes are no proof against somebody who makes rows to fit.
+    """
     row = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]), {"ignoreNullFields": "false"}), 256)
     parts = [F.conv(F.substring(row, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)") for i in range(4)]
     sums = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum(p).alias(f"s{i}") for i, p in enumerate(parts)]).first()

@@ -7,6 +7,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from lexitab.functions import json_values as J
 from lexitab.functions import text as T
 from lexitab.functions import vectors as V
 
@@ -40,6 +41,24 @@ def test_digest_keeps_parts_apart(spark):
     assert df.select(T.digest("x", "y")).distinct().count() == 4
 
 
+def test_digest_keeps_kinds_apart(spark):
+    row = spark.range(1).select(T.digest(F.lit(1)).alias("i"), T.digest(F.lit(1).cast("long")).alias("l"), T.digest(F.lit("1")).alias("s"), T.digest(F.lit(1.0)).alias("d"), T.digest(F.lit(True)).alias("b"), T.digest(F.lit("true")).alias("t")).first()
+    assert row["i"] == row["l"] and len({row["i"], row["s"], row["d"], row["b"], row["t"]}) == 5
+
+
+def test_canonical_json(spark):
+    cells = ['{"b":1,"a":[1.5,{"d":null,"c":"\\u00e9\\n"}]}', "[NaN]", "[1e999]", "{", None, '"x"', "[true,false]"]
+    want = ['{"a":[1.5,{"c":"é\\n","d":null}],"b":1}', None, None, None, None, '"x"', "[true,false]"]
+    df = spark.createDataFrame(list(enumerate(cells)), "i long, c string").repartition(3)
+    assert [r[0] for r in df.select("i", J.canonical_json("c").alias("c")).orderBy("i").select("c").collect()] == want
+
+
+def test_largest_change(spark):
+    df = spark.createDataFrame([('{"a":1,"b":[2,3]}', '{"b":[2,5],"a":0.5}'), ('{"a":1}', '{"b":1}'), ("{}", "{}"), ("{", "{}")], "x string, y string")
+    maps = df.select(J.json_numbers("x").alias("x"), J.json_numbers("y").alias("y"))
+    assert [r[0] for r in maps.select(J.largest_change(F.col("x"), F.col("y"))).collect()] == [2.0, None, None, None]
+
+
 def test_epoch_seconds(spark):
     assert one(spark, T.epoch_seconds("t"), t="2020-01-01") == 1577836800
     assert one(spark, T.epoch_seconds("t"), t="no date") is None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -98,6 +99,36 @@ def test_benjamini_hochberg(spark):
     assert adjusted[0.01] == pytest.approx(0.04) and adjusted[0.03] == pytest.approx(0.09) and adjusted[0.04] == pytest.approx(0.09)
 
 
+def test_corrections_read_their_input_once_and_join_it_once(spark, tmp_path):
+    rows = [(g, p) for g in ("a", "b", None) for p in (0.01, 0.02, 0.02, 0.5, None, 0.04)]
+    spark.createDataFrame(rows, "g string, p double").write.parquet(str(tmp_path / "p"))
+    df = spark.read.parquet(str(tmp_path / "p"))
+    for correct in (statistics.benjamini_hochberg, statistics.holm):
+        out = correct(df, "p", "g")
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+        assert out.count() == len(rows)
+    q = {(r["g"], r["p"]): r["q"] for r in statistics.benjamini_hochberg(df, "p", "g").collect()}
+    assert q[None, 0.02] == pytest.approx(0.1 / 3) and q["b", 0.5] == pytest.approx(0.5) and q["a", None] is None and q["a", 0.01] == pytest.approx(0.1 / 3)
+    adjusted = {(r["g"], r["p"]): r["adjusted"] for r in statistics.holm(df, "p", "g").collect()}
+    assert adjusted[None, 0.02] == pytest.approx(0.08) and adjusted["a", 0.04] == pytest.approx(0.08) and adjusted["a", 0.5] == pytest.approx(0.5)
+
+
+def test_joint_keys_come_from_parts(spark):
+    """Types and white space count; a separator inside a text doesn't stand for another field."""
+    cells = [("same", "text"), ("same", "text"), ("same", None), (None, "text"), (" ", None), (1, None), ("1", None), ("same ", "text")]
+    df = spark.createDataFrame([(i, json.dumps(a), b) for i, (a, b) in enumerate(cells)], "id long, a string, b string")
+    df = df.select("id", F.parse_json("a").alias("a"), "b")
+    profile = {r["slot"]: r for r in dedup.reuse_profile(df, "id", ["a", "b"]).collect()}
+    assert profile["joint"]["unique_inputs"] == 6 and profile["a"]["unique_inputs"] == 4 and profile["a"]["nonempty"] == 6
+    keys = dedup.slots(df, "id", ["a", "b"]).where("input_key is not null")
+    single, joint = (keys.where(f"slot {x} 'joint'").select("input_key").distinct() for x in ("<>", "="))
+    assert single.intersect(joint).count() == 4
+    assert [r["rows"] for r in dedup.top_frequencies(df, "id", ["a"], 9).where("slot = 'a'").orderBy("place").collect()] == [3, 1, 1, 1]
+    for a, b in (("x\x1fb=y", "x"), ("x;s1:b;s1:y", "x")):
+        two = spark.createDataFrame([(1, a, None), (2, b, "y")], "id long, a string, b string")
+        assert dedup.slots(two, "id", ["a", "b"]).where("slot = 'joint'").select("input_key").distinct().count() == 2
+
+
 def test_random_effects(spark):
     df = spark.createDataFrame([("a", 0.1, 0.01), ("a", 0.3, 0.02), ("a", 0.5, 0.01), ("b", 0.2, 0.1)], "g string, y double, v double")
     out = {r["g"]: r for r in statistics.random_effects(df, "y", "v", "g").collect()}

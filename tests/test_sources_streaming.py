@@ -27,8 +27,29 @@ def test_accounting_lines(spark):
 
 
 def test_flatten_numbers(spark):
-    df = spark.createDataFrame([(1, '{"a": 1, "b": {"c": 2.5, "d": "x"}}')], "id long, j string")
-    assert {(r["metric"], r["value"]) for r in S.flatten_numbers(df, ["id"], "j").collect()} == {("a", 1.0), ("b.c", 2.5)}
+    """Any depth, lists, and key columns named like what the operator works with."""
+    deep = '{"a":' * 60 + "1" + "}" * 60
+    cells = {
+        1: ('{"a":{"b":{"c":{"d":{"e":5}}}},"s":"12","l":[1,2],"x":1.5,"t":true,"n":null}', {"a.b.c.d.e": 5.0, "l[0]": 1.0, "l[1]": 2.0, "x": 1.5}),
+        2: ("[[1, [2]], {}, []]", {"[0][0]": 1.0, "[0][1][0]": 2.0}),
+        3: ("7", {"": 7.0}),
+        4: ('{"a.b": 1, "a": {"b": 2}}', {"a.b": 2.0}),
+        5: (deep, {".".join(["a"] * 60): 1.0}),
+        6: ("not json", {}),
+        7: (None, {}),
+        8: ('{"big": 1e400, "whole": 123456789012345678901234567890}', {"big": float("inf"), "whole": 1.2345678901234568e29}),
+    }
+    df = spark.createDataFrame([(i, i, i, i, c) for i, (c, _) in cells.items()], "k long, v long, m long, path long, j string")
+    found = {i: {} for i in cells}
+    for r in S.flatten_numbers(df, ["k", "v", "m", "path"], "j").collect():
+        found[r["k"]][r["metric"]] = r["value"]
+    assert found == {i: want for i, (_, want) in cells.items()}
+
+
+def test_accounting_drops_what_is_no_number(spark):
+    lines = ["1|a|COMPLETED|60|cpu=1|x", "2|a|COMPLETED|x|cpu=1|x", "3|a|COMPLETED||cpu=1|x", "4|a|FAILED|-5|cpu=1|x", "5|a|FAILED|99999999999999999999|cpu=1|x"]
+    df = S.scan_accounting(spark.createDataFrame([(x,) for x in lines], "value string"), ["id", "stage", "state", "seconds", "tres", "line"])
+    assert [(r["id"], r["s"]) for r in df.withColumn("s", F.col("seconds").cast("long")).collect()] == [("1", 60)]
 
 
 def test_export_round_trip(spark, tmp_path):
