@@ -20,8 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexitab.llm._encoder import byte_letters, encoder, vocabulary_path
 from lexitab.llm._support import cut_columnar, hold, release, ship
-from lexitab.llm.token_files import tokenizer, vocabulary_path
 
 #: Bits of an id in a packed pair, and so the largest vocabulary.
 _ID_BITS = 20
@@ -66,12 +66,13 @@ class Vocabulary:
             import sentencepiece
 
             own = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.encode = lambda texts: own.encode(texts, num_threads=1) if texts else []
+            self.encode = own.encode
             self.pieces = [bytes([int(own.id_to_piece(i)[3:-1], 16)]) if own.is_byte(i) else own.id_to_piece(i).replace("▁", " ").encode() for i in range(own.get_piece_size())]
         else:
-            own = tokenizer(path, True)
+            known = encoder(path, True)
+            own = known.own
             # The library's tokenizer of this kind adds no space itself, the other one does.
-            self.encode = lambda texts: [e.ids for e in own.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+            self.encode = lambda text: np.frombuffer(known.encode(" " + text), known.dtype).tolist()
             byte_of = byte_letters()
             named = {i: piece for piece, i in own.get_vocab(with_added_tokens=True).items()}
             spell = lambda piece: bytes(byte_of[c] for c in piece) if all(c in byte_of for c in piece) else piece.encode()
@@ -85,13 +86,6 @@ class Vocabulary:
         return b"".join(map(self.pieces.__getitem__, ids))
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that byte-level vocabularies write for each byte: itself if it is printable Latin-1, else the next letter from U+0100 on."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(printable)]
-    return {chr(b): b for b in printable} | {chr(0x100 + n): b for n, b in enumerate(rest)}
-
-
 @cache
 def vocabulary(name: str) -> Vocabulary:
     """A worker's vocabulary."""
@@ -100,7 +94,7 @@ def vocabulary(name: str) -> Vocabulary:
 
 def _forget() -> None:
     vocabulary.cache_clear()
-    tokenizer.cache_clear()
+    encoder.cache_clear()
 
 
 class Aligned:
@@ -111,18 +105,15 @@ class Aligned:
     """
 
     def __init__(self, a: Vocabulary, b: Vocabulary, texts: list[str | None]):
-        asked = [t for t in texts if t]
-        pairs = iter(zip(asked, a.encode(asked), b.encode(asked)))
         ids, counts, sizes = ([], []), np.zeros((2, len(texts) + 1), np.int64), np.zeros(len(texts) + 1, np.int64)
         for n, text in enumerate(texts, 1):
             if text:
-                _, one, two = next(pairs)
-                raw = b" " + text.encode()
+                one, two, raw = a.encode(text), b.encode(text), b" " + text.encode()
                 if a.spelt(one) == raw == b.spelt(two):
-                    ids[0].append(np.array(one, np.int64))
-                    ids[1].append(np.array(two, np.int64))
+                    ids[0].append(np.array(one, np.int32))
+                    ids[1].append(np.array(two, np.int32))
                     counts[0, n], counts[1, n], sizes[n] = len(one), len(two), len(raw)
-        self.a_ids, self.b_ids = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ids)
+        self.a_ids, self.b_ids = (np.concatenate([np.zeros(0, np.int32), *x]) for x in ids)
         self.tokens, bounds = np.cumsum(counts, axis=1), np.cumsum(sizes)
         size = int(bounds[-1])
         a_set, b_set = (Bitset.of_places(np.cumsum(v.lengths[x]) - 1, size) for v, x in ((a, self.a_ids), (b, self.b_ids)))
@@ -152,7 +143,7 @@ def _block(a: Vocabulary, b: Vocabulary, texts: list[str | None]) -> dict[str, n
     """A block's columns, each a list with something for each document, or for each pair, or for each pair of a document."""
     found = Aligned(a, b, texts)
     doc = np.repeat(np.arange(len(texts)), np.diff(found.links))
-    pair = found.a_ids[found.a_of] << _ID_BITS | found.b_ids[found.b_of]
+    pair = found.a_ids[found.a_of].astype(np.int64) << _ID_BITS | found.b_ids[found.b_of]
     keys, local = np.unique(pair, return_inverse=True)
     both, times = np.unique(doc * max(1, len(keys)) + local, return_counts=True)
     doc, local = np.divmod(both, max(1, len(keys)))
@@ -175,9 +166,6 @@ def blocks_of(df: DataFrame, a: str, b: str, id_column: str, text_column: str) -
     lists = [*_FACTS, "keys", "holders", "pairs"]
 
     def run(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         hold("alignment", _forget)
         one, two = vocabulary(a), vocabulary(b)
         first = TaskContext.get().partitionId() << 32

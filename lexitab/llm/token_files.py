@@ -19,13 +19,13 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexitab.llm._encoder import encoder, vocabulary_path
 from lexitab.llm._support import checkpoint_dir, cut_columnar, hold, release, remove, ship
 from lexitab.operators.ordered import running
 
@@ -219,7 +219,7 @@ class FileWriter:
             yield from self._coded(last=False)
 
     def _coded(self, last: bool) -> Iterator[bytes]:
-        ids = np.concatenate([np.zeros(0, np.uint32), *self.waiting])
+        ids = np.concatenate([np.zeros(0, np.uint16), *self.waiting])
         full = len(ids) // BLOCK_IDS
         for low in range(0, full, TOGETHER):
             yield from self._blocks(ids[low * BLOCK_IDS : min(full, low + TOGETHER) * BLOCK_IDS].reshape(-1, BLOCK_IDS))
@@ -309,58 +309,42 @@ class FileReader:
             yield None if null else doc, n, some
 
 
-@cache
-def tokenizer(path: str, plain: bool):
-    """A worker's tokenizer; with plain, special tokens' strings in texts are ordinary text."""
-    from tokenizers import Tokenizer
-
-    found = Tokenizer.from_file(path)
-    if plain:
-        found.encode_special_tokens = True
-    return found
-
-
-def vocabulary_path(name: str) -> str:
-    """A vocabulary of public_tokenizers, or the file at a path."""
-    import public_tokenizers
-
-    return name if "/" in name else public_tokenizers.path(name)
-
-
 def tokenise(df: DataFrame, *, vocabulary: str, end_id: int | None, id_column: str, text_column: str, plain_special: bool = False) -> DataFrame:
-    """(doc_id, tie, row, n, ids) of every row: ids are unsigned 32-bit, little-endian, the end id last; tie is a hash of the text."""
+    """(doc_id, tie, row, width, ids) of every row: ids are little-endian numbers of width bytes, the end id last; tie is a hash of the text."""
     picked = df.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text_column).alias("tie"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    tail = np.array([] if end_id is None else [end_id], "<u4").tobytes()
 
     def run(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
-        hold("tokens", tokenizer.cache_clear)
-        to_ids = tokenizer(vocabulary_path(vocabulary), plain_special)
+        hold("tokens", encoder.cache_clear)
+        own = encoder(vocabulary_path(vocabulary), plain_special)
+        tail = np.array([] if end_id is None else [end_id], own.dtype).tobytes()
         for batch in batches:
-            said = [np.array(e.ids, "<u4").tobytes() + tail for e in to_ids.encode_batch_fast(batch.column("text").to_pylist(), add_special_tokens=False)]
-            counts = pa.array([len(s) // 4 for s in said], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], counts, pa.array(said, pa.binary())], ["doc_id", "tie", "row", "n", "ids"])
+            said = [own.encode(text) + tail for text in batch.column("text").to_pylist()]
+            width = pa.array(np.full(len(said), own.dtype.itemsize, np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], width, pa.array(said, pa.binary())], ["doc_id", "tie", "row", "width", "ids"])
+
+    return picked.mapInArrow(run, "doc_id long, tie long, row long, width int, ids binary")
+
 
-    return picked.mapInArrow(run, "doc_id long, tie long, row long, n long, ids binary")
+def ids_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The ids of each row of tokenise()."""
+    return [np.frombuffer(said, f"<u{width}") for said, width in zip(batch.column("ids").to_pylist(), batch.column("width").to_pylist())]
 
 
 def id_counts(tokens: DataFrame) -> np.ndarray:
     """How often each id occurs in all rows; what reaches the driver is a number for each id of the vocabulary."""
 
     def run(batches):
-        hold("tokens", tokenizer.cache_clear)
+        hold("tokens", encoder.cache_clear)
         counts = np.zeros(0, np.int64)
         for batch in batches:
-            ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u4")
+            ids = np.concatenate([np.zeros(0, np.uint16), *ids_of(batch)])
             some = np.bincount(ids, minlength=len(counts))
             some[: len(counts)] += counts
             counts = some
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], ["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    rows = tokens.select("width", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     ids, n = np.array(rows.column("id"), np.int64), np.array(rows.column("n"), np.int64)
     counts = np.zeros(int(ids.max(initial=-1)) + 1, np.int64)
     counts[ids] = n
@@ -382,7 +366,7 @@ def write_tokens(tokens: DataFrame, folder: str, file_ids: int = FILE_IDS) -> No
     dealt = tokens.repartitionByRange(files, *order).sortWithinPartitions(*order)
 
     def run(batches):
-        hold("tokens", tokenizer.cache_clear)
+        hold("tokens", encoder.cache_clear)
         writer = None
         said = []
         for batch in batches:
@@ -391,15 +375,15 @@ def write_tokens(tokens: DataFrame, folder: str, file_ids: int = FILE_IDS) -> No
             if writer is None:
                 writer = FileWriter(table)
                 said.append(writer.header())
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
-                said += writer.add(doc, np.frombuffer(ids, "<u4"))
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), ids_of(batch)):
+                said += writer.add(doc, ids)
             if said:
                 yield pa.RecordBatch.from_arrays([pa.array(said, pa.binary())], ["record"])
                 said = []
         if writer is not None:
             yield pa.RecordBatch.from_arrays([pa.array([*said, *writer.close()], pa.binary())], ["record"])
 
-    records = dealt.select("doc_id", "ids").mapInArrow(run, "record binary")
+    records = dealt.select("doc_id", "width", "ids").mapInArrow(run, "record binary")
     records.select(F.col("record").cast("string")).write.option("lineSep", "\n").text(f"{folder}/files")
 
 
@@ -424,7 +408,7 @@ def read_tokens(spark: SparkSession, folder: str, *, with_ids: bool = False) ->
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     def run(batches):
-        hold("tokens", tokenizer.cache_clear)
+        hold("tokens", encoder.cache_clear)
         for batch in batches:
             for number, content in zip(batch.column("file").to_pylist(), batch.column("content")):
                 rows, at, held = [], 0, 0
