@@ -334,7 +334,7 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
     """How often each id occurs in all rows; what reaches the driver is a number for each id of the vocabulary."""
 
     def run(batches):
-        hold("tokens", encoder.cache_clear)
+        hold("token files")
         counts = np.zeros(0, np.int64)
         for batch in batches:
             ids = np.concatenate([np.zeros(0, np.uint16), *ids_of(batch)])
@@ -366,7 +366,7 @@ def write_tokens(tokens: DataFrame, folder: str, file_ids: int = FILE_IDS) -> No
     dealt = tokens.repartitionByRange(files, *order).sortWithinPartitions(*order)
 
     def run(batches):
-        hold("tokens", encoder.cache_clear)
+        hold("token files")
         writer = None
         said = []
         for batch in batches:
@@ -408,7 +408,7 @@ def read_tokens(spark: SparkSession, folder: str, *, with_ids: bool = False) ->
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     def run(batches):
-        hold("tokens", encoder.cache_clear)
+        hold("token files")
         for batch in batches:
             for number, content in zip(batch.column("file").to_pylist(), batch.column("content")):
                 rows, at, held = [], 0, 0
