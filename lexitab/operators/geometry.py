@@ -1,9 +1,8 @@
-"""Distances between vectors of a stated query set and all vectors, neighbours, and relations of distance lists."""
+"""Distances between vectors of a stated query set and all vectors."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -27,23 +26,3 @@ def query_distances(queries: DataFrame, rows: DataFrame, id_column: str, vector:
     left = queries.select(*keys, F.col(id_column).alias("query"), F.col(vector).alias("q"))
     right = rows.select(*keys, F.col(id_column).alias("other"), F.col(vector).alias("v"))
     return left.join(right, list(keys)).where("query <> other").select(*keys, "query", "other", cosine_distance(F.col("q"), F.col("v")).alias("distance"))
-
-
-def pair_distances(rows: DataFrame, id_column: str, vectors: list[str], group: str) -> DataFrame:
-    """(group, a, b, one distance column for each vector column) of the pairs of a group's rows, a < b.
-
-    For samples of a stated size: groups of n rows give n * (n - 1) / 2 pairs.
-    """
-    left = rows.select(group, F.col(id_column).alias("a"), *[F.col(v).alias(f"__{v}") for v in vectors])
-    right = rows.select(group, F.col(id_column).alias("b"), *vectors)
-    pairs = left.join(right, group).where("a < b")
-    return pairs.select(group, "a", "b", *[cosine_distance(F.col(f"__{v}"), F.col(v)).alias(v) for v in vectors])
-
-
-def shared_neighbours(pairs: DataFrame, group: str, first: str, second: str, k: int) -> DataFrame:
-    """(group, point, shared): the share of a point's k nearest by the first distance that also are by the second; ties by id."""
-    both = pairs.select(group, F.col("a").alias("point"), F.col("b").alias("other"), first, second)
-    both = both.union(pairs.select(group, "b", "a", first, second))
-    place = lambda c: F.row_number().over(W.partitionBy(group, "point").orderBy(c, "other")) <= k
-    near = both.select(group, "point", place(first).alias("x"), place(second).alias("y"))
-    return near.groupBy(group, "point").agg((F.count_if(F.col("x") & F.col("y")) / F.lit(float(k))).alias("shared"))

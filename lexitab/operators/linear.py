@@ -2,43 +2,188 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def principal_axes(df: DataFrame, vector: str, components: int, seed_sign: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, axes, explained variance share) from one distributed sum of outer products; null vectors don't count.
+def _added(parts: DataFrame) -> np.ndarray:
+    """The element-wise sums of rows (at, values) with the same at, in the order of at; executors add, and the sums alone reach the driver."""
 
-    The covariance has dim * dim numbers whatever the number of rows; each axis has its largest entry positive.
-    """
+    def add(group: pa.Table) -> pa.Table:
+        values = np.array(group.column("values").combine_chunks().flatten()).reshape(group.num_rows, -1)
+        return pa.table({"at": group.column("at").slice(0, 1), "values": pa.array([values.sum(axis=0)], pa.list_(pa.float64()))})
+
+    found = parts.groupBy("at").applyInArrow(add, "at int, values array<double>").orderBy("at").collect()
+    return np.array([r["values"] for r in found])
+
+
+def _sums(df: DataFrame, vector: str, each) -> np.ndarray:
+    """The matrix each(x) summed over all rows x of batches of known vectors; a row of the matrix is one row of the shuffle."""
     rows = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"))
 
-    def sums(batches):
-        n, total, outer = 0, None, None
+    def run(batches):
+        held = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.array(batch.column(0).flatten()).reshape(batch.num_rows, -1)
-            total = x.sum(axis=0) if total is None else total + x.sum(axis=0)
-            outer = x.T @ x if outer is None else outer + x.T @ x
-            n += len(x)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tolist()]), pa.array([outer.ravel().tolist()])], ["n", "total", "outer"])
-
-    parts = rows.mapInArrow(sums, "n long, total array<double>, outer array<double>").collect()
-    n = sum(p["n"] for p in parts)
-    total = sum(np.array(p["total"]) for p in parts)
-    mean = total / n
-    outer = sum(np.array(p["outer"]) for p in parts).reshape(len(mean), -1)
-    covariance = (outer - n * np.outer(mean, mean)) / max(1, n - 1)
+            if batch.num_rows:
+                some = each(np.array(batch.column(0).flatten()).reshape(batch.num_rows, -1))
+                held = some if held is None else held + some
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(held)), pa.int32()), pa.array(list(held), pa.list_(pa.float64()))], ["at", "values"])
+
+    return _added(rows.mapInArrow(run, "at int, values array<double>"))
+
+
+def _moments(df: DataFrame, vector: str) -> tuple[float, np.ndarray, np.ndarray]:
+    """(rows, mean, variance) of known vectors."""
+    found = _sums(df, vector, lambda x: np.vstack([np.full(x.shape[1], float(len(x))), x.sum(axis=0), (x * x).sum(axis=0)]))
+    if not len(found):
+        return 0.0, np.zeros(0), np.zeros(0)
+    n, mean = found[0, 0], found[1] / found[0, 0]
+    return n, mean, np.maximum(found[2] / n - mean * mean, 0)
+
+
+def _signed(axes: np.ndarray) -> np.ndarray:
+    """Each axis with its largest entry positive."""
+    return axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])[:, None]
+
+
+def principal_axes(df: DataFrame, vector: str, components: int, seed_sign: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, axes, explained variance share) from one distributed sum of outer products; null vectors don't count.
+
+    The covariance has dim * dim numbers whatever the number of rows; each axis has its largest entry positive. For vectors too wide for
+    that see wide_axes().
+    """
+    n, mean, _ = _moments(df, vector)
+    covariance = _sums(df, vector, lambda x: (x - mean).T @ (x - mean)) / max(1, n - 1)
     values, axes = np.linalg.eigh(covariance)
-    order = np.argsort(values)[::-1][: min(components, n - 1, len(mean))]
+    order = np.argsort(values)[::-1][: min(components, int(n) - 1, len(mean))]
     axes = axes[:, order].T
-    if seed_sign:
-        axes *= np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])[:, None]
-    return mean, axes, values[order] / values.sum()
+    return mean, _signed(axes) if seed_sign else axes, values[order] / values.sum()
+
+
+def wide_axes(df: DataFrame, vector: str, components: int, *, more: int = 10, passes: int = 6, seed: int = 42) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """principal_axes() by a randomised range finder: each pass multiplies the covariance with components + more columns.
+
+    A pass sums dim * (components + more) numbers; the columns are made orthonormal between passes. Axes whose variance is well
+    above that of the columns left out come out as those of the covariance.
+    """
+    n, mean, variance = _moments(df, vector)
+    width = min(components + more, len(mean))
+    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(mean), width)))[0]
+    for _ in range(passes):
+        basis = np.linalg.qr(_sums(df, vector, lambda x, q=basis: (x - mean).T @ ((x - mean) @ q)))[0]
+    small = _sums(df, vector, lambda x: ((x - mean) @ basis).T @ ((x - mean) @ basis)) / max(1, n - 1)
+    values, inner = np.linalg.eigh(small)
+    order = np.argsort(values)[::-1][: min(components, int(n) - 1, width)]
+    total = variance.sum() * n / max(1, n - 1)
+    return mean, _signed((basis @ inner[:, order]).T), values[order] / total
+
+
+class FieldAxes:
+    """Principal axes of several vector columns, each by itself (per_field) or all of them as one vector (joint), fitted on training rows.
+
+    In the joint scope a missing vector becomes its column's training mean, and rows without any vector don't count; by itself a
+    missing vector gives missing coordinates. With standardise, components are divided by their training deviation first. A column
+    without training vectors has no axes.
+    """
+
+    def __init__(self, fields: list[str], components: int, scope: str = "per_field", standardise: bool = False):
+        if scope not in ("per_field", "joint") or components < 1:
+            raise ValueError("scope is per_field or joint, components are 1 or more")
+        self.fields, self.components, self.scope, self.standardise = fields, components, scope, standardise
+        self.parameters: dict[str, dict[str, np.ndarray]] = {}
+
+    def _vector(self, df: DataFrame, name: str, means: dict[str, np.ndarray]) -> DataFrame:
+        """df with __v, the vector that the axes of name are fitted on."""
+        if name != "joint":
+            return df.withColumn("__v", F.col(name).cast("array<double>"))
+        parts = [F.coalesce(F.col(f).cast("array<double>"), F.array(*map(F.lit, means[f].tolist())).cast("array<double>")) for f in self.fields]
+        return df.withColumn("__v", F.when(F.coalesce(*[F.when(F.col(f).isNotNull(), 1) for f in self.fields]) == 1, F.concat(*parts)))
+
+    def fit(self, train: DataFrame, cache: FitCache | None = None, rows: DataFrame | None = None) -> FieldAxes:
+        """Fits on train; with a cache, a fit on the same rows (rows, or train itself) and settings is read instead."""
+        for name in self.fields if self.scope == "per_field" else ["joint"]:
+            used = [name] if name != "joint" else self.fields
+            fit = lambda name=name: self._fitted(train, name)
+            if cache is None:
+                self.parameters[name] = fit()
+            else:
+                settings = {"fields": used, "components": self.components, "scope": self.scope, "standardise": self.standardise}
+                self.parameters[name] = cache.fitted(train.select(*used) if rows is None else rows, settings, fit)
+        return self
+
+    def _fitted(self, train: DataFrame, name: str) -> dict[str, np.ndarray]:
+        means = {f: _moments(train, f)[1] for f in self.fields} if name == "joint" else {}
+        rows = self._vector(train, name, means)
+        n, mean, variance = _moments(rows, "__v")
+        out = {f"mean:{f}": m for f, m in means.items()} | {"rows": np.array([n])}
+        if n < 2:
+            return out | {"mean": mean, "scale": np.ones(len(mean)), "axes": np.zeros((0, len(mean))), "share": np.zeros(0)}
+        scale = np.where(variance > 0, np.sqrt(variance), 1.0) if self.standardise else np.ones(len(mean))
+        covariance = _sums(rows, "__v", lambda x: ((x - mean) / scale).T @ ((x - mean) / scale)) / (n - 1)
+        values, axes = np.linalg.eigh(covariance)
+        order = np.argsort(values)[::-1][: min(self.components, int(n) - 1, len(mean))]
+        total = values.sum()
+        return out | {"mean": mean, "scale": scale, "axes": _signed(axes[:, order].T), "share": values[order] / total if total > 0 else np.zeros(len(order))}
+
+    def transform(self, df: DataFrame, suffix: str = "_axes") -> DataFrame:
+        """df with an array of coordinates for each field, or one named joint; null for a missing vector."""
+        for name, p in self.parameters.items():
+            means = {f: p[f"mean:{f}"] for f in self.fields if f"mean:{f}" in p}
+            rows = self._vector(df, name, means)
+            df = project(rows, "__v", p["mean"], p["axes"] / p["scale"], f"{name}{suffix}").drop("__v")
+        return df
+
+
+class FitCache:
+    """Fitted parameters by content: a fit is found again by its settings and the exact rows that it was made on, in any order.
+
+    Each fit is a folder of its own under its digest, written once; what is read back must have the checksum it was written with,
+    else the fit is made anew.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        #: Fits made and fits found since the start.
+        self.made, self.found = 0, 0
+
+    def fitted(self, rows: DataFrame, settings: dict, fit) -> dict[str, np.ndarray]:
+        from lexitab.sources.tables import content_checksum
+
+        key = hashlib.sha256(json.dumps([settings, *content_checksum(rows)], sort_keys=True).encode()).hexdigest()
+        path = f"{self.folder}/{key}"
+        known = self._read(path)
+        if known is not None:
+            self.found += 1
+            return known
+        self.made += 1
+        made = fit()
+        stored = [(name, list(x.shape), np.asarray(x, float).ravel().tolist()) for name, x in sorted(made.items())]
+        df = self.spark.createDataFrame([(*row, self._checksum(made)) for row in stored], "name string, shape array<int>, numbers array<double>, checksum string")
+        df.coalesce(1).write.mode("overwrite").parquet(path)
+        return made
+
+    @staticmethod
+    def _checksum(parameters: dict[str, np.ndarray]) -> str:
+        said = hashlib.sha256()
+        for name, x in sorted(parameters.items()):
+            said.update(json.dumps([name, list(x.shape)]).encode() + np.asarray(x, "<f8").tobytes())
+        return said.hexdigest()
+
+    def _read(self, path: str) -> dict[str, np.ndarray] | None:
+        try:
+            rows = self.spark.read.parquet(path).collect()  # the parameters of one fit
+        except Exception as missing:
+            if "PATH_NOT_FOUND" in str(missing) or "UNABLE_TO_INFER_SCHEMA" in str(missing):
+                return None
+            raise
+        found = {r["name"]: np.array(r["numbers"], float).reshape(r["shape"]) for r in rows}
+        return found if rows and rows[0]["checksum"] == self._checksum(found) else None
 
 
 def project(df: DataFrame, vector: str, mean: np.ndarray, axes: np.ndarray, out: str = "components") -> DataFrame:

@@ -157,3 +157,65 @@ def regression_report(df: DataFrame, y: str, predicted: str, *keys: str) -> Data
 def pinball(y: Column, predicted: Column, quantile: float) -> Column:
     """Pinball loss of one quantile."""
     return F.greatest(quantile * (y - predicted), (quantile - 1) * (y - predicted))
+
+
+#: Why a summary over classes has no value.
+NOT_ALL_CLASSES = "needs rows of every class"
+
+
+def classification_report(df: DataFrame, y: str, p: str, classes: int) -> DataFrame:
+    """(metric, class, value, reason) of class probabilities p (an array) for true classes y = 0, 1, ..., class null in summaries.
+
+    log_loss, brier_sum, accuracy and top_2, top_3 accuracy (below the number of classes) of all rows; for each class support, brier,
+    roc_auc and average_precision against the rest; their macro and support-weighted means; roc_auc_ovo_macro and _weighted over pairs of
+    classes (each pair is ranked by either class's probability among its own rows, and weighted by its share of rows); and
+    average_precision_micro over all rows and classes together. A value that isn't defined is null with a reason. One table of
+    scores, counted once and ranked once, serves all of them; rows with a null are left out.
+    """
+    rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).select(F.col(y).cast("int").alias("y"), F.col(p).alias("p"))
+    c = range(classes)
+    score = lambda a, b, hit: F.struct(F.lit(a).alias("a") if isinstance(a, int) else a.alias("a"), F.lit(b).alias("b") if isinstance(b, int) else b.alias("b"), hit.cast("int").alias("hit"))
+    said = []
+    for k in c:
+        own = F.col("p")[k]
+        # Against the rest (b = -1), among all classes together (a = b = -1), and in the pairs of k with each other class that has the row.
+        said += [F.struct(score(k, -1, F.col("y") == k).alias("g"), own.alias("s")), F.struct(score(-1, -1, F.col("y") == k).alias("g"), own.alias("s"))]
+        said += [F.when(F.col("y").isin(k, other), F.struct(score(k, other, F.col("y") == k).alias("g"), own.alias("s"))) for other in c if other != k]
+    scores = rows.select(F.explode(F.filter(F.array(*said), lambda x: x.isNotNull())).alias("x")).select("x.g.a", "x.g.b", "x.g.hit", "x.s")
+    counts = _counted(scores, "hit", "s", "s", "a", "b")
+    below = running(counts, ["a", "b"], bucket_of("s", edges(counts, "s")), [F.col("s")], {"pos_below": F.col("pos"), "n_below": F.col("n")}, before=True)
+    totals = counts.groupBy("a", "b").agg(F.sum("pos").alias("pos_all"), F.sum("n").alias("n_all"))
+    ranked = below.join(totals, ["a", "b"]).withColumns({x: F.coalesce(x, F.lit(0)) for x in ("pos_below", "n_below")})
+    wins = F.col("pos") * (F.col("n_below") - F.col("pos_below") + (F.col("n") - F.col("pos")) / 2)
+    precision = (F.col("pos_all") - F.col("pos_below")) / (F.col("n_all") - F.col("n_below"))
+    each = ranked.groupBy("a", "b", "pos_all", "n_all").agg(F.sum(wins).alias("wins"), F.sum(F.col("pos") * precision).alias("hits"))
+    both = F.nullif(F.col("pos_all") * (F.col("n_all") - F.col("pos_all")), F.lit(0.0))
+    auc, ap = (F.col("wins") / both).alias("auc"), F.when(both.isNotNull(), F.col("hits") / F.nullif(F.col("pos_all"), F.lit(0.0))).alias("ap")
+    each = written_once(each.select("a", "b", F.col("pos_all").alias("support"), "n_all", auc, ap))
+    true = F.element_at("p", F.col("y") + 1)
+    whole = {"log_loss": F.avg(log_loss(true)), "brier_sum": F.avg(brier(F.col("p"), F.col("y"))), "accuracy": F.avg(top_k_hit(F.col("p"), F.col("y"), 1))}
+    whole |= {f"top_{k}": F.avg(top_k_hit(F.col("p"), F.col("y"), k)) for k in (2, 3) if k < classes}
+    whole |= {f"brier:{k}": F.avg(F.pow(F.col("p")[k] - (F.col("y") == k).cast("double"), 2)) for k in c}
+    sums = rows.agg(*[v.alias(name) for name, v in whole.items()])
+    told = F.explode(F.array(*[F.struct(F.lit(name.split(":")[0]).alias("metric"), F.lit(int(name.split(":")[1]) if ":" in name else None).cast("int").alias("class"), F.col(f"`{name}`").alias("value")) for name in whole])).alias("x")
+    simple = sums.select(told).select("x.*", F.when(F.col("x.value").isNull(), "needs rows").alias("reason"))
+    own = spark_classes(df, classes).join(each.where("a >= 0 and b = -1"), F.col("class") == F.col("a"), "left")
+    own = own.select("class", F.coalesce("support", F.lit(0.0)).alias("support"), "auc", "ap")
+    per = own.select("class", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(v).alias("value")) for n, v in (("support", "support"), ("roc_auc", "auc"), ("average_precision", "ap"))])).alias("x"))
+    per = per.select("x.metric", "class", "x.value", F.when(F.col("x.value").isNull(), "needs rows of the class and of others").alias("reason"))
+    present = F.count_if(F.col("support") > 0) == classes
+    mean = lambda v, w: F.when(present, F.sum(F.col(v) * w) / F.nullif(F.sum(w), F.lit(0.0)))
+    summaries = own.agg(mean("auc", F.lit(1.0)).alias("roc_auc_ovr_macro"), mean("auc", F.col("support")).alias("roc_auc_ovr_weighted"), mean("ap", F.lit(1.0)).alias("average_precision_macro"), mean("ap", F.col("support")).alias("average_precision_weighted"), present.alias("all"))
+    pairs = each.where("b >= 0").groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.avg("auc").alias("auc"), F.max("n_all").alias("w"))
+    pairs = pairs.agg(F.avg("auc").alias("roc_auc_ovo_macro"), (F.sum(F.col("auc") * F.col("w")) / F.sum("w")).alias("roc_auc_ovo_weighted"))
+    micro = each.where("a = -1").agg(F.max("ap").alias("average_precision_micro"))
+    line = summaries.join(F.broadcast(pairs)).join(F.broadcast(micro))  # one row each
+    names = [n for n in line.columns if n != "all"]
+    told = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.when(F.col("all"), F.col(n)).alias("value")) for n in names])).alias("x")
+    line = line.select(told).select("x.metric", F.lit(None).cast("int").alias("class"), "x.value", F.when(F.col("x.value").isNull(), NOT_ALL_CLASSES).alias("reason"))
+    return simple.unionByName(per).unionByName(line)
+
+
+def spark_classes(df: DataFrame, classes: int) -> DataFrame:
+    """A row for each class 0, 1, ...: a fixed dimension."""
+    return df.sparkSession.range(classes).select(F.col("id").cast("int").alias("class"))

@@ -177,3 +177,32 @@ def benefit_overlap(spark, sf_dir):
     both = rows.join(top("x"), "doc_id", "left").join(top("z"), "doc_id", "left")
     x, z = F.col("tx").isNotNull(), F.col("tz").isNotNull()
     return rounded(both.agg(F.count(F.lit(1)).alias("n"), F.count_if(x).alias("k"), (F.count_if(x & z) / F.nullif(F.count_if(x | z), F.lit(0))).alias("jaccard"), ranks.correlation("x", "z").alias("r")))
+
+
+_LANGS = ["de", "en", "es", "fr"]
+_SCORES4 = f"""langs AS (SELECT doc_id, list_position({_LANGS}, lang) - 1 AS y FROM documents WHERE lang IN ('de', 'en', 'es', 'fr')), raw AS (SELECT doc_id, CAST(y AS INTEGER) AS y, k, (doc_id * (7 + 3 * k) + 5 * k) % 97 + 1 + CASE WHEN k = y THEN 40 ELSE 0 END AS x FROM langs, range(0, 4) AS t(k)),
+    s AS MATERIALIZED (SELECT doc_id, y, k, round(CAST(x AS DOUBLE) / sum(x) OVER (PARTITION BY doc_id), 9) AS s FROM raw)"""
+
+
+@register(
+    "language_report",
+    f"""WITH {_SCORES4}, g AS MATERIALIZED (SELECT k AS a, -1 AS b, CAST(y = k AS INTEGER) AS hit, s FROM s UNION ALL SELECT -1, -1, CAST(y = k AS INTEGER), s FROM s UNION ALL SELECT k, o, CAST(y = k AS INTEGER), s FROM s, range(0, 4) AS t(o) WHERE o <> k AND y IN (k, o)),
+    c AS (SELECT a, b, s, sum(hit) AS pos, count(*) AS n FROM g GROUP BY ALL), w AS (SELECT *, sum(pos) OVER u AS p1, sum(n) OVER u AS n1, sum(pos) OVER t AS pa, sum(n) OVER t AS na FROM c WINDOW u AS (PARTITION BY a, b ORDER BY s DESC), t AS (PARTITION BY a, b)),
+    e AS MATERIALIZED (SELECT a, b, any_value(pa) AS support, any_value(na) AS rows, sum(pos * ((na - n1) - (pa - p1) + (n - pos) / 2.0)) / any_value(pa * (na - pa)) AS auc, sum(pos * p1 / n1) / any_value(pa) AS ap FROM w GROUP BY a, b),
+    own AS (SELECT * FROM e WHERE a >= 0 AND b = -1), pairs AS (SELECT least(a, b) AS lo, greatest(a, b) AS hi, avg(auc) AS auc, max(rows) AS w FROM e WHERE b >= 0 GROUP BY ALL),
+    v AS (SELECT doc_id, y, list(s ORDER BY k) AS p FROM s GROUP BY ALL), r AS (SELECT y, p, p[y + 1] AS t, (SELECT count(*) FROM (SELECT unnest(p) AS q, unnest(range(0, 4)) AS i) WHERE q > p[y + 1] OR (q = p[y + 1] AND i < y)) AS ahead FROM v),
+    report AS (
+        SELECT 'log_loss' AS metric, NULL AS class, avg(-ln(least(greatest(t, 1e-15), 1 - 1e-15))) AS value FROM r UNION ALL SELECT 'brier_sum', NULL, avg((SELECT sum(pow(q - CASE WHEN i = y THEN 1 ELSE 0 END, 2)) FROM (SELECT unnest(p) AS q, unnest(range(0, 4)) AS i))) FROM r
+        UNION ALL SELECT 'accuracy', NULL, avg(CAST(ahead < 1 AS INTEGER)) FROM r UNION ALL SELECT 'top_2', NULL, avg(CAST(ahead < 2 AS INTEGER)) FROM r UNION ALL SELECT 'top_3', NULL, avg(CAST(ahead < 3 AS INTEGER)) FROM r
+        UNION ALL SELECT 'brier', k, avg(pow(s - CAST(y = k AS INTEGER), 2)) FROM s GROUP BY k UNION ALL SELECT 'support', a, support FROM own UNION ALL SELECT 'roc_auc', a, auc FROM own UNION ALL SELECT 'average_precision', a, ap FROM own
+        UNION ALL SELECT 'roc_auc_ovr_macro', NULL, avg(auc) FROM own UNION ALL SELECT 'roc_auc_ovr_weighted', NULL, sum(auc * support) / sum(support) FROM own UNION ALL SELECT 'average_precision_macro', NULL, avg(ap) FROM own UNION ALL SELECT 'average_precision_weighted', NULL, sum(ap * support) / sum(support) FROM own
+        UNION ALL SELECT 'roc_auc_ovo_macro', NULL, avg(auc) FROM pairs UNION ALL SELECT 'roc_auc_ovo_weighted', NULL, sum(auc * w) / sum(w) FROM pairs UNION ALL SELECT 'average_precision_micro', NULL, ap FROM e WHERE a = -1)
+    SELECT metric, CAST(class AS INTEGER) AS class, round(value, 6) + 0.0 AS value, CAST(NULL AS VARCHAR) AS reason FROM report""",
+)
+def language_report(spark, sf_dir):
+    """The whole report of four languages as classes, of probabilities from the id and the language."""
+    place = F.array_position(F.array(*map(F.lit, _LANGS)), F.col("lang"))
+    rows = table(spark, sf_dir, "documents").where(F.col("lang").isin(_LANGS)).select("doc_id", (place - 1).cast("int").alias("y"))
+    x = F.array(*[(F.col("doc_id") * (7 + 3 * k) + 5 * k) % 97 + 1 + F.when(F.col("y") == k, 40).otherwise(0) for k in range(4)])
+    p = F.transform("x", lambda v: F.round(v.cast("double") / F.aggregate("x", F.lit(0).cast("long"), lambda a, b: a + b), 9))
+    return rounded(M.classification_report(rows.withColumn("x", x).select("y", p.alias("p")), "y", "p", 4))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from lexitab.functions import text as X
 from lexitab.functions import vectors as V
-from lexitab.operators import alignment, features, geometry, linear, ranks, statistics, validation
+from lexitab.operators import alignment, features, linear, ranks, relations, statistics, validation
 from lexitab.plans.fixtures import DECISIONS, SCORES, decisions, r6, rounded, scores
 from lexitab.plans.registry import register
 from lexitab.session import shared_folder, table
@@ -92,36 +92,44 @@ def encoded_store(spark, sf_dir):
     return rows.select("doc_id", "key").join(store.read(), "key").select("doc_id", r6(v[0]).alias("x"), r6(v[1]).alias("y"), r6(v[3]).alias("w"))
 
 
-_HALVES = """s AS (SELECT vec_id, label, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS u, list_transform(embedding[33:64], lambda x: x::DOUBLE) AS v FROM embeddings WHERE label IS NOT NULL QUALIFY row_number() OVER (PARTITION BY label ORDER BY sha256('[5,' || vec_id || ']'), vec_id) <= 40),
-    d AS (SELECT x.label, x.vec_id AS a, y.vec_id AS b, round(1 - list_cosine_similarity(x.u, y.u), 9) AS u, round(1 - list_cosine_similarity(x.v, y.v), 9) AS v FROM s x JOIN s y ON x.label = y.label AND x.vec_id < y.vec_id)"""
+_HALVES = """s AS (SELECT vec_id, label, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS u, list_transform(embedding[33:64], lambda x: x::DOUBLE) AS v, row_number() OVER (PARTITION BY label ORDER BY sha256('[42,' || vec_id || ']'), vec_id) - 1 AS pos FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL QUALIFY pos < 500),
+    d AS MATERIALIZED (SELECT x.label, CAST(x.pos AS INTEGER) AS a, CAST(y.pos AS INTEGER) AS b, round(1 - list_cosine_similarity(x.u, y.u), 9) AS u, round(1 - list_cosine_similarity(x.v, y.v), 9) AS v FROM s x JOIN s y ON x.label = y.label AND x.pos < y.pos)"""
 
 
 def _half_distances(spark, sf_dir):
-    """Distances by the halves of the vectors, as two encoders would give them, over 40 vectors of each label (a sampling operator)."""
-    vectors = table(spark, sf_dir, "embeddings").where("label is not null")
-    sample = alignment.sample_each(vectors, ["label"], "vec_id", 40, 5).select("vec_id", "label", F.slice("embedding", 1, 32).alias("u"), F.slice("embedding", 33, 32).alias("v"))
-    pairs = geometry.pair_distances(sample, "vec_id", ["u", "v"], "label")
-    return pairs.select("label", "a", "b", F.round("u", 9).alias("u"), F.round("v", 9).alias("v"))
+    """(points, pairs): distances by the halves of the vectors, as two encoders would give them, over up to 500 vectors of each label."""
+    halves = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 32).alias("u"), F.slice("embedding", 33, 32).alias("v"))
+    return relations.pairs_of_points(halves, "vec_id", "label", {"u": "cosine", "v": "cosine"})
+
+
+_RANK = "rank() OVER (PARTITION BY {k} ORDER BY {c}) + (count(*) OVER (PARTITION BY {k}, {c}) - 1) / 2.0"
 
 
 @register(
     "distance_relation",
-    f"WITH {_HALVES}, r AS (SELECT label, rank() OVER (PARTITION BY label ORDER BY u) + (count(*) OVER (PARTITION BY label, u) - 1) / 2.0 AS x, rank() OVER (PARTITION BY label ORDER BY v) + (count(*) OVER (PARTITION BY label, v) - 1) / 2.0 AS y FROM d) SELECT label, count(*) AS n, round(corr(x, y), 6) + 0.0 AS rho FROM r GROUP BY label",
+    f"""WITH {_HALVES}, r AS MATERIALIZED (SELECT label, a, b, {_RANK.format(k="label", c="u")} AS x, {_RANK.format(k="label", c="v")} AS y FROM d), base AS (SELECT label, count(*) AS pairs, corr(x, y) AS rho FROM r GROUP BY label),
+    m AS (SELECT label, draw, pos AS new, row_number() OVER (PARTITION BY label, draw ORDER BY sha256('[' || (42 + draw) || ',' || vec_id || ']'), vec_id) - 1 AS old FROM s, range(1, 20) AS t(draw)),
+    null_rho AS (SELECT r.label AS label, ma.draw AS draw, corr(own.x, r.y) AS rho FROM r JOIN m ma ON ma.label = r.label AND ma.old = r.a JOIN m mb ON mb.label = r.label AND mb.draw = ma.draw AND mb.old = r.b
+        JOIN r own ON own.label = r.label AND own.a = least(ma.new, mb.new) AND own.b = greatest(ma.new, mb.new) GROUP BY ALL),
+    n AS (SELECT label, avg(z.rho) AS null_mean, (1 + count(*) FILTER (abs(z.rho) >= abs(base.rho) - 1e-12)) / 20.0 AS p FROM null_rho z JOIN base USING (label) GROUP BY label),
+    kept AS (SELECT label, part, u, v FROM d, range(0, 8) AS t(part) WHERE a % 8 <> part AND b % 8 <> part), kr AS (SELECT label, part, {_RANK.format(k="label, part", c="u")} AS x, {_RANK.format(k="label, part", c="v")} AS y FROM kept),
+    o AS (SELECT label, min(rho) AS low, max(rho) AS high FROM (SELECT label, part, corr(x, y) AS rho FROM kr GROUP BY ALL) GROUP BY label)
+    SELECT label, (SELECT count(*) FROM s WHERE s.label = base.label) AS points, pairs, round(rho, 6) + 0.0 AS rho, round(null_mean, 6) + 0.0 AS null_mean, round(p, 6) AS p, round(low, 6) + 0.0 AS low, round(high, 6) + 0.0 AS high, 'measured' AS status FROM base JOIN n USING (label) JOIN o USING (label)""",
 )
 def distance_relation(spark, sf_dir):
-    """Spearman correlation of two encoders' distances within each label."""
-    return rounded(ranks.spearman(_half_distances(spark, sf_dir), "u", "v", "label"))
+    """Spearman correlation of two encoders' distances within each label, its permutation null, and its range with parts left out."""
+    return rounded(relations.distance_relation(*_half_distances(spark, sf_dir), "label", "u", "v"))
 
 
 @register(
     "neighbour_overlap",
-    f"""WITH {_HALVES}, e AS (SELECT label, a AS point, b AS other, u, v FROM d UNION ALL SELECT label, b, a, u, v FROM d), r AS (SELECT label, point, row_number() OVER (PARTITION BY point ORDER BY u, other) <= 5 AS x, row_number() OVER (PARTITION BY point ORDER BY v, other) <= 5 AS y FROM e),
-    p AS (SELECT label, point, count(*) FILTER (x AND y) / 5.0 AS shared FROM r GROUP BY ALL) SELECT label, count(*) AS points, round(avg(shared), 6) AS shared FROM p GROUP BY label""",
+    f"""WITH {_HALVES}, e AS (SELECT label, a AS point, u, v FROM d UNION ALL SELECT label, b, u, v FROM d), z AS (SELECT label, count(*) AS n, least(10, greatest(1, (count(*) - 1) // 2)) AS k FROM s GROUP BY label),
+    w AS (SELECT e.label, n, k, greatest(0, least(1, (k - (rank() OVER (PARTITION BY e.label, point ORDER BY u) - 1)) / count(*) OVER (PARTITION BY e.label, point, u))) AS x, greatest(0, least(1, (k - (rank() OVER (PARTITION BY e.label, point ORDER BY v) - 1)) / count(*) OVER (PARTITION BY e.label, point, v))) AS y FROM e JOIN z USING (label))
+    SELECT label, CAST(k AS INTEGER) AS k, round(sum(x * y) / (n * k), 6) AS overlap, round(k / (n - 1), 6) AS chance FROM w GROUP BY label, n, k""",
 )
 def neighbour_overlap(spark, sf_dir):
-    """How many of a vector's five nearest two encoders agree on."""
-    shared = geometry.shared_neighbours(_half_distances(spark, sf_dir), "label", "u", "v", 5)
-    return rounded(shared.groupBy("label").agg(F.count(F.lit(1)).alias("points"), F.avg("shared").alias("shared")))
+    """How many of a vector's nearest two encoders agree on, and how many chance would give."""
+    return rounded(relations.neighbour_agreement(*_half_distances(spark, sf_dir), "label", "u", "v"))
 
 
 @register(

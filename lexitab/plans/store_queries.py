@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexitab.functions.json_values import canonical_json, json_numbers, largest_change
-from lexitab.operators import dedup, geometry, linear, ranks
+from lexitab.operators import dedup, geometry, linear, long_texts, ranks
 from lexitab.plans.fixtures import r6, rounded
 from lexitab.plans.registry import register
-from lexitab.session import table
+from lexitab.session import scratch, table
 from lexitab.sources.tables import flatten_numbers
 from lexitab.streaming.incremental import event_sessions, event_windows
 
@@ -206,3 +207,43 @@ def bucketed_hours(spark, sf_dir):
 def rollup_revenue(spark, sf_dir):
     """An extra: subtotals by grouping sets."""
     return table(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@register("field_components")
+def field_components(spark, sf_dir):
+    """Axes of two halves of the vectors, each by itself and joined, fitted on those of even id and found in the cache the second time."""
+    half = lambda start: F.slice("embedding", start, 32)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("vec_id") % 5 != 0, half(1)).alias("u"), F.when(F.col("vec_id") % 7 != 0, half(33)).alias("v"))
+    train = rows.where("vec_id % 2 = 0")
+    with scratch(spark) as folder:
+        cache = linear.FitCache(spark, f"{folder}/fits")
+        for scope, kind in (("per_field", False), ("joint", True)):
+            linear.FieldAxes(["u", "v"], 3, scope, kind).fit(train, cache)
+        made = cache.made
+        fits = [linear.FieldAxes(["u", "v"], 3, scope, kind).fit(train.repartition(3), cache) for scope, kind in (("per_field", False), ("joint", True))]
+        if cache.made != made or cache.found != made:
+            raise ValueError("a fit on the same rows was made twice")
+    for fit in fits:
+        rows = fit.transform(rows)
+    return rows.select("vec_id", *[r6(F.col(f"{name}_axes")[i]).alias(f"{name}{i}") for name in ("u", "v", "joint") for i in range(3)])
+
+
+_LETTERS = "etaoinsr"
+
+
+def _letter_counts(texts: list[str]):
+    """How often each of eight letters comes in a text, after A-Z are lower-cased."""
+    return np.array([[t.lower().count(c) if t.isascii() else sum(ch == c or (ch.isascii() and ch.lower() == c) for ch in t) for c in _LETTERS] for t in texts], float).reshape(-1, len(_LETTERS))
+
+
+@register(
+    "long_text_vectors",
+    f"""WITH t AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''), c AS (SELECT doc_id, i, w[i * 96 + 1 : i * 96 + 128] AS part FROM t, range(0, 10000) AS r(i) WHERE i <= greatest(0, ceil((len(w) - 128) / 96.0))),
+    v AS (SELECT doc_id, len(part) AS n, translate(array_to_string(part, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM c),
+    s AS (SELECT doc_id, count(*) AS pieces, CAST(sum(n) AS BIGINT) AS tokens, {", ".join(f"CAST(sum(n * (length(x) - length(replace(x, '{c}', '')))) AS DOUBLE) / sum(n) AS {c}" for c in _LETTERS)} FROM v GROUP BY doc_id), z AS (SELECT *, sqrt({" + ".join(f"{c} * {c}" for c in _LETTERS)}) AS norm FROM s)
+    SELECT doc_id, pieces, tokens, round(norm, 6) AS norm, round(e / nullif(norm, 0), 6) AS first, round(r / nullif(norm, 0), 6) AS last FROM z""",
+)
+def long_text_vectors(spark, sf_dir):
+    """Vectors of whole documents from overlapping pieces of 128 words, weighted by their words."""
+    found = long_texts.embedded(table(spark, sf_dir, "documents"), "doc_id", "text", _letter_counts, budget=128, overlap=32)
+    return rounded(found.select("doc_id", "pieces", "tokens", "norm", F.col("vector")[0].alias("first"), F.col("vector")[7].alias("last")))

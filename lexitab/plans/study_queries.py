@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from lexitab.functions import text as T
 from lexitab.functions import vectors as V
-from lexitab.operators import dedup, features, gains, metrics, ordered, ranks, statistics, validation
+from lexitab.operators import dedup, features, gains, metrics, ordered, probes, ranks, statistics, validation
 from lexitab.plans.fixtures import DECISIONS, FOLD_METRICS, SCORES, decisions, fold_metrics, r6, rounded, scores
 from lexitab.plans.gain_queries import HELD_OUT
 from lexitab.plans.registry import register
 from lexitab.plans.text_queries import _FIELDS, _SLOTS
-from lexitab.session import table
+from lexitab.session import table, written_once
 
 
 @register(
@@ -248,14 +248,43 @@ def headline_rows(spark, sf_dir):
     return rows.join(dimension, ["task", "metric"]).groupBy("task", "metric").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("cross_validated_probe")
-def cross_validated_probe(spark, sf_dir):
-    """Out-of-fold probabilities of the quality label from a text's length and a provider's vector."""
+def _labelled(spark, sf_dir):
+    """Labelled documents with their length, a provider's vector and a fold within quality."""
     documents = table(spark, sf_dir, "documents").select("doc_id", F.log1p(F.char_length("text")).alias("size"))
     block = decisions(spark, sf_dir).where("provider = 1").select("doc_id", F.col("p")[0].alias("p0"), F.col("p")[1].alias("p1"))
-    labelled = ranks.hash_folds(table(spark, sf_dir, "labels").where("quality is not null").select("doc_id", "quality"), "doc_id", ["quality"], 5, 20260929)
-    rows = labelled.join(documents, "doc_id").join(block, "doc_id")
-    return rounded(validation.cross_validate(rows, "doc_id", ["size", "p0", "p1"], "quality", "fold", validation.LogisticProbe))
+    labelled = ranks.hash_folds(table(spark, sf_dir, "labels").where("quality is not null").select("doc_id", "quality", "toxic"), "doc_id", ["quality"], 5, 20260929)
+    return labelled.join(documents, "doc_id").join(block, "doc_id")
+
+
+@register("cross_validated_probe")
+def cross_validated_probe(spark, sf_dir):
+    """Out-of-fold probabilities of the quality label from a text's length and a provider's vector, and each fold's penalty."""
+    found = probes.cross_validated_logistic(_labelled(spark, sf_dir), "doc_id", ["size", "p0", "p1"], "quality", "fold")
+    return rounded(found.select("doc_id", "fold", F.col("y").cast("double").alias("y"), "c", F.col("p")[1].alias("prediction")))
+
+
+@register("nested_threshold")
+def nested_threshold(spark, sf_dir):
+    """Each fold's threshold of the highest F1 on the other folds' predictions, and what it gives on the fold itself."""
+    found = probes.cross_validated_logistic(_labelled(spark, sf_dir).where("toxic is not null"), "doc_id", ["size", "p0", "p1"], "toxic", "fold").select("doc_id", "fold", "y", F.round(F.col("p")[1], 9).alias("p"))
+    found = written_once(found)
+    chosen = probes.chosen_thresholds(found, "fold", "y", "p", [i / 50 for i in range(1, 50)])
+    rows = found.join(chosen, "fold")
+    hit, toxic = F.col("p") >= F.col("threshold"), F.col("y") == 1
+    counts = rows.groupBy("fold", "threshold", "f1").agg(F.count(F.lit(1)).alias("rows"), F.count_if(hit & toxic).alias("tp"), F.count_if(hit & ~toxic).alias("fp"), F.count_if(~hit & toxic).alias("fn"))
+    return rounded(counts)
+
+
+@register(
+    "target_bins",
+    """WITH t AS (SELECT c_custkey, CAST(c_custkey % 5 AS INTEGER) AS fold, c_acctbal AS y FROM customer), f AS (SELECT held, quantile_cont(y, [1/9, 2/9, 3/9, 4/9, 5/9, 6/9, 7/9, 8/9]) AS edges FROM t, (SELECT unnest(range(0, 5)) AS held) WHERE fold <> held GROUP BY held)
+    SELECT fold, CAST(len(list_filter(edges, lambda e: e <= y)) AS INTEGER) AS bin, count(*) AS rows, round(min(y), 6) AS low, round(max(y), 6) AS high FROM t JOIN f ON t.fold = f.held GROUP BY ALL""",
+)
+def target_bins(spark, sf_dir):
+    """Account balances in nine bins of equal frequency, whose edges come from the other folds only."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 5).cast("int").alias("fold"), F.col("c_acctbal").alias("y"))
+    placed = rows.join(probes.equal_frequency_bins(rows, "y", "fold"), "fold").withColumn("bin", probes.bin_of("y", "edges"))
+    return rounded(placed.groupBy("fold", "bin").agg(F.count(F.lit(1)).alias("rows"), F.min("y").alias("low"), F.max("y").alias("high")))
 
 
 @register(

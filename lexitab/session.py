@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoints go once no plan reads them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -45,6 +49,17 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """A new folder that all executors see, removed at the end: what is read from it must be written elsewhere by then (see written_once())."""
+    folder = f"{shared_folder(spark)}/sources/{uuid.uuid4().hex}"
+    try:
+        yield folder
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written_once(df: DataFrame) -> DataFrame:
     """The same rows, computed once and kept in the shared folder: for plans that read a costly table several times."""
     shared_folder(df.sparkSession)
