@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,8 +12,8 @@ from lexitab.functions import vectors as V
 from lexitab.operators import alignment, features, linear, ranks, relations, statistics, validation
 from lexitab.plans.fixtures import DECISIONS, SCORES, decisions, r6, rounded, scores
 from lexitab.plans.registry import register
-from lexitab.session import shared_folder, table
-from lexitab.streaming.incremental import ImmutableStore
+from lexitab.session import scratch, table, written_once
+from lexitab.streaming.store import ImmutableStore
 
 
 @register("aligned_providers", f"WITH {DECISIONS} SELECT doc_id, round(max(p) FILTER (provider = 1 AND k = 0), 6) AS p, round(max(p) FILTER (provider = 2 AND k = 0), 6) AS other FROM decisions GROUP BY doc_id")
@@ -83,13 +82,14 @@ def encoded_store(spark, sf_dir):
     """Vectors of distinct texts put into a store in two runs, the second of which encodes what is pending only, and linked to rows."""
     rows = table(spark, sf_dir, "documents").select("doc_id", X.text_value("text").alias("text")).where("text is not null").withColumn("key", X.digest("text"))
     schema = T.StructType().add("key", "string").add("vector", T.ArrayType(T.DoubleType()))
-    store = ImmutableStore(spark, f"{shared_folder(spark)}/sources/{uuid.uuid4().hex}/vectors", schema, ["key"])
-    for wanted in (rows.where("doc_id % 3 = 0"), rows):
-        pending = store.pending(wanted)
-        texts = wanted.join(pending, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-        store.put(alignment.encoded_texts(texts, "key", "text", letter_shares))
     v = F.col("vector")
-    return rows.select("doc_id", "key").join(store.read(), "key").select("doc_id", r6(v[0]).alias("x"), r6(v[1]).alias("y"), r6(v[3]).alias("w"))
+    with scratch(spark) as folder:
+        store = ImmutableStore(spark, f"{folder}/vectors", schema, ["key"])
+        for wanted in (rows.where("doc_id % 3 = 0"), rows):
+            pending = store.pending(wanted)
+            texts = wanted.join(pending, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+            store.put(alignment.encoded_texts(texts, "key", "text", letter_shares))
+        return written_once(rows.select("doc_id", "key").join(store.read(), "key").select("doc_id", r6(v[0]).alias("x"), r6(v[1]).alias("y"), r6(v[3]).alias("w")))
 
 
 _HALVES = """s AS (SELECT vec_id, label, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS u, list_transform(embedding[33:64], lambda x: x::DOUBLE) AS v, row_number() OVER (PARTITION BY label ORDER BY sha256('[42,' || vec_id || ']'), vec_id) - 1 AS pos FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL QUALIFY pos < 500),

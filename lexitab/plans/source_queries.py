@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import json
-import uuid
 import zipfile
 
 import pyarrow as pa
@@ -12,35 +11,30 @@ from pyspark.sql import functions as F
 
 from lexitab.plans.fixtures import rounded
 from lexitab.plans.registry import register
-from lexitab.session import shared_folder, table
+from lexitab.session import scratch, table, written_once
 from lexitab.sources import catalog as C
 from lexitab.sources import tables as S
 from lexitab.streaming import incremental as I
-
-
-def _folder(spark) -> str:
-    """A new folder that all executors see."""
-    return f"{shared_folder(spark)}/sources/{uuid.uuid4().hex}"
+from lexitab.streaming import reservations as R
+from lexitab.streaming.store import ImmutableStore
 
 
 @register("catalog_selection", "SELECT n_name AS dataset_id, n_nationkey AS entry, n_regionkey AS region FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_name IN ('ASIA', 'EUROPE'))")
 def catalog_selection(spark, sf_dir):
     """A catalog of JSON lines without the entries of excluded groups."""
-    path = f"{_folder(spark)}/catalog"
-    table(spark, sf_dir, "nation").select(F.col("n_name").alias("dataset_id"), F.col("n_nationkey").alias("entry"), F.col("n_regionkey").alias("region")).write.json(path)
-    entries = C.read_catalog(spark, path, "dataset_id string, entry int, region int", ["dataset_id", "entry"])
-    regions = table(spark, sf_dir, "region").where("r_name in ('ASIA', 'EUROPE')").select(F.col("r_regionkey").alias("region"))
-    return C.selected_entries(entries, entries.join(regions, "region", "left_semi"), "dataset_id")
+    with scratch(spark) as folder:
+        table(spark, sf_dir, "nation").select(F.col("n_name").alias("dataset_id"), F.col("n_nationkey").alias("entry"), F.col("n_regionkey").alias("region")).write.json(f"{folder}/catalog")
+        entries = C.read_catalog(spark, f"{folder}/catalog", "dataset_id string, entry int, region int", ["dataset_id", "entry"])
+        regions = table(spark, sf_dir, "region").where("r_name in ('ASIA', 'EUROPE')").select(F.col("r_regionkey").alias("region"))
+        return written_once(C.selected_entries(entries, entries.join(regions, "region", "left_semi"), "dataset_id"))
 
 
-def _written_customers(spark, sf_dir) -> str:
-    """Customers as CSV with a sidecar of counts and roles, in a new folder."""
-    folder = _folder(spark)
+def _write_customers(spark, sf_dir, folder: str) -> None:
+    """Customers as CSV with a sidecar of counts and roles."""
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal", F.array("c_nationkey", F.length("c_name")).alias("pair"))
     S.write_csv(customers, f"{folder}/data")
     said = {"target": "c_acctbal", "task_type": "regression", "num_rows": customers.count(), "num_columns": 5, "text_columns": ["c_name", "c_mktsegment"]}
     spark.createDataFrame([(json.dumps(said),)], "value string").coalesce(1).write.text(f"{folder}/sidecar")
-    return folder
 
 
 _CUSTOMERS = "c_custkey long, c_name string, c_mktsegment string, c_acctbal double, pair string"
@@ -49,28 +43,32 @@ _CUSTOMERS = "c_custkey long, c_name string, c_mktsegment string, c_acctbal doub
 @register("csv_with_sidecar", "SELECT c_custkey, c_name, c_mktsegment, '[' || c_nationkey || ',' || length(c_name) || ']' AS pair FROM customer")
 def csv_with_sidecar(spark, sf_dir):
     """Customers written as CSV and read by their sidecar's counts; the target isn't among the inputs."""
-    folder = _written_customers(spark, sf_dir)
-    said = C.read_sidecar(spark, f"{folder}/sidecar")
-    rows = S.scan_csv(spark, f"{folder}/data", _CUSTOMERS, rows=said["num_rows"], columns=said["num_columns"])
-    return C.of_role(C.with_roles(rows, said["target"], said["text_columns"]), "text", "other")
+    with scratch(spark) as folder:
+        _write_customers(spark, sf_dir, folder)
+        said = C.read_sidecar(spark, f"{folder}/sidecar")
+        rows = S.scan_csv(spark, f"{folder}/data", _CUSTOMERS, rows=said["num_rows"], columns=said["num_columns"])
+        return written_once(C.of_role(C.with_roles(rows, said["target"], said["text_columns"]), "text", "other"))
 
 
 @register("csv_row_ids", "SELECT count(*) AS rows, count(*) AS ids, 0 AS first_at, count(*) - 1 AS last_at FROM customer")
 def csv_row_ids(spark, sf_dir):
     """Row ids by position in a scan: one for each row, without a gap."""
-    ids = S.with_row_ids(S.scan_csv(spark, f"{_written_customers(spark, sf_dir)}/data", _CUSTOMERS)).select("row_id", F.substring_index("row_id", ":", -1).cast("long").alias("at"))
-    return ids.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("row_id").alias("ids"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+    with scratch(spark) as folder:
+        _write_customers(spark, sf_dir, folder)
+        ids = S.with_row_ids(S.scan_csv(spark, f"{folder}/data", _CUSTOMERS)).select("row_id", F.substring_index("row_id", ":", -1).cast("long").alias("at"))
+        return written_once(ids.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("row_id").alias("ids"), F.min("at").alias("first_at"), F.max("at").alias("last_at")))
 
 
 @register("export_round_trip", "SELECT 'orders' AS name, 'ok' AS status, count(*) AS rows, true AS unchanged FROM orders UNION ALL SELECT 'customers', 'ok', count(*), true FROM customer")
 def export_round_trip(spark, sf_dir):
     """Two tables exported with checksums and read back; another schema tag isn't accepted."""
-    target, tables = _folder(spark), {"orders": table(spark, sf_dir, "orders"), "customers": table(spark, sf_dir, "customer")}
-    S.write_export(spark, target, tables, schema="study/1", identity={"study": "round trip"})
-    status, found = S.read_export(spark, target, schema="study/1", identity={"study": "round trip"})
-    if S.read_export(spark, target, schema="study/2")[0] != "superseded_schema":
-        raise ValueError("another schema was accepted")
-    rows = [(name, status, *(lambda a, b: (b[0], a == b))(S.content_checksum(df), S.content_checksum(found[name]))) for name, df in tables.items()]
+    tables = {"orders": table(spark, sf_dir, "orders"), "customers": table(spark, sf_dir, "customer")}
+    with scratch(spark) as target:
+        S.write_export(spark, target, tables, schema="study/1", identity={"study": "round trip"})
+        status, found = S.read_export(spark, target, schema="study/1", identity={"study": "round trip"})
+        if S.read_export(spark, target, schema="study/2")[0] != "superseded_schema":
+            raise ValueError("another schema was accepted")
+        rows = [(name, status, *(lambda a, b: (b[0], a == b))(S.content_checksum(df), S.content_checksum(found[name]))) for name, df in tables.items()]
     return spark.createDataFrame(rows, "name string, status string, rows long, unchanged boolean")
 
 
@@ -97,29 +95,29 @@ def pinned_archive(spark, sf_dir):
 @register("record_union", "SELECT c_mktsegment AS dataset, count(*) AS records, CAST(sum(c_nationkey) AS BIGINT) AS total FROM customer WHERE c_custkey % 5 <> 0 GROUP BY c_mktsegment")
 def record_union(spark, sf_dir):
     """Records of all folders that a pattern names, those of an older schema left out."""
-    folder = _folder(spark)
     records = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("dataset"), F.col("c_nationkey").alias("value"), F.when(F.col("c_custkey") % 5 == 0, "record/1").otherwise("record/2").alias("schema"), (F.col("c_custkey") % 3).alias("part"))
-    records.write.partitionBy("part").json(folder)
-    found = C.union_of_records(spark, f"{folder}/part=*/*.json", "dataset string, value long, schema string", "schema", "record/2")
-    return found.groupBy("dataset").agg(F.count(F.lit(1)).alias("records"), F.sum("value").alias("total"))
+    with scratch(spark) as folder:
+        records.write.partitionBy("part").json(folder)
+        found = C.union_of_records(spark, f"{folder}/part=*/*.json", "dataset string, value long, schema string", "schema", "record/2")
+        return written_once(found.groupBy("dataset").agg(F.count(F.lit(1)).alias("records"), F.sum("value").alias("total")))
 
 
 @register("file_inventory", "SELECT o_orderstatus, true AS stored, count(*) AS rows FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_orderstatus")
 def file_inventory(spark, sf_dir):
     """Files and rows of a stored table by part, without reading its cells."""
-    folder = _folder(spark)
-    table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus").write.partitionBy("o_orderstatus").parquet(folder)
-    return C.inventory(spark, folder, ["o_orderstatus"], F.col("o_orderstatus") == "P").select("o_orderstatus", ((F.col("files") > 0) & (F.col("bytes") > 0)).alias("stored"), "rows")
+    with scratch(spark) as folder:
+        table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus").write.partitionBy("o_orderstatus").parquet(folder)
+        return written_once(C.inventory(spark, folder, ["o_orderstatus"], F.col("o_orderstatus") == "P").select("o_orderstatus", ((F.col("files") > 0) & (F.col("bytes") > 0)).alias("stored"), "rows"))
 
 
 @register("event_log", "SELECT event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY event_type")
 def event_log(spark, sf_dir):
     """Events appended to a log of JSON lines in two batches, and read back."""
-    path = f"{_folder(spark)}/log"
     events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
-    for half in (0, 1):
-        C.append_events(events.where(F.col("event_id") % 2 == half), path)
-    return rounded(spark.read.schema(events.schema).json(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")))
+    with scratch(spark) as folder:
+        for half in (0, 1):
+            C.append_events(events.where(F.col("event_id") % 2 == half), f"{folder}/log")
+        return written_once(rounded(spark.read.schema(events.schema).json(f"{folder}/log").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))))
 
 
 @register("compressed_cells", "SELECT count(*) AS rows, count(text) AS texts, (SELECT count(*) FROM embeddings) AS vectors FROM documents")
@@ -157,16 +155,55 @@ def compute_ledger(spark, sf_dir):
 
 @register("store_feed", "SELECT c_custkey AS key, round(c_acctbal, 6) AS value FROM customer")
 def store_feed(spark, sf_dir):
-    """Customers fed into a store page by page, in two sessions, the second of which sends a part again."""
+    """Customers fed into a store page by page, in two sessions, the second of which sends a part again; its buckets double on the way."""
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value"))
-    store = I.ImmutableStore(spark, f"{_folder(spark)}/store", customers.schema, ["key"])
     n = customers.count()
-    last = I.keyset_pages(customers.where(f"key <= {n // 2}"), "key", max(1, n // 3), store.put)
-    I.keyset_pages(customers, "key", max(1, n // 3), store.put, after=last)
-    store.put(customers.where("key % 7 = 0"))
-    if not store.pending(customers).isEmpty():
-        raise ValueError("the store lacks keys")
-    return rounded(store.read())
+    with scratch(spark) as folder:
+        store = ImmutableStore(spark, f"{folder}/store", customers.schema, ["key"], bucket_rows=max(1, n // 24))
+        last = I.keyset_pages(customers.where(f"key <= {n // 2}"), "key", max(1, n // 3), store.put)
+        I.keyset_pages(customers, "key", max(1, n // 3), store.put, after=last)
+        store.put(customers.where("key % 7 = 0"))
+        if not store.pending(customers).isEmpty():
+            raise ValueError("the store lacks keys")
+        return written_once(rounded(store.read()))
+
+
+@register(
+    "resumed_folds",
+    "SELECT doc_id, CAST(doc_id % 5 AS INTEGER) AS fold, round(CAST(length(text) AS DOUBLE) / 7, 6) AS prediction FROM documents",
+)
+def resumed_folds(spark, sf_dir):
+    """Predictions of five folds stored with their markers: the first run ends after two folds, the second makes the other three."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 5).cast("int").alias("fold"), (F.char_length("text") / 7.0).alias("prediction"))
+    made = []
+
+    def fold(name: str):
+        made.append(name)
+        return rows.where(F.col("fold") == int(name))
+
+    with scratch(spark) as folder:
+        store = ImmutableStore(spark, f"{folder}/store", rows.schema, ["doc_id"])
+        store.run_folds(["0", "1"], fold)
+        ImmutableStore(spark, f"{folder}/store", rows.schema, ["doc_id"]).run_folds([str(i) for i in range(5)], fold)
+        if made != ["0", "1", "2", "3", "4"]:
+            raise ValueError(f"folds were made {made}")
+        return written_once(rounded(store.read()))
+
+
+def request_events(spark, sf_dir):
+    """Events as those of requests: users are accounts with five requests each, values are costs."""
+    kind = F.create_map(*[F.lit(x) for pair in (("view", "reserve"), ("click", "answer"), ("signup", "reject"), ("error", "error"), ("purchase", "review")) for x in pair])
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("account"), (F.col("event_id") % 5).alias("request"), "ts", kind[F.col("event_type")].alias("kind"), F.when(F.col("event_id") % 17 != 0, F.col("value")).alias("cost"))
+
+
+#: An account's budget and limits in the query below: two days for an answer.
+RESERVATIONS = R.Limits(budget=900.0, reservation=120.0, attempts=3, timeout_us=2 * 86_400_000_000)
+
+
+@register("reservation_ledger")
+def reservation_ledger(spark, sf_dir):
+    """Every change of every request: claims, answers, rejections, timeouts, reviews, and stops by budget or attempts."""
+    return rounded(R.ledger(request_events(spark, sf_dir), RESERVATIONS))
 
 
 @register("key_pages", "WITH p AS (SELECT o_orderkey AS k, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS page FROM orders WHERE o_orderkey > 100) SELECT CAST(page AS BIGINT) AS page, min(k) AS first_key, max(k) AS last_key, count(*) AS rows FROM p GROUP BY page")

@@ -1,73 +1,15 @@
-"""Stores that grow by batches: an immutable response cache, pending work, and windows over event time."""
+"""What grows by batches: pages of a key, reservation states, and windows over event time."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lexitab.operators.dedup import conflicts
 from lexitab.operators.ordered import bucket_of, edges, numbered
 
 
-#: Folders that a store's keys are dealt to by hash.
-STORE_BUCKETS = 16
-
-
-class ImmutableStore:
-    """A Parquet table whose keys keep their first value: equal rows are skipped, unlike ones are an error.
-
-    Rows lie in folders by a hash of their keys, and a batch is compared with the folders that it touches only. One writer at a
-    time: check and append aren't one transaction.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str]):
-        self.spark, self.path, self.schema, self.keys = spark, path, schema, keys
-
-    def _stored(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("__bucket", T.IntegerType())])).parquet(self.path)
-        except Exception as missing:
-            if "PATH_NOT_FOUND" in str(missing):
-                return self.spark.createDataFrame([], self.schema).withColumn("__bucket", F.lit(0))
-            raise
-
-    def read(self) -> DataFrame:
-        """What is stored; an empty table at first."""
-        return self._stored().drop("__bucket")
-
-    def _dealt(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumn("__bucket", F.pmod(F.xxhash64(*self.keys), F.lit(STORE_BUCKETS)).cast("int"))
-
-    def _touched(self, rows: DataFrame) -> DataFrame:
-        """What is stored in the folders of the rows' keys."""
-        buckets = [r[0] for r in rows.select("__bucket").distinct().collect()]  # STORE_BUCKETS at most
-        return self._stored().where(F.col("__bucket").isin(buckets)).drop("__bucket")
-
-    def put(self, rows: DataFrame) -> None:
-        """Adds the rows whose keys are new. Replaying a batch changes nothing."""
-        rows = self._dealt(rows.select(*[f.name for f in self.schema.fields]).distinct()).persist()
-        try:
-            stored = self._touched(rows)
-            repeated = rows.groupBy(*self.keys).count().where("count > 1")
-            if not repeated.isEmpty() or not conflicts(stored, rows.drop("__bucket"), self.keys).isEmpty():
-                raise ValueError(f"{self.path}: a key has two values")
-            new = rows.join(stored, self.keys, "left_anti").select(*[f.name for f in self.schema.fields], "__bucket")
-            new.repartition("__bucket").write.mode("append").partitionBy("__bucket").parquet(self.path)
-        finally:
-            rows.unpersist()
-
-    def pending(self, wanted: DataFrame) -> DataFrame:
-        """The wanted keys that aren't stored yet."""
-        return wanted.select(*self.keys).distinct().join(self.read(), self.keys, "left_anti")
-
-    def put_stream(self, stream: DataFrame, checkpoint: str):
-        """Feeds a stream into the store, each micro-batch by put(); ends when the input is used up."""
-        return stream.writeStream.foreachBatch(lambda batch, _: self.put(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def page_bounds(df: DataFrame, key: str, size: int, after: int | None = None) -> DataFrame:
     """(page, first_key, last_key, rows) of the pages of size rows in the order of a unique numeric key, from one sort."""
     rows = df.select(F.col(key).alias("k")) if after is None else df.where(F.col(key) > after).select(F.col(key).alias("k"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexitab.sources import tables as S
-from lexitab.streaming.incremental import ImmutableStore, event_windows, keyset_pages
+from lexitab.streaming.incremental import event_windows, keyset_pages
+from lexitab.streaming.store import ImmutableStore
 
 
 def test_csv_with_sidecar_counts(spark, tmp_path):
