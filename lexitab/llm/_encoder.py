@@ -20,7 +20,7 @@ import numpy as np
 #: Blocks whose characters are all assigned, or never will be: Latin to its extension B, Cyrillic, and common punctuation.
 _SETTLED = [(0x0000, 0x024F), (0x0400, 0x04FF), (0x2010, 0x2027), (0x2030, 0x203E), (0x20AC, 0x20AC)]
 #: Pre-tokens that a worker remembers, in each of two generations; the older one goes when the newer is full. Longer ones aren't.
-REMEMBERED, REMEMBERED_CHARS = 150_000, 64
+REMEMBERED, REMEMBERED_CHARS = 250_000, 64
 
 
 def byte_letters() -> dict[str, int]:

@@ -23,7 +23,7 @@ def test_equals_the_library(plain, monkeypatch):
     texts = ["".join(chr(rnd.choice(rnd.choice(rnd.choice([pools, pools[:4]])))) for _ in range(rnd.randrange(70))) for _ in range(3000)]
     texts += ["<|endoftext|>", "a <|endoftext|> b", "", " ", "x" * 5000, "it's we'll I'd ' s", "é" * 300, "İi ǅ ʰ ª º"]
     want = [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
-    for remembered in (150_000, 7):
+    for remembered in (250_000, 7):
         monkeypatch.setattr(_encoder, "REMEMBERED", remembered)
         found = Encoder(PATH, plain)
         assert found.cuts and found.dtype == np.uint16
