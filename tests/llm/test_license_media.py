@@ -1,7 +1,11 @@
 from __future__ import annotations
 
+import collections
 import hashlib
+import json
+import math
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -97,12 +101,173 @@ def test_round_trip(raw):
     assert np.concatenate(frames).tobytes()[:length] == payload and rate == 25
 
 
+def huffman(at: int) -> dict[int, tuple[int, int]]:
+    """symbol -> (length, code) of the standard's typical table, counted up here."""
+    lengths, symbols = map(bytes.fromhex, media._TYPICAL[at])
+    out, code, k = {}, 0, 0
+    for length, n in enumerate(lengths, 1):
+        for _ in range(n):
+            out[symbols[k]] = (length, code)
+            code, k = code + 1, k + 1
+        code *= 2
+    return out
+
+
+def foreign_frame(luma: np.ndarray, sampling: tuple[int, int], restart: int, tables: bool, grey: bool) -> bytes:
+    """A JPEG as others write it: typical tables (told or not), a DC quantiser of 4, AC terms, chroma, restarts. luma has a level for each block."""
+    rows, columns = luma.shape
+    h, v = (1, 1) if grey else sampling
+    out = [b"\xff\xd8", media._segment(0xE0, b"AVI1" + bytes(10)), media._segment(0xDB, bytes([0, 4] + [3] * 63) + bytes([0x11]) + b"".join(struct.pack(">H", 5) for _ in range(64)))]
+    parts = bytes([1, h << 4 | v, 0]) + (b"" if grey else bytes([2, 0x11, 1, 3, 0x11, 1]))
+    out.append(media._segment(0xC0, struct.pack(">BHHB", 8, rows * 8 - 3, columns * 8 - 5, len(parts) // 3) + parts))
+    if tables:
+        out.append(media._segment(0xC4, b"".join(bytes([at]) + b"".join(map(bytes.fromhex, media._TYPICAL[at])) for at in media._TYPICAL)))
+    if restart:
+        out.append(media._segment(0xDD, struct.pack(">H", restart)))
+    out.append(media._segment(0xDA, bytes([1, 1, 0, 0, 63, 0]) if grey else bytes([3, 1, 0, 2, 0x11, 3, 0x11, 0, 63, 0])))
+    codes = {at: huffman(at) for at in media._TYPICAL}
+    bits, scan, before = "", b"", [0, 0, 0]
+
+    def put(table, symbol, value=0, size=0):
+        nonlocal bits
+        length, code = codes[table][symbol]
+        bits += f"{code:0{length}b}"
+        if size:
+            bits += f"{value if value > 0 else value + (1 << size) - 1:0{size}b}"
+
+    def block(part, level):
+        d, before[part] = level - before[part], level
+        size = abs(d).bit_length()
+        put(0x00 if part == 0 else 0x01, size, d, size)
+        ac = 0x10 if part == 0 else 0x11
+        for run, value in ((0, 3), (15, -1), (2, -7)):
+            put(ac, run << 4 | abs(value).bit_length(), value, abs(value).bit_length())
+        put(ac, 0xF0)
+        put(ac, 0)
+
+    def flush():
+        nonlocal bits, scan
+        bits += "1" * (-len(bits) % 8)
+        scan += int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+        bits = ""
+
+    wide, high, done = -(-columns // h), -(-rows // v), 0
+    for y in range(high):
+        for x in range(wide):
+            if restart and done and done % restart == 0:
+                flush()
+                scan += bytes([0xFF, 0xD0 + (done // restart - 1) % 8])
+                before = [0, 0, 0]
+            for k in range(h * v):
+                r, c = y * v + k // h, x * h + k % h
+                block(0, (int(luma[min(r, rows - 1), min(c, columns - 1)]) - 128) * 2)
+            if not grey:
+                block(1, 40 + x)
+                block(2, -30 - y)
+            done += 1
+    flush()
+    return b"".join([*out, scan, b"\xff\xd9"])
+
+
+def foreign_avi(frames: list[bytes], kind: str) -> bytes:
+    """An AVI with a sound stream before the video, and frames in the movi list, in its rec lists, under OpenDML indexes, or in a second RIFF part."""
+    chunk = media._chunk
+    sound = chunk(b"LIST", b"strl" + chunk(b"strh", b"auds" + bytes(52)))
+    stream = struct.pack("<4s4sIHHII", b"vids", b"mjpg", 0, 0, 0, 0, 1) + struct.pack("<I", 10) + bytes(28)
+    body = [chunk(b"01dc", f) for f in frames]
+    between = chunk(b"00wb", b"abc")
+    if kind == "rec":
+        movie = b"".join(chunk(b"LIST", b"rec " + between + f) for f in body)
+    else:
+        movie = between + b"".join(body)
+    indx = chunk(b"indx", struct.pack("<HBBI4s", 4, 0, 0, 1, b"01dc") + bytes(12) + struct.pack("<QII", 3, 1, 4)) if kind == "opendml" else b""
+    video = chunk(b"LIST", b"strl" + chunk(b"strh", stream) + indx)
+    header = b"AVI " + chunk(b"LIST", b"hdrl" + chunk(b"avih", bytes(56)) + sound + video)
+    if kind == "opendml":
+        start = 8 + len(header) + 12
+        entries, at = b"", start + len(between)
+        for f in frames:
+            entries += struct.pack("<II", at + 8, len(f))
+            at += 8 + len(f) + len(f) % 2
+        ours = start + len(movie)
+        ix = chunk(b"ix01", struct.pack("<HBBI4sQI", 2, 0, 1, len(frames), b"01dc", 0, 0) + entries)
+        header = header.replace(struct.pack("<QII", 3, 1, 4), struct.pack("<QII", ours, len(ix), len(frames)))
+        return chunk(b"RIFF", header + chunk(b"LIST", b"movi" + movie + ix))
+    if kind == "parts":
+        half = len(body) // 2
+        first, second = b"".join(body[:half]), b"".join(body[half:])
+        index, at = b"", 4
+        for f in frames[:half]:
+            index += struct.pack("<4sIII", b"01dc", 16, at, len(f))
+            at += 8 + len(f) + len(f) % 2
+        return chunk(b"RIFF", header + chunk(b"LIST", b"movi" + first) + chunk(b"idx1", index)) + chunk(b"RIFF", b"AVIX" + chunk(b"LIST", b"movi" + second))
+    return chunk(b"RIFF", header + chunk(b"LIST", b"movi" + movie))
+
+
+@pytest.mark.parametrize("grey,sampling", [(True, (2, 2)), (False, (1, 1)), (False, (2, 1)), (False, (2, 2))])
+@pytest.mark.parametrize("restart,tables", [(0, False), (3, True), (1, False)])
+def test_frames_of_others(grey, sampling, restart, tables):
+    luma = np.random.default_rng(restart + 7 * grey).integers(0, 256, (5, 7))
+    assert np.array_equal(media.decode_frame(foreign_frame(luma, sampling, restart, tables, grey)).reshape(5, 7), luma)
+
+
+@pytest.mark.parametrize("kind", ["plain", "rec", "opendml", "parts"])
+def test_files_of_others(spark, kind):
+    rng = np.random.default_rng(4)
+    dark, bright = rng.integers(0, 40, (4, 6)), rng.integers(200, 255, (4, 6))
+    frames = [foreign_frame(x, (2, 2), 2, False, False) for x in (dark, dark, bright, bright, bright)]
+    levels, length, rate = media.read_avi(foreign_avi(frames, kind))
+    assert length is None and rate == 10 and [x.tolist() for x in levels] == [x.ravel().tolist() for x in (dark, dark, bright, bright, bright)]
+    df = spark.createDataFrame([(1, bytearray(foreign_avi(frames, kind))), (2, bytearray(foreign_avi([frames[0], b"", frames[2]], "plain")))], "doc_id long, media binary")
+    rows = {r["doc_id"]: r for r in media.read_media(df).collect()}
+    assert (rows[1]["status"], rows[1]["frames"]) == ("ok", 5) and [(c["first_frame"], c["frames"], c["start_s"]) for c in rows[1]["clips"]] == [(0, 2, 0.0), (2, 3, 0.2)]
+    assert (rows[2]["status"], [c["first_frame"] for c in rows[2]["clips"]]) == ("ok", [0, 2])
+
+
+def test_status_says_what_was_not_read(spark):
+    luma = np.full((2, 2), 99)
+    frame = foreign_frame(luma, (1, 1), 0, False, False)
+    progressive = frame.replace(b"\xff\xc0", b"\xff\xc2")
+    good = foreign_avi([frame], "plain")
+    files = [good, None, b"", b"RIFF", foreign_avi([progressive], "plain"), foreign_avi([frame[:-30]], "plain"), good.replace(b"mjpg", b"h264"), good.replace(b"vids", b"txts"), foreign_avi([], "plain")]
+    df = spark.createDataFrame([(i, None if f is None else bytearray(f)) for i, f in enumerate(files)], "doc_id long, media binary")
+    found = {r["doc_id"]: r["status"] for r in media.read_media(df).collect()}
+    assert found == {0: "ok", 1: "no_file", 2: "not an AVI file", 3: "not an AVI file", 4: "unsupported: not a baseline frame", 5: found[5], 6: "unsupported: not motion-JPEG", 7: "no video", 8: "no frames"}
+    assert found[5].startswith("damaged") and {r["doc_id"] for r in media.clips(df).collect()} == {0}
+
+
 def test_other_huffman_tables_decode_the_same():
     samples = np.random.default_rng(2).integers(0, 256, 128, dtype=np.uint8)
     frame = media.encode_frame(samples)
-    scan = frame[frame.index(b"\xff\xda") + 10 : -2].replace(b"\xff\x00", b"\xff")
-    levels = media._slow_levels(scan, 128, media._codes(media._DC_LENGTHS, media._DC_SYMBOLS), media._codes(media._AC_LENGTHS, media._AC_SYMBOLS))
-    assert np.array_equal(np.array(levels) + 128, samples) and np.array_equal(media.decode_frame(frame), samples)
+    slow = media._luma_levels(media._parsed(frame), 2, 64)
+    assert np.array_equal(slow + 128, samples) and np.array_equal(media.decode_frame(frame), samples)
+
+
+def plain_features(payload: bytes):
+    """Features and clips of a payload by loops over its bytes: frames of equal height, shots by histograms of 64 levels."""
+    rows = len(payload) // 64
+    count = -(-rows // 64)
+    high = -(-rows // count)
+    padded = payload + bytes(count * high * 64 - len(payload))
+    frames = [padded[i * high * 64 : (i + 1) * high * 64] for i in range(count)]
+    starts, recent, last = [0], [], None
+    for i, f in enumerate(frames):
+        histogram = [0.0] * 64
+        for b in f:
+            histogram[b // 4] += 1 / len(f)
+        if last:
+            change = sum(abs(x - y) for x, y in zip(histogram, last)) / 2
+            mean = sum(recent) / len(recent) if recent else 0
+            limit = max(0.25, mean + 3 * (sum((x - mean) ** 2 for x in recent) / len(recent)) ** 0.5) if recent else 0.25
+            if change > limit:
+                starts, recent = [*starts, i], []
+            else:
+                recent = [*recent, change][-8:]
+        last = histogram
+    counts = collections.Counter(payload)
+    entropy = -sum(n / len(payload) * math.log2(n / len(payload)) for n in counts.values()) + 0.0
+    feature = f"frames={count};shots={len(starts)};mean={sum(payload) / len(payload):.4f};distinct={len(counts)};entropy={entropy:.4f}"
+    return feature, [{"clip": k, "first_frame": a, "frames": b - a, "start_s": a / 25, "end_s": b / 25} for k, (a, b) in enumerate(zip(starts, [*starts[1:], count]))]
 
 
 def test_media_documents(spark, small):
@@ -113,6 +278,8 @@ def test_media_documents(spark, small):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         stored = media.write_avi(payload)
         assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        feature, cut = plain_features(payload)
+        assert r["feature"] == feature and json.loads(r["clips"]) == cut
 
 
 def test_damaged_files_give_no_clips(spark):
