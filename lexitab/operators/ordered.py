@@ -8,13 +8,12 @@ numbers, so every evaluation cuts alike. There are as many buckets as the rows t
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexitab.session import written_once
-
 #: Rows of a bucket, about, within the least and the largest number of buckets.
 BUCKET_ROWS = 200_000
 LEAST, MOST = 256, 4_096
@@ -92,27 +91,57 @@ def hash_bucket(token: str) -> Column:
     return F.conv(F.substring(token, 1, 4), 16, 10)
 
 
+def moving(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], frames: dict[str, tuple[int, int, Callable[[WindowSpec], Column]]], *, place: str | None = None, stretch: int = BUCKET_ROWS) -> DataFrame:
+    """Adds a column for each of frames: (rows before, rows after, function of a window of those rows), within the keys and a total order.
+
+    Rows are numbered first and cut into stretches of so many rows; a row is copied to every stretch that has rows whose frames reach it, so a
+    frame may be longer than a stretch and no task holds a key. bucket follows the order as for running(). lag and lead are frames of as
+    many rows as they look away; the functions find the row's number from 1 in the column __at. place names a column that keeps it.
+    """
+    at = "__at"
+    rows = numbered(df, keys, bucket, order, at)
+    before, after = max((f[0] for f in frames.values()), default=0), max((f[1] for f in frames.values()), default=0)
+    own = F.floor((F.col(at) - 1) / stretch)
+    # Rows at+before and at-after are the furthest whose frames hold this one.
+    reach = F.sequence(F.greatest(F.lit(0), F.floor((F.col(at) - 1 - after) / stretch)), F.floor((F.col(at) - 1 + before) / stretch))
+    dealt = rows.withColumn("__own", own).withColumn("__stretch", F.explode(reach))
+    within = W.partitionBy(*keys, "__stretch").orderBy(at)
+    for name, (low, high, function) in frames.items():
+        dealt = dealt.withColumn(name, function(within.rowsBetween(-low, high) if low or high else within.rowsBetween(0, 0)))
+    out = dealt.where(F.col("__own") == F.col("__stretch")).drop("__own", "__stretch")
+    return out.withColumnRenamed(at, place) if place else out.drop(at)
+
+
+def tile(place: Column, rows: Column, tiles: int) -> Column:
+    """The tile from 1 of a row's place among so many rows: tiles of equal size, the first ones a row larger where they don't go up."""
+    small, rest = F.floor(rows / tiles), rows % tiles
+    wide = rest * (small + 1)
+    return F.when(place <= wide, F.floor((place - 1) / (small + 1)) + 1).otherwise(rest + F.floor((place - 1 - wide) / F.greatest(small, F.lit(1))) + 1).cast("int")
+
+
 def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], *keys: str) -> DataFrame:
     """keys and a column for each named quantile of a numeric column, interpolated between the two values about it; nulls don't count.
 
-    Equal values are counted first, and running counts go bucket by bucket, so no buffer holds a key's values.
+    Rows are counted by bucket, and only the buckets that hold a wanted place are put in order, so no buffer holds a key's values.
     """
-    counts = written_once(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n")))
-    upto = running(counts, list(keys), bucket_of("__v", edges(counts, "__v")), [F.col("__v")], {"__upto": F.col("__n")})
-    totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__all"))
-    rows = upto
-    if keys:
-        same = F.lit(True)
-        names = {k: f"__t_{k}" for k in keys}
-        totals = totals.select(*[F.col(k).alias(name) for k, name in names.items()], "__all")
-        for k, name in names.items():
-            same = same & rows[k].eqNullSafe(totals[name])
-        rows = rows.join(totals, same)
-    else:
-        rows = rows.crossJoin(F.broadcast(totals))  # one row
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    rows = rows.withColumn("__b", bucket_of("__v", edges(rows, "__v")))
+    counts = rows.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    sized = counts.withColumn("__all", F.sum("__n").over(W.partitionBy(*keys)))  # a row for each bucket
+    sized = sized.withColumn("__before", F.sum("__n").over(W.partitionBy(*keys).orderBy("__b")) - F.col("__n"))
+    places = {name: (F.col("__all") - 1) * F.lit(float(q)) for name, q in quantiles.items()}
+    holds = F.lit(False)
+    for place in places.values():
+        for f in (F.floor, F.ceil):
+            holds = holds | ((f(place) >= F.col("__before")) & (f(place) < F.col("__before") + F.col("__n")))
+    wanted = sized.where(holds).select(*[F.col(k).alias(f"__t_{k}") for k in keys], F.col("__b").alias("__t"), "__before", "__all")
+    same = rows["__b"] == wanted["__t"]
+    for k in keys:
+        same = same & rows[k].eqNullSafe(wanted[f"__t_{k}"])
+    near = rows.join(wanted, same).groupBy(*keys, "__t", "__before", "__all", "__v").agg(F.count(F.lit(1)).alias("__n"))  # equal values once
+    near = near.withColumn("__upto", F.col("__before") + F.sum("__n").over(W.partitionBy(*keys, "__t").orderBy("__v")))
     out = []
-    for name, q in quantiles.items():
-        place = (F.col("__all") - 1) * F.lit(float(q))
+    for name, place in places.items():
         low, high = (F.min(F.when(F.col("__upto") > f(place), F.col("__v"))) for f in (F.floor, F.ceil))
         out.append((low + (high - low) * (F.max(place) - F.floor(F.max(place)))).alias(name))
-    return rows.groupBy(*keys).agg(*out)
+    return near.groupBy(*keys).agg(*out)

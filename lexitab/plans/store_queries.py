@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexitab.functions.json_values import canonical_json, json_numbers, largest_change
-from lexitab.operators import dedup, geometry, linear, long_texts, ranks
+from lexitab.operators import dedup, geometry, linear, long_texts, ordered, ranks
 from lexitab.plans.fixtures import r6, rounded
 from lexitab.plans.registry import register
 from lexitab.session import scratch, table
@@ -247,3 +247,26 @@ def long_text_vectors(spark, sf_dir):
     """Vectors of whole documents from overlapping pieces of 128 words, weighted by their words."""
     found = long_texts.embedded(table(spark, sf_dir, "documents"), "doc_id", "text", _letter_counts, budget=128, overlap=32)
     return rounded(found.select("doc_id", "pieces", "tokens", "norm", F.col("vector")[0].alias("first"), F.col("vector")[7].alias("last")))
+
+
+@register(
+    "moving_events",
+    """SELECT event_id, CAST(row_number() OVER w AS BIGINT) AS place, round(sum(value) OVER (w ROWS BETWEEN 150 PRECEDING AND 10 FOLLOWING), 6) AS total, round(max(value) OVER (w ROWS BETWEEN 7 PRECEDING AND CURRENT ROW), 6) AS highest, round(lag(value, 3) OVER w, 6) AS third_before, lead(event_id, 2) OVER w AS second_after,
+    ntile(7) OVER w AS tile, first_value(event_id) OVER w AS first_id, last_value(event_id) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_id FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""",
+)
+def moving_events(spark, sf_dir):
+    """Frames of rows, rows before and after, tiles, and the ends of each type's events in order of time; stretches of 64 rows, so frames cross their edges."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "value")
+    frames = {
+        "total": (150, 10, lambda w: F.sum("value").over(w)),
+        "highest": (7, 0, lambda w: F.max("value").over(w)),
+        "third_before": (3, 0, lambda w: F.first(F.struct("value", F.col("__at").alias("n"))).over(w)),
+        "second_after": (0, 2, lambda w: F.last(F.struct("event_id", F.col("__at").alias("n"))).over(w)),
+    }
+    order = [F.col("ts"), F.col("event_id")]
+    rows = ordered.moving(events, ["event_type"], ordered.bucket_of("at", ordered.edges(events, "at")), order, frames, place="place", stretch=64)
+    key = F.struct("ts", "event_id")
+    ends = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"), F.min_by("event_id", key).alias("first_id"), F.max_by("event_id", key).alias("last_id"))
+    rows = rows.join(ends, "event_type")
+    away = lambda c, field, n: F.when(F.abs(F.col(f"{c}.n") - F.col("place")) == n, F.col(f"{c}.{field}")).alias(c)
+    return rounded(rows.select("event_id", "place", "total", "highest", away("third_before", "value", 3), away("second_after", "event_id", 2), ordered.tile(F.col("place"), F.col("rows"), 7).alias("tile"), "first_id", "last_id"))

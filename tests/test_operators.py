@@ -231,3 +231,37 @@ def test_fold_input(spark):
     test = spark.createDataFrame([(math.nan, "green", "2020-01-02"), (3.0, "red", None)], "amount double, colour string, day string")
     out = linear.FoldInput(["amount"], ["day"], ["colour"]).fit(train).transform(test, impute=True).orderBy("amount").collect()
     assert [r["amount"] for r in out] == [1.0, 3.0] and [r["colour"] for r in out] == [None, 0] and out[0]["day"] == 1577923200
+
+
+@pytest.mark.parametrize("stretch", [4, 7, 1000])
+def test_moving_frames_cross_stretches(spark, stretch):
+    """Frames shorter and longer than a stretch, on keys of 1, 30 and no rows to spare, ties in the order told by id."""
+    rng = np.random.default_rng(8)
+    rows = [(g, int(i), int(rng.integers(12)), float(rng.integers(50))) for g, n in (("a", 30), ("b", 1), (None, 9)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, id long, t long, v double").repartition(5)
+    frames = {"sum": (9, 5, lambda w: F.sum("v").over(w)), "own": (0, 0, lambda w: F.max("v").over(w)), "before": (2, 0, lambda w: F.first("id").over(w))}
+    found = ordered.moving(df, ["g"], ordered.bucket_of("t", ordered.edges(df, "t")), [F.col("t"), F.col("id")], frames, place="place", stretch=stretch).collect()
+    assert len(found) == len(rows)
+    for g in ("a", "b", None):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[2], r[1]))
+        tiles = {}
+        for n, r in enumerate(sorted((r for r in found if r["g"] == g), key=lambda r: r["place"])):
+            assert (r["id"], r["place"], r["own"]) == (own[n][1], n + 1, own[n][3])
+            assert r["sum"] == sum(x[3] for x in own[max(0, n - 9) : n + 6]) and r["before"] == own[max(0, n - 2)][1]
+            tiles.setdefault(g, []).append(n + 1)
+        told = spark.createDataFrame([(x,) for x in tiles[g]], "p long").select("p", ordered.tile(F.col("p"), F.lit(len(own)), 4).alias("t")).collect()
+        cut = [k for k, part in enumerate(np.array_split(np.arange(len(own)), 4), 1) for _ in part]
+        assert [r["t"] for r in sorted(told)] == cut
+
+
+def test_exact_quantiles_sort_only_what_they_need(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, float(x)) for g, values in (("a", rng.normal(size=3001).round(1)), ("b", [5.0]), (None, rng.normal(size=40))) for x in values] + [("c", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    found = {r["g"]: r for r in ordered.exact_quantiles(df, "v", {"low": 0.1, "middle": 0.5, "most": 1.0}, "g").collect()}
+    for g in ("a", "b", None):
+        values = [v for k, v in rows if k == g]
+        assert [found[g][n] for n in ("low", "middle", "most")] == pytest.approx(np.quantile(values, [0.1, 0.5, 1.0]).tolist())
+    assert set(found) == {"a", "b", None}
+    whole = ordered.exact_quantiles(df, "v", {"q": 0.25}).first()
+    assert whole["q"] == pytest.approx(np.quantile([v for _, v in rows if v is not None], 0.25))
