@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -45,6 +47,26 @@ def token_counter(count: Callable[[str], int]) -> Callable[[Column], Column]:
     return lambda c: F.arrow_udf(lambda texts: pa.array([None if t is None else count(t) for t in texts.to_pylist()], pa.int64()), "long")(c)
 
 
+def rank_counter(path: str, pattern: str) -> Callable[[Column], Column]:
+    """A token counter by a file of byte-pair ranks (a base64 token and its rank on each line) and the pattern that cuts texts; special tokens' strings are plain text."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        encode = _encoding(path, pattern).encode_ordinary
+        return pa.array([None if t is None else len(encode(t)) for t in texts.to_pylist()], pa.int64())
+
+    return lambda c: F.arrow_udf(run, "long")(c)
+
+
+@cache
+def _encoding(path: str, pattern: str):
+    """A worker's encoding."""
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def token_audit(df: DataFrame, text: str, groups: list[str], counter: Callable[[Column], Column], limits: list[int], quantiles: list[float]) -> DataFrame:
     """groups, texts, distinct_texts, tokens, longest, q<percent>, over_<limit>: each distinct text is counted once."""
     rows = df.select(*groups, text_value(text).alias("__text")).where("__text is not null")

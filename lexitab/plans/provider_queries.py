@@ -68,6 +68,15 @@ def token_audit(spark, sf_dir):
     return rounded(alignment.token_audit(table(spark, sf_dir, "documents"), "text", ["source"], counter, [512, 2048], [0.5, 0.95]))
 
 
+@register("token_audit_by_ranks")
+def token_audit_by_ranks(spark, sf_dir):
+    """Exact tokens of each source by a public vocabulary's byte-pair ranks, each distinct text counted once."""
+    import public_tokenizers
+
+    counter = alignment.rank_counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return rounded(alignment.token_audit(table(spark, sf_dir, "documents"), "text", ["source"], counter, [512, 2048], [0.5, 0.95]))
+
+
 def letter_shares(texts: list[str]) -> list[list[float]]:
     """An encoder for tests and examples: how often e, n and a stand in each text, and one more."""
     return [[float(t.count("e")), float(t.count("n")), float(t.count("a")), 1.0] for t in texts]

@@ -190,6 +190,31 @@ def resumed_folds(spark, sf_dir):
         return written_once(rounded(store.read()))
 
 
+@register("snapshot_import", "SELECT c_custkey AS key, round(c_acctbal, 6) AS value FROM customer")
+def snapshot_import(spark, sf_dir):
+    """Half of the customers stored, the other half imported from an export; a repeated import, and one that disagrees, change nothing; an import can be taken back."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value"))
+    with scratch(spark) as folder:
+        store = ImmutableStore(spark, f"{folder}/store", customers.schema, ["key"])
+        store.put(customers.where("key % 2 = 0"))
+        for name, rows in (("good", customers.where("key % 3 <> 0 or key % 2 = 1")), ("bad", customers.where("key % 10 = 0").withColumn("value", F.col("value") + 1))):
+            S.write_export(spark, f"{folder}/{name}", {"customers": rows}, schema="store/1", identity={"of": name})
+        said = [store.import_snapshot(f"{folder}/{name}", "customers", schema=tag) for name, tag in (("good", "store/2"), ("good", "store/1"), ("good", "store/1"), ("none", "store/1"))]
+        if said != ["superseded_schema", "imported", "already_imported", "awaiting_export"]:
+            raise ValueError(f"imports said {said}")
+        try:
+            store.import_snapshot(f"{folder}/bad", "customers", schema="store/1")
+            raise AssertionError("an export with other values was imported")
+        except ValueError:
+            pass
+        full = store.manifest()["version"]
+        store.restore(1)
+        if store.read().count() != customers.where("key % 2 = 0").count():
+            raise ValueError("the import wasn't taken back")
+        store.restore(full)
+        return written_once(rounded(store.read()))
+
+
 def request_events(spark, sf_dir):
     """Events as those of requests: users are accounts with five requests each, values are costs."""
     kind = F.create_map(*[F.lit(x) for pair in (("view", "reserve"), ("click", "answer"), ("signup", "reject"), ("error", "error"), ("purchase", "review")) for x in pair])

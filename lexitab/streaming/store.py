@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from lexitab.operators.dedup import conflicts
 from lexitab.session import written_once
+from lexitab.sources.tables import content_checksum, read_export
 
 #: Rows for each bucket beyond which the buckets double, buckets at first, and batches of a bucket beyond which they are put together.
 BUCKET_ROWS, FIRST_BUCKETS, BATCHES = 1_000_000, 16, 64
@@ -157,3 +158,24 @@ class ImmutableStore:
     def put_stream(self, stream: DataFrame, checkpoint: str):
         """Feeds a stream into the store, each micro-batch by put(); ends when the input is used up."""
         return stream.writeStream.foreachBatch(lambda batch, _: self.put(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def restore(self, version: int) -> int:
+        """Makes what an earlier version had the newest version; its number. Versions in between stay readable."""
+        old = self.manifest(version)
+        for _ in range(ATTEMPTS):
+            now = self.manifest()["version"]
+            if self._commit({**old, "version": now + 1}):
+                return now + 1
+        raise RuntimeError(f"{self.path}: others committed {ATTEMPTS} times meanwhile")
+
+    def import_snapshot(self, source: str, table: str, *, schema: str, identity: dict | None = None) -> str:
+        """Adds a table of a checksummed export (sources.tables.write_export()) as one version: imported, already_imported, or the export's status.
+
+        The export is verified whole before anything is written, and a key with another value here is an error; then, as after any
+        interruption, the store is as it was. The same export is imported once. restore() takes an import back.
+        """
+        status, tables = read_export(self.spark, source, schema=schema, identity=identity)
+        if status != "ok":
+            return status
+        rows, digest = content_checksum(tables[table])
+        return "imported" if self.put(tables[table], marker=f"import:{table}:{rows}:{digest}") else "already_imported"

@@ -157,3 +157,26 @@ def test_scaling_and_one_hot(spark):
     assert [r["x"] for r in out] == [-1.0, 1.0, 0.0, 3.0] and [r["c_hot"] for r in out] == [[0, 1], [1, 0], [0, 0], [0, 0]]
     with pytest.raises(ValueError, match="more than 1"):
         linear.one_hot(train, df, "c", most=1)
+
+
+def test_token_audit_by_ranks_equals_the_library(spark, small):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    from lexitab.plans import provider_queries
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    counts = {}
+    for r in spark.read.parquet(f"{small}/documents.parquet").collect():
+        if r["text"] and r["text"].strip():
+            counts.setdefault(r["source"], []).append(len(encoding.encode_ordinary(r["text"])))
+    found = {r["source"]: r for r in provider_queries.token_audit_by_ranks(spark, small).collect()}
+    assert set(found) == set(counts)
+    for source, n in counts.items():
+        r = found[source]
+        assert (r["texts"], r["tokens"], r["longest"], r["over_512"], r["over_2048"]) == (len(n), sum(n), max(n), sum(x > 512 for x in n), sum(x > 2048 for x in n))
+        assert abs(r["q95"] - np.quantile(n, 0.95)) < 1e-6

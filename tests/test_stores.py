@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from lexitab.plans import source_queries
 from lexitab.session import shared_folder
+from lexitab.sources.tables import write_export
 from lexitab.streaming import reservations as R
 from lexitab.streaming.store import ImmutableStore
 
@@ -78,6 +79,24 @@ def test_folds_resume(spark, tmp_path):
     assert store.run_folds("abcd", compute) == [] and not store.put(spark.createDataFrame([(9, "x")], SCHEMA), marker="a") and store.read().count() == 4
 
 
+def test_damaged_snapshots_leave_the_store_as_it_was(spark, tmp_path):
+    store = ImmutableStore(spark, f"file:{tmp_path}/s", SCHEMA, ["k"])
+    store.put(spark.createDataFrame([(1, "a")], SCHEMA))
+    write_export(spark, f"file:{tmp_path}/e", {"t": spark.createDataFrame([(2, "b"), (3, None)], SCHEMA)}, schema="x", identity={})
+    files = sorted((tmp_path / "e").glob("*/t/*.parquet"))
+    other = spark.createDataFrame([(2, "c")], SCHEMA)
+    other.coalesce(1).write.parquet(f"file:{tmp_path}/other")
+    kept = files[0].read_bytes()
+    files[0].write_bytes(next((tmp_path / "other").glob("*.parquet")).read_bytes())
+    files[0].with_name(f".{files[0].name}.crc").unlink(missing_ok=True)
+    with pytest.raises(ValueError, match="isn't what was written"):
+        store.import_snapshot(f"file:{tmp_path}/e", "t", schema="x")
+    assert store.versions() == [1] and store.read().count() == 1
+    files[0].write_bytes(kept)
+    assert store.import_snapshot(f"file:{tmp_path}/e", "t", schema="x") == "imported" and store.read().count() == 3
+    assert store.restore(1) == 3 and store.read().count() == 1 and store.read(2).count() == 3
+
+
 def test_queries_leave_no_folders(spark, small):
     from pathlib import Path
 
