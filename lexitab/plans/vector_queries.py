@@ -6,11 +6,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexitab.functions import vectors as V
-from lexitab.operators import ranks
+from lexitab.operators import diagnostics, ranks
 from lexitab.operators.gains import balanced_mean
 from lexitab.plans.fixtures import DECISIONS, decisions, r6, rounded
 from lexitab.plans.registry import register
-from lexitab.session import table
+from lexitab.session import table, written_once
 
 #: The top answer of each vector in SQL.
 _TOPS = DECISIONS + """, best AS (SELECT doc_id, provider, max(p) AS m FROM decisions GROUP BY ALL), tops AS (
@@ -250,3 +250,93 @@ def data_map(spark, sf_dir):
     """A 20 x 20 grid of top probability and entropy: counts and a weighted sum."""
     rows = decisions(spark, sf_dir).select(F.array_max("p").alias("top"), V.entropy("p").alias("h"))
     return rows.groupBy(V.equal_width_bin(F.round("top", 9), 0.0, 1.0, 20).alias("bx"), V.equal_width_bin(F.round("h", 9), 0.0, 1.0, 20).alias("b_y")).agg(F.count(F.lit(1)).alias("n"), r6(F.sum("top")).alias("benefit"))
+
+
+_DIVERSE = DECISIONS + """, held AS (SELECT doc_id, provider, p FROM vectors WHERE NOT (provider = 2 AND doc_id % 19 = 0)), per AS (SELECT doc_id, provider, p, list_max(p) AS top, len(list_filter(p, lambda x: x = list_max(p))) > 1 AS tied, list_position(p, list_max(p)) - 1 AS choice FROM held),
+    pairs AS (SELECT a.doc_id, round((abs(a.p[1] - b.p[1]) + abs(a.p[2] - b.p[2]) + abs(a.p[3] - b.p[3])) / 2, 9) AS tv FROM held a JOIN held b ON a.doc_id = b.doc_id AND a.provider < b.provider),
+    gaps AS (SELECT doc_id, round(avg(tv), 9) AS mean_pair_tv, max(tv) AS max_pair_tv FROM pairs GROUP BY doc_id), votes AS (SELECT doc_id, o, count(*) FILTER (NOT tied AND choice = o) AS v FROM per, range(0, 3) AS t(o) GROUP BY ALL),
+    patterns AS (SELECT doc_id, string_agg(CAST(v AS VARCHAR), ':' ORDER BY v DESC) FILTER (v > 0) AS pattern, max(v) AS largest FROM votes GROUP BY doc_id),
+    said AS (SELECT doc_id, count(*) AS models, bool_or(tied) AS ambiguous, round(avg(top), 9) AS confidence FROM per GROUP BY doc_id),
+    rowwise AS MATERIALIZED (SELECT doc_id, CASE WHEN ambiguous THEN 'tied top probability' ELSE coalesce(pattern, '') END AS pattern, largest, largest = 4 AND NOT ambiguous AS unanimous, ambiguous, mean_pair_tv, max_pair_tv, confidence, doc_id % 29 = 0 AS odd, source, sha256(text) AS key FROM said JOIN gaps USING (doc_id) JOIN patterns USING (doc_id) JOIN documents USING (doc_id) WHERE models = 4),
+    weighted AS MATERIALIZED (SELECT *, 'rows' AS weighting FROM rowwise UNION ALL SELECT *, 'unique_inputs' FROM rowwise QUALIFY doc_id = min(doc_id) OVER (PARTITION BY key))"""
+
+
+def _diverse(spark, sf_dir):
+    """Diagnostics of four providers' vectors by document; the second has none for every nineteenth."""
+    rows = diagnostics.row_diagnostics(decisions(spark, sf_dir).withColumn("p", F.when(~((F.col("provider") == 2) & (F.col("doc_id") % 19 == 0)), F.col("p"))), "doc_id", "provider", "p", [1, 2, 3, 4], 3)
+    inputs = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("key"))
+    return rows, written_once(diagnostics.weighted_rows(rows, "doc_id", inputs, "key").join(inputs.select("doc_id", "source"), "doc_id"))
+
+
+@register(
+    "row_diversity",
+    f"WITH {_DIVERSE} SELECT d.doc_id, CASE WHEN r.doc_id IS NULL THEN 'missing_text' ELSE 'compared' END AS status, pattern, CAST(largest AS INTEGER) AS largest, unanimous, ambiguous, round(mean_pair_tv, 6) AS mean_pair_tv, round(max_pair_tv, 6) AS max_pair_tv, round(confidence, 6) AS confidence FROM documents d LEFT JOIN rowwise r ON r.doc_id = d.doc_id",
+)
+def row_diversity(spark, sf_dir):
+    """Vote patterns, distances and confidence of each document's four vectors."""
+    return rounded(_diverse(spark, sf_dir)[0].drop("votes"))
+
+
+@register(
+    "diversity_summary",
+    f"WITH {_DIVERSE} SELECT source, weighting, count(*) AS n, round(avg(CAST(unanimous AS INTEGER)), 6) AS unanimous, round(avg(CAST(ambiguous AS INTEGER)), 6) AS ambiguous, round(avg(mean_pair_tv), 6) AS mean_pair_tv, round(avg(confidence), 6) AS confidence, round(avg(CAST(max_pair_tv <= 1e-12 AS INTEGER)), 6) AS identical FROM weighted GROUP BY ALL",
+)
+def diversity_summary(spark, sf_dir):
+    """Diversity of each source's documents, by rows and by unique texts."""
+    return rounded(diagnostics.diversity_summary(_diverse(spark, sf_dir)[1], "source"))
+
+
+@register("diversity_patterns", f"WITH {_DIVERSE} SELECT weighting, pattern, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY weighting), 6) AS share FROM weighted GROUP BY weighting, pattern")
+def diversity_patterns(spark, sf_dir):
+    """How often each pattern of votes comes."""
+    return rounded(diagnostics.vote_patterns(_diverse(spark, sf_dir)[1]))
+
+
+@register("diversity_density", f"WITH {_DIVERSE} SELECT weighting, CAST(least(19, floor(confidence * 20)) AS INTEGER) AS confidence_bin, CAST(least(19, floor(mean_pair_tv * 20)) AS INTEGER) AS tv_bin, count(*) AS n FROM weighted GROUP BY ALL")
+def diversity_density(spark, sf_dir):
+    """Documents by confidence and distance."""
+    return diagnostics.confidence_density(_diverse(spark, sf_dir)[1])
+
+
+@register(
+    "diversity_cases",
+    f"WITH {_DIVERSE}, u AS (SELECT * FROM weighted WHERE weighting = 'unique_inputs') SELECT source, 'split' AS kind, row_number() OVER (PARTITION BY source ORDER BY mean_pair_tv DESC, doc_id) AS place, doc_id FROM u QUALIFY place <= 3 UNION ALL SELECT source, 'sure', row_number() OVER (PARTITION BY source ORDER BY unanimous DESC, confidence DESC, mean_pair_tv, doc_id) AS place, doc_id FROM u QUALIFY place <= 3",
+)
+def diversity_cases(spark, sf_dir):
+    """The texts of each source that the providers are most split on, and those they are surest of (a top-k report)."""
+    return diagnostics.extreme_cases(_diverse(spark, sf_dir)[1], "doc_id", "source", n=3)
+
+
+_BENEFITS = DECISIONS + """, wide AS (SELECT doc_id, source, max(p) FILTER (provider = 1 AND k = 0) AS a, max(p) FILTER (provider = 2 AND k = 0) AS b, max(p) FILTER (provider = 3 AND k = 0) AS c FROM decisions JOIN documents USING (doc_id) GROUP BY ALL),
+    benefit AS (SELECT source, 'b' AS other, doc_id, round(a, 9) AS x, round(b + a / 3, 9) AS y FROM wide UNION ALL SELECT source, 'c', doc_id, round(a, 9), round(c - a / 5, 9) FROM wide),
+    ranked AS (SELECT *, rank() OVER (PARTITION BY source, other ORDER BY x) + (count(*) OVER (PARTITION BY source, other, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY source, other ORDER BY y) + (count(*) OVER (PARTITION BY source, other, y) - 1) / 2.0 AS ry,
+        row_number() OVER (PARTITION BY source, other ORDER BY x DESC, doc_id) <= ceil(0.1 * count(*) OVER (PARTITION BY source, other)) AS tx, row_number() OVER (PARTITION BY source, other ORDER BY y DESC, doc_id) <= ceil(0.1 * count(*) OVER (PARTITION BY source, other)) AS ty FROM benefit),
+    pair AS (SELECT source, other, count(*) AS n, corr(rx, ry) AS rho, count(*) FILTER (tx) AS top_k, count(*) FILTER (tx AND ty) / (2.0 * count(*) FILTER (tx) - count(*) FILTER (tx AND ty)) AS jaccard, (count(*) FILTER (tx) * count(*) FILTER (tx) / count(*)) / (2.0 * count(*) FILTER (tx) - count(*) FILTER (tx) * count(*) FILTER (tx) / count(*)) AS chance FROM ranked GROUP BY ALL)"""
+
+
+def _complementarity(spark, sf_dir):
+    """Correlation and overlap of one provider's benefit with those of two others, by source."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source")
+    first = lambda i: F.max(F.when(F.col("provider") == i, F.col("p")[0]))
+    wide = decisions(spark, sf_dir).groupBy("doc_id").agg(first(1).alias("a"), first(2).alias("b"), first(3).alias("c")).join(documents, "doc_id")
+    arms = F.explode(F.array(F.struct(F.lit("b").alias("other"), (F.col("b") + F.col("a") / 3).alias("y")), F.struct(F.lit("c").alias("other"), (F.col("c") - F.col("a") / 5).alias("y")))).alias("s")
+    rows = wide.select("source", "doc_id", F.round("a", 9).alias("x"), arms).select("source", "doc_id", "x", "s.other", F.round("s.y", 9).alias("y"))
+    return diagnostics.complementarity(rows, ["source", "other"], "doc_id", "x", "y")
+
+
+@register("complementarity_pairs", f"WITH {_BENEFITS} SELECT source, other, n, round(rho, 6) + 0.0 AS rho, top_k, round(jaccard, 6) AS jaccard, round(chance, 6) AS chance FROM pair")
+def complementarity_pairs(spark, sf_dir):
+    """How far the benefits of two arms go together within each source."""
+    return rounded(_complementarity(spark, sf_dir))
+
+
+@register(
+    "complementarity_summary",
+    f"""WITH {_BENEFITS}, u AS (SELECT *, row_number() OVER (PARTITION BY other ORDER BY source) - 1 AS pos, count(*) OVER (PARTITION BY other) AS m FROM pair WHERE rho IS NOT NULL),
+    d AS (SELECT other, draw, CAST('0x' || substr(md5('20261120:' || draw || ':' || slot), 1, 8) AS BIGINT) % m AS pos FROM (SELECT DISTINCT other, m FROM u), range(0, 2000) AS t(draw), range(0, 200) AS q(slot) WHERE slot < m),
+    b AS (SELECT d.other, draw, avg(rho) AS v FROM d JOIN u ON d.other = u.other AND d.pos = u.pos GROUP BY ALL), e AS (SELECT other, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high FROM b GROUP BY other)
+    SELECT other, count(*) AS n, round(avg(rho), 6) + 0.0 AS mean_rho, round(any_value(low), 6) + 0.0 AS low, round(any_value(high), 6) + 0.0 AS high, round(avg(jaccard), 6) AS jaccard, round(avg(chance), 6) AS chance FROM u JOIN e USING (other) GROUP BY other""",
+)
+def complementarity_summary(spark, sf_dir):
+    """Mean correlation over sources of equal weight, with its bootstrap interval."""
+    return rounded(diagnostics.complementarity_summary(_complementarity(spark, sf_dir), "source", ["other"]))
