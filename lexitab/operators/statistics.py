@@ -6,7 +6,6 @@ import itertools
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lexitab.operators.ordered import bucket_of, edges, running
 from lexitab.operators.ranks import average_rank, correlation
+from lexitab.operators.validation import solved
 from lexitab.session import written_once
 
 
@@ -137,27 +137,34 @@ def permutation_spearman(df: DataFrame, x: str, y: str, keys: list[str], order:
 
 
 def partial_spearman(df: DataFrame, x: str, y: str, controls: list[str], keys: list[str]) -> DataFrame:
-    """keys, n, rho: correlation of the ranks of x and y with those of the controls held fixed; null for fewer than controls + 3 rows.
+    """keys, n, rho: correlation of the ranks of x and y with those of the controls held fixed; null for fewer than controls + 3 rows, or where controls tell all.
 
-    By the recursion over controls, from the pairwise correlations of ranks: one aggregate, whatever the number of rows.
+    From the inverse of the correlation matrix of ranks, whose entries are one aggregate, whatever the number of rows.
     """
     names = [x, y, *controls]
     ranked = _ranked_columns(df, names, keys)
-    pairs = {(i, j): f"__r{i}_{j}" for i in range(len(names)) for j in range(i + 1, len(names))}
-    sums = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[correlation(names[i], names[j]).alias(c) for (i, j), c in pairs.items()])
-
-    def fixed(i: int, j: int, given: int) -> Column:
-        """The correlation of i and j with the first so many controls held fixed."""
-        if not given:
-            return F.col(pairs[min(i, j), max(i, j)])
-        z = 1 + given
-        ij, iz, jz = fixed(i, j, given - 1), fixed(i, z, given - 1), fixed(j, z, given - 1)
-        left = (1 - iz * iz) * (1 - jz * jz)
-        return (ij - iz * jz) / F.sqrt(F.when(left > 1e-12, left))
+    pairs = [(i, j) for i in range(len(names)) for j in range(i)]
+    sums = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array(*[correlation(names[i], names[j]) for i, j in pairs]).alias("__r"))
+
+    def fixed(correlations: pa.Array) -> pa.Array:
+        out = []
+        for known in correlations.to_pylist():
+            matrix = np.eye(len(names))
+            if known is None or None in known:
+                out.append(None)
+                continue
+            for (i, j), r in zip(pairs, known):
+                matrix[i, j] = matrix[j, i] = r
+            # What the controls leave of x and of y.
+            rest = matrix[:2, :2] - matrix[:2, 2:] @ np.linalg.pinv(matrix[2:, 2:], hermitian=True) @ matrix[2:, :2] if controls else matrix
+            left = rest[0, 0] * rest[1, 1]
+            out.append(float(rest[0, 1] / math.sqrt(left)) if min(rest[0, 0], rest[1, 1]) > 1e-12 else None)
+        return pa.array(out, pa.float64())
 
     every = df.select(*keys).distinct().join(sums, keys, "left") if keys else sums
+    every = every.withColumn("__rho", F.arrow_udf(fixed, "double")("__r"))
     n = F.coalesce("n", F.lit(0)).cast("long")
-    return every.select(*keys, n.alias("n"), F.when(n >= len(controls) + 3, fixed(0, 1, len(controls))).alias("rho"))
+    return every.select(*keys, n.alias("n"), F.when(n >= len(controls) + 3, F.col("__rho")).alias("rho"))
 
 
 def wilcoxon_signed_rank(df: DataFrame, value: str, keys: list[str], *, exact_up_to: int = 50) -> DataFrame:
@@ -194,26 +201,22 @@ def two_sided_normal(z: Column) -> Column:
 
 
 def ridge_leave_one_out(df: DataFrame, unit: str, features: list[str], outcome: str, keys: list[str], *, alpha: float = 1.0) -> DataFrame:
-    """keys, unit, prediction: each unit predicted by a standardised ridge regression on all others of its key."""
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [*keys, unit])
+    """keys, unit, prediction: each unit predicted by a standardised ridge regression on all others of its key; null for fewer than two others.
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(unit).reset_index(drop=True)
-        x, y = part[features].to_numpy(float), part[outcome].to_numpy(float)
-        out = []
-        for i in range(len(part)):
-            rest = np.arange(len(part)) != i
-            if rest.sum() < 2:
-                out.append(None)
-                continue
-            mean, scale = x[rest].mean(axis=0), x[rest].std(axis=0)
-            scale = np.where(scale > 0, scale, 1.0)
-            z = (x - mean) / scale
-            beta = np.linalg.solve(z[rest].T @ z[rest] + alpha * np.eye(len(features)), z[rest].T @ (y[rest] - y[rest].mean()))
-            out.append(float(z[i] @ beta + y[rest].mean()))
-        return part[[*keys, unit]].assign(prediction=out)
-
-    return df.groupBy(*keys).applyInPandas(run, f"{kinds}, prediction double")
+    One aggregate gives each key's sums of products; a unit's fit comes from those sums less its own products, so no task holds a key.
+    """
+    k = range(len(features))
+    x, y = [F.col(c).cast("double") for c in features], F.col(outcome).cast("double")
+    own = {"n": F.lit(1.0), "sy": y} | {f"x{i}": x[i] for i in k} | {f"y{i}": x[i] * y for i in k} | {f"x{i}_{j}": x[i] * x[j] for i in k for j in k if i <= j}
+    rows = df.select(*keys, unit, *[c.alias(f"__{name}") for name, c in own.items()])
+    sums = rows.groupBy(*keys).agg(*[F.sum(f"__{name}").alias(f"__s_{name}") for name in own])
+    sums = sums.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(keys)], *[f"__s_{name}" for name in own])
+    both = rows.join(sums, _alike(rows, sums, tuple(keys))) if keys else rows.crossJoin(F.broadcast(sums))  # one row
+    rest = {name: F.col(f"__s_{name}") - F.col(f"__{name}") for name in own}
+    lists = F.array(*[rest[f"x{i}"] for i in k]), F.array(*[rest[f"x{min(i, j)}_{max(i, j)}"] for i in k for j in k]), rest["sy"], F.array(*[rest[f"y{i}"] for i in k])
+    fits = both.withColumn("__w", solved(alpha)(F.when(rest["n"] >= 2, rest["n"]), *lists))
+    value = sum((F.col("__w")[i] * F.col(f"__x{i}") for i in k), F.col("__w")[len(features)])
+    return fits.select(*keys, unit, value.alias("prediction"))
 
 
 def pairs_of(names: list[str]) -> list[tuple[str, str]]:

@@ -111,7 +111,7 @@ def cross_validate(df: DataFrame, key: str, features: list[str], target: str, fo
     return dealt.groupBy(*groups, "test_fold").applyInPandas(run, f"{kinds}, fold int, y double, prediction double")
 
 
-def _solved(alpha: float):
+def solved(alpha: float):
     """A column function: slopes and, last, the intercept of a standardised ridge regression from sums over its training rows."""
 
     def solve(n: pa.Array, sx: pa.Array, sxx: pa.Array, sy: pa.Array, sxy: pa.Array) -> pa.Array:
@@ -145,7 +145,7 @@ def cross_validate_ridge(df: DataFrame, key: str, features: list[str], target: s
     rest = {name: F.sum(name).over(W.partitionBy(*groups)) - F.col(name) for name in parts}  # a row for each fold of a group
     train = sums.select(*groups, "fold", *[c.alias(name) for name, c in rest.items()])
     lists = F.array(*[f"x{i}" for i in k]), F.array(*[f"x{min(i, j)}_{max(i, j)}" for i in k for j in k]), F.col("sy"), F.array(*[f"y{i}" for i in k])
-    fits = train.select(*groups, "fold", _solved(alpha)(F.col("n"), *lists).alias("__w"))
+    fits = train.select(*groups, "fold", solved(alpha)(F.col("n"), *lists).alias("__w"))
     value = sum((F.col("__w")[i] * x[i] for i in k), F.col("__w")[len(features)])
     return rows.join(fits, [*groups, "fold"]).select(*groups, key, "fold", "y", value.alias("prediction"))
 
