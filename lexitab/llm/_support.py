@@ -49,26 +49,31 @@ def cut(df: DataFrame) -> DataFrame:
     return _noted(out, kept.get() if kept.isDefined() else None)
 
 
-def write_table(df: DataFrame, path: str, form: str = "parquet") -> None:
-    """Writes df; its shuffle files go once it is written, not only when the driver next collects garbage.
+def write_table(df: DataFrame, path: str) -> None:
+    """Writes df as Parquet; its shuffle files go once it is written, not only when the driver next collects garbage.
 
-    The setting for that is read where a query starts; threads that share the session and write through here take turns.
+    The setting for that is read where a query starts. It is on while any thread writes through here, and then as it was before.
     """
-    before = df.sparkSession.conf.get(_CLEAN, None)
-    if before == "true":
-        df.write.format(form).save(path)
-        return
+    conf = df.sparkSession.conf
     with _setting:
-        df.sparkSession.conf.set(_CLEAN, "true")
-        try:
-            df.write.format(form).save(path)
-        finally:
-            df.sparkSession.conf.unset(_CLEAN) if before is None else df.sparkSession.conf.set(_CLEAN, before)
+        if not _writing:
+            _before[:] = [conf.get(_CLEAN, None)]
+            conf.set(_CLEAN, "true")
+        _writing.append(path)
+    try:
+        df.write.parquet(path)
+    finally:
+        with _setting:
+            _writing.remove(path)
+            if not _writing:
+                conf.unset(_CLEAN) if _before[0] is None else conf.set(_CLEAN, _before[0])
 
 
-#: Spark's own setting, read where a query starts, and what lets one thread at a time change it.
+#: Spark's own setting, what is being written, the setting before that, and who may change these.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_setting = threading.RLock()
+_writing: list[str] = []
+_before: list[str | None] = []
+_setting = threading.Lock()
 
 
 def cut_columnar(df: DataFrame) -> DataFrame:
