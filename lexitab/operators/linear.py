@@ -253,6 +253,29 @@ def standardised(train: DataFrame, df: DataFrame, columns: list[str]) -> DataFra
     return df.withColumns(out)
 
 
+def standardised_by_fold(df: DataFrame, columns: list[str], fold: str) -> DataFrame:
+    """df with each fold's rows standardised by the rows of all other folds only: missing numbers become their mean, constant columns 0.
+
+    One aggregate gives each fold's sums; a fold's training sums are all sums less its own, so no row can reach its own scaling. A column
+    that no other fold knows is null.
+    """
+    from lexitab.functions.text import finite
+
+    x = {i: finite(c) for i, c in enumerate(columns)}
+    own = df.groupBy(F.col(fold).alias("__fold")).agg(*[a for i, v in x.items() for a in (F.count(v).alias(f"n{i}"), F.coalesce(F.sum(v), F.lit(0.0)).alias(f"s{i}"), F.coalesce(F.sum(v * v), F.lit(0.0)).alias(f"q{i}"))])
+    every = own.agg(*[F.sum(f"{k}{i}").alias(f"all_{k}{i}") for i in x for k in "nsq"])
+    rest = own.crossJoin(F.broadcast(every))  # one row
+    facts = []
+    for i in x:
+        n, total, squares = (F.col(f"all_{k}{i}") - F.col(f"{k}{i}") for k in "nsq")
+        mean = total / F.nullif(n, F.lit(0))
+        spread = F.sqrt(F.greatest(squares / F.nullif(n, F.lit(0)) - mean * mean, F.lit(0.0)))
+        facts += [mean.alias(f"__m{i}"), F.when(spread > 1e-9 * F.greatest(F.lit(1.0), F.abs(mean)), spread).alias(f"__d{i}")]
+    told = df.join(F.broadcast(rest.select("__fold", *facts)), df[fold].eqNullSafe(F.col("__fold")))  # a row for each fold
+    out = {c: F.when(F.col(f"__m{i}").isNotNull(), F.coalesce((F.coalesce(x[i], F.col(f"__m{i}")) - F.col(f"__m{i}")) / F.col(f"__d{i}"), F.lit(0.0))) for i, c in enumerate(columns)}
+    return told.withColumns(out).select(*[f"`{c}`" for c in df.columns])
+
+
 def one_hot(train: DataFrame, df: DataFrame, column: str, most: int = 1000) -> DataFrame:
     """df with <column>_hot, 1 in the place of the value in the training values' order, all 0 for an unseen or null value.
 

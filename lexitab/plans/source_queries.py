@@ -153,6 +153,21 @@ def compute_ledger(spark, sf_dir):
     return rounded(jobs.groupBy("stage", "state").agg(F.count(F.lit(1)).alias("jobs"), F.sum(hours).alias("cpu_hours"), F.sum(F.when(F.col("state") == "COMPLETED", hours).otherwise(0.0)).alias("done_hours")))
 
 
+@register(
+    "resource_rows",
+    """WITH r AS (SELECT o_orderpriority AS stage, o_custkey % 3600 AS seconds, o_orderkey % 8 + 1 AS cpus, o_custkey % 5 AS gpus FROM orders WHERE o_orderkey % 11 <> 0), e AS (SELECT stage, seconds, 'cpu' AS resource, cpus AS amount FROM r UNION ALL SELECT stage, seconds, 'gpu', gpus FROM r UNION ALL SELECT stage, seconds, 'mem', 8 FROM r)
+    SELECT stage, resource, count(*) AS records, CAST(sum(amount) AS BIGINT) AS amount, round(sum(seconds * amount / 3600.0), 6) AS hours FROM e GROUP BY ALL""",
+)
+def resource_rows(spark, sf_dir):
+    """Resources of accounting lines as rows, by a table function of SQL over a table of lines; every eleventh line has no seconds."""
+    seconds = F.when(F.col("o_orderkey") % 11 == 0, "unknown").otherwise((F.col("o_custkey") % 3600).cast("string"))
+    resources = F.concat(F.lit("cpu="), (F.col("o_orderkey") % 8 + 1).cast("string"), F.lit(",gpu="), (F.col("o_custkey") % 5).cast("string"), F.lit(",mem=8G,node=x"))
+    lines = table(spark, sf_dir, "orders").select(F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderpriority", seconds, resources, F.lit("run --a|b")).alias("value"))
+    S.register_accounting(spark, "accounting_resources", ["id", "stage", "seconds", "tres", "line"])
+    rows = spark.sql("SELECT * FROM accounting_resources(TABLE({lines}))", lines=lines)
+    return rounded(rows.groupBy("stage", "resource").agg(F.count(F.lit(1)).alias("records"), F.sum("amount").alias("amount"), F.sum("hours").alias("hours")))
+
+
 @register("store_feed", "SELECT c_custkey AS key, round(c_acctbal, 6) AS value FROM customer")
 def store_feed(spark, sf_dir):
     """Customers fed into a store page by page, in two sessions, the second of which sends a part again; its buckets double on the way."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexitab.functions import text as T
 from lexitab.functions import vectors as V
-from lexitab.operators import dedup, features, gains, metrics, ordered, probes, ranks, statistics, validation
+from lexitab.operators import dedup, features, gains, linear, metrics, ordered, probes, ranks, statistics, validation
 from lexitab.plans.fixtures import DECISIONS, FOLD_METRICS, SCORES, decisions, fold_metrics, r6, rounded, scores
 from lexitab.plans.gain_queries import HELD_OUT
 from lexitab.plans.registry import register
@@ -336,3 +336,15 @@ def held_out_rule(spark, sf_dir):
     rows = gains.headroom_gains(paired, ["dataset", "model", "arm"]).groupBy("arm", "dataset").agg(F.avg("raw_gain").alias("gain"), F.avg("variance").alias("v"))
     predictions = statistics.ridge_leave_one_out(rows, "dataset", ["v"], "gain", ["arm"]).join(rows, ["arm", "dataset"])
     return rounded(validation.rule_quality(predictions, "prediction", "gain"))
+
+
+@register(
+    "fold_standardised",
+    """WITH r AS (SELECT c_custkey, CAST(c_custkey % 5 AS INTEGER) AS fold, CASE WHEN c_custkey % 13 <> 0 THEN c_acctbal END AS balance, CAST(length(c_name) AS DOUBLE) AS width, CAST(c_nationkey AS DOUBLE) AS nation FROM customer),
+    f AS (SELECT held, avg(balance) AS mb, stddev_pop(balance) AS sb, avg(nation) AS mn, stddev_pop(nation) AS sn FROM r, range(0, 5) AS t(held) WHERE fold <> held GROUP BY held)
+    SELECT c_custkey, fold, round((coalesce(balance, mb) - mb) / sb, 6) + 0.0 AS balance, CAST(0.0 AS DOUBLE) AS width, round((nation - mn) / sn, 6) + 0.0 AS nation FROM r JOIN f ON fold = held""",
+)
+def fold_standardised(spark, sf_dir):
+    """Customers' numbers standardised fold by fold from the other folds' rows; every thirteenth balance is missing, names are all equally long."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 5).cast("int").alias("fold"), F.when(F.col("c_custkey") % 13 != 0, F.col("c_acctbal")).alias("balance"), F.length("c_name").cast("double").alias("width"), F.col("c_nationkey").cast("double").alias("nation"))
+    return rounded(linear.standardised_by_fold(rows, ["balance", "width", "nation"], "fold"))

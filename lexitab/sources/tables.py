@@ -6,10 +6,11 @@ import hashlib
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
 
 from lexitab.functions.json_values import json_numbers
 
@@ -57,6 +58,31 @@ def scan_accounting(lines: DataFrame, fields: list[str], terminal: tuple[str, ..
     return rows.withColumn("state", F.split("state", " ")[0]).where(F.col("state").isin(*terminal))
 
 
+def register_accounting(spark: SparkSession, name: str, fields: list[str], resources: str = "tres", seconds: str = "seconds") -> None:
+    """Registers a table function of SQL: name(TABLE(lines)) gives a row for each resource of each record of accounting lines (column value).
+
+    Columns: the fields but the resources, resource, amount (long), hours (of seconds times amount). A record's resources are a list such as
+    cpu=4,mem=8G; amounts that begin with no digit give no row. Lines are records as for scan_accounting(), whatever their state.
+    """
+    kept = [f for f in fields if f != resources]
+    at, timed = fields.index(resources), fields.index(seconds)
+
+    class Resources:
+        def eval(self, row: Row):
+            parts = (row["value"] or "").split("|", len(fields) - 1)
+            if len(parts) != len(fields) or not (parts[timed].isascii() and parts[timed].isdigit()):
+                return
+            own = [p for i, p in enumerate(parts) if i != at]
+            for item in parts[at].split(","):
+                resource, _, said = item.partition("=")
+                digits = said[: len(said) - len(said.lstrip("0123456789"))] if said.isascii() else ""
+                if resource and digits:
+                    yield (*own, resource, int(digits), int(parts[timed]) * int(digits) / 3600)
+
+    schema = ", ".join(f"`{f}` string" for f in kept) + ", resource string, amount long, hours double"
+    spark.udtf.register(name, udtf(Resources, returnType=schema))
+
+
 def tres(column: str, key: str):
     """The number of a key in a resource list such as cpu=4,mem=8G; 0 if absent."""
     said = F.str_to_map(F.col(column), F.lit(","), F.lit("="))[key]

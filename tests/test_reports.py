@@ -159,3 +159,15 @@ def test_long_texts(spark, overlap):
         assert np.allclose(r["vector"], mean / np.linalg.norm(mean)) and np.linalg.norm(r["vector"]) == pytest.approx(1)
     zero = long_texts.embedded(df.where("id = 52"), "id", "t", lambda t: np.zeros((len(t), 2)), budget=8).first()
     assert zero["vector"] is None and zero["norm"] == 0
+
+
+def test_folds_are_standardised_by_the_others_only(spark):
+    rows = [(0, 1.0, 5.0), (0, None, 5.0), (1, 3.0, 5.0), (1, 7.0, None), (2, 100.0, float("nan"))]
+    df = spark.createDataFrame(rows, "f int, a double, b double")
+    found = [tuple(r) for r in linear.standardised_by_fold(df, ["a", "b"], "f").collect()]
+    for f, a, b in found:
+        others = np.array([r[1] for r in rows if r[0] != f and r[1] is not None])
+        assert b == 0.0 and any(a == pytest.approx((v - others.mean()) / others.std()) for v in [r[1] if r[1] is not None else others.mean() for r in rows if r[0] == f])
+    assert len(found) == 5
+    one = linear.standardised_by_fold(df.where("f = 0"), ["a"], "f").collect()
+    assert all(r["a"] is None for r in one)

@@ -99,3 +99,12 @@ def test_windows_stream_equals_batch(spark, small, tmp_path):
     query.awaitTermination(60)
     key = lambda df: sorted((str(r["start"]), r["event_type"], r["n"]) for r in df.collect())
     assert key(spark.table("windows")) == key(event_windows(events, "1 day"))
+
+
+def test_resources_as_rows(spark):
+    S.register_accounting(spark, "resources_of", ["id", "seconds", "tres", "line"])
+    lines = ["1|3600|cpu=4,mem=8G,gres/gpu=2|run --x | tee", "2|x|cpu=1|z", "3|60||z", "4|60|cpu=,=3,node=a|z", "short|1", ""]
+    df = spark.createDataFrame([(x,) for x in lines] + [(None,)], "value string")
+    found = spark.sql("SELECT * FROM resources_of(TABLE({lines}))", lines=df)
+    assert found.columns == ["id", "seconds", "line", "resource", "amount", "hours"]
+    assert sorted((r["id"], r["resource"], r["amount"], r["hours"], r["line"]) for r in found.collect()) == [("1", "cpu", 4, 4.0, "run --x | tee"), ("1", "gres/gpu", 2, 2.0, "run --x | tee"), ("1", "mem", 8, 8.0, "run --x | tee")]
