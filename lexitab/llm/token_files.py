@@ -68,7 +68,8 @@ class Frequencies:
             raise ValueError("more ids than frequencies")
         if not len(occurs):
             return cls(np.array([total]))
-        exact = np.array([max(1, int(n) * total // int(counts.sum())) for n in counts[occurs]], np.int64)
+        every = int(counts.sum())
+        exact = np.array([max(1, int(n) * total // every) for n in counts[occurs]], np.int64)
         order = np.argsort(-exact, kind="stable")
         gap = int(exact.sum()) - total
         if gap < 0:
