@@ -7,13 +7,16 @@ members of a cell are dealt into blocks of BLOCK, a block is compared with itsel
 verified exactly. Two fingerprints drawn evenly share a cell with a chance of 0.375 ** 32, so cells stay nearly empty
 up to billions of fingerprints; and at most 65 fingerprints lie within 2 bits of each other, so links stay linear in them.
 
-Texts whose shingle sets have a Jaccard similarity of 0.8 are up to about 11 bits apart, which no such grid carries. With a
-similarity keep_one takes its candidates from bands of min-hashes instead and verifies them on the whole shingle sets.
+Texts whose shingle sets have a Jaccard similarity of 0.8 differ in 9.7 of 64 bits on average. Within so many bits the counts of
+32 segments tell nothing: two fingerprints drawn evenly are hardly further apart. With a similarity keep_one therefore takes fingerprints
+of 1,024 bits and lays many grids over their segments' counts, each over a few segments drawn at random. Fingerprints that share
+a cell of any grid are compared by their first 128 bits, and those within RADIUS of these are verified on the whole shingle sets.
 """
 
 from __future__ import annotations
 
-from functools import partial
+import math
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +35,20 @@ _SEGMENTS, _WIDTH = 32, 2
 #: Fingerprints of a cell that are compared at a time, and rows that one task expands into cells.
 BLOCK, EXPANDED = 64, 20_000
 _PIECE = 1 << 16
-#: A pair of Jaccard similarity s shares a band with probability 1 - (1 - s ** BAND) ** BANDS: 0.99997 at 0.8.
-BANDS, BAND = 20, 4
-#: Sets of a band's group that are compared at a time, and shingles that are counted at a time.
+#: Words of a long fingerprint: the first two are compared, the segments of the others make the grids.
+WORDS, COMPARED = 16, 2
+#: A bit of two sets of Jaccard similarity 0.8 differs with this probability (cosine 8/9), so a segment's counts are equal with SAME, and
+#: with CHANCE where the sets have nothing in common. More than RADIUS of 128 bits differ in 6e-5 of such pairs, as many or fewer in 4e-7 of
+#: those with nothing in common.
+DIFFERS = math.acos(8 / 9) / math.pi
+SAME, CHANCE, RADIUS = (1 - DIFFERS) ** 2 + DIFFERS**2 / 2, 0.375, 36
+#: Unlike fingerprints that one finds in its cell, the chance that a pair of similarity 0.8 meets in no grid, and grids laid at a time.
+COMPANY, MISS, GRIDS = 32, 3e-4, 64
+#: Rows of (cell, fingerprint) in a task, and fingerprints of a cell that are compared with each other at once.
+MET, AT_ONCE = 1_000_000, 1024
+#: Sets of a group that are compared at a time, and shingles that are counted at a time.
 SETS, COLUMNS = 128, 4096
-_FLIPS, _FACTORS = np.random.default_rng(20_240_301).integers(0, 1 << 64, (2, BANDS * BAND), dtype=np.uint64)
+_FLIPS, _FACTORS = np.random.default_rng(20_240_301).integers(0, 1 << 64, (2, WORDS - 1), dtype=np.uint64)
 _FACTORS |= np.uint64(1)
 
 
@@ -145,12 +157,116 @@ def shingle_set(raw: bytes | None, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), shingles), np.uint64, max(1, len(words) - shingle + 1)))
 
 
-def bands(found: np.ndarray) -> list[int]:
-    """A hash of each band of min-hashes; none of an empty set."""
-    if not len(found):
-        return []
-    least = np.array([((found ^ flip) * factor).min() for flip, factor in zip(_FLIPS, _FACTORS)])
-    return [xxhash.xxh3_64_intdigest(least[i * BAND : (i + 1) * BAND].tobytes(), seed=i) - (1 << 63) for i in range(BANDS)]
+def long_fingerprint(found: np.ndarray) -> np.ndarray:
+    """The SimHash of WORDS words of a set of 64-bit hashes in order; the first word is of the hashes themselves. Ties go to the first hash's bit."""
+    ones = np.zeros(64 * WORDS, np.int64)
+    for low in range(0, len(found), _PIECE // 2):
+        part = found[low : low + _PIECE // 2, None]
+        mixed = (part ^ _FLIPS) * _FACTORS
+        mixed = (mixed ^ mixed >> np.uint64(32)) * _FACTORS
+        bits = np.unpackbits(np.hstack([part, mixed ^ mixed >> np.uint64(29)]).view(np.uint8), axis=1, bitorder="little")
+        if not low:
+            first = bits[0]
+        ones += bits.sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * ones + first > len(found), bitorder="little").view(np.uint64)
+
+
+def grids(n: int) -> list[np.ndarray]:
+    """The segments of each grid over n long fingerprints: as many as leave COMPANY to a cell, in as many grids as leave MISS."""
+    depth = max(4, int(math.log(max(1, n / COMPANY)) / -math.log(CHANCE)))
+    rng = np.random.default_rng(20_240_301)
+    return [rng.choice((WORDS - COMPARED) * _SEGMENTS, depth, replace=False) for _ in range(math.ceil(math.log(MISS) / math.log1p(-(SAME**depth))))]
+
+
+def grid_cells(prints: np.ndarray, laid: list[np.ndarray]) -> np.ndarray:
+    """The cell of each long fingerprint (a row) in each grid (a column): the bit counts of the grid's segments as digits."""
+    packed = bit_counts(prints[:, COMPARED:]).view(np.uint8)
+    counts = np.stack([packed >> np.uint8(_WIDTH * i) & np.uint8(3) for i in range(8 // _WIDTH)], axis=2).reshape(len(prints), -1)
+    digits = np.zeros((counts.shape[1], len(laid)))
+    for i, segments in enumerate(laid):
+        digits[segments, i] = 3.0 ** np.arange(len(segments))
+    return (counts.astype(float) @ digits).astype(np.int64)
+
+
+def near_roots(fps: list[np.ndarray]) -> np.ndarray:
+    """The first fingerprint in each one's component, by links within RADIUS bits; fps has an array for each word."""
+    n = len(fps[0])
+    near = lambda left, right: sum(np.bitwise_count(f[left][:, None] ^ f[right]) for f in fps) <= RADIUS
+    if n <= AT_ONCE:
+        return local_roots(n, *np.nonzero(np.triu(near(slice(None), slice(None)), 1)))
+    # Those that a component has taken are not looked at again, so large groups of near copies take few rounds.
+    roots, rest = np.arange(n), np.arange(n)
+    while len(rest):
+        first, fringe, rest = rest[0], [rest[:1]], rest[1:]
+        while fringe and len(rest):
+            own = fringe.pop()
+            for low in range(0, len(own), SETS):
+                if len(rest):
+                    some = own[low : low + SETS]
+                    taken = np.concatenate([near(some, rest[i : i + _PIECE]).any(axis=0) for i in range(0, len(rest), _PIECE)])
+                    if taken.any():
+                        roots[rest[taken]] = first
+                        fringe.append(rest[taken])
+                        rest = rest[~taken]
+    return roots
+
+
+def meetings(cells: np.ndarray, keys: np.ndarray, fps: list[np.ndarray]) -> pa.RecordBatch:
+    """(band, key, lead, n) for rows in components of two or more within a cell: the component, its smallest key and its size.
+
+    band is a sum over the component's keys, so components that several grids find alike have one name.
+    """
+    order = np.lexsort((keys, cells))
+    cells, keys, fps = cells[order], keys[order], [f[order] for f in fps]
+    edges = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1], [True]]))
+    roots = np.arange(len(cells))
+    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        if high - low > 1:
+            roots[low:high] = near_roots([f[low:high] for f in fps]) + low
+    sizes = np.bincount(roots, minlength=len(roots))
+    some = np.flatnonzero(sizes[roots] > 1)
+    heads, at = np.unique(roots[some], return_inverse=True)
+    mixed = keys[some].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    names = np.zeros(len(heads), np.uint64)
+    np.add.at(names, at, mixed ^ mixed >> np.uint64(31))
+    columns = names[at].view(np.int64), keys[some], keys[roots[some]], sizes[roots[some]]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["band", "key", "lead", "n"])
+
+
+def candidates(sets: DataFrame) -> DataFrame:
+    """(band, key, lead, n): groups of keys of sets (key, prints) that share a cell of some grid and are linked there within RADIUS bits."""
+    prints = sets.where("prints is not null").select("key", "prints")
+    n = prints.count()
+    laid, found = grids(n), []
+    names = ["cell", "key", *[f"fp{i}" for i in range(COMPARED)]]
+    for start in range(0, len(laid), GRIDS):
+        some = laid[start : start + GRIDS]
+
+        def place(batches, some=some):
+            hold("shingles")
+            base = np.arange(len(some)) * 3 ** len(some[0])
+            for batch in batches:
+                for low in range(0, batch.num_rows, 2048):
+                    part = batch.slice(low, 2048)
+                    longs = np.array(part.column("prints").flatten()).reshape(-1, WORDS)
+                    cells = grid_cells(longs.view(np.uint64), some) + base
+                    columns = cells.ravel(), *[np.repeat(c, len(some)) for c in (np.array(part.column("key")), *longs[:, :COMPARED].T)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+        def meet(batches):
+            hold("shingles")
+            batches = list(batches)
+            if batches:
+                cells, keys, *fps = (np.concatenate([b.column(c).to_numpy() for b in batches]) for c in names)
+                batches.clear()
+                yield meetings(cells, keys, [f.view(np.uint64) for f in fps])
+
+        parts = max(sets.sparkSession.sparkContext.defaultParallelism, n * len(some) // MET)
+        placed = prints.mapInArrow(place, ", ".join(f"{c} long" for c in names)).repartition(parts, "cell")
+        found.append(cut_columnar(placed.mapInArrow(meet, "band long, key long, lead long, n long")))
+    grouped = cut_columnar(reduce(DataFrame.union, found).dropDuplicates(["band", "key"]))
+    release(*found)
+    return grouped
 
 
 def alike(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -179,15 +295,12 @@ def alike(left: list[np.ndarray], right: list[np.ndarray], similarity: float) ->
 
 
 def similar_links(df: DataFrame, sets: DataFrame, row: list[Column], text: Column, shingle: int, similarity: float) -> DataFrame:
-    """Verified links (a, b) between keys of sets (key, rep, bands), whose shingles are read again from the row rep of df.
+    """Verified links (a, b) between keys of sets (key, rep, prints), whose shingles are read again from the row rep of df.
 
-    Each member of a band's group is compared with the group's first. Those unlike it are compared with all other members too,
-    in blocks; the others are linked through the first.
+    Each member of a group of candidates is compared with the group's first. Those that these links don't join to it are compared
+    with all other members too, in blocks.
     """
-    members = cut_columnar(sets.select("key", F.explode("bands").alias("band")))
-    firsts = members.groupBy("band").agg(F.min("key").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    grouped = cut_columnar(members.join(firsts, "band"))
-    release(members)
+    grouped = candidates(sets)
     pairs = grouped.where("key <> lead").select("lead", "key").distinct()
     wanted = cut_columnar(grouped.select("key").distinct().join(sets.select("key", "rep.*"), "key"))
     read = arrow_column("shingles", lambda texts: pa.array([shingle_set(raw, shingle).view(np.int64) for raw in utf8_parts(texts)], pa.list_(pa.int64())), "array<long>")
@@ -197,7 +310,9 @@ def similar_links(df: DataFrame, sets: DataFrame, row: list[Column], text: Colum
     both = pairs.join(found.toDF("lead", "left"), "lead").join(found.toDF("key", "right"), "key")
     common = F.size(F.array_intersect("left", "right"))
     close = cut_columnar(both.where(common >= similarity * (F.size("left") + F.size("right") - common)).select("lead", "key"))
-    rest = grouped.where("n > 2 and key <> lead").join(close.withColumn("linked", F.lit(True)), ["lead", "key"], "left").withColumn("away", F.col("linked").isNull())
+    joined = connected_components(close, "lead", "key")
+    rest = grouped.where("n > 2 and key <> lead").join(joined.toDF("key", "own_root"), "key", "left").join(joined.toDF("lead", "lead_root"), "lead", "left")
+    rest = rest.withColumn("away", F.coalesce("own_root", "key") != F.coalesce("lead_root", "lead")).select("band", "key", "away")
     counts = rest.groupBy("band").agg(F.count_if("away").alias("aways"), F.count_if(~F.col("away")).alias("others")).where("aways > 0 and aways + others > 1")
     blocks = lambda n: F.ceil(F.col(n) / F.lit(SETS)).cast("int")
     rest = rest.join(counts.select("band", blocks("aways").alias("aways"), blocks("others").alias("others")), "band")
@@ -226,7 +341,7 @@ def similar_links(df: DataFrame, sets: DataFrame, row: list[Column], text: Colum
 
     away = dealt.join(found, "key").groupBy("band", "i", "j", "mixed").applyInArrow(compare, "a long, b long")
     links = cut_columnar(close.toDF("a", "b").union(away).distinct())
-    release(grouped, found, close)
+    release(grouped, found, close, joined)
     return links
 
 
@@ -237,11 +352,11 @@ def keep_similar(df: DataFrame, id_column: str, text_column: str, shingle: int,
 
     def mark(texts: pa.Array) -> pa.Array:
         sets = [shingle_set(raw, shingle) for raw in utf8_parts(texts)]
-        return pa.array([{"key": xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), "bands": bands(s)} for s in sets], pa.struct([("key", pa.int64()), ("bands", pa.list_(pa.int64()))]))
+        return pa.array([{"key": xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), "prints": long_fingerprint(s).view(np.int64) if len(s) else None} for s in sets], pa.struct([("key", pa.int64()), ("prints", pa.list_(pa.int64()))]))
 
-    marked = df.select(doc.alias("doc_id"), F.struct(row[0].alias("x"), row[1].alias("y")).alias("row"), arrow_column("shingles", mark, "key long, bands array<long>")(text).alias("s"))
+    marked = df.select(doc.alias("doc_id"), F.struct(row[0].alias("x"), row[1].alias("y")).alias("row"), arrow_column("shingles", mark, "key long, prints array<long>")(text).alias("s"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
-    sets = cut_columnar(marked.groupBy("s.key").agg(best, F.min("row").alias("rep"), F.first("s.bands").alias("bands")))
+    sets = cut_columnar(marked.groupBy("s.key").agg(best, F.min("row").alias("rep"), F.first("s.prints").alias("prints")))
     links = similar_links(df, sets, row, text, shingle, similarity)
     components = connected_components(links)
     roots = components.select(F.col("node").alias("key"), F.col("component").alias("root"))
@@ -258,7 +373,7 @@ def keep_similar(df: DataFrame, id_column: str, text_column: str, shingle: int,
 def keep_one(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """The rows of df without near-duplicates: the row with the smallest id of each class stays, once if it is repeated.
 
-    Classes join fingerprints of word shingles within DISTANCE bits; with a similarity (0.8 or more, as BANDS are made for), texts
+    Classes join fingerprints of word shingles within DISTANCE bits; with a similarity (0.8 or more, as the grids are made for), texts
     whose sets of word shingles have at least that Jaccard similarity. Then texts without words form one class. Rows of a
     null id come after all others. Other columns stay as they are; an empty table gives an empty one.
     """

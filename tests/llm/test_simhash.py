@@ -84,3 +84,35 @@ def test_edges(spark):
     assert kept.columns == ["doc_id", "text", "fp"]
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 3, 4, 7]
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_similar_texts_meet_in_grids_of_their_fingerprints():
+    """Sets of similarity 0.8 share a cell of some grid and are linked there; the first word is the plain SimHash of the distinct shingles."""
+    rng = np.random.default_rng(5)
+    unions = [np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)) for n in rng.integers(20, 200, 300)]
+    parts = [(u[rng.permutation(len(u))], len(u) // 10) for u in unions]
+    left, right = ([np.sort(u[k:] if side else u[: len(u) - k]) for u, k in parts] for side in (0, 1))
+    assert all(len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) for a, b in zip(left, right))
+    for found in (left[0], left[1][:7], left[2][:1]):
+        bits = [2 * sum(int(h) >> i & 1 for h in found) + (int(found[0]) >> i & 1) > len(found) for i in range(64)]
+        assert int(simhash.long_fingerprint(found)[0]) == sum(1 << i for i in range(64) if bits[i])
+    prints = np.array([simhash.long_fingerprint(s) for s in left + right])
+    laid, n = simhash.grids(100_000), len(left)
+    cells = simhash.grid_cells(prints, laid)
+    assert sum((cells[i] == cells[n + i]).any() for i in range(n)) >= 0.99 * n and (cells[0] == cells[1]).sum() <= 3
+    words = [int(w) for w in prints[3, simhash.COMPARED :]]
+    counts = [(w >> 2 * i & 3).bit_count() for w in words for i in range(32)]
+    assert all(cells[3, j] == sum(counts[s] * 3**k for k, s in enumerate(segments.tolist())) for j, segments in enumerate(laid))
+    words = [prints[:, w] for w in range(simhash.COMPARED)]
+    met = simhash.meetings(np.zeros(2 * n, np.int64), np.arange(2 * n), words).to_pylist()
+    assert {(r["lead"], r["key"], r["n"]) for r in met} == {(i, k, 2) for i in range(n) for k in (i, n + i)} and len({r["band"] for r in met}) == n
+
+
+def test_large_cells_are_compared_whole(monkeypatch):
+    """A cell over AT_ONCE gives the same components as one below."""
+    rng = np.random.default_rng(6)
+    mixed = rng.permutation(900)
+    words = [np.concatenate([rng.integers(0, 1 << 64, 300, dtype=np.uint64), *[rng.integers(0, 1 << 64, dtype=np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) for _ in range(2)]])[mixed] for _ in range(simhash.COMPARED)]
+    whole = simhash.near_roots(words)
+    monkeypatch.setattr(simhash, "AT_ONCE", 10)
+    assert (simhash.near_roots(words) == whole).all() and len(set(whole.tolist())) == 302
