@@ -106,15 +106,23 @@ def equal_width_bin(x: Column | str, low: float, high: float, bins: int) -> Colu
 
 def bounded_projection(p: Column | str, half_step: float, rounds: int = 60) -> Column:
     """The vector within half_step of p, and within [0, 1], that sums to 1 by one common shift, found by bisection."""
-    p = _col(p)
-    moved = lambda shift: F.transform(p, lambda x: F.least(F.greatest(x + shift, x - half_step, F.lit(0.0)), x + half_step, F.lit(1.0)))
     start = F.struct(F.lit(-half_step).alias("lo"), F.lit(half_step).alias("hi"))
+    moved = lambda v, shift: F.transform(v, lambda x: F.least(F.greatest(x + shift, x - half_step, F.lit(0.0)), x + half_step, F.lit(1.0)))
+
+    def search(v):
+        def halve(s, _):
+            kept = lambda middle: lambda below: F.struct(F.when(below, middle).otherwise(s["lo"]).alias("lo"), F.when(below, s["hi"]).otherwise(middle).alias("hi"))
+            return _once((s["lo"] + s["hi"]) / 2, lambda middle: _once(total(moved(v, middle)) < 1, kept(middle)))
+
+        shift = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2)
+        return _once(shift, lambda found: moved(v, found))
+
+    return _once(_col(p), search)
 
-    def halve(s, _):
-        middle = (s["lo"] + s["hi"]) / 2
-        return F.struct(F.when(total(moved(middle)) < 1, middle).otherwise(s["lo"]).alias("lo"), F.when(total(moved(middle)) < 1, s["hi"]).otherwise(middle).alias("hi"))
 
-    return moved(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2))
+def _once(value: Column, body) -> Column:
+    """body(value) with the value worked out once, not at each place and in each round where body has it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def realigned(p: Column | str, order: Column | str) -> Column:

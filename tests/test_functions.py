@@ -102,3 +102,13 @@ def test_band(spark, x, name):
 @pytest.mark.parametrize(("x", "place"), [(0.0, 0), (0.1, 1), (1.0, 9), (1.5, 9), (-1.0, 0)])
 def test_equal_width_bin(spark, x, place):
     assert one(spark, V.equal_width_bin("x", 0.0, 1.0, 10), x=x) == place
+
+
+def test_projection_works_its_vector_out_once(spark):
+    """The vector and each round's sum come once in the plan, whatever the number of rounds; null elements count 0, a null vector gives null."""
+    df = spark.createDataFrame([(1, [0.33, 0.33, 0.33]), (2, [0.5, None, 0.5]), (3, None), (4, [0.1, 0.1])], "i int, p array<double>")
+    out = df.select("i", V.bounded_projection(F.transform("p", lambda x: F.round(x, 2)), 0.005).alias("q"))
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("round(") == 1 and plan.count(" < ") + plan.count("< cast(1") <= 2
+    found = {r["i"]: r["q"] for r in out.collect()}
+    assert found[1] == pytest.approx([1 / 3] * 3) and found[2] == pytest.approx([0.5, 0.0, 0.5]) and found[3] is None and found[4] == pytest.approx([0.105] * 2)
