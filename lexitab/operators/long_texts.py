@@ -28,13 +28,14 @@ def pieces(df: DataFrame, key: str, text: str, *, budget: int, overlap: int = 0,
     step = budget - overlap
     # A last run that would lie in the one before it isn't begun.
     last = F.greatest(F.lit(0), F.ceil((F.size("__tokens") - budget) / step)).cast("int")
-    runs = rows.select(key, "__tokens", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
-    part = F.slice("__tokens", F.col("piece") * step + 1, budget)
-    return runs.select(key, "piece", F.size(part).alias("n_tokens"), F.array_join(part, glue).alias("text"))
+    # Cut before they are dealt into rows, or each of a text's rows would hold all of its tokens.
+    part = lambda i: F.slice("__tokens", i * step + 1, budget)
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("piece"), F.least(F.size("__tokens") - i * step, F.lit(budget)).alias("n_tokens"), F.array_join(part(i), glue).alias("text")))
+    return rows.select(key, F.inline(cut))
 
 
 def weighted_sums(df: DataFrame, key: str, vector: str, weight: str) -> DataFrame:
-    """(key, weight, sums): the weights and the weighted element-wise sums of each key's vectors.
+    """(key, weight, n, sums): the weights, the number and the weighted element-wise sums of each key's vectors.
 
     Each batch adds up its own keys first, so what is shuffled is a row for each key and batch, and what meets in a group are those few.
     """
@@ -51,12 +52,13 @@ def weighted_sums(df: DataFrame, key: str, vector: str, weight: str) -> DataFram
             sums, weights = np.zeros((len(keys.dictionary), v.shape[1])), np.zeros(len(keys.dictionary))
             np.add.at(sums, at, v * w[:, None])
             np.add.at(weights, at, w)
-            yield pa.RecordBatch.from_arrays([keys.dictionary, pa.array(weights), pa.array(list(sums), pa.list_(pa.float64()))], ["key", "weight", "sums"])
+            yield pa.RecordBatch.from_arrays([keys.dictionary, pa.array(weights), pa.array(np.bincount(at, minlength=len(weights)), pa.int64()), pa.array(list(sums), pa.list_(pa.float64()))], ["key", "weight", "n", "sums"])
 
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"), F.col(weight).cast("double").alias("weight"))
-    parts = rows.mapInArrow(add, f"key {kind}, weight double, sums array<double>")
+    parts = rows.mapInArrow(add, f"key {kind}, weight double, n long, sums array<double>")
     total = F.aggregate(F.slice("l", 2, F.size("l")), F.col("l")[0], lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
-    return parts.groupBy("key").agg(F.sum("weight").alias("weight"), F.collect_list("sums").alias("l")).select(F.col("key").alias(key), "weight", total.alias("sums"))
+    grouped = parts.groupBy("key").agg(F.sum("weight").alias("weight"), F.sum("n").alias("n"), F.collect_list("sums").alias("l"))
+    return grouped.select(F.col("key").alias(key), "weight", "n", total.alias("sums"))
 
 
 def embedded(df: DataFrame, key: str, text: str, encode: Callable[[list[str]], np.ndarray], *, budget: int, overlap: int = 0, tokens: Callable[[Column], Column] = words) -> DataFrame:
@@ -71,10 +73,9 @@ def embedded(df: DataFrame, key: str, text: str, encode: Callable[[list[str]], n
         return pa.array(list(np.asarray(encode(texts.to_pylist()), float)), pa.list_(pa.float64()))
 
     coded = cut.select(key, "n_tokens", F.arrow_udf(run, "array<double>")("text").alias("vector"))
-    counts = cut.groupBy(key).agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("tokens"))
     sums = weighted_sums(coded, key, "vector", "n_tokens")
     mean = F.transform("sums", lambda x: x / F.col("weight"))
     length = F.sqrt(F.aggregate("mean", F.lit(0.0), lambda a, x: a + x * x))
-    rows = sums.select(key, mean.alias("mean")).withColumn("norm", length)
+    rows = sums.select(key, F.col("n").alias("pieces"), F.col("weight").cast("long").alias("tokens"), mean.alias("mean")).withColumn("norm", length)
     unit = F.when((F.col("norm") > 0) & (F.col("norm") < float("inf")), F.transform("mean", lambda x: x / F.col("norm")))
-    return counts.join(rows.select(key, "norm", unit.alias("vector")), key).select(key, "pieces", "tokens", "vector", "norm")
+    return rows.select(key, "pieces", "tokens", unit.alias("vector"), "norm")

@@ -233,7 +233,7 @@ _LETTERS = "etaoinsr"
 
 def _letter_counts(texts: list[str]):
     """How often each of eight letters comes in a text, after A-Z are lower-cased."""
-    return np.array([[t.lower().count(c) if t.isascii() else sum(ch == c or (ch.isascii() and ch.lower() == c) for ch in t) for c in _LETTERS] for t in texts], float).reshape(-1, len(_LETTERS))
+    return np.array([[t.count(c) + t.count(c.upper()) for c in _LETTERS] for t in texts], float).reshape(-1, len(_LETTERS))
 
 
 @register(

@@ -161,6 +161,17 @@ def test_long_texts(spark, overlap):
     assert zero["vector"] is None and zero["norm"] == 0
 
 
+def test_long_texts_are_read_once_and_cut_before_they_are_dealt(spark):
+    """One scan and one shuffle give vectors and counts, and no row of a piece holds the text's other tokens."""
+    df = spark.createDataFrame([(i, "a b c d e " * 20) for i in range(3)], "id long, t string").repartition(2)
+    out = long_texts.embedded(df, "id", "t", counted, budget=8, overlap=3)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Join" not in plan and plan.count("Aggregate") == 1
+    dealt = [line for line in plan.splitlines() if "Generate" in line]
+    assert len(dealt) == 1 and "__tokens" not in dealt[0].rsplit("[", 1)[1]
+    assert "explode(sequence" not in plan and {(r["pieces"], r["tokens"]) for r in out.collect()} == {(20, 158)}
+
+
 def test_folds_are_standardised_by_the_others_only(spark):
     rows = [(0, 1.0, 5.0), (0, None, 5.0), (1, 3.0, 5.0), (1, 7.0, None), (2, 100.0, float("nan"))]
     df = spark.createDataFrame(rows, "f int, a double, b double")
