@@ -10,7 +10,8 @@ up to billions of fingerprints; and at most 65 fingerprints lie within 2 bits of
 Texts whose shingle sets have a Jaccard similarity of 0.8 differ in 9.7 of 64 bits on average. Within so many bits the counts of
 32 segments tell nothing: two fingerprints drawn evenly are hardly further apart. With a similarity keep_one therefore takes fingerprints
 of 1,024 bits and lays many grids over their segments' counts, each over a few segments drawn at random. Fingerprints that share
-a cell of any grid are compared by their first 128 bits, and those within RADIUS of these are verified on the whole shingle sets.
+a cell of any grid are compared by their first 256 bits, those within RADIUS of these by all bits, and what is left is verified on the
+whole shingle sets: with the first of its group, then, where that leaves a group in parts, with all others of the groups it overlaps.
 """
 
 from __future__ import annotations
@@ -35,21 +36,24 @@ _SEGMENTS, _WIDTH = 32, 2
 #: Fingerprints of a cell that are compared at a time, and rows that one task expands into cells.
 BLOCK, EXPANDED = 64, 20_000
 _PIECE = 1 << 16
-#: Words of a long fingerprint: the first two are compared, the segments of the others make the grids.
-WORDS, COMPARED = 16, 2
+#: Words of a long fingerprint: the first four are compared, the segments of the others make the grids.
+WORDS, COMPARED = 16, 4
 #: A bit of two sets of Jaccard similarity 0.8 differs with this probability (cosine 8/9), so a segment's counts are equal with SAME, and
-#: with CHANCE where the sets have nothing in common. More than RADIUS of 128 bits differ in 6e-5 of such pairs, as many or fewer in 4e-7 of
-#: those with nothing in common.
+#: with CHANCE where the sets have nothing in common. More than RADIUS of the compared bits differ in about 1e-4 of such
+#: pairs, more than FAR of all in less. Bits of sets of 4 and 5 differ with 0.1875 (1.5e-3 then), so sets of up to TINY have the radius TINY_FAR.
 DIFFERS = math.acos(8 / 9) / math.pi
-SAME, CHANCE, RADIUS = (1 - DIFFERS) ** 2 + DIFFERS**2 / 2, 0.375, 36
+SAME, CHANCE, RADIUS, FAR, TINY, TINY_FAR = (1 - DIFFERS) ** 2 + DIFFERS**2 / 2, 0.375, 66, 216, 4, 250
 #: Unlike fingerprints that one finds in its cell, the chance that a pair of similarity 0.8 meets in no grid, and grids laid at a time.
 COMPANY, MISS, GRIDS = 32, 3e-4, 64
 #: Rows of (cell, fingerprint) in a task, and fingerprints of a cell that are compared with each other at once.
-MET, AT_ONCE = 1_000_000, 1024
+MET, AT_ONCE = 700_000, 1024
 #: Sets of a group that are compared at a time, and shingles that are counted at a time.
 SETS, COLUMNS = 128, 4096
+#: Bytes of shingles of a block of sets. A block has SETS sets, and of a cluster of m, over SETS ** 2 / WIDER ** 2, WIDER * sqrt(m).
+BLOCK_BYTES, WIDER = 4 << 20, 2.75
 _FLIPS, _FACTORS = np.random.default_rng(20_240_301).integers(0, 1 << 64, (2, WORDS - 1), dtype=np.uint64)
 _FACTORS |= np.uint64(1)
+_TIES = np.unpackbits(_FLIPS.view(np.uint8), bitorder="little")
 
 
 def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
@@ -158,7 +162,10 @@ def shingle_set(raw: bytes | None, shingle: int) -> np.ndarray:
 
 
 def long_fingerprint(found: np.ndarray) -> np.ndarray:
-    """The SimHash of WORDS words of a set of 64-bit hashes in order; the first word is of the hashes themselves. Ties go to the first hash's bit."""
+    """The SimHash of WORDS words of a set of 64-bit hashes in order; the first word is of the hashes themselves, and its ties go to the first hash's bit.
+
+    Ties of the others go to fixed bits, as a set and one without its first hash would differ in half of their ties.
+    """
     ones = np.zeros(64 * WORDS, np.int64)
     for low in range(0, len(found), _PIECE // 2):
         part = found[low : low + _PIECE // 2, None]
@@ -166,7 +173,7 @@ def long_fingerprint(found: np.ndarray) -> np.ndarray:
         mixed = (mixed ^ mixed >> np.uint64(32)) * _FACTORS
         bits = np.unpackbits(np.hstack([part, mixed ^ mixed >> np.uint64(29)]).view(np.uint8), axis=1, bitorder="little")
         if not low:
-            first = bits[0]
+            first = np.concatenate([bits[0, :64], _TIES])
         ones += bits.sum(axis=0, dtype=np.uint16)
     return np.packbits(2 * ones + first > len(found), bitorder="little").view(np.uint64)
 
@@ -188,10 +195,15 @@ def grid_cells(prints: np.ndarray, laid: list[np.ndarray]) -> np.ndarray:
     return (counts.astype(float) @ digits).astype(np.int64)
 
 
-def near_roots(fps: list[np.ndarray]) -> np.ndarray:
-    """The first fingerprint in each one's component, by links within RADIUS bits; fps has an array for each word."""
+def near_roots(fps: list[np.ndarray], radius: int | np.ndarray = RADIUS) -> np.ndarray:
+    """The first fingerprint in each one's component, by links within radius bits; fps has an array for each word.
+
+    With an array of radii, the larger of a pair's two counts.
+    """
     n = len(fps[0])
-    near = lambda left, right: sum(np.bitwise_count(f[left][:, None] ^ f[right]) for f in fps) <= RADIUS
+    radius = np.broadcast_to(np.asarray(radius, np.uint16), n)
+    within = lambda left, right: np.maximum(radius[left][:, None], radius[right])
+    near = lambda left, right: sum((np.bitwise_count(f[left][:, None] ^ f[right]) for f in fps), np.uint16(0)) <= within(left, right)
     if n <= AT_ONCE:
         return local_roots(n, *np.nonzero(np.triu(near(slice(None), slice(None)), 1)))
     # Those that a component has taken are not looked at again, so large groups of near copies take few rounds.
@@ -211,18 +223,19 @@ def near_roots(fps: list[np.ndarray]) -> np.ndarray:
     return roots
 
 
-def meetings(cells: np.ndarray, keys: np.ndarray, fps: list[np.ndarray]) -> pa.RecordBatch:
+def meetings(cells: np.ndarray, keys: np.ndarray, fps: list[np.ndarray], radius: int | np.ndarray = RADIUS) -> pa.RecordBatch:
     """(band, key, lead, n) for rows in components of two or more within a cell: the component, its smallest key and its size.
 
     band is a sum over the component's keys, so components that several grids find alike have one name.
     """
     order = np.lexsort((keys, cells))
     cells, keys, fps = cells[order], keys[order], [f[order] for f in fps]
+    radius = np.broadcast_to(radius, len(cells))[order]
     edges = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1], [True]]))
     roots = np.arange(len(cells))
     for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
         if high - low > 1:
-            roots[low:high] = near_roots([f[low:high] for f in fps]) + low
+            roots[low:high] = near_roots([f[low:high] for f in fps], radius[low:high]) + low
     sizes = np.bincount(roots, minlength=len(roots))
     some = np.flatnonzero(sizes[roots] > 1)
     heads, at = np.unique(roots[some], return_inverse=True)
@@ -234,7 +247,7 @@ def meetings(cells: np.ndarray, keys: np.ndarray, fps: list[np.ndarray]) -> pa.R
 
 
 def candidates(sets: DataFrame) -> DataFrame:
-    """(band, key, lead, n): groups of keys of sets (key, prints) that share a cell of some grid and are linked there within RADIUS bits."""
+    """(band, key, lead, n): groups of keys of sets (key, prints, size) that share a cell of some grid and are linked there within RADIUS and FAR bits."""
     prints = sets.where("prints is not null").select("key", "prints")
     n = prints.count()
     laid, found = grids(n), []
@@ -264,9 +277,23 @@ def candidates(sets: DataFrame) -> DataFrame:
         parts = max(sets.sparkSession.sparkContext.defaultParallelism, n * len(some) // MET)
         placed = prints.mapInArrow(place, ", ".join(f"{c} long" for c in names)).repartition(parts, "cell")
         found.append(cut_columnar(placed.mapInArrow(meet, "band long, key long, lead long, n long")))
-    grouped = cut_columnar(reduce(DataFrame.union, found).dropDuplicates(["band", "key"]))
+    grouped = cut_columnar(reduce(DataFrame.union, found).dropDuplicates(["band", "key"]).select("band", "key"))
     release(*found)
-    return grouped
+
+    def sharpen(batches):
+        hold("shingles")
+        batches = list(batches)
+        if batches:
+            bands, keys, sizes = (np.concatenate([b.column(c).to_numpy() for b in batches]) for c in ("band", "key", "size"))
+            longs = np.concatenate([np.array(b.column("prints").flatten()).reshape(-1, WORDS) for b in batches]).view(np.uint64)
+            batches.clear()
+            yield meetings(bands, keys, list(longs.T), np.where(sizes <= TINY, TINY_FAR, FAR))
+
+    parts = max(sets.sparkSession.sparkContext.defaultParallelism, grouped.count() * 4 // MET)
+    whole = grouped.join(sets.select("key", "prints", "size"), "key").repartition(parts, "band")
+    sharp = cut_columnar(whole.mapInArrow(sharpen, "band long, key long, lead long, n long").dropDuplicates(["band", "key"]))
+    release(grouped)
+    return sharp
 
 
 def alike(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -294,54 +321,83 @@ def alike(left: list[np.ndarray], right: list[np.ndarray], similarity: float) ->
     return np.nonzero((common >= similarity * union) & (common > 0))
 
 
-def similar_links(df: DataFrame, sets: DataFrame, row: list[Column], text: Column, shingle: int, similarity: float) -> DataFrame:
-    """Verified links (a, b) between keys of sets (key, rep, prints), whose shingles are read again from the row rep of df.
+def join_alike(sets: list[np.ndarray], roots: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
+    """roots (a row of each set's class) after joining the classes of all pairs of a left and a right row that are alike.
 
-    Each member of a group of candidates is compared with the group's first. Those that these links don't join to it are compared
-    with all other members too, in blocks.
+    SETS times SETS are compared at a time, in order of size; blocks that are of one class, or too unlike in size, are passed over.
     """
-    grouped = candidates(sets)
-    pairs = grouped.where("key <> lead").select("lead", "key").distinct()
-    wanted = cut_columnar(grouped.select("key").distinct().join(sets.select("key", "rep.*"), "key"))
-    read = arrow_column("shingles", lambda texts: pa.array([shingle_set(raw, shingle).view(np.int64) for raw in utf8_parts(texts)], pa.list_(pa.int64())), "array<long>")
-    found = df.select(row[0].alias("x"), row[1].alias("y"), text.alias("text")).join(wanted, ["x", "y"]).dropDuplicates(["x", "y"])
-    found = cut_columnar(found.select("key", read(F.col("text")).alias("shingles")))
-    release(wanted)
-    both = pairs.join(found.toDF("lead", "left"), "lead").join(found.toDF("key", "right"), "key")
-    common = F.size(F.array_intersect("left", "right"))
-    close = cut_columnar(both.where(common >= similarity * (F.size("left") + F.size("right") - common)).select("lead", "key"))
-    joined = connected_components(close, "lead", "key")
-    rest = grouped.where("n > 2 and key <> lead").join(joined.toDF("key", "own_root"), "key", "left").join(joined.toDF("lead", "lead_root"), "lead", "left")
-    rest = rest.withColumn("away", F.coalesce("own_root", "key") != F.coalesce("lead_root", "lead")).select("band", "key", "away")
-    counts = rest.groupBy("band").agg(F.count_if("away").alias("aways"), F.count_if(~F.col("away")).alias("others")).where("aways > 0 and aways + others > 1")
-    blocks = lambda n: F.ceil(F.col(n) / F.lit(SETS)).cast("int")
-    rest = rest.join(counts.select("band", blocks("aways").alias("aways"), blocks("others").alias("others")), "band")
-    own = F.pmod(F.xxhash64("key"), F.when(F.col("away"), F.col("aways")).otherwise(F.col("others"))).cast("int")
-    rest = rest.withColumn("own", own)
-    task = lambda i, j, mixed: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(mixed).alias("mixed"))
-    upto = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1), lambda k: k < F.col(n))
-    mine = F.concat(F.transform(upto("aways"), lambda k: task(F.least("own", k), F.greatest("own", k), False)), F.transform(upto("others"), lambda k: task(F.col("own"), k, True)))
-    guest = F.transform(upto("aways"), lambda k: task(k, F.col("own"), True))
-    dealt = rest.select("band", "key", "own", "away", F.explode(F.when(F.col("away"), mine).otherwise(guest)).alias("t")).select("band", "key", "own", "away", "t.*")
+    sizes = np.array([len(s) for s in sets])
+    same = left is right
+    left, right = (side[np.argsort(sizes[side], kind="stable")] for side in (left, right))
+    for i in range(0, len(left), SETS):
+        for j in range(i if same else 0, len(right), SETS):
+            rows, others = left[i : i + SETS], right[j : j + SETS]
+            if similarity * sizes[others[0]] >= sizes[rows[-1]] + 1:
+                break
+            if similarity * sizes[rows[0]] >= sizes[others[-1]] + 1 or (np.concatenate([roots[rows], roots[others]]) == roots[rows[0]]).all():
+                continue
+            a, b = alike([sets[k] for k in rows], [sets[k] for k in others], similarity)
+            a, b = roots[rows[a]], roots[others[b]]
+            if (a != b).any():
+                roots = local_roots(len(roots), a, b)[roots]
+    return roots
+
+
+def cluster_links(members: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join the classes (root) of keys of members (cluster, key, root, size, shingles), from all pairs within each cluster.
+
+    A cluster's keys are dealt into blocks, and each pair of blocks is a task. The blocks grow with the square root of the cluster until
+    they have BLOCK_BYTES, so a cluster of m keys moves them sqrt(m) / WIDER times, not once for every SETS of m.
+    """
+    count = F.count("*")
+    fewest = F.least(count / F.lit(SETS), F.sqrt(count) / F.lit(WIDER))
+    blocks = F.ceil(F.greatest(fewest, 8 * F.sum("size") / F.lit(BLOCK_BYTES))).cast("int")
+    dealt = members.join(members.groupBy("cluster").agg(F.greatest(blocks, F.lit(1)).alias("blocks")), "cluster")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    dealt = dealt.select("cluster", "key", "root", "shingles", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("cluster", "key", "root", "shingles", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def compare(group: pa.Table) -> pa.Table:
         hold("shingles")
-        own, away = np.array(group.column("own")), np.array(group.column("away"))
-        i, j, mixed = (group.column(c)[0].as_py() for c in ("i", "j", "mixed"))
-        left = np.flatnonzero(away & (own == i))
-        right = np.flatnonzero(~away) if mixed else np.flatnonzero(own == j)
+        own = np.array(group.column("own"))
+        i, j = (group.column(c)[0].as_py() for c in ("i", "j"))
         shingles = group.column("shingles").combine_chunks()
         ends, values = shingles.offsets.to_numpy(), shingles.values.to_numpy()
-        of = lambda rows: [values[ends[r] : ends[r + 1]] for r in rows]
-        a, b = alike(of(left), of(right), similarity)
-        roots = local_roots(group.num_rows, left[a], right[b])
+        left = np.flatnonzero(own == i)
+        right = left if i == j else np.flatnonzero(own == j)
+        _, first, at = np.unique(np.array(group.column("root")), return_index=True, return_inverse=True)
+        roots = join_alike([values[a:b] for a, b in zip(ends[:-1], ends[1:])], first[at], left, right, similarity)
         keys = np.array(group.column("key"))
-        some = np.flatnonzero(roots != np.arange(len(roots)))
+        some = first[roots[first] != first]
         return pa.table({"a": keys[roots[some]], "b": keys[some]})
 
-    away = dealt.join(found, "key").groupBy("band", "i", "j", "mixed").applyInArrow(compare, "a long, b long")
-    links = cut_columnar(close.toDF("a", "b").union(away).distinct())
-    release(grouped, found, close, joined)
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def similar_links(df: DataFrame, sets: DataFrame, row: list[Column], text: Column, shingle: int, similarity: float) -> DataFrame:
+    """Verified links (a, b) between keys of sets (key, rep, prints, size), whose shingles are read again from the row rep of df.
+
+    Each member of a group of candidates is compared with the group's first. Groups that these links leave in parts are put together where
+    they share a key, as the same texts meet in many grids, and within such a cluster all pairs of unlike parts are compared.
+    """
+    grouped = candidates(sets)
+    pairs = grouped.where("key <> lead").select("lead", "key").distinct()
+    wanted = cut_columnar(grouped.select("key").distinct().join(sets.select("key", "size", "rep.*"), "key"))
+    read = arrow_column("shingles", lambda texts: pa.array([shingle_set(raw, shingle).view(np.int64) for raw in utf8_parts(texts)], pa.list_(pa.int64())), "array<long>")
+    found = df.select(row[0].alias("x"), row[1].alias("y"), text.alias("text")).join(wanted, ["x", "y"]).dropDuplicates(["x", "y"])
+    found = cut_columnar(found.select("key", "size", read(F.col("text")).alias("shingles")))
+    release(wanted)
+    sides = [found.select(F.col("key").alias(key), F.col("shingles").alias(side)) for key, side in (("lead", "left"), ("key", "right"))]
+    both = pairs.join(sides[0], "lead").join(sides[1], "key")
+    common = F.size(F.array_intersect("left", "right"))
+    close = cut_columnar(both.where(common >= similarity * (F.size("left") + F.size("right") - common)).select("lead", "key"))
+    joined = connected_components(close, "lead", "key").toDF("key", "root")
+    rooted = grouped.where("n > 2").join(joined, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    parted = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    clusters = connected_components(grouped.join(parted, "band", "left_semi"), "lead", "key").toDF("key", "cluster")
+    members = clusters.join(found, "key").join(joined, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    links = cut_columnar(close.toDF("a", "b").union(cluster_links(members, similarity)).distinct())
+    release(grouped, found, close, joined, clusters)
     return links
 
 
@@ -352,11 +408,11 @@ def keep_similar(df: DataFrame, id_column: str, text_column: str, shingle: int,
 
     def mark(texts: pa.Array) -> pa.Array:
         sets = [shingle_set(raw, shingle) for raw in utf8_parts(texts)]
-        return pa.array([{"key": xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), "prints": long_fingerprint(s).view(np.int64) if len(s) else None} for s in sets], pa.struct([("key", pa.int64()), ("prints", pa.list_(pa.int64()))]))
+        return pa.array([{"key": xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), "prints": long_fingerprint(s).view(np.int64) if len(s) else None, "size": len(s)} for s in sets], pa.struct([("key", pa.int64()), ("prints", pa.list_(pa.int64())), ("size", pa.int64())]))
 
-    marked = df.select(doc.alias("doc_id"), F.struct(row[0].alias("x"), row[1].alias("y")).alias("row"), arrow_column("shingles", mark, "key long, prints array<long>")(text).alias("s"))
+    marked = df.select(doc.alias("doc_id"), F.struct(row[0].alias("x"), row[1].alias("y")).alias("row"), arrow_column("shingles", mark, "key long, prints array<long>, size long")(text).alias("s"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
-    sets = cut_columnar(marked.groupBy("s.key").agg(best, F.min("row").alias("rep"), F.first("s.prints").alias("prints")))
+    sets = cut_columnar(marked.groupBy("s.key").agg(best, F.min("row").alias("rep"), F.first("s.prints").alias("prints"), F.first("s.size").alias("size")))
     links = similar_links(df, sets, row, text, shingle, similarity)
     components = connected_components(links)
     roots = components.select(F.col("node").alias("key"), F.col("component").alias("root"))

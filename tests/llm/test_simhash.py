@@ -116,3 +116,75 @@ def test_large_cells_are_compared_whole(monkeypatch):
     whole = simhash.near_roots(words)
     monkeypatch.setattr(simhash, "AT_ONCE", 10)
     assert (simhash.near_roots(words) == whole).all() and len(set(whole.tolist())) == 302
+
+
+def rows_made(spark, node: str, since: int) -> int:
+    """Rows out of the plan nodes of a name in all executions from the number since on."""
+    store, made = spark._jsparkSession.sharedState().statusStore(), 0
+    for at in range(since, store.executionsCount()):
+        run = store.executionsList(at, 1).head().executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for n in (nodes.apply(i) for i in range(nodes.size()) if nodes.apply(i).name() == node):
+            for m in (n.metrics().apply(i) for i in range(n.metrics().size())):
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    made += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return made
+
+
+def test_near_copies_that_do_not_link_move_once_for_each_block(spark):
+    """Copies of one text, most of which are just less alike than 0.8: exact classes, and few rows for each copy however many grids they meet in."""
+    rnd = random.Random(11)
+    base, n = [f"w{k}" for k in range(300)], 600
+    texts = []
+    for k in range(n):
+        words = list(base)
+        for at in rnd.sample(range(5, 295), rnd.choice([2, 4, 5, 6, 7, 7])):
+            words[at] = f"new{k}_{at}"
+        texts.append(words)
+    sets = [{tuple(w[i : i + 5]) for i in range(296)} for w in texts]
+    want = classes_of(range(n), [(a, b) for b in range(n) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(5)
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    kept = simhash.keep_one(df, shingle=5, similarity=0.8)
+    assert {r["doc_id"] for r in kept.collect()} == set(want.values()) and 50 < len(set(want.values())) < n - 50
+    assert 0 < rows_made(spark, "Generate", since) <= 6 * n
+
+
+def test_blocks_of_a_cluster_join_what_all_its_pairs_join(spark, monkeypatch):
+    """Clusters in one block and in many, with classes that exist already and sizes far apart."""
+    rng = np.random.default_rng(12)
+    sets, clusters = [], []
+    for c in range(3):
+        base = rng.integers(-(1 << 62), 1 << 62, 100)
+        for k in range((5, 60, 150)[c]):
+            own = rng.integers(-(1 << 62), 1 << 62, rng.integers(0, 30))
+            sets.append(np.unique(np.concatenate([base[: rng.choice([40, 95, 100])], own])))
+            clusters.append(c)
+    roots = [k - k % 2 if clusters[k - k % 2] == clusters[k] and k % 10 < 4 else k for k in range(len(sets))]
+    given = [(r, k) for k, r in enumerate(roots) if r != k]
+    alike = [(a, b) for b in range(len(sets)) for a in range(b) if clusters[a] == clusters[b] and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+    want = classes_of(range(len(sets)), given + alike)
+    members = spark.createDataFrame([(c, k, roots[k], len(s), s.tolist()) for k, (c, s) in enumerate(zip(clusters, sets))], "cluster long, key long, root long, size long, shingles array<long>")
+    for small in (False, True):
+        if small:
+            monkeypatch.setattr(simhash, "SETS", 10)
+            monkeypatch.setattr(simhash, "BLOCK_BYTES", 20_000)
+        links = [(r["a"], r["b"]) for r in simhash.cluster_links(members, 0.8).collect()]
+        assert classes_of(range(len(sets)), given + links) == want
+    assert len(set(want.values())) > 20
+    assert simhash.cluster_links(members.limit(0), 0.8).count() == 0
+
+
+def test_tiny_sets_have_a_wider_radius():
+    """Sets of 4 and 5 shingles, of similarity 0.8, are linked by all bits of their fingerprints; so are larger pairs, whichever hashes they lack."""
+    rng = np.random.default_rng(13)
+    unions = [np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)) for n in [5] * 600 + [10] * 300 + [15] * 300 + [25] * 300 + [400] * 100]
+    pairs = [(np.sort(rng.permutation(u)[: len(u) * 4 // 5]), u) for u in unions]
+    near = 0
+    for a, b in pairs:
+        prints = np.array([simhash.long_fingerprint(a), simhash.long_fingerprint(b)])
+        reach = np.where(np.array([len(a), len(b)]) <= simhash.TINY, simhash.TINY_FAR, simhash.FAR)
+        near += simhash.near_roots(list(prints.T), reach)[1] == 0
+    assert near == len(pairs)
+    opposite = [np.array([0, (1 << 64) - 1], np.uint64) for _ in range(4)]  # 256 bits apart
+    assert simhash.near_roots(opposite).tolist() == [0, 1]
