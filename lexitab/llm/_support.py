@@ -49,8 +49,8 @@ def cut(df: DataFrame) -> DataFrame:
     return _noted(out, kept.get() if kept.isDefined() else None)
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    """Writes df as Parquet; its shuffle files go once it is written, not only when the driver next collects garbage.
+def write_table(df: DataFrame, path: str, group_bytes: int | None = None) -> None:
+    """Writes df as Parquet, in row groups of about group_bytes if given; its shuffle files go once it is written, not only when the driver next collects garbage.
 
     The setting for that is read where a query starts. It is on while any thread writes through here, and then as it was before.
     """
@@ -61,7 +61,8 @@ def write_table(df: DataFrame, path: str) -> None:
             conf.set(_CLEAN, "true")
         _writing.append(path)
     try:
-        df.write.parquet(path)
+        writer = df.write if group_bytes is None else df.write.option("parquet.block.size", group_bytes)
+        writer.parquet(path)
     finally:
         with _setting:
             _writing.remove(path)
@@ -76,11 +77,11 @@ _before: list[str | None] = []
 _setting = threading.Lock()
 
 
-def cut_columnar(df: DataFrame) -> DataFrame:
-    """Like cut(), as compressed Parquet beside the checkpoints: smaller for wide intermediate tables."""
+def cut_columnar(df: DataFrame, group_bytes: int | None = None) -> DataFrame:
+    """Like cut(), as compressed Parquet beside the checkpoints: smaller for wide intermediate tables. group_bytes bounds row groups of rows with long lists."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
-    write_table(df, path)
+    write_table(df, path, group_bytes)
     return _noted(spark.read.schema(df.schema).parquet(path), path)
 
 

@@ -5,8 +5,9 @@ that the tokenizers share: they bound the groups. Popcounts added up over 64-bit
 tokens before it, and so each group's range of tokens on both sides. The OR has all cuts: a stretch between two of them lies in exactly one
 token of each side, and no two stretches in the same pair, so the stretches are the links.
 
-A batch is a block: one row with its documents' facts and, by place in the block's own sorted list of linked id pairs, the pairs
-of each document. So the corpus-wide counts move one row for each pair of a block, not for each pair of a document.
+A batch is a block: its documents name their pairs by place in the block's own sorted list of linked id pairs. So the corpus-wide counts
+move one row for each pair of a block, not for each pair of a document. The list is dealt over the rows of the block's documents, no more of
+it to each than the document has pairs: a row stays as small as its document, and no reader or writer has to hold whole blocks as rows.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,10 @@ from lexitab.llm._support import cut_columnar, hold, release, ship
 #: Bits of an id in a packed pair, and so the largest vocabulary.
 _ID_BITS = 20
 _FACTS = ["n_a", "n_b", "n_groups", "n_links"]
+#: Letters of texts that are aligned at once. A block is a batch, but what aligning needs meanwhile is many times its text.
+_PIECE = 1 << 18
+#: Bytes of a row group of the written blocks. Spark's reader takes up to 4,096 rows of a group at once, its writer holds a group.
+_GROUP_BYTES = 16 << 20
 
 
 class Bitset:
@@ -139,48 +145,59 @@ class Aligned:
         return ["".join(out[low:high])[:-1] for low, high in zip(ends, ends[1:])]
 
 
-def _block(a: Vocabulary, b: Vocabulary, texts: list[str | None]) -> dict[str, np.ndarray | list]:
-    """A block's columns, each a list with something for each document, or for each pair, or for each pair of a document."""
+def _pieces(texts: list[str | None]) -> list[tuple[int, int]]:
+    """(first, after the last) of runs of texts that are aligned at once."""
+    ends, size = [0], 0
+    for n, text in enumerate(texts, 1):
+        size += 1 + len(text or "")
+        if size >= _PIECE or n == len(texts):
+            ends.append(n)
+            size = 0
+    return list(zip(ends, ends[1:]))
+
+
+def _piece(a: Vocabulary, b: Vocabulary, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(facts, digests, number of pairs) of each text; (pair, times) of each text's pairs, ascending."""
     found = Aligned(a, b, texts)
     doc = np.repeat(np.arange(len(texts)), np.diff(found.links))
     pair = found.a_ids[found.a_of].astype(np.int64) << _ID_BITS | found.b_ids[found.b_of]
-    keys, local = np.unique(pair, return_inverse=True)
-    both, times = np.unique(doc * max(1, len(keys)) + local, return_counts=True)
-    doc, local = np.divmod(both, max(1, len(keys)))
+    both, times = np.unique(doc << 2 * _ID_BITS | pair, return_counts=True)
     said = [hashlib.sha256(t.encode("ascii")).hexdigest() if t else "" for t in found.group_texts(a, b)]
-    facts = [*np.diff(found.tokens, axis=1), np.diff(found.groups), np.diff(found.links)]
-    return dict(zip(_FACTS, facts)) | {
-        "groups_sha256": said,
-        "keys": keys,
-        "holders": np.bincount(local, minlength=len(keys)),
-        "pairs": np.bincount(doc, minlength=len(texts)),
-        "local": local.astype(np.int32),
-        "times": times.astype(np.int32),
-    }
+    facts = np.stack([*np.diff(found.tokens, axis=1), np.diff(found.groups), np.diff(found.links)])
+    return facts, said, np.bincount(both >> 2 * _ID_BITS, minlength=len(texts)), both & (1 << 2 * _ID_BITS) - 1, times.astype(np.int32)
+
+
+def _block(a: Vocabulary, b: Vocabulary, ids: pa.Array, texts: list[str | None], number: int) -> pa.RecordBatch:
+    """A row for each document of a block."""
+    facts, said, pairs, pair, times = zip(*[_piece(a, b, texts[low:high]) for low, high in _pieces(texts)])
+    facts = np.concatenate(facts, axis=1)
+    ends = np.concatenate([[0], np.cumsum(np.concatenate(pairs))])
+    keys, local, holders = np.unique(np.concatenate(pair), return_inverse=True, return_counts=True)
+    of_keys = ends * len(keys) // max(1, ends[-1])
+    lists = {"keys": (of_keys, keys), "holders": (of_keys, holders.astype(np.int32)), "local": (ends, local.astype(np.int32)), "times": (ends, np.concatenate(times))}
+    columns = {"block": pa.array(np.full(len(texts), number)), "doc_id": ids} | dict(zip(_FACTS, map(pa.array, facts)))
+    columns |= {name: pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(values)) for name, (upto, values) in lists.items()}
+    return pa.RecordBatch.from_pydict(columns | {"groups_sha256": pa.array([x for own in said for x in own], pa.string())})
 
 
 def blocks_of(df: DataFrame, a: str, b: str, id_column: str, text_column: str) -> DataFrame:
-    """A row for each batch of df: block, the documents' ids and facts, the block's pairs with the documents that hold them, each document's pairs by place."""
+    """A row for each row of df: its block (a batch of df), id and facts; keys, its share of the block's sorted pairs, with how many of the
+    block's documents hold them (holders); its own pairs by place in the block's (local) and how often it has each (times)."""
     picked = df.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind = picked.schema["doc_id"].dataType.simpleString()
-    lists = [*_FACTS, "keys", "holders", "pairs"]
 
     def run(batches):
         hold("alignment", _forget)
         one, two = vocabulary(a), vocabulary(b)
         first = TaskContext.get().partitionId() << 32
         for number, batch in enumerate(batches):
-            if not batch.num_rows:
-                continue
-            found = _block(one, two, batch.column("text").to_pylist())
-            columns = [pa.array([first + number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("doc_id"))]
-            columns += [pa.array([found[name]], pa.list_(pa.int64())) for name in lists]
-            columns += [pa.array([found[name]], pa.list_(pa.int32())) for name in ("local", "times")]
-            columns.append(pa.array([found["groups_sha256"]], pa.list_(pa.string())))
-            yield pa.RecordBatch.from_arrays(columns, ["block", "doc_id", *lists, "local", "times", "groups_sha256"])
+            if batch.num_rows:
+                texts = batch.column("text").to_pylist()
+                rows = _block(one, two, batch.column("doc_id"), texts, first + number)
+                yield from (rows.slice(low, high - low) for low, high in _pieces(texts))
 
-    schema = f"block long, doc_id array<{kind}>, " + ", ".join(f"{n} array<long>" for n in lists) + ", local array<int>, times array<int>, groups_sha256 array<string>"
-    return picked.mapInArrow(run, schema)
+    lists = "keys array<long>, holders array<int>, local array<int>, times array<int>"
+    return picked.mapInArrow(run, f"block long, doc_id {kind}, " + ", ".join(f"{n} long" for n in _FACTS) + f", {lists}, groups_sha256 string")
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:
@@ -194,7 +211,7 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
 def linked_ids(df: DataFrame, *, a: str, b: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(a, b, count, best) of every pair of ids linked in some document: the table that maps one vocabulary to the other."""
     ship(df.sparkSession)
-    blocks = cut_columnar(blocks_of(df, a, b, id_column, text_column).select("keys", "holders"))
+    blocks = cut_columnar(blocks_of(df, a, b, id_column, text_column).select("keys", "holders"), _GROUP_BYTES)
     mask = F.lit((1 << _ID_BITS) - 1).cast("long")
     return pair_counts(blocks).select(F.shiftright("key", _ID_BITS).alias("a"), F.col("key").bitwiseAND(mask).alias("b"), "count", "best")
 
@@ -231,7 +248,7 @@ def align_documents(df: DataFrame, *, a: str, b: str, id_column: str = "doc_id",
     Texts are encoded once: the blocks are written, counted, and read again with the counts of their own pairs.
     """
     ship(df.sparkSession)
-    blocks = cut_columnar(blocks_of(df, a, b, id_column, text_column))
+    blocks = cut_columnar(blocks_of(df, a, b, id_column, text_column), _GROUP_BYTES)
     counts = pair_counts(blocks)
     asked = blocks.select(F.col("block").alias("home"), F.explode("keys").alias("key"))
     told = asked.join(counts, "key")
@@ -239,24 +256,21 @@ def align_documents(df: DataFrame, *, a: str, b: str, id_column: str = "doc_id",
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         hold("alignment", _forget)
+        if right.num_rows != pc.sum(left.column("n_keys")).as_py():
+            raise ValueError("a block's pairs weren't all counted")
+        at = np.argsort(right.column("key").to_numpy())
+        count, best = right.column("count").to_numpy()[at], right.column("best").to_numpy()[at]
         parts = []
-        for row in range(left.num_rows):
-            of = lambda name: np.array(left.column(name)[row].values)  # noqa: B023,E731
-            keys = np.array(right.column("key"), np.int64)
-            at = np.argsort(keys)
-            if not (keys[at] == of("keys")).all():
-                raise ValueError("a block's pairs weren't all counted")
-            count, best = np.array(right.column("count"), np.int64)[at], np.array(right.column("best"), bool)[at]
-            local, times = of("local"), of("times").astype(np.int64)
-            ends = np.concatenate([[0], np.cumsum(of("pairs"))]).astype(np.int64)
-            sums = [np.concatenate([[0], np.cumsum(x)])[ends] for x in (times * best[local], times * count[local])]
-            columns = [left.column("doc_id")[row].values, *[pa.array(of(n), pa.int64()) for n in _FACTS], *[pa.array(np.diff(s), pa.int64()) for s in sums], left.column("groups_sha256")[row].values]
-            parts.append(pa.Table.from_arrays(columns, names))
-        return pa.concat_tables(parts)
+        for rows in left.to_batches():
+            local, times = (rows.column(n).flatten().to_numpy() for n in ("local", "times"))
+            ends = np.concatenate([[0], np.cumsum(rows.column("local").value_lengths().to_numpy())]).astype(np.int64)
+            sums = [np.diff(np.concatenate([[0], np.cumsum(x[local] * times.astype(np.int64))])[ends]) for x in (best, count)]
+            parts.append(pa.RecordBatch.from_arrays([*(rows.column(n) for n in ["doc_id", *_FACTS]), *map(pa.array, sums), rows.column("groups_sha256")], names))
+        return pa.Table.from_batches(parts)
 
     names = ["doc_id", *_FACTS, "n_best", "count_sum", "groups_sha256"]
     schema = f"doc_id {kind.simpleString()}, " + ", ".join(f"{n} long" for n in names[1:-1]) + ", groups_sha256 string"
-    rows = blocks.select("block", "doc_id", *_FACTS, "keys", "pairs", "local", "times", "groups_sha256")
+    rows = blocks.select("block", "doc_id", *_FACTS, F.size("keys").alias("n_keys"), "local", "times", "groups_sha256")
     out = cut_columnar(rows.groupBy("block").cogroup(told.groupBy("home")).applyInArrow(finish, schema))
     release(blocks)
     return out

@@ -3,14 +3,19 @@ from __future__ import annotations
 import hashlib
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
+from pyarrow.parquet import ParquetFile
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexitab.llm import token_alignment
+from lexitab.llm._support import cut_columnar, release, ship
 from lexitab.llm.queries import BYTE_TOKENIZER, PIECE_TOKENIZER, QUERIES
 
 
@@ -119,6 +124,41 @@ def test_groups_and_table(spark, libraries):
     assert sum(r["count"] for r in table.collect()) == sum(len({(i, j) for x, y, i in s[0] for u, v, j in s[1] if u < y and x < v}) for s in (plain(libraries, t) for t in TEXTS) if s)
 
 
+def test_rows_are_as_small_as_their_documents(spark):
+    texts = [None if i % 50 == 7 else f"word{i} and {chr(97 + i % 26) * 3} " * (1 + i % 5) for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    ship(spark)
+    rows = token_alignment.blocks_of(df, BYTE_TOKENIZER, PIECE_TOKENIZER, "doc_id", "text").collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(400))
+    blocks = {}
+    for r in rows:
+        assert len(r["keys"]) == len(r["holders"]) <= len(r["local"]) == len(r["times"]) <= r["n_links"] == sum(r["times"])
+        blocks.setdefault(r["block"], []).append(r)
+    for own in blocks.values():
+        keys = sorted((k, n) for r in own for k, n in zip(r["keys"], r["holders"]))
+        held = Counter(i for r in own for i in r["local"])
+        assert len({k for k, _ in keys}) == len(keys) and [n for _, n in keys] == [held[i] for i in range(len(keys))]
+
+
+def test_pieces_of_a_block(monkeypatch):
+    a, b = (token_alignment.vocabulary(n) for n in (BYTE_TOKENIZER, PIECE_TOKENIZER))
+    texts = [*TEXTS, None, "the end " * 50, *TEXTS]
+    ids = pa.array(range(len(texts)))
+    whole = token_alignment._block(a, b, ids, texts, 5)
+    monkeypatch.setattr(token_alignment, "_PIECE", 20)
+    pieces = token_alignment._pieces(texts)
+    assert len(pieces) > 5 and [i for low, high in pieces for i in range(low, high)] == list(range(len(texts)))
+    assert token_alignment._block(a, b, ids, texts, 5).equals(whole)
+
+
+def test_row_groups_of_long_lists_are_small(spark):
+    rows = spark.range(0, 2000, 1, 1).select(F.transform(F.sequence(F.lit(1), F.lit(500)), lambda i: F.xxhash64("id", i)).alias("keys"))
+    table = cut_columnar(rows, 1 << 20)
+    parts = [ParquetFile(p).metadata for p in Path(table._lexitab_path.removeprefix("file:")).glob("*.parquet")]
+    assert sum(p.num_rows for p in parts) == 2000 and max(p.row_group(i).total_byte_size for p in parts for i in range(p.num_row_groups)) < 2 << 20
+    release(table)
+
+
 def test_bitset():
     rng = np.random.default_rng(0)
     for size in (1, 63, 64, 65, 1000):
